@@ -1,0 +1,9 @@
+"""Queries over the test tables, one or more per operator, each with equivalent SQL where SQL can say it."""
+
+from __future__ import annotations
+
+
+def all_cases() -> dict:
+    from . import levels, scoring
+
+    return {**scoring.CASES, **levels.CASES}

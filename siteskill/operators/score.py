@@ -165,6 +165,7 @@ def zone_metrics(df: DataFrame, by: Sequence[str], mod: str = "mod_mean", obs: s
 def mean_by_label(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     """Mean of repeated scores per label, with the short text labels shown next to a series."""
     out = df.groupBy(label).agg(*[strict_mean(c).alias(c) for c in columns])
+    digits = {c: F.substring(F.format_string("%.10f", F.col(c)), 1, 4) for c in columns}
     return out.withColumns({
-        f"{c}_label": F.concat(F.lit(f"{c} = "), F.substring(F.format_string("%.10f", F.col(c)), 1, 4)) for c in columns
+        f"{c}_label": F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} = "), digits[c])) for c in columns
     })

@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", app: str = "siteskill", memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
