@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_cases() -> dict:
-    from . import levels, scoring
+    from . import density, events, levels, prep, scoring
 
-    return {**scoring.CASES, **levels.CASES}
+    return {**prep.CASES, **scoring.CASES, **levels.CASES, **events.CASES, **density.CASES}

@@ -158,12 +158,9 @@ def _evaluation_annual_sql() -> str:
         ON a.sitename = b.sitename AND a.date = b.date) {parts}"""
 
 
-def _tables(name):
-    def build(spark, sf):
-        df = daily(spark, sf)
-        settings = Settings({"mod": "fluxnet"}, min_days=MIN_DAYS, obs_variable={"mod": "obs"})
-        return evaluate(df.select("sitename", "date", "mod"), settings, observations(spark, df, sf), light=False)["mod"].tables[name]
-    return build
+def _annual(spark, sf):
+    df = daily(spark, sf)
+    return match_annual(model_series(df, "mod"), observations(spark, df, sf).adf, "obs", MIN_DAYS)
 
 
 def _site_stats_sql() -> str:
@@ -175,10 +172,7 @@ def _site_stats_sql() -> str:
 
 
 def _annual_site_stats(spark, sf):
-    df = daily(spark, sf)
-    mod = model_series(df.select("sitename", "date", "mod"), "mod")
-    adf = match_annual(mod, observations(spark, df, sf).adf, "obs", MIN_DAYS)
-    cells = stage(summarise(adf, ["sitename"]), "cells")
+    cells = stage(summarise(_annual(spark, sf), ["sitename"]), "cells")
     return stack_tables({
         "annual": site_stats(pool(cells, ["sitename"]), ["sitename"], support="pairs"),
         "anomalies_annual": site_stats(pool(cells, ["sitename"], anomalies=True), ["sitename"]),
@@ -272,7 +266,7 @@ CASES = {
             SELECT * FROM {_minus('x', 'dayofyear(date)')}""",
     ),
     "f6_annual_anomalies": Case(
-        "sitename:s date:d mod:f obs:f", _tables("iavdf"), f"WITH {LEVEL_CTES} SELECT * FROM {_minus('adf', '1')}"),
+        "sitename:s date:d mod:f obs:f", lambda s, d: C.annual_anomalies(_annual(s, d)), f"WITH {LEVEL_CTES} SELECT * FROM {_minus('adf', '1')}"),
     "f7_linear_interpolation": Case(
         "sitename:s date:d obs:f obs_filled:f mod_filled:f",
         lambda s, d: interpolate(daily(s, d), ["sitename"], "date", ["obs", "mod"], suffix="_filled"),
