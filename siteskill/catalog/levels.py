@@ -11,7 +11,8 @@ from ..plans import components as C
 from ..plans.evaluation import Settings, evaluate, metrics_table
 from ..plans.levels import match_annual, match_levels, match_monthly, model_series
 from ..plans.observations import build_catchment_observations, build_observations, build_observations_xdaily
-from ..plans.pooling import pool, site_stats, summarise
+from ..operators.score import stats_of_moments
+from ..plans.pooling import pool, summarise
 from ..session import stage
 from ..sources.nested import pivot_sources, stack_tables
 from .case import Case
@@ -174,8 +175,8 @@ def _site_stats_sql() -> str:
 def _annual_site_stats(spark, sf):
     cells = stage(summarise(_annual(spark, sf), ["sitename"]), "cells")
     return stack_tables({
-        "annual": site_stats(pool(cells, ["sitename"]), ["sitename"], support="pairs"),
-        "anomalies_annual": site_stats(pool(cells, ["sitename"], anomalies=True), ["sitename"]),
+        "annual": stats_of_moments(pool(cells, ["sitename"]), ["sitename"], support="pairs"),
+        "anomalies_annual": stats_of_moments(pool(cells, ["sitename"], anomalies=True), ["sitename"]),
     })
 
 
@@ -190,8 +191,8 @@ def _anomaly_stats(spark, sf):
     day_cells = stage(summarise(days, ["sitename", "doy"]), "day_cells")
     bin_cells = stage(summarise(xdf, ["sitename", F.dayofyear("inbin").alias("xoy")]), "bin_cells")
     return stack_tables({
-        "daily": site_stats(pool(day_cells, ["sitename"], anomalies=True), ["sitename"]),
-        "xdaily": site_stats(pool(bin_cells, ["sitename"], anomalies=True), ["sitename"]),
+        "daily": stats_of_moments(pool(day_cells, ["sitename"], anomalies=True), ["sitename"]),
+        "xdaily": stats_of_moments(pool(bin_cells, ["sitename"], anomalies=True), ["sitename"]),
     })
 
 

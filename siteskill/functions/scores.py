@@ -13,67 +13,44 @@ from pyspark.sql import functions as F
 # Names of the mergeable summary of one cell of (mod, obs) pairs.
 MOMENTS = ("n", "mx", "my", "sxx", "syy", "sxy", "sdd")
 
+# Expressions over those names. R2 is null where either side is constant.
+R_SQUARED = "try_divide(sxy * sxy, sxx * syy)"
+SLOPE = "try_divide(sxy, sxx)"
+INTERCEPT = f"my - {SLOPE} * mx"
+MEAN_ERROR = "CASE WHEN n > 0 THEN mx - my END"
+RMSE = "CASE WHEN n > 0 THEN sqrt(sdd / nullif(n, 0) + (mx - my) * (mx - my)) END"
+CORRELATION = "try_divide(sxy, sqrt(sxx) * sqrt(syy))"
+# R2 of obs ~ mod, adjusted for one predictor. A constant model explains nothing: 0.
+ADJUSTED_R_SQUARED = (
+    f"CASE WHEN n < 3 THEN NULL WHEN sxx = 0 THEN 0D ELSE 1 - (1 - {R_SQUARED}) * (n - 1) / nullif(n - 2, 0) END"
+)
+REGRESSION = {"rsq": ADJUSTED_R_SQUARED, "rmse": RMSE, "slope": SLOPE, "bias": MEAN_ERROR, "nvals": "n"}
 
-def paired(c: str, other: str) -> Column:
-    return F.when(F.col(other).isNotNull(), F.col(c))
+
+def quoted(name: str) -> str:
+    return f"`{name}`"
 
 
 def moment_columns(mod: str = "mod", obs: str = "obs") -> list[Column]:
     """Pair count, means, centred second moments, and the centred moment of the error."""
-    d = F.col(mod) - F.col(obs)
-    return [
-        F.regr_count(obs, mod).alias("n"),
-        F.avg(paired(mod, obs)).alias("mx"),
-        F.avg(paired(obs, mod)).alias("my"),
-        F.regr_sxx(obs, mod).alias("sxx"),
-        F.regr_syy(obs, mod).alias("syy"),
-        F.regr_sxy(obs, mod).alias("sxy"),
-        F.regr_sxx(d, d).alias("sdd"),
-    ]
-
-
-def _nonzero(c: Column) -> Column:
-    return F.when(c != 0, c)
-
-
-def r_squared() -> Column:
-    """Squared correlation; null where either side is constant."""
-    return F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy"))
-
-
-def adjusted_r_squared() -> Column:
-    """R2 of obs ~ mod, adjusted for one predictor. A constant model explains nothing: 0."""
-    n = F.col("n").cast("double")
-    return (
-        F.when(F.col("n") < 3, None)
-        .when(F.col("sxx") == 0, F.lit(0.0))
-        .otherwise(1 - (1 - r_squared()) * (n - 1) / _nonzero(n - 2))
-    )
-
-
-def slope() -> Column:
-    return F.try_divide(F.col("sxy"), F.col("sxx"))
-
-
-def intercept() -> Column:
-    return F.col("my") - slope() * F.col("mx")
-
-
-def mean_error() -> Column:
-    return F.when(F.col("n") > 0, F.col("mx") - F.col("my"))
-
-
-def mean_square_error() -> Column:
-    shift = F.col("mx") - F.col("my")
-    return F.when(F.col("n") > 0, F.col("sdd") / _nonzero(F.col("n")) + shift * shift)
-
-
-def regression_columns() -> list[Column]:
-    """The statistics row, from the columns that `moment_columns` names."""
-    return [
-        adjusted_r_squared().alias("rsq"),
-        F.sqrt(mean_square_error()).alias("rmse"),
-        slope().alias("slope"),
-        mean_error().alias("bias"),
-        F.col("n").alias("nvals"),
-    ]
+    m, o = quoted(mod), quoted(obs)
+    return [F.expr(e) for e in (
+        f"regr_count({o}, {m}) AS n",
+        f"avg(CASE WHEN {o} IS NOT NULL THEN {m} END) AS mx",
+        f"avg(CASE WHEN {m} IS NOT NULL THEN {o} END) AS my",
+        f"regr_sxx({o}, {m}) AS sxx",
+        f"regr_syy({o}, {m}) AS syy",
+        f"regr_sxy({o}, {m}) AS sxy",
+        f"regr_sxx({m} - {o}, {m} - {o}) AS sdd",
+    )]
+
+
+def regression_columns(only_if: str | None = None) -> list[Column]:
+    """The statistics row, from the columns that `moment_columns` names.
+
+    With a condition, the scores (not the pair count) are null where it does not hold.
+    """
+    def shown(name: str, score: str) -> str:
+        return score if only_if is None or name == "nvals" else f"CASE WHEN {only_if} THEN {score} END"
+
+    return [F.expr(f"{shown(name, score)} AS {name}") for name, score in REGRESSION.items()]

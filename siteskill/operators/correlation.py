@@ -26,7 +26,7 @@ def _signed_root(sxy: Column, sxx: Column, syy: Column) -> Column:
 
 def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     moments = df.groupBy(*by).agg(*S.moment_columns(x, y))
-    return moments.select(*by, _signed_root(F.col("sxy"), F.col("sxx"), F.col("syy")).alias("cor"), "n")
+    return moments.selectExpr(*by, f"{S.CORRELATION} AS cor", "n")
 
 
 def _counted_pairs(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -54,42 +54,49 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     )
 
 
-def _sign_sum(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Sum of w_i w_j sign(x_j - x_i) sign(y_j - y_i) over the pairs of one block.
+def _block_scorer(by: Sequence[str], x: str, y: str):
+    """Function of one block of counted pairs. It is self-contained, so workers need only numpy and pandas."""
+    keys = list(by)
+
+    def sign_sum(xs: np.ndarray, ys: np.ndarray, ws: np.ndarray) -> float:
+        """Sum of w_i w_j sign(x_j - x_i) sign(y_j - y_i) over the pairs of the block.
+
+        Sorted by (x, y), a pair that differs in y is told apart at the highest bit in which the
+        ranks of its two y values differ. So per bit, within rows that share the higher bits,
+        running weights count the pairs in order and out of order. Pairs with equal x came out as
+        "in order"; they are taken off again.
+        """
+        order = np.lexsort((ys, xs))
+        xs, ws = xs[order], ws[order].astype(float)
+        rank = np.unique(ys[order], return_inverse=True)[1]
+        total = 0.0
+        for bit in range(int(rank.max()).bit_length()):
+            same = np.argsort(rank >> (bit + 1), kind="stable")
+            high = ((rank[same] >> bit) & 1).astype(bool)
+            weight, group = ws[same], rank[same] >> (bit + 1)
+            start = np.concatenate(([True], group[1:] != group[:-1]))
+            first = np.maximum.accumulate(np.where(start, np.arange(len(group)), 0))
+            for side, sign in ((high, 1.0), (~high, -1.0)):
+                seen = np.concatenate(([0.0], np.cumsum(np.where(side, 0.0, weight))))
+                total += sign * float(np.sum(np.where(side, weight * (seen[:-1] - seen[first]), 0.0)))
+        tied = pd.DataFrame({"x": xs, "y": rank, "w": ws})
+        same_xy = tied.groupby(["x", "y"])["w"].sum()
+        same_x = tied.groupby("x")["w"].sum()
+        return total - (float((same_x**2).sum()) - float((same_xy**2).sum())) / 2
 
-    Sorted by (x, y), a pair that differs in y is told apart at the highest bit in which the ranks
-    of its two y values differ. So per bit, within rows that share the higher bits, running weights
-    count the pairs in order and out of order. Pairs with equal x came out as "in order"; they are
-    taken off again.
-    """
-    order = np.lexsort((y, x))
-    x, w = x[order], w[order].astype(float)
-    rank = np.unique(y[order], return_inverse=True)[1]
-    total = 0.0
-    for bit in range(int(rank.max()).bit_length() if len(rank) else 0):
-        same = np.argsort(rank >> (bit + 1), kind="stable")
-        high = ((rank[same] >> bit) & 1).astype(bool)
-        weight, group = w[same], rank[same] >> (bit + 1)
-        start = np.concatenate(([True], group[1:] != group[:-1]))
-        first = np.maximum.accumulate(np.where(start, np.arange(len(group)), 0))
-        for side, sign in ((high, 1.0), (~high, -1.0)):
-            seen = np.concatenate(([0.0], np.cumsum(np.where(side, 0.0, weight))))
-            total += sign * float(np.sum(np.where(side, weight * (seen[:-1] - seen[first]), 0.0)))
-    in_x = pd.DataFrame({"x": x, "y": rank, "w": w})
-    per_xy = in_x.groupby(["x", "y"])["w"].sum()
-    per_x = in_x.groupby("x")["w"].sum()
-    return total - (float((per_x**2).sum()) - float((per_xy**2).sum())) / 2
-
-
-def _block_sums(pairs: DataFrame, by: Sequence[str], block: str, x: str, y: str) -> DataFrame:
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[list(by)].iloc[:1].copy()
-        out["s"] = _sign_sum(pdf[x].to_numpy(), pdf[y].to_numpy(), pdf["_w"].to_numpy())
+        out = pdf[keys].iloc[:1].copy()
+        out["s"] = [sign_sum(pdf[x].to_numpy(), pdf[y].to_numpy(), pdf["_w"].to_numpy())]
         return out
 
-    keyed = pairs.select(*by, block, x, y, "_w")
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name in by]
-    return keyed.groupBy(*by, block).applyInPandas(score, ", ".join([*fields, "s double"]))
+    return score
+
+
+def _block_sums(pairs: DataFrame, by: Sequence[str], block: str, x: str, y: str) -> DataFrame:
+    """Summed signs of the pairs inside each block; a block has a bounded number of rows."""
+    keyed = pairs.select(*dict.fromkeys([*by, block, x, y, "_w"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name in by]
+    return keyed.groupBy(*by, block).applyInPandas(_block_scorer(by, x, y), ", ".join([*fields, "s double"]))
 
 
 def kendall(df: DataFrame, by: Sequence[str], x: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -182,7 +189,7 @@ def correlation_matrix(
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_p{i}").alias("m")) for i, (a, b) in enumerate(pairs)
         ])
         flat = wide.select(F.explode(cells).alias("c")).select("c.a", "c.b", "c.m.*")
-        out = flat.select("a", "b", _signed_root(F.col("sxy"), F.col("sxx"), F.col("syy")).alias("cor"), "n")
+        out = flat.selectExpr("a", "b", f"{S.CORRELATION} AS cor", "n")
     else:
         cells = F.array(*[
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_null_safe
@@ -26,12 +26,18 @@ MARGINS = 4
 SMALL_GROUPS = 2
 
 
-def _order_statistic(position: Column) -> Column:
-    holds = (position >= F.col("_cum") - F.col("_count")) & (position < F.col("_cum"))
-    value = F.when(F.col("_kept"), F.col("_rep")).otherwise(
-        F.raise_error(F.lit("a quantile bracket missed its order statistic")).cast("double")
-    )
-    return F.max(F.when(holds, value))
+MISSED = "raise_error('a quantile bracket missed its order statistic')"
+
+
+def _order_statistic(position: str) -> str:
+    holds = f"{position} >= _cum - _count AND {position} < _cum"
+    return f"max(CASE WHEN {holds} THEN CASE WHEN _kept THEN _rep ELSE cast({MISSED} AS double) END END)"
+
+
+def _quantile(p: float) -> str:
+    at = f"{p!r}D * (_n - 1)"
+    first, second = _order_statistic(f"floor({at})"), _order_statistic(f"ceil({at})")
+    return f"{first} + ({second} - {first}) * max({at} - floor({at}))"
 
 
 def quantiles(
@@ -44,50 +50,35 @@ def quantiles(
     columns = sorted({c for c, _ in wanted.values()})
     probs = sorted({p for _, p in wanted.values()})
     keys = [f"_key_{k}" for k in by]
-    long = df.select(
-        *[F.col(k).alias(f"_key_{k}") for k in by],
-        F.explode(F.array(*[F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_v")) for c in columns]))
-        .alias("_cell"),
-    ).select(*keys, "_cell._var", "_cell._v")
+    cells = ", ".join(f"struct('{c}' AS _var, cast(`{c}` AS double) AS _v)" for c in columns)
+    long = df.selectExpr(*[f"`{k}` AS `_key_{k}`" for k in by], f"inline(array({cells}))")
     group = [*keys, "_var"]
 
     edges = [min(max(p + side * MARGINS / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
     brackets = (
         long.groupBy(*group)
         .agg(F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_edges"))
-        .where(F.col("_n") > SMALL_GROUPS * accuracy)
+        .where(f"_n > {SMALL_GROUPS * accuracy}")
         .drop("_n")
     )
-    low = [F.col("_edges")[2 * i] for i in range(len(probs))]
-    high = [F.col("_edges")[2 * i + 1] for i in range(len(probs))]
-    v = F.col("_v")
-    kept = F.col("_edges").isNull()
-    for lo, hi in zip(low, high):
-        kept = kept | v.between(lo, hi)
-    below = F.greatest(*[F.when(hi < v, hi) for hi in high], F.lit(None).cast("double"))
-
+    inside = " OR ".join(f"_v BETWEEN _edges[{2 * i}] AND _edges[{2 * i + 1}]" for i in range(len(probs)))
+    highs = [f"_edges[{2 * i + 1}]" for i in range(len(probs))]
+    below = f"greatest(cast(NULL AS double), {', '.join(f'CASE WHEN {h} < _v THEN {h} END' for h in highs)})"
     counted = (
         join_null_safe(long, brackets, group, "left")
-        .select(*group, F.when(kept, v).otherwise(below).alias("_rep"), kept.alias("_kept"),
-                v.isNotNull().cast("long").alias("_one"))
+        .selectExpr(*group, "_v", "_edges", f"_edges IS NULL OR {inside} AS _kept")
+        .selectExpr(*group, "_kept", f"CASE WHEN _kept THEN _v ELSE {below} END AS _rep", "_v")
         .groupBy(*group, "_rep", "_kept")
-        .agg(F.sum("_one").alias("_count"))
+        .agg(F.count("_v").alias("_count"))
     )
-    inside = Window.partitionBy(*group)
-    upto = inside.orderBy(F.col("_rep").asc_nulls_first(), F.col("_kept").desc()).rowsBetween(
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy(F.col("_rep").asc_nulls_first(), F.col("_kept").desc()).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    ranked = counted.withColumns({"_cum": F.sum("_count").over(upto), "_n": F.sum("_count").over(inside)})
-
-    def quantile(p: float) -> Column:
-        at = F.lit(p) * (F.col("_n") - 1)
-        first, second = _order_statistic(F.floor(at)), _order_statistic(F.ceil(at))
-        part = F.max(at - F.floor(at))
-        return first + (second - first) * part
-
-    per_var = ranked.groupBy(*group).agg(*[quantile(p).alias(f"_q{i}") for i, p in enumerate(probs)])
+    ranked = counted.withColumns({"_cum": F.sum("_count").over(upto), "_n": F.sum("_count").over(whole)})
+    per_var = ranked.groupBy(*group).agg(*[F.expr(f"{_quantile(p)} AS _q{i}") for i, p in enumerate(probs)])
     out = per_var.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_var") == c, F.col(f"_q{probs.index(p)}"))).alias(name) for name, (c, p) in wanted.items()
+        F.expr(f"max(CASE WHEN _var = '{c}' THEN _q{probs.index(p)} END) AS `{name}`") for name, (c, p) in wanted.items()
     ])
     return out.withColumnsRenamed({f"_key_{k}": k for k in by})
 

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.nulls import strict_mean
 from .joins import join_null_safe
 
-MIN_SUPPORT = 2
+# Scores need more than two values: observations of a level, or known values or pairs of a group.
+ENOUGH_OBS = "n_obs > 2"
+ENOUGH = {"both": "n_obs > 2 AND n_mod > 2", "pairs": "n > 2"}
 
 METRICS = ("rmse", "rsq", "mae", "n", "slope", "mean_obs", "prmse", "pmae", "bias", "pbias")
 
 
+def _counts(mod: str, obs: str) -> list:
+    return [F.count(obs).alias("n_obs"), F.count(mod).alias("n_mod")]
+
+
 def regression_stats(
     df: DataFrame, by: Sequence[str] = (), mod: str = "mod", obs: str = "obs", guarded: bool = False
 ) -> DataFrame:
@@ -24,21 +30,7 @@ def regression_stats(
     `guarded` blanks the scores where there are two observations or fewer.
     """
     moments = df.groupBy(*by).agg(*S.moment_columns(mod, obs), F.count(obs).alias("n_obs"))
-    stats = moments.select(*by, "n_obs", *S.regression_columns())
-    if guarded:
-        supported = F.col("n_obs") > MIN_SUPPORT
-        stats = stats.withColumns({c: F.when(supported, F.col(c)) for c in ("rsq", "rmse", "slope", "bias")})
-    return stats.drop("n_obs")
-
-
-def supported_groups(df: DataFrame, by: Sequence[str], mod: str = "mod", obs: str = "obs") -> DataFrame:
-    """Groups with more than two known values on both sides."""
-    return (
-        df.groupBy(*by)
-        .agg(F.count(obs).alias("_n_obs"), F.count(mod).alias("_n_mod"))
-        .where((F.col("_n_obs") > MIN_SUPPORT) & (F.col("_n_mod") > MIN_SUPPORT))
-        .select(*by)
-    )
+    return moments.select(*by, *S.regression_columns(ENOUGH_OBS if guarded else None))
 
 
 def stats_by_group(
@@ -49,38 +41,35 @@ def stats_by_group(
     `support="pairs"` asks for more than two complete pairs, `"both"` for more than two known values
     on each side.
     """
-    moments = df.groupBy(*by).agg(
-        *S.moment_columns(mod, obs), F.count(obs).alias("n_obs"), F.count(mod).alias("n_mod")
-    )
-    enough = (
-        F.col("n") > MIN_SUPPORT if support == "pairs"
-        else (F.col("n_obs") > MIN_SUPPORT) & (F.col("n_mod") > MIN_SUPPORT)
-    )
-    return moments.where(enough).select(*by, *S.regression_columns(), S.intercept().alias("intercept"))
+    moments = df.groupBy(*by).agg(*S.moment_columns(mod, obs), *_counts(mod, obs))
+    return stats_of_moments(moments, by, support)
+
+
+def stats_of_moments(moments: DataFrame, by: Sequence[str], support: str = "both") -> DataFrame:
+    """`stats_by_group` from a table of moments and counts of known values."""
+    return moments.where(ENOUGH[support]).select(*by, *S.regression_columns(), F.expr(f"{S.INTERCEPT} AS intercept"))
 
 
 def linear_fit(df: DataFrame, by: Sequence[str] = (), mod: str = "mod", obs: str = "obs") -> DataFrame:
     """Least squares line obs = intercept + slope * mod over complete pairs."""
     moments = df.groupBy(*by).agg(*S.moment_columns(mod, obs))
-    return moments.select(*by, S.slope().alias("slope"), S.intercept().alias("intercept"), F.col("n").alias("n"))
+    return moments.selectExpr(*by, f"{S.SLOPE} AS slope", f"{S.INTERCEPT} AS intercept", "n")
 
 
 def add_fitted(df: DataFrame, fits: DataFrame, by: Sequence[str], mod: str = "mod", obs: str = "obs") -> DataFrame:
     """Value of the group's line at `mod`; null where either side is null."""
-    lines = fits.select(*by, F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))
+    lines = fits.selectExpr(*by, "slope AS _slope", "intercept AS _intercept")
     joined = join_null_safe(df, lines, by, "inner")
-    fitted = F.when(F.col(obs).isNotNull(), F.col("_intercept") + F.col("_slope") * F.col(mod))
+    fitted = F.expr(f"CASE WHEN {S.quoted(obs)} IS NOT NULL THEN _intercept + _slope * {S.quoted(mod)} END")
     return joined.withColumn("fitted", fitted).drop("_slope", "_intercept")
 
 
 def line_ends(fitted: DataFrame, by: Sequence[str], mod: str = "mod") -> DataFrame:
     """First and last point of each group's fitted line: the drawn segment."""
-    point = F.when(F.col(mod).isNotNull() & F.col("fitted").isNotNull(), F.struct(F.col(mod).alias("x"), F.col("fitted").alias("y")))
-    ends = fitted.groupBy(*by).agg(F.min(point).alias("a"), F.max(point).alias("b"))
-    return ends.where(F.col("a").isNotNull()).select(
-        *by, F.col("a.x").alias("xmin"), F.col("b.x").alias("xmax"),
-        F.col("a.y").alias("ymin"), F.col("b.y").alias("ymax"),
-    )
+    m = S.quoted(mod)
+    point = f"CASE WHEN {m} IS NOT NULL AND fitted IS NOT NULL THEN named_struct('x', {m}, 'y', fitted) END"
+    ends = fitted.groupBy(*by).agg(F.expr(f"min({point}) AS a"), F.expr(f"max({point}) AS b"))
+    return ends.where("a IS NOT NULL").selectExpr(*by, "a.x AS xmin", "b.x AS xmax", "a.y AS ymin", "b.y AS ymax")
 
 
 def metric_set(
@@ -91,81 +80,75 @@ def metric_set(
     `relative` divides `rmse` and `bias` by the mean observation. `pbias` leaves out pairs with
     `obs = 0`; `n_zero_obs` counts them.
     """
-    pairs = df.where(F.col(mod).isNotNull() & F.col(obs).isNotNull())
-    error = F.col(mod) - F.col(obs)
-    wide = pairs.groupBy(*by).agg(
+    m, o = S.quoted(mod), S.quoted(obs)
+    wide = df.where(f"{m} IS NOT NULL AND {o} IS NOT NULL").groupBy(*by).agg(
         *S.moment_columns(mod, obs),
-        F.avg(F.abs(error)).alias("mae"),
-        F.avg(F.try_divide(error, F.col(obs))).alias("pbias"),
-        F.count(F.when(F.col(obs) == 0, True)).alias("n_zero_obs"),
+        F.expr(f"avg(abs({m} - {o})) AS mae"),
+        F.expr(f"avg(try_divide({m} - {o}, {o})) AS pbias"),
+        F.expr(f"count_if({o} = 0) AS n_zero_obs"),
     )
-    scale = F.when(F.col("my") != 0, F.col("my"))
-    rmse, bias = F.sqrt(S.mean_square_error()), S.mean_error()
-    return wide.select(
+    per_mean = "/ nullif(my, 0)"
+    unit = per_mean if relative else ""
+    return wide.selectExpr(
         *by,
-        (rmse / scale if relative else rmse).alias("rmse"),
-        S.r_squared().alias("rsq"),
-        F.col("mae"),
-        F.col("n"),
-        S.slope().alias("slope"),
-        F.col("my").alias("mean_obs"),
-        (rmse / scale).alias("prmse"),
-        (F.col("mae") / scale).alias("pmae"),
-        (bias / scale if relative else bias).alias("bias"),
-        F.col("pbias"),
-        F.col("n_zero_obs"),
+        f"({S.RMSE}) {unit} AS rmse",
+        f"{S.R_SQUARED} AS rsq",
+        "mae",
+        "n",
+        f"{S.SLOPE} AS slope",
+        "my AS mean_obs",
+        f"({S.RMSE}) {per_mean} AS prmse",
+        f"mae {per_mean} AS pmae",
+        f"({S.MEAN_ERROR}) {unit} AS bias",
+        "pbias",
+        "n_zero_obs",
     )
 
 
 def metrics_long(wide: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per metric: `metric, estimator, estimate`."""
-    wide = wide.select(*by, *[F.col(m).cast("double").alias(m) for m in METRICS])
-    return wide.unpivot(list(by), list(METRICS), "metric", "estimate").select(
-        *by, "metric", F.lit("standard").alias("estimator"), "estimate"
+    wide = wide.selectExpr(*by, *[f"cast({m} AS double) AS {m}" for m in METRICS])
+    return wide.unpivot(list(by), list(METRICS), "metric", "estimate").selectExpr(
+        *by, "metric", "'standard' AS estimator", "estimate"
     )
 
 
-def _strict_pairs(mod: str, obs: str) -> Column:
-    return (F.count(mod) == F.count(F.lit(1))) & (F.count(obs) == F.count(F.lit(1)))
-
-
 def quick_metrics(
     df: DataFrame, by: Sequence[str], mod: str = "mod", obs: str = "obs", skip_null: bool = False
 ) -> DataFrame:
     """Plain R2, MAE and RMSE per group. Strict: a null anywhere in the group gives null."""
-    error = F.col(mod) - F.col(obs)
     moments = df.groupBy(*by).agg(
-        *S.moment_columns(mod, obs), _strict_pairs(mod, obs).alias("_whole"), F.avg(F.abs(error)).alias("mae")
-    )
-    shown = F.lit(True) if skip_null else F.col("_whole")
-    return moments.select(
-        *by,
-        F.when(shown, S.r_squared()).alias("rsq"),
-        F.when(shown, F.col("mae")).alias("mae"),
-        F.when(shown, F.sqrt(S.mean_square_error())).alias("rmse"),
+        *S.moment_columns(mod, obs), *_counts(mod, obs), F.expr("count(*) AS n_rows"),
+        F.avg(F.abs(F.col(mod) - F.col(obs))).alias("mae"),
     )
+    shown = "true" if skip_null else "n_mod = n_rows AND n_obs = n_rows"
+    return moments.selectExpr(*by, *[
+        f"CASE WHEN {shown} THEN {score} END AS {name}"
+        for name, score in (("rsq", S.R_SQUARED), ("mae", "mae"), ("rmse", S.RMSE))
+    ])
 
 
 def zone_metrics(df: DataFrame, by: Sequence[str], mod: str = "mod_mean", obs: str = "obs_mean") -> DataFrame:
     """Per zone: strict R2, MAE and RMSE, and `nnse_ref = 1 / (1 + sum|obs - mod| / mean(obs))`."""
-    error = F.col(mod) - F.col(obs)
+    size = F.abs(F.col(mod) - F.col(obs))
     sums = df.groupBy(*by).agg(
-        *S.moment_columns(mod, obs), _strict_pairs(mod, obs).alias("_whole"), strict_mean(F.abs(error)).alias("mae"),
-        F.coalesce(F.sum(F.abs(error)), F.lit(0.0)).alias("_abs"), F.avg(obs).alias("_mean"),
+        *S.moment_columns(mod, obs), *_counts(mod, obs), F.expr("count(*) AS n_rows"), strict_mean(size).alias("mae"),
+        F.coalesce(F.sum(size), F.lit(0.0)).alias("total"), F.avg(obs).alias("mean_obs"),
     )
-    return sums.select(
+    shown = "n_mod = n_rows AND n_obs = n_rows"
+    return sums.selectExpr(
         *by,
-        F.when(F.col("_whole"), S.r_squared()).alias("rsq"),
-        F.col("mae"),
-        F.when(F.col("_whole"), F.sqrt(S.mean_square_error())).alias("rmse"),
-        F.try_divide(F.lit(1.0), 1 + F.try_divide(F.col("_abs"), F.col("_mean"))).alias("nnse_ref"),
+        f"CASE WHEN {shown} THEN {S.R_SQUARED} END AS rsq",
+        "mae",
+        f"CASE WHEN {shown} THEN {S.RMSE} END AS rmse",
+        "try_divide(1D, 1 + try_divide(total, mean_obs)) AS nnse_ref",
     )
 
 
 def mean_by_label(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     """Mean of repeated scores per label, with the short text labels shown next to a series."""
     out = df.groupBy(label).agg(*[strict_mean(c).alias(c) for c in columns])
-    digits = {c: F.substring(F.format_string("%.10f", F.col(c)), 1, 4) for c in columns}
-    return out.withColumns({
-        f"{c}_label": F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} = "), digits[c])) for c in columns
-    })
+    return out.selectExpr("*", *[
+        f"CASE WHEN {c} IS NOT NULL THEN concat('{c} = ', substring(format_string('%.10f', {c}), 1, 4)) END AS {c}_label"
+        for c in columns
+    ])

@@ -12,13 +12,13 @@ from ..functions.scores import regression_columns
 from ..functions.text import source_tokens
 from ..operators.gaps import interpolate_cycle
 from ..operators.joins import keep_sites
-from ..operators.score import line_ends, quick_metrics, regression_stats, zone_metrics
+from ..operators.score import ENOUGH_OBS, line_ends, quick_metrics, regression_stats, stats_of_moments, zone_metrics
 from ..session import stage
 from ..sources.nested import stack_tables
 from . import components as C
 from .levels import COMPLETE_YEAR, Matched, match_annual_skipping, match_levels, model_series
 from .observations import Observations
-from .pooling import guarded_stats, pool, site_stats, summarise
+from .pooling import pool, summarise
 
 ANNUAL_ONLY = "camels"
 
@@ -46,18 +46,23 @@ class Evaluation:
 
 
 def _annual_levels(site_cells: DataFrame) -> dict[str, DataFrame]:
-    spatial = site_cells.select(F.col("mod_mean").alias("mod"), F.col("obs_mean").alias("obs"))
-    return {
-        "annual_pooled": guarded_stats(pool(site_cells)),
-        "spatial": _with_level_guard(regression_stats(spatial), site_cells),
-        "anomalies_annual": guarded_stats(pool(site_cells, anomalies=True)),
+        return {
+        "annual_pooled": _guarded(pool(site_cells)),
+        "spatial": _with_level_guard(regression_stats(site_cells, mod="mod_mean", obs="obs_mean"), site_cells),
+        "anomalies_annual": _guarded(pool(site_cells, anomalies=True)),
     }
 
 
+def _guarded(moments: DataFrame) -> DataFrame:
+    """Scores are null with two observations or fewer."""
+    return moments.select(*regression_columns(ENOUGH_OBS))
+
+
 def _with_level_guard(stats: DataFrame, cells: DataFrame) -> DataFrame:
     """Blank the scores of a mean if the level it came from has two observations or fewer."""
-    supported = cells.agg((F.sum("n_obs") > 2).alias("ok")).scalar()
-    return stats.withColumns({c: F.when(supported, F.col(c)) for c in ("rsq", "rmse", "slope", "bias")})
+    enough = cells.agg(F.expr("coalesce(sum(n_obs), 0) > 2 AS enough")).scalar()
+    scores = [f"CASE WHEN enough THEN {c} END AS {c}" for c in ("rsq", "rmse", "slope", "bias")]
+    return stats.withColumn("enough", enough).selectExpr(*scores, "nvals")
 
 
 def _annual_tables(adf: DataFrame, site_cells: DataFrame) -> dict[str, DataFrame]:
@@ -65,20 +70,16 @@ def _annual_tables(adf: DataFrame, site_cells: DataFrame) -> dict[str, DataFrame
     fitted = C.fitted_by_site(adf, support="pairs")
     return {
         "adf": adf,
-        "adf_stats": site_stats(_one_cell(site_cells), ["sitename"], support="pairs"),
+        "adf_stats": stats_of_moments(site_cells, ["sitename"], support="pairs"),
         "adf_fitted": fitted,
         "adf_lines": line_ends(fitted, ["sitename"]),
         "meandf": C.site_means(adf),
         "iavdf": iav,
-        "iavdf_stats": site_stats(pool(site_cells, ["sitename"], anomalies=True), ["sitename"]),
+        "iavdf_stats": stats_of_moments(pool(site_cells, ["sitename"], anomalies=True), ["sitename"]),
         "iavdf_fitted": C.fitted_by_site(iav),
     }
 
 
-def _one_cell(site_cells: DataFrame) -> DataFrame:
-    return site_cells.select("sitename", "n", "mx", "my", "sxx", "syy", "sxy", "sdd", "n_mod", "n_obs")
-
-
 def evaluate_annual(adf: DataFrame, light: bool = True) -> Evaluation:
     """Annual, spatial and annual-anomaly levels only."""
     adf = adf if light else stage(adf, "adf")
@@ -101,16 +102,16 @@ def evaluate_matched(matched: Matched, light: bool = True) -> Evaluation:
     bin_cycle = interpolate_cycle(bin_cells.select("sitename", "xoy", "mod_mean", "obs_mean"), ["sitename"], "xoy", ["obs_mean"])
     annual = _annual_levels(site_cells)
     metrics = stack_tables({
-        "daily_pooled": pooled_stats(day_cells),
-        "xdaily_pooled": pooled_stats(bin_cells),
+        "daily_pooled": pool(day_cells).select(*regression_columns()),
+        "xdaily_pooled": pool(bin_cells).select(*regression_columns()),
         "annual_pooled": annual["annual_pooled"],
         "monthly_pooled": regression_stats(matched.mdf, guarded=True),
         "spatial": annual["spatial"],
         "anomalies_annual": annual["anomalies_annual"],
         "meandoy": _with_level_guard(regression_stats(regular_days, mod="mod_mean", obs="obs_mean"), day_cells),
-        "anomalies_daily": guarded_stats(pool(regular_days, anomalies=True)),
+        "anomalies_daily": _guarded(pool(regular_days, anomalies=True)),
         "meanxoy": _with_level_guard(regression_stats(bin_cycle, mod="mod_mean", obs="obs_mean"), bin_cells),
-        "anomalies_xdaily": guarded_stats(pool(bin_cells, anomalies=True)),
+        "anomalies_xdaily": _guarded(pool(bin_cells, anomalies=True)),
     })
     if light:
         return Evaluation(metrics)
@@ -123,10 +124,10 @@ def evaluate_matched(matched: Matched, light: bool = True) -> Evaluation:
         "meandoydf": C.mean_doy(matched.ddf),
         "meanxoydf": C.mean_xoy(matched.xdf),
         "idvdf": idv,
-        "idvdf_stats": site_stats(pool(regular_days, ["sitename"], anomalies=True), ["sitename"]),
+        "idvdf_stats": stats_of_moments(pool(regular_days, ["sitename"], anomalies=True), ["sitename"]),
         "idvdf_fitted": C.fitted_by_site(idv),
         "ixvdf": ixv,
-        "ixvdf_stats": site_stats(pool(bin_cells, ["sitename"], anomalies=True), ["sitename"]),
+        "ixvdf_stats": stats_of_moments(pool(bin_cells, ["sitename"], anomalies=True), ["sitename"]),
         "ixvdf_fitted": C.fitted_by_site(ixv),
     }
     if {"lat", "koeppen_code"} <= set(matched.ddf.columns):
@@ -135,11 +136,6 @@ def evaluate_matched(matched: Matched, light: bool = True) -> Evaluation:
     return Evaluation(metrics, tables)
 
 
-def pooled_stats(cells: DataFrame) -> DataFrame:
-    """Pooled statistics of a level that is scored however few observations it has."""
-    return pool(cells).select(*regression_columns())
-
-
 def evaluate(mod: DataFrame, settings: Settings, obs: Observations, light: bool = True) -> dict[str, Evaluation]:
     """Evaluate each variable of the settings. `mod` is flat: `sitename, date, <variables>`."""
     if settings.sites is not None:

@@ -11,20 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators.joins import join_null_safe
-from ..operators.score import MIN_SUPPORT
 
+KNOWN = ("avg(mod) AS mod_mean", "avg(obs) AS obs_mean", "count(mod) AS n_mod", "count(obs) AS n_obs")
 
-def summarise(df: DataFrame, by: Sequence[str]) -> DataFrame:
+
+def summarise(df: DataFrame, by: Sequence) -> DataFrame:
     """Moments of the pairs, and mean and count of the known values, per cell."""
-    return df.groupBy(*by).agg(
-        *S.moment_columns(), F.avg("mod").alias("mod_mean"), F.avg("obs").alias("obs_mean"),
-        F.count("mod").alias("n_mod"), F.count("obs").alias("n_obs"),
-    )
+    return df.groupBy(*by).agg(*S.moment_columns(), *[F.expr(e) for e in KNOWN])
 
 
 def pool(cells: DataFrame, by: Sequence[str] = (), anomalies: bool = False) -> DataFrame:
@@ -33,42 +31,16 @@ def pool(cells: DataFrame, by: Sequence[str] = (), anomalies: bool = False) -> D
     Deviations are taken from the group's mean before squaring, so nothing cancels. `by` is a prefix
     of the cell keys; the one-row mean of the pooled form is a scalar subquery.
     """
-    x = F.col("mx") - F.col("mod_mean") if anomalies else F.col("mx")
-    y = F.col("my") - F.col("obs_mean") if anomalies else F.col("my")
-    cells = cells.select(*by, "n", "sxx", "syy", "sxy", "sdd", "n_mod", "n_obs", x.alias("x"), y.alias("y"))
-    n = F.col("n")
-
-    def weighted(c: str) -> Column:
-        return F.try_divide(F.sum(n * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), n)))
-
-    means = cells.groupBy(*by).agg(F.struct(weighted("x").alias("x"), weighted("y").alias("y")).alias("centre"))
-    if by:
-        placed = join_null_safe(cells, means, by)
-    else:
-        placed = cells.withColumn("centre", means.scalar())
-    dx, dy = F.col("x") - F.col("centre.x"), F.col("y") - F.col("centre.y")
-    return placed.groupBy(*by).agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("n"),
-        F.first("centre.x", ignorenulls=True).alias("mx"), F.first("centre.y", ignorenulls=True).alias("my"),
-        F.sum(F.col("sxx") + n * dx * dx).alias("sxx"), F.sum(F.col("syy") + n * dy * dy).alias("syy"),
-        F.sum(F.col("sxy") + n * dx * dy).alias("sxy"), F.sum(F.col("sdd") + n * (dx - dy) * (dx - dy)).alias("sdd"),
-        F.coalesce(F.sum("n_mod"), F.lit(0)).alias("n_mod"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("n_obs"),
-    )
-
-
-def guarded_stats(moments: DataFrame) -> DataFrame:
-    """The pooled statistics row; scores are null with two observations or fewer."""
-    supported = F.col("n_obs") > MIN_SUPPORT
-    stats = moments.select("n_obs", *S.regression_columns())
-    return stats.select(
-        *[F.when(supported, F.col(c)).alias(c) for c in ("rsq", "rmse", "slope", "bias")], "nvals"
-    )
-
-
-def site_stats(moments: DataFrame, by: Sequence[str], support: str = "both") -> DataFrame:
-    """Statistics of every group with enough support, as `stats_by_group` gives from raw rows."""
-    enough = (
-        F.col("n") > MIN_SUPPORT if support == "pairs"
-        else (F.col("n_obs") > MIN_SUPPORT) & (F.col("n_mod") > MIN_SUPPORT)
-    )
-    return moments.where(enough).select(*by, *S.regression_columns(), S.intercept().alias("intercept"))
+    x, y = ("mx - mod_mean", "my - obs_mean") if anomalies else ("mx", "my")
+    cells = cells.selectExpr(*by, "n", "sxx", "syy", "sxy", "sdd", "n_mod", "n_obs", f"{x} AS x", f"{y} AS y")
+    mean = "try_divide(sum(n * {c}), sum(CASE WHEN {c} IS NOT NULL THEN n END))"
+    centre = F.expr(f"struct({mean.format(c='x')} AS x, {mean.format(c='y')} AS y) AS centre")
+    means = cells.groupBy(*by).agg(centre)
+    placed = join_null_safe(cells, means, by) if by else cells.withColumn("centre", means.scalar())
+    deviations = placed.selectExpr("*", "x - centre.x AS dx", "y - centre.y AS dy")
+    return deviations.groupBy(*by).agg(*[F.expr(e) for e in (
+        "coalesce(sum(n), 0) AS n", "any_value(centre.x) AS mx", "any_value(centre.y) AS my",
+        "sum(sxx + n * dx * dx) AS sxx", "sum(syy + n * dy * dy) AS syy", "sum(sxy + n * dx * dy) AS sxy",
+        "sum(sdd + n * (dx - dy) * (dx - dy)) AS sdd",
+        "coalesce(sum(n_mod), 0) AS n_mod", "coalesce(sum(n_obs), 0) AS n_obs",
+    )])
