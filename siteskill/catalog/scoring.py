@@ -116,12 +116,11 @@ def _zone_labels(spark, sf):
     return score.mean_by_label(repeated, "climatezone", ["mae", "nnse_ref"])
 
 
-def _kendall(spark, sf):
-    return correlation(site_daily(spark, sf), "mod", "obs", "kendall", ["sitename"], digits=None)
-
-
-def _spearman(spark, sf):
-    return correlation(site_daily(spark, sf), "mod", "obs", "spearman", ["sitename"], digits=None)
+def _by_event_type(method):
+    """Rank correlations use stored values: a computed mean may differ in its last bit and break a tie."""
+    def build(spark, sf):
+        return correlation(_event_values(spark, sf), "value", "k", method, ["event_type"], digits=None)
+    return build
 
 
 def _pearson(spark, sf):
@@ -159,13 +158,13 @@ def zone_metrics_sql() -> str:
     """
 
 
-KENDALL_SQL = """
-WITH p AS (SELECT sitename, mod AS x, obs AS y FROM site_daily WHERE mod IS NOT NULL AND obs IS NOT NULL),
-     s AS (SELECT a.sitename, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s, sum(abs(sign(b.x - a.x))) AS nx,
+KENDALL_SQL = f"""
+WITH p AS (SELECT event_type, value AS x, k AS y FROM {EVENTS_SQL} WHERE value IS NOT NULL AND k IS NOT NULL),
+     s AS (SELECT a.event_type, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s, sum(abs(sign(b.x - a.x))) AS nx,
                   sum(abs(sign(b.y - a.y))) AS ny
-           FROM p a JOIN p b ON a.sitename = b.sitename GROUP BY 1),
-     c AS (SELECT sitename, count(*) AS n FROM p GROUP BY 1)
-SELECT sitename, s / NULLIF(sqrt(nx) * sqrt(ny), 0) AS cor, n FROM s JOIN c USING (sitename)
+           FROM p a JOIN p b ON a.event_type = b.event_type GROUP BY 1),
+     c AS (SELECT event_type, count(*) AS n FROM p GROUP BY 1)
+SELECT event_type, s / NULLIF(sqrt(nx) * sqrt(ny), 0) AS cor, n FROM s JOIN c USING (event_type)
 """
 
 CASES = {
@@ -230,8 +229,9 @@ CASES = {
         "sitename:s cor:f n:i", _pearson,
         f"SELECT sitename, round(sxy / NULLIF(sqrt(sxx) * sqrt(syy), 0), 2) AS cor, n FROM (SELECT sitename, {moments()} FROM site_daily GROUP BY 1)",
     ),
-    "e17_correlation_spearman": Case("sitename:s cor:f9 n:i", _spearman, spearman_sql("site_daily", "mod", "obs", "sitename")),
-    "e17_correlation_kendall": Case("sitename:s cor:f9 n:i", _kendall, KENDALL_SQL),
+    "e17_correlation_spearman": Case(
+        "event_type:s cor:f9 n:i", _by_event_type("spearman"), spearman_sql(EVENTS_SQL, "value", "k", "event_type")),
+    "e17_correlation_kendall": Case("event_type:s cor:f9 n:i", _by_event_type("kendall"), KENDALL_SQL),
     "e18_correlation_matrix": Case("a:s b:s cor:f9 n:i", _pair_rows, PEARSON_SQL),
     "l13_rank_correlation_matrix": Case("a:s b:s cor:f9 n:i", _rank_rows, SPEARMAN_MATRIX_SQL),
     "e19_zone_labels": Case(
