@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
 
-def local_session(cores: int | str = "*", app: str = "siteskill", memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = "*", app: str = "siteskill", memory: str = "8g", settings: Mapping[str, str] | None = None
+) -> SparkSession:
     """A session for tests and the bench. On a cluster, pass your own session to every function."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -21,8 +24,10 @@ def local_session(cores: int | str = "*", app: str = "siteskill", memory: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:

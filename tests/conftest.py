@@ -4,8 +4,9 @@ from siteskill.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "siteskill-tests", "6g")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(8, "siteskill-tests", "6g", {"spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
