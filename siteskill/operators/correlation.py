@@ -150,13 +150,11 @@ def _between_blocks(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     dense = join_null_safe(grid, cells, [*by, *axes], "left").fillna(0.0, ["_n"])
     left = Window.partitionBy(*by, "_y_block").orderBy("_x_block").rowsBetween(Window.unboundedPreceding, -1)
     swept = dense.withColumn("_left", F.coalesce(F.sum("_n").over(left), F.lit(0.0)))
-    column = Window.partitionBy(*by, "_x_block").orderBy("_y_block")
-    below, above = column.rowsBetween(Window.unboundedPreceding, -1), column.rowsBetween(1, Window.unboundedFollowing)
-    scored = swept.select(
-        *by, "_n",
-        F.coalesce(F.sum("_left").over(below), F.lit(0.0)).alias("_conc"),
-        F.coalesce(F.sum("_left").over(above), F.lit(0.0)).alias("_disc"),
-    )
+    column = Window.partitionBy(*by, "_x_block")
+    upto = column.orderBy("_y_block").rowsBetween(Window.unboundedPreceding, 0)
+    below = F.sum("_left").over(upto) - F.col("_left")
+    above = F.sum("_left").over(column) - F.sum("_left").over(upto)
+    scored = swept.select(*by, "_n", below.alias("_conc"), above.alias("_disc"))
     return scored.groupBy(*by).agg(F.sum(F.col("_n") * (F.col("_conc") - F.col("_disc"))).alias("s"))
 
 

@@ -52,14 +52,14 @@ def interpolate_cycle(
     """
     whole = Window.partitionBy(*keys)
     ordered = whole.orderBy(order)
-    behind = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = ordered.rowsBetween(0, Window.unboundedFollowing)
+    forward = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    backward = whole.orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     position = F.row_number().over(ordered) if by == "row" else F.col(order).cast("double")
     placed = df.withColumn(POSITION, position)
     placed = placed.withColumns({
         k: c for col in columns for k, c in (
-            (f"{col}_before", F.last(_known_at(col), ignorenulls=True).over(behind)),
-            (f"{col}_after", F.first(_known_at(col), ignorenulls=True).over(ahead)),
+            (f"{col}_before", F.last(_known_at(col), ignorenulls=True).over(forward)),
+            (f"{col}_after", F.last(_known_at(col), ignorenulls=True).over(backward)),
             (f"{col}_known", F.count(col).over(whole)),
         )
     })

@@ -25,12 +25,12 @@ def number_chunk(order: str, size: int = 100_000) -> Column:
     return F.floor(F.col(order) / F.lit(size))
 
 
-def _inside(keys: Sequence[str], order: str):
+def _inside(keys: Sequence[str], order: str | Column):
     return Window.partitionBy(*keys, CHUNK).orderBy(order)
 
 
-def _across(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(CHUNK)
+def _across(keys: Sequence[str], order: str | Column = CHUNK):
+    return Window.partitionBy(*keys).orderBy(order)
 
 
 def running_totals(
@@ -68,10 +68,12 @@ def nearest_known(
     """
     cut = df.withColumns({CHUNK: year_chunk(order) if chunk is None else chunk,
                           **{f"_at_{name}": v for name, v in values.items()}})
-    edge = 0 if include_self else 1
-    inside, across = _inside(keys, order), _across(keys)
-    behind, ahead = (w.rowsBetween(Window.unboundedPreceding, -e) for w, e in ((inside, edge), (across, 1)))
-    front, beyond = (w.rowsBetween(e, Window.unboundedFollowing) for w, e in ((inside, edge), (across, 1)))
+    edge = 0 if include_self else -1
+    start = Window.unboundedPreceding
+    forward = _inside(keys, order).rowsBetween(start, edge)
+    backward = _inside(keys, F.col(order).desc()).rowsBetween(start, edge)
+    earlier = _across(keys).rowsBetween(start, -1)
+    later = _across(keys, F.col(CHUNK).desc()).rowsBetween(start, -1)
     whole = Window.partitionBy(*keys)
 
     per_chunk = cut.groupBy(*keys, CHUNK).agg(*[
@@ -83,15 +85,15 @@ def nearest_known(
     ])
     carried = per_chunk.select(*keys, CHUNK, *[
         c for name in values for c in (
-            F.last(f"_last_{name}", ignorenulls=True).over(ahead).alias(f"_earlier_{name}"),
-            F.first(f"_first_{name}", ignorenulls=True).over(beyond).alias(f"_later_{name}"),
+            F.last(f"_last_{name}", ignorenulls=True).over(earlier).alias(f"_earlier_{name}"),
+            F.last(f"_first_{name}", ignorenulls=True).over(later).alias(f"_later_{name}"),
             F.sum(f"_known_{name}").over(whole).alias(f"{name}_known"),
         )
     ])
     local = cut.withColumns({
         k: c for name in values for k, c in (
-            (f"_prev_{name}", F.last(f"_at_{name}", ignorenulls=True).over(behind)),
-            (f"_next_{name}", F.first(f"_at_{name}", ignorenulls=True).over(front)),
+            (f"_prev_{name}", F.last(f"_at_{name}", ignorenulls=True).over(forward)),
+            (f"_next_{name}", F.last(f"_at_{name}", ignorenulls=True).over(backward)),
         )
     })
     return local.join(carried, [*keys, CHUNK]).select(*df.columns, *[
