@@ -20,10 +20,12 @@ def breaks_table(df: DataFrame, width: int, date: str = "date") -> DataFrame:
 
 
 def week_breaks(df: DataFrame, date: str = "date") -> DataFrame:
-    """Week starts that occur in the data, without the first one."""
-    weeks = df.select(week_start(date).alias("brk")).where(F.col("brk").isNotNull()).distinct()
-    first = df.agg(F.min(week_start(date)).alias("brk"))
-    return weeks.join(first, "brk", "left_anti")
+    """Week starts that occur in the data, without the first one.
+
+    One scan: the set of weeks is as small as the calendar, on the map side already.
+    """
+    weeks = df.agg(F.array_sort(F.collect_set(week_start(date))).alias("weeks"))
+    return weeks.select(F.explode(F.slice("weeks", 2, F.size("weeks"))).alias("brk"))
 
 
 def regular_bin(date: Column, first: Column, width: int, last: Column, include_last: bool = False) -> Column:

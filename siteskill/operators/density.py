@@ -24,6 +24,7 @@ EDGE_TOLERANCE = 1e-7
 # Fixed value: distance of the first hexagon row and column from the lower bound.
 HEX_PAD = 1e-6
 MAX_GRID = 1_000
+GRIDS_PER_CORE = 4
 
 
 def pretty_breaks(low: float, high: float, n: int) -> tuple[float, float, int]:
@@ -168,7 +169,9 @@ def _grid(points: DataFrame, s: dict, n: int, only: str) -> DataFrame:
             total += kx @ ky.T
         yield pd.DataFrame({"ix": np.arange(1, n + 1), "zs": list(total)})
 
-    sums = points.select("_x", "_y").mapInPandas(partial, "ix int, zs array<double>")
+    # A few tasks per core, however many input splits there are, so that the number of grids to add up is bounded.
+    tasks = GRIDS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism
+    sums = points.select("_x", "_y").coalesce(tasks).mapInPandas(partial, "ix int, zs array<double>")
     cells = sums.select("ix", F.posexplode("zs").alias("iy", "z")).groupBy("ix", (F.col("iy") + 1).alias("iy"))
     scale = s["n"] * hx * hy
     z = cells.agg((F.sum("z") / F.lit(scale)).alias("z"))

@@ -14,9 +14,10 @@ POSITION = "_position"
 
 def _lerp(df: DataFrame, columns: Sequence[str], suffix: str) -> DataFrame:
     def filled(c: str) -> Column:
-        a, b, x = F.col(f"{c}_before"), F.col(f"{c}_after"), F.col(c)
-        inner = a["v"] + (b["v"] - a["v"]) * (F.col(POSITION) - a["p"]) / (b["p"] - a["p"])
-        return F.when(F.col(f"{c}_known") >= 2, F.coalesce(x, F.when(a.isNotNull() & b.isNotNull(), inner)))
+        a, b = f"{c}_before", f"{c}_after"
+        inner = f"{a}.v + ({b}.v - {a}.v) * ({POSITION} - {a}.p) / ({b}.p - {a}.p)"
+        return F.expr(f"CASE WHEN {c}_known < 2 THEN NULL WHEN {c} IS NOT NULL THEN {c} "
+                      f"WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {inner} END")
 
     out = df.withColumns({f"_filled_{c}": filled(c) for c in columns})
     out = out.drop(*[f"{c}_{part}" for c in columns for part in ("before", "after", "known")])
@@ -39,7 +40,7 @@ def interpolate(
         running_totals(df, keys, order, {POSITION: F.lit(1)}, chunk) if by == "row"
         else df.withColumn(POSITION, F.col(order).cast("double"))
     )
-    known = {c: _known_at(c) for c in columns}
+    known = {c: (F.when(F.col(c).isNotNull(), F.col(POSITION)), F.col(c)) for c in columns}
     return _lerp(nearest_known(placed, keys, order, known, chunk), columns, suffix)
 
 

@@ -15,11 +15,12 @@ RUNS_PER_CHUNK_SPAN = 100_000
 
 
 def index_series(
-    df: DataFrame, flag: str, keys: Sequence[str] = ("site",), order: str = "date", chunk: Column | None = None
+    df: DataFrame, flag: str, keys: Sequence[str] = ("site",), order: str = "date", chunk: Column | None = None,
+    staged: str | None = None,
 ) -> DataFrame:
     """Add the row number `rn` and the number `tn` of rows so far that meet the condition."""
     held = F.coalesce(F.col(flag), F.lit(False))
-    return running_totals(df, keys, order, {"rn": F.lit(1), "tn": held.cast("int")}, chunk)
+    return running_totals(df, keys, order, {"rn": F.lit(1), "tn": held.cast("int")}, chunk, staged)
 
 
 def runs_of_indexed(
@@ -60,8 +61,8 @@ def running_length(
 ) -> DataFrame:
     """Add `run_len`: how many rows in a row, up to this one, meet the condition."""
     indexed = index_series(df, flag, keys, order, chunk)
-    broken = F.when(~F.coalesce(F.col(flag), F.lit(False)), F.struct(F.col("rn").alias("p")))
-    seen = nearest_known(indexed, keys, order, {"broken": broken}, chunk)
+    broken = F.when(~F.coalesce(F.col(flag), F.lit(False)), F.col("rn"))
+    seen = nearest_known(indexed, keys, order, {"broken": (broken, broken)}, chunk)
     return seen.select(*df.columns, (F.col("rn") - F.coalesce(F.col("broken_before.p"), F.lit(0))).alias("run_len"))
 
 
@@ -78,10 +79,9 @@ def merge_runs(runs: DataFrame, keys: Sequence[str] = ("site",)) -> DataFrame:
     extra = ["deficit"] if with_deficit else []
     current = runs.select(*keys, "start_rn", "len", "start", *extra)
     while True:
-        run = F.struct(F.col("start_rn").alias("start_rn"), F.col("len").alias("len"))
+        run = (F.col("start_rn"), F.col("len"))
         seen = nearest_known(current, keys, "start_rn", {"run": run}, order_chunk, include_self=False)
-        gap = F.col("start_rn") - F.col("run_before.start_rn") - F.col("run_before.len")
-        joins = F.coalesce((gap < F.col("len")) & (gap < F.col("run_before.len")), F.lit(False))
+        joins = F.expr("coalesce(start_rn - run_before.p - run_before.v < least(len, run_before.v), false)")
         marked = stage(seen.select(*current.columns, joins.alias("joins")), "runs")
         if marked.where("joins").isEmpty():
             return number_runs(marked.drop("joins"), keys)

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 CHUNK = "_chunk"
 
 
@@ -34,40 +36,48 @@ def _across(keys: Sequence[str], order: str | Column = CHUNK):
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, measures: Mapping[str, Column], chunk: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: str, measures: Mapping[str, Column], chunk: Column | None = None,
+    staged: str | None = None,
 ) -> DataFrame:
     """Add, per measure, its total over the rows of the group up to and including this one.
 
-    With the measure 1 this is the row number. (keys, order) must identify a row.
+    With the measure 1 this is the row number. (keys, order) must identify a row. Chunk totals and
+    rows both read `df`. Where `df` is costly, name a table in `staged`: rows are then written once,
+    with the totals inside their chunk, and both read that table.
     """
-    cut = df.withColumn(CHUNK, year_chunk(order) if chunk is None else chunk)
     upto = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys, CHUNK)
-        .agg(*[F.sum(m).alias(f"_total_{name}") for name, m in measures.items()])
-        .select(
-            *keys, CHUNK,
-            *[F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_offset_{name}") for name in measures],
-        )
+    cut = df.withColumns({
+        CHUNK: year_chunk(order) if chunk is None else chunk, **{f"_measure_{name}": m for name, m in measures.items()}
+    })
+    local = cut.withColumns({f"_local_{name}": F.sum(f"_measure_{name}").over(upto) for name in measures})
+    if staged:
+        local = cut = stage(local, staged)
+    totals = cut.groupBy(*keys, CHUNK).agg(*[F.sum(f"_measure_{name}").alias(f"_total_{name}") for name in measures])
+    offsets = totals.select(*keys, CHUNK, *[
+        F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_offset_{name}") for name in measures
+    ])
+    return local.join(offsets, [*keys, CHUNK]).select(
+        *df.columns, *[F.expr(f"_local_{name} + _offset_{name} AS {name}") for name in measures]
     )
-    local = cut.withColumns({f"_local_{name}": F.sum(m).over(upto) for name, m in measures.items()})
-    joined = local.join(offsets, [*keys, CHUNK])
-    totals = [(F.col(f"_local_{name}") + F.col(f"_offset_{name}")).alias(name) for name in measures]
-    return joined.select(*df.columns, *totals)
 
 
 def nearest_known(
-    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column],
+    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, tuple[Column, Column]],
     chunk: Column | None = None, include_self: bool = True,
 ) -> DataFrame:
-    """Add the last known and the next known struct of each value, plus how many the group has.
+    """Add the last known and the next known (position, value) of each name, and how many there are.
+
+    A position rises with `order` and is null where nothing is known. For a name `v` the new columns
+    are the structs `v_before` and `v_after` with fields `p` and `v`, and the number `v_known`.
 
-    A value is a struct whose first field rises with `order`, or null where nothing is known. For a
-    value `v` the new columns are `v_before`, `v_after` and `v_known`.
+    The next value is the last one seen on the way back: a frame that runs forward to the end would
+    be summed up anew for every row.
     """
-    cut = df.withColumns({CHUNK: year_chunk(order) if chunk is None else chunk,
-                          **{f"_at_{name}": v for name, v in values.items()}})
+    cut = df.withColumns({
+        CHUNK: year_chunk(order) if chunk is None else chunk,
+        **{k: c for name, (p, v) in values.items() for k, c in ((f"_p_{name}", p), (f"_v_{name}", v))},
+    })
     edge = 0 if include_self else -1
     start = Window.unboundedPreceding
     forward = _inside(keys, order).rowsBetween(start, edge)
@@ -76,30 +86,35 @@ def nearest_known(
     later = _across(keys, F.col(CHUNK).desc()).rowsBetween(start, -1)
     whole = Window.partitionBy(*keys)
 
+    # Plain columns in this aggregate, not structs: it then hashes instead of sorting its input.
     per_chunk = cut.groupBy(*keys, CHUNK).agg(*[
-        c for name in values for c in (
-            F.max(f"_at_{name}").alias(f"_last_{name}"),
-            F.min(f"_at_{name}").alias(f"_first_{name}"),
-            F.count(f"_at_{name}").alias(f"_known_{name}"),
+        F.expr(e) for name in values for e in (
+            f"max(_p_{name}) AS _lastp_{name}", f"max_by(_v_{name}, _p_{name}) AS _lastv_{name}",
+            f"min(_p_{name}) AS _firstp_{name}", f"min_by(_v_{name}, _p_{name}) AS _firstv_{name}",
+            f"count(_p_{name}) AS _count_{name}",
         )
     ])
+
+    def known(position: str, value: str) -> Column:
+        return F.expr(f"CASE WHEN {position} IS NOT NULL THEN struct({position} AS p, {value} AS v) END")
+
     carried = per_chunk.select(*keys, CHUNK, *[
         c for name in values for c in (
-            F.last(f"_last_{name}", ignorenulls=True).over(earlier).alias(f"_earlier_{name}"),
-            F.last(f"_first_{name}", ignorenulls=True).over(later).alias(f"_later_{name}"),
-            F.sum(f"_known_{name}").over(whole).alias(f"{name}_known"),
+            F.last(known(f"_lastp_{name}", f"_lastv_{name}"), ignorenulls=True).over(earlier).alias(f"_earlier_{name}"),
+            F.last(known(f"_firstp_{name}", f"_firstv_{name}"), ignorenulls=True).over(later).alias(f"_later_{name}"),
+            F.sum(f"_count_{name}").over(whole).alias(f"{name}_known"),
         )
     ])
     local = cut.withColumns({
         k: c for name in values for k, c in (
-            (f"_prev_{name}", F.last(f"_at_{name}", ignorenulls=True).over(forward)),
-            (f"_next_{name}", F.last(f"_at_{name}", ignorenulls=True).over(backward)),
+            (f"_prev_{name}", F.last(known(f"_p_{name}", f"_v_{name}"), ignorenulls=True).over(forward)),
+            (f"_next_{name}", F.last(known(f"_p_{name}", f"_v_{name}"), ignorenulls=True).over(backward)),
         )
     })
-    return local.join(carried, [*keys, CHUNK]).select(*df.columns, *[
-        c for name in values for c in (
-            F.coalesce(f"_prev_{name}", f"_earlier_{name}").alias(f"{name}_before"),
-            F.coalesce(f"_next_{name}", f"_later_{name}").alias(f"{name}_after"),
-            F.col(f"{name}_known"),
+    return local.join(carried, [*keys, CHUNK]).selectExpr(*df.columns, *[
+        e for name in values for e in (
+            f"coalesce(_prev_{name}, _earlier_{name}) AS {name}_before",
+            f"coalesce(_next_{name}, _later_{name}) AS {name}_after",
+            f"{name}_known",
         )
     ])

@@ -67,9 +67,10 @@ def add_fitted(df: DataFrame, fits: DataFrame, by: Sequence[str], mod: str = "mo
 def line_ends(fitted: DataFrame, by: Sequence[str], mod: str = "mod") -> DataFrame:
     """First and last point of each group's fitted line: the drawn segment."""
     m = S.quoted(mod)
-    point = f"CASE WHEN {m} IS NOT NULL AND fitted IS NOT NULL THEN named_struct('x', {m}, 'y', fitted) END"
-    ends = fitted.groupBy(*by).agg(F.expr(f"min({point}) AS a"), F.expr(f"max({point}) AS b"))
-    return ends.where("a IS NOT NULL").selectExpr(*by, "a.x AS xmin", "b.x AS xmax", "a.y AS ymin", "b.y AS ymax")
+    shown = fitted.where(f"{m} IS NOT NULL AND fitted IS NOT NULL")
+    return shown.groupBy(*by).agg(*[F.expr(e) for e in (
+        f"min({m}) AS xmin", f"max({m}) AS xmax", f"min_by(fitted, {m}) AS ymin", f"max_by(fitted, {m}) AS ymax"
+    )])
 
 
 def metric_set(

@@ -63,7 +63,7 @@ def align_events(
     pairs, so the rows come from an equi-join on a unique key.
     """
     flagged = df.join(flags.select("site", "date", flag), ["site", "date"], "left")
-    indexed = stage(index_series(flagged.select("site", "date", flag, *variables), flag), "indexed")
+    indexed = index_series(flagged.select("site", "date", flag, *variables), flag, staged="indexed")
     runs = number_runs(runs_of_indexed(indexed, flag, min_len), name="inst")
     lengths = indexed.groupBy("site").agg(F.max("rn").alias("series_len"))
     windows = event_windows(runs, lengths, before, after)
