@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import density
+from ..plans.comparison import heat_pairs, model_against_obs
 from ..plans.components import daily_anomalies
 from .case import Case
 from .levels import _minus, daily
@@ -83,6 +84,18 @@ def _event_points(spark, sf):
     return e.select("value", F.get_json_object("props", "$.k").cast("double").alias("k"))
 
 
+def _nlevel(spark, sf):
+    """Density view of model against observations; the grid is the default 100 x 100."""
+    return model_against_obs(daily(spark, sf), "mod", "obs", kind="density").layer
+
+
+POSITIVE = "(SELECT mod, obs FROM site_daily WHERE mod >= 0 AND obs >= 0)"
+
+
+def _pair_classes(spark, sf):
+    return heat_pairs(_event_points(spark, sf), ["value", "k"], n=20)[1].groupBy("pair", "density_class").agg(F.count("*").alias("n"))
+
+
 CASES = {
     "e14_histogram_of_anomalies": Case(
         "series:s bin:i lower:f upper:f n:i density:f9 n_outside:i", lambda s, d: density.histogram(_anomalies(s, d), ["obs", "mod"], 50),
@@ -103,6 +116,17 @@ CASES = {
             flat AS (SELECT ix, sum(k) AS z FROM kx GROUP BY 1)
             SELECT ix, i AS iy, x0 + (ix - 1) * (x1 - x0) / 9 AS gx, y0 + (i - 1) * (y1 - y0) / 9 AS gy, z / (n * hx * hy) AS z FROM flat, g, s""",
     ),
+    "e16_density_levels": Case(
+        "ix:i iy:i gx:f gy:f z:f9 nlevel:f", _nlevel,
+        f"WITH {kde_ctes(POSITIVE, 'mod', 'obs', 100)} SELECT *, z / (SELECT max(z) FROM grid) AS nlevel FROM grid",
+    ),
+    "l12_classes_of_pairs": Case(
+        "pair:s density_class:i n:i", _pair_classes,
+        f"""WITH {kde_ctes("(SELECT value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events)", 'value', 'k', 20)},
+            zr AS (SELECT min(z) AS z0, max(z) AS z1 FROM grid),
+            pl AS (SELECT {_cell('x', 'x0', 'x1', 20)} AS ix, {_cell('y', 'y0', 'y1', 20)} AS iy FROM pts, s)
+            SELECT 'value|k' AS pair, {_cell('z', 'z0', 'z1', 30)} AS density_class, count(*) AS n FROM pl JOIN grid USING (ix, iy), zr GROUP BY 2""",
+    ),
     "l12_density_classes": Case(
         "sitename:s date:d mod:f obs:f ix:i iy:i z:f9 density_class:i", _classes,
         f"""WITH {kde_ctes('site_daily', 'mod', 'obs', GRID)},

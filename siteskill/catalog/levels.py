@@ -251,6 +251,12 @@ CASES = {
         f"""WITH z AS ({zone_cycle_sql()}) SELECT climatezone, doy, nsites FROM z WHERE climatezone IN
             (SELECT climatezone FROM z GROUP BY 1 HAVING arg_min(nsites, doy) > 2)""",
     ),
+    "g2_first_zones": Case(
+        "climatezone:s doy:i nsites:i",
+        lambda s, d: C.zone_page(C.mean_doy_by_zone(attach_metadata(site_daily(s, d), site_info(s, d), ["lat", "koeppen_code"])), 4, 2),
+        f"""WITH z AS ({zone_cycle_sql()}) SELECT climatezone, doy, nsites FROM z WHERE climatezone IN
+            (SELECT DISTINCT climatezone FROM z ORDER BY 1 LIMIT 4 OFFSET 4)""",
+    ),
     "l9_mean_bin_of_year": Case(
         f"sitename:s xoy:i {CYCLE_COLUMNS}", lambda s, d: C.mean_xoy(_xdf(s, d)),
         lerp(f"""(SELECT sitename, dayofyear(date) AS xoy, {CYCLE} FROM (SELECT sitename, {BIN8} AS date, avg(obs) AS obs, avg(mod) AS mod

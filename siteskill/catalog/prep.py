@@ -224,6 +224,9 @@ CASES = {
         "sitename:s rain_total:f et_total:f", lambda s, d: prep.water_balance_sites(forcing(s, d)),
         f"""SELECT * FROM (SELECT sitename, coalesce(sum(rain * 86400), 0) AS rain_total, coalesce(sum({et_sql()}), 0) AS et_total
             FROM forcing GROUP BY 1) WHERE NOT et_total > rain_total"""),
+    "c16_rows_with_any_value": Case(
+        "sitename:s date:d obs:f mod:f", lambda s, d: prep.drop_all_null(site_daily(s, d), ["obs", "mod"]),
+        "SELECT sitename, date, obs, mod FROM site_daily WHERE obs IS NOT NULL OR mod IS NOT NULL"),
     "c17_tag_filter": Case(
         "p_brand:s p_type:s n:i",
         lambda s, d: prep.tagged(table(s, d, "part"), "p_brand", "4", "#2").groupBy("p_brand", "p_type").agg(F.count("*").alias("n")),

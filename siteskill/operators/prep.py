@@ -27,6 +27,11 @@ def c3_sites(sites: DataFrame, flag: str = "c4") -> DataFrame:
     return sites.where(not_true(flag))
 
 
+def drop_all_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Without the rows in which every named column is null."""
+    return df.dropna(how="all", subset=list(columns))
+
+
 def undropped(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     """Rows whose drop flags are all known and false. A flag is a boolean or the text `FALSE`."""
     for flag in flags:

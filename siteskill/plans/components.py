@@ -62,6 +62,16 @@ def large_zones(zones: DataFrame, more_than: int = 4) -> DataFrame:
     return zones.join(start.where(F.col("_n") > more_than).select("climatezone"), "climatezone", "left_semi")
 
 
+def zone_page(zones: DataFrame, size: int = 10, page: int = 1) -> DataFrame:
+    """Rows of one page of zones, in order of their names.
+
+    The list of names is as short as the climate classification.
+    """
+    names = zones.select("climatezone").where(~F.col("climatezone").startswith("-")).distinct()
+    chosen = names.orderBy("climatezone").offset(size * (page - 1)).limit(size)
+    return zones.join(chosen, "climatezone", "left_semi")
+
+
 def _minus(df: DataFrame, means: DataFrame, by: Sequence[str], mod: str, obs: str) -> DataFrame:
     """Subtract the group means: a small keyed table, joined back, rather than a window over all rows."""
     side = means.select(*by, F.col(mod).alias("_mod_mean"), F.col(obs).alias("_obs_mean"))

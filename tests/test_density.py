@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from siteskill.operators.density import axis_limit, density_classes, hex_bins, kernel_density
+from siteskill.plans.comparison import heat_pairs, model_against_obs
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +83,25 @@ def test_hexagons(spark, points):
 def test_axis_limit_rounds_half_to_even(spark):
     df = spark.createDataFrame([(2.5, 1.0), (2.5, 1.0)], "mod double, obs double")
     assert axis_limit(df).first()["limit"] == 2.0
+
+
+def test_model_against_obs(spark, points):
+    df = spark.createDataFrame(points)
+    for kind in ("points", "hex", "heat", "density"):
+        out = model_against_obs(df, "x", "y", kind, relative=True)
+        assert out.layer.count() > 0
+    wide = {r["metric"]: r["estimate"] for r in out.metrics.collect()}
+    short, line = out.results.first(), out.line.first()
+    assert short["rmse"] == pytest.approx(wide["rmse"] / points.y.mean()) and short["n"] == len(points)
+    assert line["slope"] == pytest.approx(np.polyfit(points.x, points.y, 1)[0])
+    assert out.layer.agg({"nlevel": "max"}).first()[0] == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        model_against_obs(df, "x", "y", "bars")
+
+
+def test_heat_pairs(spark, points):
+    pdf = points.assign(w=points.x - points.y)
+    matrix, layer = heat_pairs(spark.createDataFrame(pdf), ["x", "y", "w"], n=8)
+    assert matrix.count() == 3 and layer.count() == 3 * len(points)
+    _, logs = heat_pairs(spark.createDataFrame(pdf), ["x", "w"], n=8, log="xy")
+    assert logs.count() == ((pdf.x > 0) & (pdf.w > 0)).sum()
