@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import bins
 from ..operators.gaps import interpolate
-from ..operators.joins import attach_metadata
 from ..plans import components as C
 from ..plans.evaluation import Settings, evaluate, metrics_table
 from ..plans.levels import match_annual, match_levels, match_monthly, model_series
@@ -16,7 +15,7 @@ from ..plans.pooling import pool, summarise
 from ..session import stage
 from ..sources.nested import pivot_sources, stack_tables
 from .case import Case
-from .scoring import STAT_COLUMNS, zone_cycle_sql
+from .scoring import STAT_COLUMNS, _zones, zone_cycle_sql
 from .sqlparts import lerp, stats, strict
 from .views import forcing, site_daily, site_info
 
@@ -243,17 +242,17 @@ CASES = {
     ),
     "l8_mean_day_of_year_by_zone": Case(
         f"koeppen_code:s hemisphere:s doy:i {CYCLE_COLUMNS} nsites:i climatezone:s",
-        lambda s, d: C.mean_doy_by_zone(attach_metadata(site_daily(s, d), site_info(s, d), ["lat", "koeppen_code"])), zone_cycle_sql(),
+        lambda s, d: _zones(s, d), zone_cycle_sql(),
     ),
     "c15_large_zones": Case(
         "climatezone:s doy:i nsites:i",
-        lambda s, d: C.large_zones(C.mean_doy_by_zone(attach_metadata(site_daily(s, d), site_info(s, d), ["lat", "koeppen_code"])), 2),
+        lambda s, d: C.large_zones(_zones(s, d), 2),
         f"""WITH z AS ({zone_cycle_sql()}) SELECT climatezone, doy, nsites FROM z WHERE climatezone IN
             (SELECT climatezone FROM z GROUP BY 1 HAVING arg_min(nsites, doy) > 2)""",
     ),
     "g2_first_zones": Case(
         "climatezone:s doy:i nsites:i",
-        lambda s, d: C.zone_page(C.mean_doy_by_zone(attach_metadata(site_daily(s, d), site_info(s, d), ["lat", "koeppen_code"])), 4, 2),
+        lambda s, d: C.zone_page(_zones(s, d), 4, 2),
         f"""WITH z AS ({zone_cycle_sql()}) SELECT climatezone, doy, nsites FROM z WHERE climatezone IN
             (SELECT DISTINCT climatezone FROM z ORDER BY 1 LIMIT 4 OFFSET 4)""",
     ),

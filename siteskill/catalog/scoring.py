@@ -8,9 +8,11 @@ from ..functions.nulls import skip_sum, strict_mean, strict_sum
 from ..operators import score
 from ..operators.correlation import correlation, correlation_matrix
 from ..operators.density import axis_limit
+from ..operators.joins import attach_metadata
 from ..operators.quantiles import median_and_terciles, quantiles
 from ..plans.components import fitted_by_site, mean_doy_by_zone, site_means
 from ..plans.levels import annual_totals
+from ..session import stage
 from ..sources.nested import stack_tables
 from .case import Case
 from .sqlparts import moments, stats, strict
@@ -105,7 +107,8 @@ def _strictness(spark, sf):
 
 
 def _zones(spark, sf):
-    return mean_doy_by_zone(site_daily(spark, sf).join(site_info(spark, sf), "sitename"))
+    daily = stage(site_daily(spark, sf), "site_daily")
+    return mean_doy_by_zone(attach_metadata(daily, site_info(spark, sf), ["lat", "koeppen_code"]))
 
 
 def _zone_labels(spark, sf):

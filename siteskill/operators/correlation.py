@@ -30,18 +30,17 @@ def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def _counted_pairs(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """Distinct complete pairs and how often each occurs; written, as both axes are ranked from it."""
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return complete.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    counts = complete.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    return stage(counts, "counted_pairs")
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks among the complete pairs."""
-    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *by, F.col(x).alias("_x"), F.col(y).alias("_y")
-    )
-    pairs = _counted_pairs(df, by, x, y)
+    counted = pairs = _counted_pairs(df, by, x, y)
     for c in ("_x", "_y"):
-        ranks = value_ranks(complete, by, c).select(*by, c, F.col("avg_rank").alias(f"{c}_rank"))
+        ranks = value_ranks(counted, by, c, "_w").select(*by, c, F.col("avg_rank").alias(f"{c}_rank"))
         pairs = join_null_safe(pairs, ranks, [*by, c])
     w, rx, ry = F.col("_w"), F.col("_x_rank"), F.col("_y_rank")
     sums = pairs.groupBy(*by).agg(
@@ -108,16 +107,13 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str, block_rows: int =
     or different blocks on both axes (counted from block totals, by running sums over the block
     grid). A block of a single value adds nothing on its own axis and is skipped there.
     """
-    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *by, F.col(x).alias("_x"), F.col(y).alias("_y")
-    )
-    pairs = _counted_pairs(df, by, x, y)
+    counted = pairs = _counted_pairs(df, by, x, y)
     # With at most sqrt(rows) blocks per axis, the block grid is never larger than the data.
-    size = max(block_rows, math.isqrt(complete.count()))
+    size = max(block_rows, math.isqrt(counted.agg(F.sum("_w")).first()[0] or 0))
     parts = []
     for c in ("_x", "_y"):
         number = F.floor(F.col("before") / F.lit(size)) * 2 + (F.col("ties") > size).cast("int")
-        ranks = stage(value_ranks(complete, by, c).withColumn(f"{c}_block", number), f"blocks{c}")
+        ranks = value_ranks(counted, by, c, "_w").withColumn(f"{c}_block", number)
         ties = F.col("ties").cast("double")
         parts.append(ranks.groupBy(*by).agg(
             F.sum(ties * (ties - 1) / 2).alias(f"{c}_tied"), F.sum("ties").alias(f"{c}_n")

@@ -17,13 +17,14 @@ from ..session import stage
 from .joins import join_null_safe
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """One row per distinct non-null value of each group.
+def value_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """One row per distinct non-null value of each group. A row counts once, or `weight` times.
 
     Columns: the keys, `value`, `ties` (rows with this value), `before` (rows with a smaller value)
     and `avg_rank` (ranks from 1, ties share their mean rank).
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("ties"))
     placed = stage(
         counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), f"ranks_{value}"
     )
