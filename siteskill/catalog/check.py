@@ -35,9 +35,11 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(cell(v) for v in row) for row in zip(*[frame[c].astype(object) for c in columns]))
 
 
-def compare(spark, con, sf: str, case) -> str:
-    started = time.time()
-    got = pd.DataFrame([r.asDict() for r in case.frame(spark, sf).collect()], columns=[c.split(":")[0] for c in case.columns.split()], dtype=object)
+def compare(con, case, frame, started: float | None = None) -> str:
+    """Collect a query's frame and compare it with its SQL."""
+    started = started or time.time()
+    names = [c.split(":")[0] for c in case.columns.split()]
+    got = pd.DataFrame([r.asDict() for r in frame.collect()], columns=names, dtype=object)
     took = time.time() - started
     if case.oracle() is None:
         return f"rows {len(got)} ({took:.1f}s)"
@@ -67,7 +69,8 @@ def main() -> None:
     bad = 0
     for name in names:
         try:
-            out = compare(spark, con, sf, cases[name])
+            started = time.time()
+            out = compare(con, cases[name], cases[name].frame(spark, sf), started)
         except Exception as e:  # noqa: BLE001
             out = "ERROR " + str(e)[:1500]
         bad += out.startswith(("DIFF", "ERROR"))

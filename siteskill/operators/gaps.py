@@ -28,16 +28,17 @@ def _lerp(df: DataFrame, columns: Sequence[str], suffix: str) -> DataFrame:
 
 def interpolate(
     df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], suffix: str = "",
-    by: str = "row", chunk: Column | None = None,
+    by: str = "row", chunk: Column | None = None, staged: str | None = None,
 ) -> DataFrame:
     """Fill nulls between known values on a straight line; leading and trailing nulls stay.
 
     Distance is counted in rows, or along a numeric `order` column with `by="key"`. A group with
     fewer than two known values becomes all null. With a `suffix` the filled columns are added
-    beside the given ones.
+    beside the given ones. `staged` names a table to write the numbered rows to, so that a costly
+    `df` is computed once (see `running_totals`).
     """
     placed = (
-        running_totals(df, keys, order, {POSITION: F.lit(1)}, chunk) if by == "row"
+        running_totals(df, keys, order, {POSITION: F.lit(1)}, chunk, staged) if by == "row"
         else df.withColumn(POSITION, F.col(order).cast("double"))
     )
     known = {c: (F.when(F.col(c).isNotNull(), F.col(POSITION)), F.col(c)) for c in columns}

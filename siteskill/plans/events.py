@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bins import offset_bin
@@ -45,9 +45,8 @@ def normalise(rows: DataFrame, variables: Sequence[str], before: int, after: int
     """
     binned = rows.withColumn("inbin", offset_bin(F.col("dday"), before, after, nbins))
     medians = quantiles(binned.where(F.col("inbin").isNotNull()), ["inbin"], {v: (v, 0.5) for v in variables})
-    place = F.row_number().over(Window.orderBy("inbin"))  # at most nbins rows
-    norm = medians.withColumn("_place", place).where(F.col("_place") == normbin)
-    row = norm.select(F.struct(*variables).alias("norm")).scalar()
+    in_order = F.array_sort(F.collect_list(F.struct("inbin", *variables)))  # at most nbins rows
+    row = medians.agg(F.try_element_at(in_order, F.lit(normbin)).alias("norm")).scalar()
     shifted = binned.withColumn("_norm", row)
     return shifted.withColumns({v: F.col(v) - F.col(f"_norm.{v}") for v in variables}).drop("_norm")
 
