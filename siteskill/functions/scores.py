@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names of the mergeable summary of one cell of (mod, obs) pairs.
-MOMENTS = ("n", "mx", "my", "sxx", "syy", "sxy", "sdd")
-
-# Expressions over those names. R2 is null where either side is constant.
+# Expressions over the columns of `moment_columns`. R2 is null where either side is constant.
 R_SQUARED = "try_divide(sxy * sxy, sxx * syy)"
 SLOPE = "try_divide(sxy, sxx)"
 INTERCEPT = f"my - {SLOPE} * mx"

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_null_safe
-
 
 def compare_tables(
     target: DataFrame, current: DataFrame, keys: Sequence[str], columns: Sequence[str], tolerance: float = 1e-5
