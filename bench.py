@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from siteskill.catalog import all_cases
@@ -24,7 +25,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, "siteskill-bench")
+    spark = local_session(cpus, "siteskill-bench", settings={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="siteskill-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     cases = all_cases()
     cases["e1_regression_stats_pooled"].frame(spark, sf_dir).collect()  # start-up is not a query

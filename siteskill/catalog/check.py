@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import pandas as pd
@@ -61,7 +62,7 @@ def main() -> None:
     from . import all_cases
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = local_session(8)
+    spark = local_session(8, settings={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="siteskill-check-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf)
     cases = all_cases()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
+#: Names the shared folder where `spark.checkpoint.dir`, which a running session can't change, is unset.
+SHARED_DIR = "siteskill.shared.dir"
 
 
 def local_session(
@@ -30,20 +30,42 @@ def local_session(
     return builder.getOrCreate()
 
 
+def has_shared_dir(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_DIR, None))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session's `spark.checkpoint.dir` names it.
+    """The folder every executor can reach: `spark.checkpoint.dir`, else `siteskill.shared.dir`. No fallback."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_DIR, None)
+    if not path:
+        raise RuntimeError(f"set spark.checkpoint.dir (or {SHARED_DIR}) to a folder all executors share")
+    return path.rstrip("/")
+
 
-    Only a local-master session without that setting gets a folder of its own.
+class Staging:
+    """Owns the tables staged while it is open: `close` (or the end of a `with`) removes them.
+
+    Frames that still read a staged table must have been written or collected by then. Without an owner
+    staged tables stay until the shared folder is cleaned.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="siteskill-")
-    return _LOCAL_DIRS[context.applicationId]
+
+    _open: list[Staging] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/siteskill-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Staging:
+        Staging._open.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        Staging._open.remove(self)
+        self.close()
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -55,6 +77,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     whether a staged table is small enough to broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siteskill-{uuid.uuid4().hex}/{label}"
+    root = Staging._open[-1].root if Staging._open else shared_dir(spark)
+    path = f"{root}/siteskill-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
