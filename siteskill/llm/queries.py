@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_quality, chat_grammar, nearest_toxic, pareto_mix, payload_archive, rule_ledger, string_kernel
+from . import boosted_quality, chat_grammar, jaccard_join, nearest_toxic, pareto_mix, payload_archive, rule_ledger, string_kernel
 from .texts import crc_rest
 
 THRESHOLD = 0.3
@@ -83,6 +83,28 @@ FROM told
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS class, s FROM sets WHERE len(s) > 0 GROUP BY s),
+spelled AS (SELECT class, len(s) AS n, unnest(s) AS shingle FROM classes),
+links AS (
+  SELECT x.class AS a, y.class AS b FROM spelled x JOIN spelled y ON x.shingle = y.shingle AND x.class <> y.class
+  GROUP BY x.class, y.class, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT class AS node, class AS root FROM classes UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node),
+named AS (SELECT s, min(root) AS component_id FROM reach JOIN classes ON node = class GROUP BY s)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN named USING (s)
+"""
+
+
 def op7_nearest_toxic(spark: SparkSession, sf: str) -> DataFrame:
     model, counted = nearest_toxic.fit(table(spark, sf, "documents"), table(spark, sf, "labels"), parts=4, held=2)
     return nearest_toxic.score(counted, model).select(
@@ -132,7 +154,7 @@ FROM ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_string_kernel_language, op3_payload_archive, op4_boosted_quality, op5_chat_grammar, op7_nearest_toxic, op9_pareto_mix, op10_rule_ledger,
+        op2_string_kernel_language, op3_payload_archive, op4_boosted_quality, op5_chat_grammar, op6_jaccard_join, op7_nearest_toxic, op9_pareto_mix, op10_rule_ledger,
     )
 }
-ORACLES: dict[str, str] = {"op3_payload_archive": OP3_SQL, "op5_chat_grammar": OP5_SQL, "op10_rule_ledger": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_payload_archive": OP3_SQL, "op5_chat_grammar": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op10_rule_ledger": OP10_SQL}
