@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_quality, chat_grammar, jaccard_join, nearest_toxic, pareto_mix, payload_archive, rule_ledger, string_kernel
+from . import boosted_quality, chat_grammar, gumbel_pieces, jaccard_join, nearest_toxic, pareto_mix, payload_archive, rule_ledger, string_kernel
 from .texts import crc_rest
 
 THRESHOLD = 0.3
@@ -22,6 +22,10 @@ def held_out(parts: int, held: int):
     return F.coalesce(crc_rest("doc_id", parts) == held, F.lit(False))
 
 
+def op1_gumbel_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return gumbel_pieces.encode(table(spark, sf, "documents"))
+
+
 def op2_string_kernel_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = string_kernel.fit(docs, ~held_out(3, 1))
@@ -154,7 +158,7 @@ FROM ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_string_kernel_language, op3_payload_archive, op4_boosted_quality, op5_chat_grammar, op6_jaccard_join, op7_nearest_toxic, op9_pareto_mix, op10_rule_ledger,
+        op1_gumbel_pieces, op2_string_kernel_language, op3_payload_archive, op4_boosted_quality, op5_chat_grammar, op6_jaccard_join, op7_nearest_toxic, op9_pareto_mix, op10_rule_ledger,
     )
 }
 ORACLES: dict[str, str] = {"op3_payload_archive": OP3_SQL, "op5_chat_grammar": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op10_rule_ledger": OP10_SQL}
