@@ -36,6 +36,7 @@ from .texts import pieces, uniform
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 5
 KNOWN = 600_000
+SLOTS = 16
 #: -log(u) lies between 2 ** -54 and 38 for every u that noise can be, so no value at a location lower by this can win.
 REACH = 45.0
 _UNITS = re.compile(f" ?[^ ]{{1,{UNIT}}}| {{1,8}}")
@@ -101,6 +102,7 @@ class Sampler:
         self.cum, self.logp = np.zeros(0), np.zeros(0)
         self.first, self.start = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.tokens = np.zeros(0, np.int32)
+        self.guide = np.zeros(0, np.int32)  # for each unit and sixteenth of (0, 1), where to begin to look in cum
 
     def learn(self, units: set[str]) -> None:
         new = sorted(units - self.number.keys())
@@ -128,6 +130,8 @@ class Sampler:
         run = run - np.repeat(run[at] - p[at], counts)
         which = np.repeat(np.arange(base, base + len(new)), counts)
         run[at + counts - 1] = 1.0
+        slots = (np.arange(base, base + len(new))[:, None] + np.arange(SLOTS) / SLOTS).ravel()
+        self.guide = np.r_[self.guide, (len(self.cum) + np.searchsorted(which + np.minimum(run, 1.0), slots, side="left")).astype(np.int32)]
         self.cum = np.r_[self.cum, which + np.minimum(run, 1.0)]
         self.logp = np.r_[self.logp, w]
         self.first = np.r_[self.first, self.first[-1] + np.cumsum(counts)]
@@ -137,8 +141,14 @@ class Sampler:
 
     def _chosen(self, units: np.ndarray, u: np.ndarray) -> np.ndarray:
         """A segmentation number for every unit, by its probability."""
-        at = np.searchsorted(self.cum, units + u, side="left")
-        return np.clip(at, self.first[units], self.first[units + 1] - 1)
+        at = self.guide[units * SLOTS + (u * SLOTS).astype(np.int64)].astype(np.int64)
+        last, goal = self.first[units + 1] - 1, units + u
+        at = np.clip(at, self.first[units], last)
+        open_ = np.flatnonzero((self.cum[at] < goal) & (at < last))
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[(self.cum[at[open_]] < goal[open_]) & (at[open_] < last[open_])]
+        return at
 
     def sample(self, units: np.ndarray, key: np.uint64, k: int) -> list[tuple[np.ndarray, float, float]]:
         """(segmentation of each unit, log probability, perturbed value) of the best k, and the value of the next as a last entry."""
