@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_quality, chat_grammar, gumbel_pieces, jaccard_join, nearest_toxic, pareto_mix, payload_archive, rule_ledger, string_kernel
+from . import boosted_quality, chat_grammar, gumbel_pieces, invertible_sketch, jaccard_join, nearest_toxic, pareto_mix, payload_archive, rule_ledger, string_kernel
 from .texts import crc_rest
 
 THRESHOLD = 0.3
@@ -116,6 +116,10 @@ def op7_nearest_toxic(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_invertible_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return invertible_sketch.compared(table(spark, sf, "documents"))
+
+
 def op9_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     return pareto_mix.mixed(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
@@ -158,7 +162,7 @@ FROM ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_gumbel_pieces, op2_string_kernel_language, op3_payload_archive, op4_boosted_quality, op5_chat_grammar, op6_jaccard_join, op7_nearest_toxic, op9_pareto_mix, op10_rule_ledger,
+        op1_gumbel_pieces, op2_string_kernel_language, op3_payload_archive, op4_boosted_quality, op5_chat_grammar, op6_jaccard_join, op7_nearest_toxic, op8_invertible_sketch, op9_pareto_mix, op10_rule_ledger,
     )
 }
 ORACLES: dict[str, str] = {"op3_payload_archive": OP3_SQL, "op5_chat_grammar": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op10_rule_ledger": OP10_SQL}
