@@ -290,14 +290,19 @@ class _Join:
         if self.done is not None:
             sized = sized.join(self.done, ["a", "b"], "left_anti")
         sized = stage(sized, f"join_pairs_{self.step}")
+        if self.roots is not None and sized.isEmpty():
+            return
         self.done = sized.select("a", "b") if self.done is None else self.done.unionByName(sized.select("a", "b"))
         used = sized.select(F.col("a_doc").alias("doc_id")).unionByName(sized.select(F.col("b_doc").alias("doc_id"))).distinct()
         found = stage(self.live.join(stage(used, f"join_used_{self.step}"), "doc_id", "left_semi"), f"join_texts_{self.step}")
         side = lambda c: found.select(F.col("doc_id").alias(f"{c}_doc"), F.col("text").alias(f"{c}_text"))
         full = sized.join(side("b"), "b_doc").join(side("a"), "a_doc").select("a", "b", "a_text", "b_text")
         linked = full.mapInArrow(_per_batch(_linked, ["a", "b"], "a_text"), "a bigint, b bigint")
-        edges = stage(linked if self.edges is None else linked.unionByName(self.edges), f"join_edges_{self.step}")
-        self.edges, self.roots = edges, components(edges, f"join_{self.step}")
+        edges = stage(linked, f"join_edges_{self.step}")
+        if self.roots is not None and edges.isEmpty():
+            return
+        self.edges = edges if self.edges is None else self.edges.unionByName(edges)
+        self.roots = components(self.edges, f"join_{self.step}")
 
     def rooted(self, members: DataFrame) -> DataFrame:
         return members.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
