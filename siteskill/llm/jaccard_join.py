@@ -356,7 +356,8 @@ def _neighbours(state: _Join, shared: DataFrame, left_out: DataFrame, hot: int)
     crowd = stage(crowd, "join_crowd")
     wide = crowd.where(F.col("n") > hot).select("sig")
     lost = spelled.join(wide, "sig", "left_semi").select("whole", "node", "band").distinct()
-    enough = spelled.where("kind = 0").join(lost, ["whole", "node", "band"], "left_anti").groupBy("node", "band").agg(F.sum("weight").alias("w"), F.max("bound").alias("h"))
+    found = spelled.where("kind = 0").join(lost.withColumn("lost", F.lit(True)), ["whole", "node", "band"], "left")
+    enough = found.groupBy("node", "band").agg(F.sum(F.when(F.col("lost"), 0).otherwise(F.col("weight"))).alias("w"), F.max("bound").alias("h"))
     weak = state.classes.join(nodes, "node", "left_semi").select("node").join(
         enough.groupBy("node").agg(F.min(F.col("w") > F.col("h")).alias("ok")).where("ok").select("node"), "node", "left_anti")
     weak = stage(weak, "join_weak")
