@@ -53,10 +53,36 @@ SELECT l.*, i.lat, i.koeppen_code FROM (
 
 
 def _xdaily_levels(spark, sf):
-    obs = build_observations_xdaily(daily(spark, sf), site_info(spark, sf), ["mod"], ["qc"])
+    obs = build_observations_xdaily(daily(spark, sf), site_info(spark, sf), ["mod"], ["qc"], first="1990-01-01")
     return stack_tables({"xdaily": obs.xdf, "monthly": obs.mdf, "annual": obs.adf})
 
 
+def _xdaily_limits(spark, sf):
+    """Bins over the span of the data, and over a range that ends inside it, with the days left out."""
+    df = daily(spark, sf)
+    given = build_observations_xdaily(df, None, ["mod"], first="1993-01-05", last="1996-03-01")
+    found = build_observations_xdaily(df, None, ["mod"])
+    counts = {"given_outside": given.outside, "found_outside": found.outside}
+    return stack_tables({
+        "given": given.xdf.select("sitename", "date", "mod"), "found": found.xdf.select("sitename", "date", "mod"),
+        **{k: t.select("sitename", F.lit(None).cast("date").alias("date"), F.col("n_outside").cast("double").alias("mod")) for k, t in counts.items()},
+    })
+
+
+XDAILY_LIMITS_SQL = f"""
+WITH s AS (SELECT min(date) AS a FROM site_daily),
+g AS (SELECT sitename, mod, date, CAST(floor(date_diff('day', DATE '1993-01-05', date) / 8.0) AS INTEGER) AS k,
+             CAST(floor(date_diff('day', DATE '1993-01-05', DATE '1996-03-01') / 8.0) AS INTEGER) AS steps FROM site_daily),
+p AS (SELECT sitename, mod, CASE WHEN date = CAST(DATE '1993-01-05' + steps * 8 AS DATE) THEN steps - 1 ELSE k END AS k, steps FROM g),
+f AS (SELECT sitename, mod, CAST(a + CAST(floor(date_diff('day', a, date) / 8.0) AS INTEGER) * 8 AS DATE) AS bin FROM site_daily, s)
+SELECT 'given' AS level, sitename, CAST(DATE '1993-01-05' + k * 8 AS DATE) AS date, {strict('avg', 'mod')} AS mod FROM p
+  WHERE k >= 0 AND k < steps GROUP BY sitename, k
+UNION ALL SELECT 'found', sitename, bin, {strict('avg', 'mod')} FROM f GROUP BY sitename, bin
+UNION ALL SELECT 'given_outside', sitename, NULL, count(*) FILTER (WHERE k < 0 OR k >= steps) FROM p GROUP BY sitename
+UNION ALL SELECT 'found_outside', sitename, NULL, 0 FROM f GROUP BY sitename
+"""
+
+
 BIN8 = "CAST(DATE '1990-01-01' + CAST(floor(date_diff('day', DATE '1990-01-01', date) / 8.0) AS INTEGER) * 8 AS DATE)"
 XDAILY_SQL = f"""
 SELECT 'xdaily' AS level, sitename, {BIN8} AS date, {BIN8} AS inbin, {strict('avg', 'mod')} AS mod, {strict('avg', 'qc')} AS qc
@@ -183,10 +209,7 @@ def _anomaly_stats(spark, sf):
     """Per-site anomaly scores from the cell summaries; the SQL builds the anomaly rows."""
     df = daily(spark, sf)
     days = df.withColumn("doy", F.dayofyear("date")).where(F.col("doy") != 366)
-    first, last = F.to_date(F.lit("1990-01-01")), F.to_date(F.lit("2024-12-31"))
-    xdf = df.groupBy("sitename", bins.regular_bin(F.col("date"), first, 8, last).alias("inbin")).agg(
-        F.avg("mod").alias("mod"), F.avg("obs").alias("obs")
-    )
+    xdf = _eight_days(df)
     day_cells = stage(summarise(days, ["sitename", "doy"]), "day_cells")
     bin_cells = stage(summarise(xdf, ["sitename", F.dayofyear("inbin").alias("xoy")]), "bin_cells")
     return stack_tables({
@@ -202,11 +225,13 @@ def _anomaly_stats_sql() -> str:
         UNION ALL SELECT 'xdaily', * FROM ({stats(_minus('x', 'dayofyear(date)'), 'sitename', where=where)})"""
 
 
+def _eight_days(df):
+    binned = bins.regular_bins(df, 8, first="1990-01-01")
+    return binned.groupBy("sitename", "inbin").agg(F.avg("mod").alias("mod"), F.avg("obs").alias("obs"))
+
+
 def _xdf(spark, sf):
-    first, last = F.to_date(F.lit("1990-01-01")), F.to_date(F.lit("2024-12-31"))
-    return site_daily(spark, sf).groupBy("sitename", bins.regular_bin(F.col("date"), first, 8, last).alias("inbin")).agg(
-        F.avg("mod").alias("mod"), F.avg("obs").alias("obs")
-    )
+    return _eight_days(site_daily(spark, sf))
 
 
 CYCLE = "avg(obs) AS obs_mean, min(obs) AS obs_min, max(obs) AS obs_max, avg(mod) AS mod_mean, min(mod) AS mod_min, max(mod) AS mod_max"
@@ -228,6 +253,7 @@ CASES = {
     "l3_catchment_observations": Case(
         "sitename:s date:d aet:f", lambda s, d: build_catchment_observations(forcing(s, d)).adf, CATCHMENT_SQL),
     "l4_observations_by_8_days": Case("level:s sitename:s date:d inbin:d mod:f qc:f", _xdaily_levels, XDAILY_SQL),
+    "l4_bins_by_data_and_by_limits": Case("level:s sitename:s date:d mod:f", _xdaily_limits, XDAILY_LIMITS_SQL),
     "l5_match_levels": Case("level:s sitename:s date:d mod:f obs:f n:i", _matched, MATCHED_SQL),
     "d3_right_join_to_observations": Case(
         "sitename:s date:d mod:f obs:f n:i",

@@ -29,8 +29,11 @@ def quoted(name: str) -> str:
 
 
 def moment_columns(mod: str = "mod", obs: str = "obs") -> list[Column]:
-    """Pair count, means, centred second moments, and the centred moment of the error."""
-    m, o = quoted(mod), quoted(obs)
+    """Pair count, means, centred second moments, and the centred moment of the error.
+
+    Only pairs of finite numbers count: one infinite value would make every score of its group NaN.
+    """
+    m, o = (f"CASE WHEN abs({quoted(c)}) < double('Infinity') THEN {quoted(c)} END" for c in (mod, obs))
     return [F.expr(e) for e in (
         f"regr_count({o}, {m}) AS n",
         f"avg(CASE WHEN {o} IS NOT NULL THEN {m} END) AS mx",

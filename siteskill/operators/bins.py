@@ -40,6 +40,23 @@ def regular_bin(date: Column, first: Column, width: int, last: Column, include_l
     return F.when((step >= 0) & (step < steps), F.date_add(first, step * F.lit(width)))
 
 
+def regular_bins(
+    df: DataFrame, width: int, first: str | None = None, last: str | None = None, include_last: bool = False, date: str = "date"
+) -> DataFrame:
+    """Add `inbin` by `regular_bin`. A limit that is not given comes from the data, so that no day is beyond it."""
+    limits = bin_limits(df, width, first, last, date).select(F.struct("first", "last")).scalar()
+    bin_start = regular_bin(F.col(date), F.col("_limits.first"), width, F.col("_limits.last"), include_last)
+    return df.withColumn("_limits", limits).withColumn("inbin", bin_start).drop("_limits")
+
+
+def bin_limits(df: DataFrame, width: int, first: str | None = None, last: str | None = None, date: str = "date") -> DataFrame:
+    """One row `(first, last)`: the given limits, else the first day and a day that the last break still covers."""
+    given = [F.lit(x).cast("date") for x in (first, last)]
+    return df.agg(
+        F.coalesce(given[0], F.min(date)).alias("first"), F.coalesce(given[1], F.date_add(F.max(date), width)).alias("last")
+    )
+
+
 def bin_days(breaks: DataFrame, include_last: bool = False, brk: str = "brk") -> DataFrame:
     """One row `(date, inbin)` per calendar day that lies in a bin.
 
@@ -72,6 +89,6 @@ def offset_bin(value: Column, before: int, after: int, nbins: int) -> Column:
 
 
 def grid_cell(value: Column, low: Column, high: Column, cells: int) -> Column:
-    """Grid cell 1..cells of a value between `low` and `high`; halves round to even."""
-    raw = F.bround((value - low) / (high - low) * F.lit(cells) + F.lit(0.5))
-    return F.least(F.greatest(raw, F.lit(1.0)), F.lit(float(cells))).cast("int")
+    """Grid cell 1..cells of a value between `low` and `high`; halves round to even. A constant axis is all in cell 1."""
+    raw = F.bround(F.try_divide(value - low, high - low) * F.lit(cells) + F.lit(0.5))
+    return F.when(value.isNotNull(), F.least(F.greatest(raw, F.lit(1.0)), F.lit(float(cells))).cast("int"))

@@ -6,6 +6,7 @@ the driver sees is one row of summary values (range, count, spread).
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -23,8 +24,10 @@ from .quantiles import quantiles
 EDGE_TOLERANCE = 1e-7
 # Fixed value: distance of the first hexagon row and column from the lower bound.
 HEX_PAD = 1e-6
-MAX_GRID = 1_000
-GRIDS_PER_CORE = 4
+HEX_SCHEMA = "x double, y double, n bigint, n_outside bigint"
+# A task holds this many cells of a grid at a time; larger grids are summed in stripes of rows.
+STRIPE_CELLS = 1_000_000
+POINTS = 10_000
 
 
 def pretty_breaks(low: float, high: float, n: int) -> tuple[float, float, int]:
@@ -55,10 +58,11 @@ def _edge_bin(value: Column, first: float, width: float, bins: int) -> Column:
 def histogram(df: DataFrame, columns: Sequence[str], breaks: int) -> DataFrame:
     """Counts and densities of several columns over the pretty bins of the first one.
 
-    One row per (series, bin), empty bins included. Values outside the bins are in no bin;
-    `n_outside` counts them, and densities are relative to the values inside.
+    One row per (series, bin), empty bins included. Values outside the bins and values that are not finite are in
+    no bin; `n_outside` counts them, and densities are relative to the values inside.
     """
-    low, high = df.agg(F.min(columns[0]), F.max(columns[0])).first()
+    finite = F.when(F.abs(F.col(columns[0]).cast("double")) < float("inf"), F.col(columns[0]).cast("double"))
+    low, high = df.agg(F.min(finite), F.max(finite)).first()
     if low is None:
         raise ValueError(f"no values in {columns[0]}")
     first, width, bins = pretty_breaks(low, high, breaks)
@@ -92,18 +96,22 @@ def axis_limit(df: DataFrame, x: str = "mod", y: str = "obs", p: float = 0.9999)
 def hex_bins(
     df: DataFrame, x: str = "mod", y: str = "obs", bins: int = 50, limits: tuple[float, float] | None = None
 ) -> DataFrame:
-    """Counts per hexagon over `limits` on both axes; points outside are dropped.
+    """Counts per hexagon over `limits` on both axes; points outside are dropped, and `n_outside` is their number.
 
     Hexagon centres lie on two interleaved rectangular lattices. A point is rounded on each, and the
-    nearer centre wins. Without `limits` the axes run from 0 to `axis_limit`.
+    nearer centre wins. Without `limits` the axes run from 0 to `axis_limit`. Limits without extent or without
+    points give an empty table.
     """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     low, high = limits or (0.0, axis_limit(df, x, y).first()["limit"])
-    shown = pairs.where(F.col(x).between(low, high) & F.col(y).between(low, high))
+    if high is None or high <= low:
+        return df.sparkSession.createDataFrame([], HEX_SCHEMA)
+    inside = F.col(x).between(low, high) & F.col(y).between(low, high)
+    shown = pairs.where(inside)
     width = (high - low) / bins
-    corner = shown.agg(F.min(x).alias("x"), F.min(y).alias("y")).first()
+    corner = pairs.agg(*[F.min(F.when(inside, F.col(c))).alias(a) for a, c in (("x", x), ("y", y))], F.count_if(~inside).alias("outside")).first()
     if corner["x"] is None:
-        raise ValueError("no points inside the limits")
+        return df.sparkSession.createDataFrame([], HEX_SCHEMA)
     x0, y0 = (math.floor(corner[a] / width) * width - HEX_PAD for a in ("x", "y"))
     row = width * math.sqrt(3.0)
 
@@ -121,7 +129,8 @@ def hex_bins(
         F.when(even, F.col("eu")).otherwise(F.col("ou")).alias("cu"), F.when(even, F.col("ev")).otherwise(F.col("ov")).alias("cv")
     ).agg(F.count(F.lit(1)).alias("n"))
     return cells.select(
-        (F.lit(x0) + F.col("cu") * F.lit(width)).alias("x"), (F.lit(y0) + F.col("cv") * F.lit(row)).alias("y"), "n"
+        (F.lit(x0) + F.col("cu") * F.lit(width)).alias("x"), (F.lit(y0) + F.col("cv") * F.lit(row)).alias("y"), "n",
+        F.lit(corner["outside"]).cast("bigint").alias("n_outside"),
     )
 
 
@@ -158,20 +167,26 @@ def _grid(points: DataFrame, s: dict, n: int, only: str) -> DataFrame:
     gx = np.linspace(s["min_x"], s["max_x"], n)
     gy = np.linspace(s["min_y"], s["max_y"], n)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n, n))
-        norm = 1.0 / math.sqrt(2.0 * math.pi)
-        for pdf in batches:
-            ax = (gx[:, None] - pdf["_x"].to_numpy()[None, :]) / hx
-            ay = (gy[:, None] - pdf["_y"].to_numpy()[None, :]) / hy
-            kx = np.ones_like(ax) if only == "y" else norm * np.exp(-0.5 * ax * ax)
-            ky = np.ones_like(ay) if only == "x" else norm * np.exp(-0.5 * ay * ay)
-            total += kx @ ky.T
-        yield pd.DataFrame({"ix": np.arange(1, n + 1), "zs": list(total)})
-
-    # A few tasks per core, however many input splits there are, so that the number of grids to add up is bounded.
-    tasks = GRIDS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism
-    sums = points.select("_x", "_y").coalesce(tasks).mapInPandas(partial, "ix int, zs array<double>")
+    def stripe(first: int, end: int) -> DataFrame:
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((end - first, n))
+            norm = 1.0 / math.sqrt(2.0 * math.pi)
+            seen = False
+            for pdf in batches:
+                for a in range(0, len(pdf), POINTS):
+                    xs, ys = (pdf[c].to_numpy()[None, a : a + POINTS] for c in ("_x", "_y"))
+                    ax, ay = (gx[first:end, None] - xs) / hx, (gy[:, None] - ys) / hy
+                    kx = np.ones_like(ax) if only == "y" else norm * np.exp(-0.5 * ax * ax)
+                    ky = np.ones_like(ay) if only == "x" else norm * np.exp(-0.5 * ay * ay)
+                    total += kx @ ky.T
+                    seen = True
+            if seen:
+                yield pd.DataFrame({"ix": np.arange(first + 1, end + 1), "zs": list(total)})
+
+        return points.select("_x", "_y").mapInPandas(partial, "ix int, zs array<double>")
+
+    rows = max(1, STRIPE_CELLS // n)
+    sums = functools.reduce(DataFrame.unionAll, [stripe(a, min(a + rows, n)) for a in range(0, n, rows)])
     cells = sums.select("ix", F.posexplode("zs").alias("iy", "z")).groupBy("ix", (F.col("iy") + 1).alias("iy"))
     scale = s["n"] * hx * hy
     z = cells.agg((F.sum("z") / F.lit(scale)).alias("z"))
@@ -184,8 +199,8 @@ def _grid(points: DataFrame, s: dict, n: int, only: str) -> DataFrame:
 
 
 def _check_grid(n: int, only: str) -> None:
-    if not 2 <= n <= MAX_GRID:
-        raise ValueError(f"the grid must have 2 to {MAX_GRID} cells per axis")
+    if n < 2:
+        raise ValueError("the grid must have at least 2 cells per axis")
     if only not in ("none", "x", "y"):
         raise ValueError("only must be none, x or y")
 
@@ -196,8 +211,8 @@ def kernel_density(
 ) -> DataFrame:
     """Gaussian density of the points on an n x n grid over their range: `ix, iy, gx, gy, z`.
 
-    Each task adds up one n x n grid for its points (a matrix product per batch), and the grids are
-    summed by cell. No point is shuffled.
+    Each task of the scan adds up a grid for its points (a matrix product per batch; in stripes of rows if the
+    grid is large), and the grids are summed by cell. No point is shuffled.
     """
     _check_grid(n, only)
     points = _log_points(df, x, y, log, xlim, ylim)

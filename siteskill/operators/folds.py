@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import drop_sites, keep_sites
+from .joins import drop_sites, join_null_safe, keep_sites
 from .quantiles import quantiles
 from .scan import running_totals
 
@@ -52,4 +52,4 @@ def training_sets(df: DataFrame, folds: DataFrame, k: int = 5, key: str = "siten
     """All k training sets in one table: each row once per fold it trains, with the `fold` column."""
     every = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold")
     own = folds.select(key, F.col("fold").alias("_own"))
-    return df.join(own, key).select(*df.columns, "_own", every).where(F.col("fold") != F.col("_own")).drop("_own")
+    return join_null_safe(df, own, [key]).select(*df.columns, "_own", every).where(F.col("fold") != F.col("_own")).drop("_own")

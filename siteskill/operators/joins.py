@@ -26,9 +26,9 @@ def attach_metadata(series: DataFrame, meta: DataFrame, columns: Sequence[str],
 
 
 def keep_sites(df: DataFrame, sites: DataFrame, key: str = "sitename") -> DataFrame:
-    """Rows whose site is in `sites`; the list stays a table and never goes through the driver."""
-    return df.join(sites.select(key), key, "left_semi")
+    """Rows whose site is in `sites`, null among them; the list stays a table and never goes through the driver."""
+    return join_null_safe(df, sites.select(key), [key], "left_semi")
 
 
 def drop_sites(df: DataFrame, sites: DataFrame, key: str = "sitename") -> DataFrame:
-    return df.join(sites.select(key), key, "left_anti")
+    return join_null_safe(df, sites.select(key), [key], "left_anti")

@@ -3,7 +3,8 @@
 A window over a whole series would put that series into one task. Here a series is cut into chunks
 along its order (calendar years, by default). Windows run inside a chunk, a table with one row per
 chunk carries totals and boundary values from chunk to chunk, and a join on (keys, chunk) puts both
-together. The result is exact, and no task holds more than a chunk.
+together. The result is exact, and no task holds more than a chunk. A null key is a group like any
+other, and a null order value comes first.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .joins import join_null_safe
 
 CHUNK = "_chunk"
 
@@ -57,7 +59,7 @@ def running_totals(
     offsets = totals.select(*keys, CHUNK, *[
         F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_offset_{name}") for name in measures
     ])
-    return local.join(offsets, [*keys, CHUNK]).select(
+    return join_null_safe(local, offsets, [*keys, CHUNK]).select(
         *df.columns, *[F.expr(f"_local_{name} + _offset_{name} AS {name}") for name in measures]
     )
 
@@ -111,7 +113,7 @@ def nearest_known(
             (f"_next_{name}", F.last(known(f"_p_{name}", f"_v_{name}"), ignorenulls=True).over(backward)),
         )
     })
-    return local.join(carried, [*keys, CHUNK]).selectExpr(*df.columns, *[
+    return join_null_safe(local, carried, [*keys, CHUNK]).selectExpr(*df.columns, *[
         e for name in values for e in (
             f"coalesce(_prev_{name}, _earlier_{name}) AS {name}_before",
             f"coalesce(_next_{name}, _later_{name}) AS {name}_after",

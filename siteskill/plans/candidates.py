@@ -21,21 +21,26 @@ def score_runs(
 ) -> DataFrame:
     """`(by, cost, n)`: cost of each candidate against the same observations.
 
-    `metric` is a name or a function of the model and observation columns that gives an aggregate.
+    `metric` is a name or a function of the model and observation columns that gives an aggregate; both columns
+    are null where a pair is incomplete. A candidate without a complete pair has a null cost and `n = 0`.
     """
     cost = METRICS[metric] if isinstance(metric, str) else metric
-    joined = sim.join(obs.select(*keys, F.col(observed).alias("_obs")), list(keys))
-    pairs = joined.where(F.col(target).isNotNull() & F.col("_obs").isNotNull())
-    return pairs.groupBy(by).agg(cost(F.col(target), F.col("_obs")).alias("cost"), F.count(F.lit(1)).alias("n"))
+    joined = sim.join(obs.select(*keys, F.col(observed).alias("_obs")), list(keys), "left")
+    whole = F.col(target).isNotNull() & F.col("_obs").isNotNull()
+    mod, seen = F.when(whole, F.col(target)), F.when(whole, F.col("_obs"))
+    return joined.groupBy(by).agg(cost(mod, seen).alias("cost"), F.count_if(whole).alias("n"))
 
 
 def within_bounds(params: DataFrame, ranges: DataFrame, by: str = "param_set") -> DataFrame:
     """`(by, in_bounds)`: does every parameter of a candidate lie in its `lower .. upper` range?
 
-    A parameter without a range counts as outside.
+    A parameter without a range counts as outside, and so does a candidate that lacks a parameter with a range.
     """
     inside = F.coalesce(F.col("value").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return params.join(ranges, "param", "left").groupBy(by).agg(F.bool_and(inside).alias("in_bounds"))
+    given = F.count_distinct(F.when(inside, F.col("param")))
+    checked = params.join(ranges, "param", "left").groupBy(by).agg(F.bool_and(inside).alias("_inside"), given.alias("_given"))
+    every = ranges.agg(F.count_distinct("param")).scalar()
+    return checked.select(by, (F.col("_inside") & (F.col("_given") == every)).alias("in_bounds"))
 
 
 def best_run(scores: DataFrame, bounds: DataFrame | None = None, by: str = "param_set") -> DataFrame:

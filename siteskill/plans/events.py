@@ -41,12 +41,15 @@ def event_windows(runs: DataFrame, lengths: DataFrame, before: int, after: int)
 def normalise(rows: DataFrame, variables: Sequence[str], before: int, after: int, nbins: int, normbin: int) -> DataFrame:
     """Subtract each variable's median in one bin of offsets, pooled over all events.
 
-    Adds `inbin`, the bin number. `normbin` counts the bins that hold rows.
+    Adds `inbin`, the bin number. `normbin` counts the bins that hold rows; one beyond them stops the query.
     """
     binned = rows.withColumn("inbin", offset_bin(F.col("dday"), before, after, nbins))
     medians = quantiles(binned.where(F.col("inbin").isNotNull()), ["inbin"], {v: (v, 0.5) for v in variables})
     in_order = F.array_sort(F.collect_list(F.struct("inbin", *variables)))  # at most nbins rows
-    row = medians.agg(F.try_element_at(in_order, F.lit(normbin)).alias("norm")).scalar()
+    bins = medians.agg(in_order.alias("bins"))
+    missing = F.raise_error(F.lit(f"fewer than {normbin} bins hold rows"))
+    norm = F.when(F.size("bins") > 0, F.coalesce(F.try_element_at("bins", F.lit(normbin)), missing))
+    row = bins.select(norm.alias("norm")).scalar()
     shifted = binned.withColumn("_norm", row)
     return shifted.withColumns({v: F.col(v) - F.col(f"_norm.{v}") for v in variables}).drop("_norm")
 
@@ -61,12 +64,12 @@ def align_events(
     Events are found per site, by row position. The windows are spelled out as (site, row number)
     pairs, so the rows come from an equi-join on a unique key.
     """
-    flagged = df.join(flags.select("site", "date", flag), ["site", "date"], "left")
+    flagged = join_null_safe(df, flags.select("site", "date", flag), ["site", "date"], "left")
     indexed = index_series(flagged.select("site", "date", flag, *variables), flag, staged="indexed")
     runs = number_runs(runs_of_indexed(indexed, flag, min_len), name="inst")
     lengths = indexed.groupBy("site").agg(F.max("rn").alias("series_len"))
     windows = event_windows(runs, lengths, before, after)
-    rows = stage(indexed.drop("tn").join(windows, ["site", "rn"]).drop("rn"), "windows")
+    rows = stage(join_null_safe(indexed.drop("tn"), windows, ["site", "rn"]).drop("rn"), "windows")
     if do_norm:
         rows = normalise(rows, variables, before, after, nbins, normbin)
     return Aligned(rows, quantiles(rows, ["dday"], median_and_terciles(variables)))

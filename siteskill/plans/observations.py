@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import month_start, week_start, year_start
 from ..functions.nulls import skip_sum, strict_mean, strict_sum
 from ..functions.units import water_balance_et
-from ..operators.bins import assign_bins, regular_bin, week_breaks
+from ..operators.bins import assign_bins, bin_limits, break_sequence, regular_bins, week_breaks
 from ..operators.joins import attach_metadata
 
 METADATA = ("lon", "lat", "elv", "classid", "whc", "koeppen_code", "igbp_land_use", "plant_functional_type", "c4")
@@ -23,6 +23,7 @@ class Observations:
     """Daily, multi-day, monthly and annual tables and the multi-day breaks (`brk`).
 
     Every level has `sitename`, `date` and the targets; `xdf` also has `inbin`, the bin's start.
+    `outside` counts the days of each site that are in no multi-day bin.
     """
 
     adf: DataFrame
@@ -30,6 +31,7 @@ class Observations:
     xdf: DataFrame | None = None
     ddf: DataFrame | None = None
     breaks: DataFrame | None = None
+    outside: DataFrame | None = None
 
 
 def _with_meta(df: DataFrame, meta: DataFrame | None) -> DataFrame:
@@ -67,28 +69,30 @@ def build_catchment_observations(daily: DataFrame, meta: DataFrame | None = None
 
 def build_observations_xdaily(
     daily: DataFrame, meta: DataFrame | None, targets: Sequence[str], quality: Sequence[str] = (),
-    breaks: DataFrame | None = None, width: int = 8, first: str = "1990-01-01", last: str = "2024-12-31",
+    breaks: DataFrame | None = None, width: int = 8, first: str | None = None, last: str | None = None,
     annual: str = "mean",
 ) -> Observations:
     """As `build_observations`, with bins of `width` days and quality columns averaged alongside.
 
     Regular bins are computed from the date alone; a `breaks` table is used if one is given. The last
-    break closes the last bin and belongs to it.
+    break closes the last bin and belongs to it. Without `first` and `last` the bins cover all days of the data;
+    days outside given limits are in no bin's mean, and `outside` counts them.
     """
     columns = [*targets, *quality]
     if breaks is None:
-        steps = F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.make_interval(days=F.lit(width)))
-        breaks = daily.sparkSession.range(1).select(F.explode(steps).alias("brk"))
-        end = F.element_at(steps, -1)
-        binned = daily.withColumn("inbin", regular_bin(F.col("date"), F.to_date(F.lit(first)), width, end, True))
+        limits = bin_limits(daily, width, first, last)
+        breaks = limits.select(F.explode(break_sequence(F.col("first"), F.col("last"), width)).alias("brk"))
+        binned = regular_bins(daily, width, first, last, include_last=True)
     else:
         binned = assign_bins(daily, breaks, include_last=True)
     means = [strict_mean(c).alias(c) for c in columns]
-    xdf = binned.groupBy("sitename", "inbin").agg(*means).withColumn("date", F.col("inbin"))
+    inside = binned.where(F.col("inbin").isNotNull())
+    xdf = inside.groupBy("sitename", "inbin").agg(*means).withColumn("date", F.col("inbin"))
     return Observations(
         adf=_with_meta(_level(daily, year_start("date"), targets, annual, quality), meta),
         mdf=_with_meta(_level(daily, month_start("date"), targets, "mean", quality), meta),
         xdf=_with_meta(xdf, meta),
         ddf=_with_meta(daily.select("sitename", "date", *columns), meta),
         breaks=breaks,
+        outside=binned.groupBy("sitename").agg(F.count_if(F.col("inbin").isNull()).alias("n_outside")),
     )
