@@ -31,6 +31,7 @@ UNKNOWN = "und"
 _SYMBOLS = 64
 _GRAMS = _SYMBOLS + _SYMBOLS**2 + _SYMBOLS**3
 SHARPNESS = 4.0
+SLICES = 64
 
 
 def symbol_table(letters: Iterable[str]) -> np.ndarray:
@@ -127,13 +128,18 @@ def train(texts: list[str], languages: list[str], landmarks: int = 96, ridge: fl
     return Model(table, names, grams, marks, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32))
 
 
+def _first(ids: DataFrame, keys: list[str], n: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
+
+
 def fit(docs: DataFrame, learn: Column, per_class: int = 400, **options) -> Model:
     """Learn from at most `per_class` rows a language among those where `learn` is true and lang and text are known."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = rows.select("doc_id", "lang").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).drop("place")
-    # per_class rows a language; a row_number filter is applied before the shuffle as well
+    # the first rows of each slice hold the first rows of the language, so no task orders a whole language
+    sliced = _first(ids.withColumn("slice", F.pmod(F.hash("doc_id"), F.lit(SLICES))), ["lang", "slice"], per_class)
+    sample = _first(sliced, ["lang"], per_class).drop("slice")  # per_class rows a language
     got = rows.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"]).collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     kept = [r for r in got if any(c.isalpha() for c in r["text"])]
