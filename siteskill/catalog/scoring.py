@@ -52,6 +52,10 @@ def _relative(spark, sf):
     return score.metric_set(site_daily(spark, sf), ["sitename"], relative=True)
 
 
+#: Quantiles of a column with few ties and of one with many; with a small accuracy every group counts as large.
+LARGE_GROUPS = {"low": ("value", 0.02), "half": ("value", 0.5), "high": ("value", 0.999), "flat": ("k", 0.66)}
+
+
 def _event_values(spark, sf):
     e = table(spark, sf, "events")
     number = F.get_json_object("props", "$.k").cast("double")
@@ -199,6 +203,18 @@ CASES = {
             quantile_cont(value, 0.66) AS value_q66, quantile_cont(k, 0.5) AS k_median, quantile_cont(k, 0.33) AS k_q33,
             quantile_cont(k, 0.66) AS k_q66 FROM {EVENTS_SQL} GROUP BY 1""",
     ),
+    "e7_quantiles_of_large_groups": Case(
+        "event_type:s low:f half:f high:f flat:f",
+        lambda s, d: stack_tables({
+            "by_type": quantiles(_event_values(s, d), ["event_type"], LARGE_GROUPS, accuracy=100),
+            "pooled": quantiles(_event_values(s, d), [], LARGE_GROUPS, accuracy=100).withColumn("event_type", F.lit("all")),
+        }),
+        " UNION ALL ".join(
+            f"""SELECT {name} AS event_type, quantile_cont(value, 0.02) AS low, quantile_cont(value, 0.5) AS half,
+            quantile_cont(value, 0.999) AS high, quantile_cont(k, 0.66) AS flat FROM {EVENTS_SQL} {by}"""
+            for name, by in (("event_type", "GROUP BY 1"), ("'all'", ""))
+        ),
+    ),
     "e8_axis_limit": Case(
         "limit_value:f", lambda s, d: axis_limit(site_daily(s, d)).withColumnRenamed("limit", "limit_value"),
         """SELECT round_even(greatest(quantile_cont(mod, 0.9999), quantile_cont(obs, 0.9999)), 0) AS limit_value

@@ -1,9 +1,10 @@
 """Exact quantiles (linear between order statistics) of groups of any size.
 
-The built-in exact percentile keeps all values of a group in one buffer. Here an approximate
-quantile sketch first brackets each wanted quantile of a large group. Then one more pass keeps the
-values inside the brackets and replaces the others, already on the map side, by counts. What is left
-of a group is small, and a running count over it finds the exact order statistics.
+The built-in exact percentile keeps all values of a group in one buffer. Here groups are counted first. If
+some are large, an approximate quantile sketch brackets each wanted quantile of theirs, and one more
+pass keeps the values inside the brackets and replaces the others, already on the map side, by counts.
+What is left of a group is cut into parts along the value, and running counts over parts and within
+them find the exact order statistics.
 
 The brackets only decide which rows may be counted together. Any bracket that holds the wanted order
 statistics gives the same result, so a recomputed sketch (lost executor) cannot change it; and if a
@@ -17,6 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .joins import join_null_safe
 
 # The sketch promises a rank error of at most rows / ACCURACY; the brackets are four times as wide.
@@ -25,6 +27,7 @@ ACCURACY = 50_000
 MARGINS = 4
 SMALL_GROUPS = 2
 SLICES = 256
+PARTS = 64
 
 
 MISSED = "raise_error('a quantile bracket missed its order statistic')"
@@ -55,40 +58,62 @@ def quantiles(
     long = df.selectExpr(*[f"`{k}` AS `_key_{k}`" for k in by], f"inline(array({cells}))")
     group = [*keys, "_var"]
 
+    counts = long.groupBy(*group).agg(F.count("_v").alias("_rows"))
+    large = stage(counts.where(F.col("_rows") > SMALL_GROUPS * accuracy).drop("_rows"), "large_groups")
+    if large.isEmpty():
+        counted = long.groupBy(*group, F.col("_v").alias("_rep"), F.lit(True).alias("_kept")).agg(F.count("_v").alias("_count"))
+        upto = Window.partitionBy(*group).orderBy(F.col("_rep").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counted.withColumns({
+            "_cum": F.sum("_count").over(upto), "_n": F.sum("_count").over(Window.partitionBy(*group))
+        })
+    else:
+        ranked = _ranked_large(long, large, group, probs, accuracy)
+    per_var = ranked.groupBy(*group).agg(*[F.expr(f"{_quantile(p)} AS _q{i}") for i, p in enumerate(probs)])
+    out = per_var.groupBy(*keys).agg(*[
+        F.expr(f"max(CASE WHEN _var = '{c}' THEN _q{probs.index(p)} END) AS `{name}`") for name, (c, p) in wanted.items()
+    ])
+    return out.withColumnsRenamed({f"_key_{k}": k for k in by})
+
+
+def _ranked_large(long: DataFrame, large: DataFrame, group: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """Values with their running count; those outside the brackets of a large group are counted together."""
     edges = [min(max(p + side * MARGINS / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
     # Sketches of a hot group come from every task, so they are first merged in slices of the tasks. In
     # no slice do more rows than its share lie below its own bracket; hence none of the slices' outer
     # edges cuts off the quantile of the whole.
-    sketched = long.groupBy(*group, (F.spark_partition_id() % SLICES).alias("_slice")).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_edges")
+    sketched = join_null_safe(long, large, group, "left_semi").groupBy(*group, (F.spark_partition_id() % SLICES).alias("_slice")).agg(
+        F.percentile_approx("_v", edges, accuracy).alias("_edges")
     )
     outer = ", ".join(f"{'max' if i % 2 else 'min'}(_edges[{i}])" for i in range(len(edges)))
-    brackets = (
-        sketched.groupBy(*group)
-        .agg(F.sum("_n").alias("_n"), F.expr(f"array({outer}) AS _edges"))
-        .where(f"_n > {SMALL_GROUPS * accuracy}")
-        .drop("_n")
-    )
+    # Written, so that their size is known: values then meet them in a map-side join wherever they are few.
+    brackets = stage(sketched.groupBy(*group).agg(F.expr(f"array({outer}) AS _edges")), "brackets")
     inside = " OR ".join(f"_v BETWEEN _edges[{2 * i}] AND _edges[{2 * i + 1}]" for i in range(len(probs)))
     highs = [f"_edges[{2 * i + 1}]" for i in range(len(probs))]
     below = f"greatest(cast(NULL AS double), {', '.join(f'CASE WHEN {h} < _v THEN {h} END' for h in highs)})"
+    # A part rises with the value: it cuts each bracket into equal lengths, and its rows are ordered by themselves.
+    parts = " + ".join(
+        f"CASE WHEN _rep >= _edges[{2 * i + 1}] THEN {PARTS} WHEN _rep > _edges[{2 * i}] THEN "
+        f"cast(least({PARTS} - 1, floor(try_divide(_rep - _edges[{2 * i}], _edges[{2 * i + 1}] - _edges[{2 * i}]) * {PARTS})) AS int) ELSE 0 END"
+        for i in range(len(probs))
+    )
     counted = (
         join_null_safe(long, brackets, group, "left")
         .selectExpr(*group, "_v", "_edges", f"_edges IS NULL OR {inside} AS _kept")
-        .selectExpr(*group, "_kept", f"CASE WHEN _kept THEN _v ELSE {below} END AS _rep", "_v")
-        .groupBy(*group, "_rep", "_kept")
+        .selectExpr(*group, "_kept", "_edges", f"CASE WHEN _kept THEN _v ELSE {below} END AS _rep", "_v")
+        .selectExpr(*group, "_kept", "_rep", "_v", f"CASE WHEN _edges IS NULL THEN 0 ELSE {parts} END AS _part")
+        .groupBy(*group, "_part", "_rep", "_kept")
         .agg(F.count("_v").alias("_count"))
     )
-    whole = Window.partitionBy(*group)
-    upto = whole.orderBy(F.col("_rep").asc_nulls_first(), F.col("_kept").desc()).rowsBetween(
-        Window.unboundedPreceding, 0
+    counted = stage(counted, "counted")
+    inner = Window.partitionBy(*group, "_part")
+    upto = inner.orderBy(F.col("_rep").asc_nulls_first(), F.col("_kept").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*group)  # some hundred rows a group
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.groupBy(*group, "_part").agg(F.sum("_count").alias("_sum")).select(
+        *group, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(whole).alias("_n")
     )
-    ranked = counted.withColumns({"_cum": F.sum("_count").over(upto), "_n": F.sum("_count").over(whole)})
-    per_var = ranked.groupBy(*group).agg(*[F.expr(f"{_quantile(p)} AS _q{i}") for i, p in enumerate(probs)])
-    out = per_var.groupBy(*keys).agg(*[
-        F.expr(f"max(CASE WHEN _var = '{c}' THEN _q{probs.index(p)} END) AS `{name}`") for name, (c, p) in wanted.items()
-    ])
-    return out.withColumnsRenamed({f"_key_{k}": k for k in by})
+    local = counted.withColumn("_local", F.sum("_count").over(upto))
+    return join_null_safe(local, sums, [*group, "_part"]).withColumn("_cum", F.col("_local") + F.col("_before"))
 
 
 def median_and_terciles(variables: Sequence[str]) -> dict[str, tuple[str, float]]:
