@@ -37,6 +37,8 @@ from .texts import SPACES, mixed, pieces
 WORDS = 5
 SINGLES = 16
 HOT = 32
+#: Bytes of text in one piece of work; a piece takes some 60 times as much memory in arrays.
+CHARS = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _LETTER = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -165,7 +167,7 @@ def prefix(part: dict, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _per_batch(work, names: list[str], keep: str = "text"):
     def call(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in pieces(batches, keep):
+        for batch in pieces(batches, keep, CHARS):
             out = work(shingler, batch)
             if len(out[0]):
                 yield from pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=names).to_batches(max_chunksize=100_000)
