@@ -46,7 +46,7 @@ class Evaluation:
 
 
 def _annual_levels(site_cells: DataFrame) -> dict[str, DataFrame]:
-        return {
+    return {
         "annual_pooled": _guarded(pool(site_cells)),
         "spatial": _with_level_guard(regression_stats(site_cells, mod="mod_mean", obs="obs_mean"), site_cells),
         "anomalies_annual": _guarded(pool(site_cells, anomalies=True)),
