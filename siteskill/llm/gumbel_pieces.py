@@ -2,11 +2,13 @@
 
 A text's lattice has an edge for every piece of the vocabulary; a character without a piece is spelled in its bytes.
 A piece of merge rank r weighs 1 / (r + 2), a segmentation the product of its pieces, and its probability is its
-share of all segmentations of the text. As in the vocabulary, a space only begins a piece, so the lattice factors into units: a
-space with up to `UNIT` letters, or up to 8 spaces. Longer words are cut there, and the lattice has no edge across a cut.
+share of all segmentations of the text. In the vocabulary a space only follows spaces, so no piece crosses the end of a
+word, and the lattice factors exactly into units: a whole word with all spaces before it. Backward sums over the lattice of a
+unit give every edge its probability given the position it leaves; a path is drawn edge by edge from them. Units of up to
+`LISTED` characters are one position whose edges are all their segmentations, which is the same thing in fewer steps.
 
 `encode` draws the `k` segmentations whose log probability plus Gumbel noise is largest, by a perturbed A* search from
-the top: a node is a prefix, and its perturbed value is the exact maximum over all segmentations below it, so the
+the top: a node is a prefix of edges, and its perturbed value is the exact maximum over all segmentations below it, so the
 first k leaves taken from the queue are the answer, in order. The children of a node share its maximum: the best one
 inherits it, the others draw theirs truncated at it. `inclusion` is 1 - exp(-exp(log_prob - threshold)), threshold
 being the (k+1)-th perturbed value: dividing by it makes sums over the samples unbiased.
@@ -34,12 +36,13 @@ from pyspark.sql import functions as F
 from .texts import pieces, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT = 5
-KNOWN = 600_000
-SLOTS = 16
+LISTED = 6
+#: Edges that a task remembers, and characters of new units whose lattices are built at once.
+KNOWN = 6_000_000
+CHARS = 200_000
 #: -log(u) lies between 2 ** -54 and 38 for every u that noise can be, so no value at a location lower by this can win.
 REACH = 45.0
-_UNITS = re.compile(f" ?[^ ]{{1,{UNIT}}}| {{1,8}}")
+_UNITS = re.compile(" *[^ ]+| +")
 SCHEMA = (
     "doc_id bigint, n_chars bigint, segmentations array<array<int>>, log_prob array<double>, perturbed array<double>, "
     "inclusion array<double>, round_trip boolean"
@@ -48,12 +51,32 @@ SCHEMA = (
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces with spaces for U+2581, their log weights, and the ids of the 256 bytes."""
+    """Pieces with spaces for U+2581, their log weights, the ids of the 256 bytes, and the pieces as a trie.
+
+    A step of the trie is state << 21 | code point (`steps`, sorted) to a state (`states`); `ends` is a state's piece or -1.
+    """
 
     ids: dict[str, int]
     weights: np.ndarray
     spelled: list[bytes]
     byte_ids: list[int]
+    steps: np.ndarray
+    states: np.ndarray
+    ends: np.ndarray
+
+
+def trie(ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found: dict[int, int] = {}
+    ends = [-1]
+    for piece, i in ids.items():
+        state = 0
+        for c in piece:
+            state = found.setdefault(state << 21 | ord(c), len(ends))
+            if state == len(ends):
+                ends.append(-1)
+        ends[state] = i
+    steps = np.array(sorted(found), np.int64)
+    return steps, np.array([found[s] for s in steps.tolist()], np.int64), np.array(ends, np.int64)
 
 
 def vocabulary(model: str = MODEL) -> Vocabulary:
@@ -70,7 +93,10 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
         spelled[i] = bytes([b])
     rank = np.array([max(0.0, -p.get_score(i)) for i in range(n)])
     rank[byte_ids] = n
-    return Vocabulary({names[i].replace("▁", " "): i for i in plain}, -np.log(rank + 2), spelled, byte_ids)
+    ids = {names[i].replace("▁", " "): i for i in plain}
+    if any(" " in piece.lstrip(" ") for piece in ids):
+        raise ValueError("a piece crosses the end of a word")
+    return Vocabulary(ids, -np.log(rank + 2), spelled, byte_ids, *trie(ids))
 
 
 def unit_lattice(unit: str, vocab: Vocabulary) -> list[tuple[float, tuple[int, ...]]]:
@@ -90,8 +116,63 @@ def unit_lattice(unit: str, vocab: Vocabulary) -> list[tuple[float, tuple[int, .
     return tails[0]
 
 
+def word_lattice(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Edges of the lattices of all units, by the position they leave and the longest first; positions are numbered through.
+
+    Returns the position each edge leaves, the one it leads to (-1 at the end of its unit), its piece (-1 - b for the b-th
+    spelling in bytes), its log weight with all that follows, and those spellings.
+    """
+    codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(u) for u in units])
+    stop = np.repeat(np.cumsum(sizes), sizes)
+    begin = at = np.arange(len(codes))
+    state = np.zeros(len(codes), np.int64)
+    found = []
+    bare = np.ones(len(codes), bool)
+    while len(at):
+        step = state << 21 | codes[at]
+        k = np.minimum(np.searchsorted(vocab.steps, step), len(vocab.steps) - 1)
+        hit = vocab.steps[k] == step
+        begin, at, state = begin[hit], at[hit] + 1, vocab.states[k[hit]]
+        piece = vocab.ends[state]
+        ok = piece >= 0
+        if not found:
+            bare[begin[ok]] = False
+        found.append((begin[ok], at[ok], piece[ok]))
+        on = at < stop[begin]
+        begin, at, state = begin[on], at[on], state[on]
+    bare = np.flatnonzero(bare)
+    letters, which = np.unique(codes[bare], return_inverse=True)
+    bytewise = [[vocab.byte_ids[b] for b in chr(c).encode()] for c in letters]
+    heavy = np.array([vocab.weights[x].sum() for x in bytewise])
+    found.insert(0, (bare, bare + 1, -1 - which))
+    start, to, piece = (np.concatenate(x) for x in zip(*found[::-1]))
+    order = np.argsort(start, kind="stable")
+    start, to, piece = start[order], to[order], piece[order]
+    w = vocab.weights[np.maximum(piece, 0)]
+    w[piece < 0] = heavy[-1 - piece[piece < 0]]
+    to = np.where(to == stop[start], -1, to)
+    # positions as far from the end of their unit are summed together; the last entry stands for the end
+    after = np.zeros(len(codes) + 1)
+    far = (stop - np.arange(len(codes)))[start]
+    order = np.argsort(far, kind="stable")
+    cuts = np.searchsorted(far[order], np.arange(1, sizes.max() + 2))
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        e = order[a:z]
+        x = w[e] + after[to[e]]
+        w[e] = x
+        new = np.flatnonzero(np.r_[True, np.diff(start[e]) != 0])
+        top = np.maximum.reduceat(x, new)
+        after[start[e[new]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.r_[new, len(e)]))), new))
+    return start, to, piece, w, bytewise
+
+
 class Sampler:
-    """Segmentations of the units met so far as flat arrays, and the search over them."""
+    """The lattices of the units met so far as flat arrays, and the search over them.
+
+    A node is a position of a unit; its edges are `first[node]` to `first[node + 1]`. An edge has its log probability given the
+    node, the running sum of those probabilities, its tokens, and the node it leads to (-1 at the end of the unit).
+    """
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
@@ -101,110 +182,100 @@ class Sampler:
         self.number: dict[str, int] = {}
         self.cum, self.logp = np.zeros(0), np.zeros(0)
         self.first, self.start = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.next = np.zeros(0, np.int64)
         self.tokens = np.zeros(0, np.int32)
-        self.guide = np.zeros(0, np.int32)  # for each unit and sixteenth of (0, 1), where to begin to look in cum
 
     def learn(self, units: set[str]) -> None:
         new = sorted(units - self.number.keys())
-        if not new:
-            return
-        if len(self.number) + len(new) > KNOWN and self.number:
+        if new and len(self.logp) > KNOWN:
             self.reset()
             new = sorted(units)
-        base = len(self.number)
-        logp, counts, lengths, tokens = [], [], [], []
-        for unit in new:
-            ways = unit_lattice(unit, self.vocab)
-            logp += [w for w, _ in ways]
-            counts.append(len(ways))
-            lengths += [len(t) for _, t in ways]
-            for _, t in ways:
-                tokens += t
-        w, counts = np.array(logp), np.array(counts)
+        short = [u for u in new if len(u) <= LISTED]
+        if short:
+            ways = [unit_lattice(u, self.vocab) for u in short]
+            self.number |= {u: len(self.first) - 1 + k for k, u in enumerate(short)}
+            counts = np.array([len(x) for x in ways])
+            tokens = [i for x in ways for _, t in x for i in t]
+            self._add(np.array([w for x in ways for w, _ in x]), counts, np.full(counts.sum(), -1), np.array([len(t) for x in ways for _, t in x]), np.array(tokens))
+        long = [u for u in new if len(u) > LISTED]
+        slot = np.cumsum([len(u) for u in long]) // CHARS
+        cuts = np.flatnonzero(np.r_[True, np.diff(slot) != 0]).tolist() if long else []
+        for a, z in zip(cuts, [*cuts[1:], len(long)]):
+            some, base = long[a:z], len(self.first) - 1
+            sizes = np.array([len(u) for u in some])
+            self.number |= dict(zip(some, (base + np.cumsum(sizes) - sizes).tolist()))
+            leaves, to, piece, w, bytewise = word_lattice(some, self.vocab)
+            lengths = np.ones(len(piece), np.int64)
+            spelled = np.flatnonzero(piece < 0)
+            tokens = piece
+            if len(spelled):
+                many = np.array([len(x) for x in bytewise])
+                lengths[spelled] = many[-1 - piece[spelled]]
+                tokens = np.repeat(piece, lengths)
+                tokens[np.repeat(piece < 0, lengths)] = [i for k in (-1 - piece[spelled]).tolist() for i in bytewise[k]]
+            self._add(w, np.bincount(leaves, minlength=sizes.sum()), np.where(to < 0, -1, base + to), lengths, tokens)
+
+    def _add(self, w: np.ndarray, counts: np.ndarray, to: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> None:
+        """Nodes with `counts` edges each, whose log weights `w` include all that follows."""
         at = np.cumsum(counts) - counts
         top = np.repeat(np.maximum.reduceat(w, at), counts)
         total = np.add.reduceat(np.exp(w - top), at)
-        w = np.where(np.repeat(counts, counts) == 1, 0.0, w - top - np.log(np.repeat(total, counts)))
-        p = np.exp(w)
-        run = np.cumsum(p)
-        run = run - np.repeat(run[at] - p[at], counts)
-        which = np.repeat(np.arange(base, base + len(new)), counts)
+        w = np.where(np.repeat(counts, counts) == 1, 0.0, np.minimum(w - top - np.log(np.repeat(total, counts)), 0.0))
+        run = np.exp(w)
+        for k in range(1, int(counts.max())):
+            has = at[counts > k] + k
+            run[has] += run[has - 1]
         run[at + counts - 1] = 1.0
-        slots = (np.arange(base, base + len(new))[:, None] + np.arange(SLOTS) / SLOTS).ravel()
-        self.guide = np.r_[self.guide, (len(self.cum) + np.searchsorted(which + np.minimum(run, 1.0), slots, side="left")).astype(np.int32)]
-        self.cum = np.r_[self.cum, which + np.minimum(run, 1.0)]
-        self.logp = np.r_[self.logp, w]
+        self.cum, self.logp, self.next = np.r_[self.cum, np.minimum(run, 1.0)], np.r_[self.logp, w], np.r_[self.next, to]
         self.first = np.r_[self.first, self.first[-1] + np.cumsum(counts)]
         self.start = np.r_[self.start, self.start[-1] + np.cumsum(lengths)]
-        self.tokens = np.r_[self.tokens, np.array(tokens, np.int32)]
-        self.number |= {u: base + k for k, u in enumerate(new)}
-
-    def _chosen(self, units: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """A segmentation number for every unit, by its probability."""
-        at = self.guide[units * SLOTS + (u * SLOTS).astype(np.int64)].astype(np.int64)
-        last, goal = self.first[units + 1] - 1, units + u
-        at = np.clip(at, self.first[units], last)
-        open_ = np.flatnonzero((self.cum[at] < goal) & (at < last))
+        self.tokens = np.r_[self.tokens, tokens.astype(np.int32)]
+
+    def _chosen(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of every node, by its probability."""
+        low, high = self.first[nodes], self.first[nodes + 1] - 1
+        open_ = np.flatnonzero(low < high)
         while len(open_):
-            at[open_] += 1
-            open_ = open_[(self.cum[at[open_]] < goal[open_]) & (at[open_] < last[open_])]
-        return at
+            a, z = low[open_], high[open_]
+            middle = (a + z) >> 1
+            less = self.cum[middle] < u[open_]
+            low[open_], high[open_] = np.where(less, middle + 1, a), np.where(less, z, middle)
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    def _paths(self, tails: list[np.ndarray], keys: np.ndarray, turn: int) -> list[np.ndarray]:
+        """For each text the edges drawn from its nodes to the ends of their units, in order."""
+        sizes = np.array([len(x) for x in tails])
+        nodes, key = np.concatenate(tails), np.repeat(keys, sizes)
+        place = (np.arange(len(nodes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
+        which, depth, edges, owners = np.arange(len(nodes)), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(which):
+            took = self._chosen(nodes, uniform(stream(key[which], turn, 0, depth), place[which]))
+            edges.append(took)
+            owners.append(which)
+            on = np.flatnonzero(self.next[took] >= 0)
+            nodes, which, depth = self.next[took[on]], which[on], depth + 1
+        order = np.argsort(np.concatenate(owners), kind="stable")
+        text = np.repeat(np.arange(len(tails)), sizes)[np.concatenate(owners)]
+        return np.split(np.concatenate(edges)[order], np.cumsum(np.bincount(text, minlength=len(tails)))[:-1])
 
     def sample(self, units: np.ndarray, key: np.uint64, k: int) -> list[tuple[np.ndarray, float, float]]:
-        """(segmentation of each unit, log probability, perturbed value) of the best k, and the value of the next as a last entry."""
-        n, out, queue, drawn = len(units), [], [], 0
-
-        def noise(count: int) -> np.ndarray:
-            nonlocal drawn
-            drawn += 1
-            stream = int(key) ^ drawn * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-            return uniform(np.array([stream], np.uint64), np.arange(count, dtype=np.uint64))
-
-        def single() -> float:
-            return float(noise(1)[0])
-
-        def below(top, loc, u):
-            """Gumbel values at `loc`, truncated at `top`."""
-            with np.errstate(over="ignore", divide="ignore"):
-                return top - np.log1p(np.exp(top - loc) * -np.log(u))
-
-        def complete(head: np.ndarray, top: float, log_head: float) -> None:
-            a = len(head)
-            tail = self._chosen(units[a:], noise(n - a))
-            logs = self.logp[tail]
-            upto = log_head + np.cumsum(logs)
-            choice = np.r_[head, tail]
-            total = float(upto[-1]) if len(upto) else log_head
-            out.append((choice, total, top))
-            if len(tail):
-                before = upto - logs  # falls from left to right
-                span = 256
-                while True:
-                    with np.errstate(divide="ignore"):
-                        loc = before[:span] + np.log(-np.expm1(logs[:span]))
-                    lowest = np.partition(loc, -k - 1)[-k - 1] if len(loc) > k else -np.inf
-                    if span >= len(tail) or before[span] < lowest - REACH:
-                        break
-                    span *= 4
-                g = below(top, loc, noise(len(loc)))
-                best = np.argpartition(-g, k)[: k + 1] if len(g) > k else np.arange(len(g))
-                for j in best:
-                    if g[j] > -np.inf:
-                        heapq.heappush(queue, (-float(g[j]), len(out), int(j), choice, a + int(j), {int(tail[j])}, float(upto[j] - logs[j])))
-
-        complete(np.zeros(0, np.int64), -float(np.log(-np.log(single()))), 0.0)
-        while len(out) < k and queue:
-            top, _, _, choice, at, without, log_head = heapq.heappop(queue)
-            top = -top
-            ways = np.array([i for i in range(self.first[units[at]], self.first[units[at] + 1]) if i not in without])
-            p = np.exp(self.logp[ways])
-            took = int(ways[min(np.searchsorted(np.cumsum(p), single() * p.sum(), side="left"), len(ways) - 1)])
-            rest = float(p[ways != took].sum())
-            if rest > 0:
-                g = float(below(top, log_head + np.log(rest), single()))
-                heapq.heappush(queue, (-g, len(out), -1 - len(without), choice, at, without | {took}, log_head))
-            complete(np.r_[choice[:at], took], top, log_head + float(self.logp[took]))
-        return [*out, (None, 0.0, -queue[0][0] if queue else -np.inf)]
+        """(edges, log probability, perturbed value) of the best k, and the value of the next as a last entry."""
+        return self.sample_all([units], np.array([key], np.uint64), k)[0]
+
+    def sample_all(self, texts: list[np.ndarray], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+        """`sample` of every text: all draw their next path together."""
+        tops = -np.log(-np.log(uniform(stream(keys, 0, 1), np.zeros(len(keys), np.uint64))))
+        searches = [_Search(self, units, key, k, top) for units, key, top in zip(texts, keys, tops.tolist())]
+        turn = 0
+        live = searches
+        while live:
+            paths = self._paths([s.tail for s in live], np.array([s.key for s in live], np.uint64), turn)
+            for s, path in zip(live, paths):
+                s.complete(path, turn)
+            turn += 1
+            live = [s for s in live if s.advance(turn)]
+        return [[*s.out, (None, 0.0, -s.queue[0][0] if s.queue else -np.inf)] for s in searches]
 
     def spelled(self, choice: np.ndarray) -> np.ndarray:
         begin, count = self.start[choice], self.start[choice + 1] - self.start[choice]
@@ -212,6 +283,77 @@ class Sampler:
         return self.tokens[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)]
 
 
+def stream(key: np.ndarray, turn: int, use: int, depth: int = 0) -> np.ndarray:
+    """A key of its own for every step of a search."""
+    number = (turn << 34 | use << 32 | depth) + 1
+    return key ^ np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
+def below(top, loc, u):
+    """Gumbel values at `loc`, truncated at `top`."""
+    with np.errstate(over="ignore", divide="ignore"):
+        return top - np.log1p(np.exp(top - loc) * -np.log(u))
+
+
+class _Search:
+    """The perturbed A* search of one text; `tail` is where the path it waits for begins: the nodes still to be left."""
+
+    def __init__(self, sampler: Sampler, units: np.ndarray, key: np.uint64, k: int, top: float) -> None:
+        self.sampler, self.units, self.key, self.k = sampler, units, key, k
+        self.out: list = []
+        self.queue: list = []
+        self.head, self.log_head, self.tail = np.zeros(0, np.int64), 0.0, units
+        self.top = top
+
+    def noise(self, turn: int, use: int, count: int) -> np.ndarray:
+        return uniform(stream(np.array([self.key], np.uint64), turn, use), np.arange(count, dtype=np.uint64))
+
+    def complete(self, tail: np.ndarray, turn: int) -> None:
+        """Take the path head + tail, and put the best nodes beside it into the queue."""
+        k, a, top = self.k, len(self.head), self.top
+        logs = self.sampler.logp[tail]
+        upto = self.log_head + np.cumsum(logs)
+        choice = np.concatenate([self.head, tail]) if a else tail
+        self.out.append((choice, float(upto[-1]) if len(upto) else self.log_head, top))
+        if not len(tail):
+            return
+        before = upto - logs  # falls from left to right
+        span = 128
+        while True:
+            with np.errstate(divide="ignore"):
+                loc = before[:span] + np.log(-np.expm1(logs[:span]))
+            lowest = np.partition(loc, -k - 1)[-k - 1] if len(loc) > k else -np.inf
+            if span >= len(tail) or before[span] < lowest - REACH:
+                break
+            span *= 4
+        g = below(top, loc, self.noise(turn, 2, len(loc)))
+        best = np.argpartition(-g, k)[: k + 1] if len(g) > k else np.arange(len(g))
+        for j in best:
+            if g[j] > -np.inf:
+                heapq.heappush(self.queue, (-float(g[j]), len(self.out), int(j), choice, a + int(j), {int(tail[j])}, float(before[j])))
+
+    def advance(self, turn: int) -> bool:
+        """Leave the best node of the queue by an edge not taken before; false if the search is over."""
+        if len(self.out) >= self.k or not self.queue:
+            return False
+        s = self.sampler
+        top, _, _, choice, at, without, log_head = heapq.heappop(self.queue)
+        self.top = -top
+        node = int(np.searchsorted(s.first, choice[at], side="right")) - 1
+        ways = np.array([i for i in range(int(s.first[node]), int(s.first[node + 1])) if i not in without])
+        p = np.exp(s.logp[ways])
+        u = self.noise(turn, 1, 2)
+        took = int(ways[min(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="left"), len(ways) - 1)])
+        rest = float(p[ways != took].sum())
+        if rest > 0:
+            g = float(below(self.top, log_head + np.log(rest), u[1]))
+            heapq.heappush(self.queue, (-g, len(self.out), -1 - len(without), choice, at, without | {took}, log_head))
+        self.head, self.log_head = np.append(choice[:at], took), log_head + float(s.logp[took])
+        left = self.units[np.count_nonzero(s.next[choice[:at]] < 0) + 1 :]
+        self.tail = np.concatenate([s.next[took : took + 1], left]) if s.next[took] >= 0 else left
+        return True
+
+
 def seed(doc_id: int | None, text: str | None) -> np.uint64:
     name = f"id {doc_id}" if doc_id is not None else f"text {text or ''}"
     return np.uint64(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little"))
@@ -234,9 +376,8 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
             sampler.learn(set().union(*found))
             number = sampler.number
             tokens, lengths, counts, logs, tops, shares = [], [], [], [], [], []
-            for doc_id, text, units in zip(ids, texts, found):
-                numbers = np.array(list(map(number.__getitem__, units)), np.int64)
-                *samples, (_, _, after) = sampler.sample(numbers, seed(doc_id, text), k)
+            numbers = [np.array(list(map(number.__getitem__, units)), np.int64) for units in found]
+            for *samples, (_, _, after) in sampler.sample_all(numbers, np.array([seed(i, t) for i, t in zip(ids, texts)], np.uint64), k):
                 counts.append(len(samples))
                 for choice, log_prob, top in samples:
                     tokens.append(sampler.spelled(choice))

@@ -158,6 +158,48 @@ def test_sampled_segmentations_have_their_probabilities():
     assert estimate == pytest.approx(1, abs=0.05)
 
 
+@pytest.mark.parametrize("text", ["information", "a  straße😀été", "x     internationals", "-" * 9, "       "])
+def test_lattice_spans_whole_words(text):
+    vocab = gumbel_pieces.vocabulary()
+    sampler, units = gumbel_pieces.Sampler(vocab), gumbel_pieces.units_of(text)
+    ways = [gumbel_pieces.unit_lattice(u, vocab) for u in units]
+    total = sum(np.logaddexp.reduce([w for w, _ in x]) for x in ways)
+    chance = Counter()
+    for path in itertools.product(*ways):
+        chance[sum((t for _, t in path), ())] += np.exp(sum(w for w, _ in path) - total)
+    sampler.learn(set(units))
+    numbers, n, first, second, estimate = np.array([sampler.number[u] for u in units]), 2000, Counter(), Counter(), 0.0
+    for *drawn, (_, _, after) in sampler.sample_all([numbers] * n, np.array([gumbel_pieces.seed(i, None) for i in range(n)]), 2):
+        a, b = (tuple(sampler.spelled(d[0]).tolist()) for d in drawn)
+        assert a != b and drawn[0][2] >= drawn[1][2] >= after
+        assert [d[1] for d in drawn] == pytest.approx([np.log(chance[x]) for x in (a, b)], abs=1e-9)
+        first[a] += 1
+        second[b] += 1
+        estimate += sum(np.exp(d[1]) / -np.expm1(-np.exp(d[1] - after)) for d in drawn) / n
+    common = sorted(chance, key=chance.get)[-40:]
+    assert max(abs(first[c] / n - chance[c]) for c in common) < 0.04
+    want = {c: sum(p * chance[c] / (1 - p) for d, p in chance.items() if d != c) for c in common}  # without replacement
+    assert max(abs(second[c] / n - p) for c, p in want.items()) < 0.04
+    assert estimate == pytest.approx(1, abs=0.05)
+    if text == "information":
+        assert first[(vocab.ids[" information"],)] > n / 2
+
+
+def test_search_of_a_text_is_its_own():
+    sampler = gumbel_pieces.Sampler(gumbel_pieces.vocabulary())
+    texts = ["international information", "", "a", "d" * 3000, "ab " * 400 + "extraordinarily"]
+    units = [gumbel_pieces.units_of(t) for t in texts]
+    sampler.learn(set().union(*units))
+    numbers = [np.array([sampler.number[u] for u in x], np.int64) for x in units]
+    keys = np.array([gumbel_pieces.seed(i, None) for i in range(len(texts))])
+    for got, text, x, key in zip(sampler.sample_all(numbers, keys, 3), texts, numbers, keys):
+        alone = sampler.sample(x, key, 3)
+        assert [(d[1], d[2]) for d in got] == [(d[1], d[2]) for d in alone] and len(got) == (2 if not text else len(alone))
+        for choice, log_prob, _ in got[:-1]:
+            assert gumbel_pieces.decoded(sampler.spelled(choice).tolist(), sampler.vocab) == text
+            assert log_prob == pytest.approx(sampler.logp[choice].sum())
+
+
 def test_pieces_decode_to_the_text(spark):
     texts = [(1, "Hello  world\n a é😀"), (2, ""), (3, None), (4, "▁a ▁ b<0x0A>"), (5, "x"), (None, "   "), (6, "word " * 9000), (6, "word " * 9000)]
     docs = spark.createDataFrame([(k, t, "x") for k, t in texts], "doc_id bigint, text string, segmentations string")
