@@ -83,7 +83,7 @@ class Shingler:
         with np.errstate(over="ignore"):
             rows, values = [], []
             for width in range(1, WORDS + 1):
-                begin = np.flatnonzero(at[: len(at) - WORDS + 1] == at[WORDS - 1 :]) if width == WORDS else first[count == width]
+                begin = np.flatnonzero(at[: max(0, len(at) - WORDS + 1)] == at[WORDS - 1 :]) if width == WORDS else first[count == width]
                 value = np.full(len(begin), width, np.uint64)
                 for k in range(width):
                     value = mixed(value + codes[begin + k])

@@ -80,6 +80,18 @@ def test_join_defines_odd_rows(spark):
     assert got == Counter({(3, 2, 1): 2, (None, 2, None): 1, (1, 2, 1): 1})
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_join_of_a_single_short_text(spark, n):
+    texts = [(7, " ".join(f"w{k}" for k in range(n)))]
+    assert joined(docs_of(spark, texts)) == brute_components(texts)
+
+
+def test_three_words_in_several_texts():
+    for texts in (["a", "b c"], ["a", "b", "c"], [None, "a b c", ""]):
+        row, _ = jaccard_join.Shingler().sets(texts)
+        assert row.tolist() == [i for i, t in enumerate(texts) if t]
+
+
 def test_archive_reconstructs_records(spark):
     big = "é" * 600
     rows = [(1, "http://a/\r\nX", big), (2, None, big), (3, "", "small"), (4, "u", "small"), (5, "u", None), (7, "u", big), (7, "u", big), (None, "u", big)]
