@@ -1,12 +1,12 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine search in a block-max inverted index.
-
-1. `choose_terms` learns the vocabulary from a bounded, documented sample of labelled rows (`per_class` a
-   class, in the order of a hash): word beginnings of 4 to 10 letters that are tied to the label (chi squared).
-2. `vectors` counts those terms in every whole text with one automaton; all other words of a text share one
-   term, so that a vector also knows how thin the listed terms are. Document frequencies come from all texts.
-3. `Index` holds the labelled vectors, equal ones merged, as postings in blocks of 64 entries with each block's
-   largest impact. A query visits blocks in the order of their upper bound and stops when no unseen block can
-   hold a nearer entry: the result equals a full scan.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine search over all words of the examples.
+
+1. `count_words` takes every word of a bounded, documented sample of labelled rows (`per_class` a class, in the order
+   of a hash), with the number of toxic and other examples that hold it. No word is left out.
+2. `vectors` counts those words in every whole text; words that no example holds share one term, so that a vector also
+   knows how much of a text they are. Document frequencies come from all texts. A word weighs its idf times
+   `relevance`, which is least for a word spread evenly over both classes and never 0.
+3. `Index` holds the labelled vectors, equal ones merged, as postings; the longest lists are kept as a dense matrix.
+   A batch of texts is compared with all of them, so the result equals a full scan.
 4. Votes are weighted by distance and mapped to probabilities by isotonic regression on leave-one-out votes.
 
 Edge cases: null and empty texts have the empty vector; its score is the share of toxic rows among labelled texts
@@ -17,13 +17,12 @@ gives an empty result. The score depends on the text alone.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, replace
+from itertools import batched
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,83 +31,52 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .texts import labelled, pieces
 
-SHORTEST, LONGEST = 4, 10
-BLOCK = 64
+#: Texts that are compared at once, and the most lists of the index that are kept dense.
+BLOCK = 32
+DENSE = 512
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def beginnings(text: str | None) -> set[str]:
-    out: set[str] = set()
-    for word in set(_LETTERS.findall((text or "").lower())):
-        out.update(word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1))
-    return out
-
-
-def _counted(batches: Iterable[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    """Per partition: term and number of texts that hold it."""
-    counts: Counter = Counter()
+def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition: word, and how many texts with label 1 and label 0 hold it."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in pieces(batches, "text"):
-        for text in batch.column(0).to_pylist():
-            found = beginnings(text)
-            counts.update(found if wanted is None else found & wanted)
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts[0 if label else 1].update(set(_LETTERS.findall((text or "").lower())))
+    terms = list(counts[0].keys() | counts[1].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counts]], names=["term", "toxic", "other"])
 
 
-def _term_counts(texts: DataFrame, wanted: frozenset[str] | None, least: int) -> dict[str, int]:
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
-    rows = texts.select("text").mapInArrow(lambda b: _counted(b, shared.value), "term string, n bigint")
-    return {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+def count_words(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All words of the labelled texts, sorted, and the numbers of toxic and other texts that hold them."""
+    rows = texts.select("text", "label").mapInArrow(_held, "term string, toxic bigint, other bigint")
+    got = rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow().sort_by("term")
+    return got["term"].to_pylist(), got["toxic"].to_numpy(), got["other"].to_numpy()
 
 
-def choose_terms(texts: DataFrame, most: int = 192, least_share: float = 0.005, least_rows: int = 3) -> list[str]:
-    """Terms tied to label 1, best first. Only terms in `least_share` of the positive sample reach the driver,
-    which bounds their number by the sample and not by the corpus."""
-    n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    if not n.get(1):
-        return []
-    positive = _term_counts(texts.where("label = 1"), None, max(least_rows, round(least_share * n[1])))
-    negative = _term_counts(texts.where("label = 0"), frozenset(positive), 1) if n.get(0) else {}
-    ranked = []
-    for term, a in positive.items():
-        b, p, q = negative.get(term, 0), n[1], n.get(0, 0)
-        rate, other = a / p, (b + 0.5) / (q + 1)
-        c, d = p - a, q - b
-        chi = (a * d - b * c) ** 2 * (p + q) / max(1, p * max(q, 1) * (a + b) * max(1, c + d))
-        if rate > 2 * other and (chi > 15 or not q):
-            ranked.append((-chi, -len(term), term))
-    kept: list[str] = []
-    for _, _, term in sorted(ranked):
-        if len(kept) < most and not any(term.startswith(k) or k.startswith(term) for k in kept):
-            kept.append(term)
-    return kept
+def relevance(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """1/2 and the fourth power of how many standard errors a word's log rate among toxic texts is above that among others."""
+    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
+    return 0.5 + np.maximum(0.0, ratio / np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))) ** 4
 
 
 def counter(terms: list[str]):
-    automaton = ahocorasick.Automaton()
-    for k, term in enumerate(terms):
-        automaton.add_word(term, (k, len(term)))
-    if terms:
-        automaton.make_automaton()
+    number = {term: k for k, term in enumerate(terms)}
 
     def count(text: str | None) -> tuple[int, dict[int, int]]:
-        """Number of words, and counts of the terms that begin a word."""
-        lowered = (text or "").lower()
-        found: dict[int, int] = {}
-        if terms:
-            for end, (k, size) in automaton.iter(lowered):
-                before = end - size
-                if before < 0 or not lowered[before].isalpha():
-                    found[k] = found.get(k, 0) + 1
-        return len((text or "").split()), found
+        """Number of words, and counts of the terms among them."""
+        words = Counter(_LETTERS.findall((text or "").lower()))
+        return len((text or "").split()), {number[w]: n for w, n in words.items() if w in number}
 
     return count
 
 
 def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, n_words, terms array<int> (ascending), counts array<int>. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vector(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(terms)
+        count = counter(shared.value)
         for batch in pieces(batches, "text"):
             rows = [count(t) for t in batch.column(1).to_pylist()]
             keys = [sorted(f) for _, f in rows]
@@ -124,79 +92,110 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 def weigh(n_words: int, terms: Iterable[int], counts: Iterable[int], idf: np.ndarray) -> tuple[tuple[int, float], ...]:
     """The unit vector of a text as (term, weight); term len(idf) - 1 stands for all other words."""
-    found = dict(zip(terms, counts))
-    rest = max(0, n_words - sum(found.values()))
-    raw = {k: c**0.5 * idf[k] for k, c in found.items()}
-    if rest:
-        raw[len(idf) - 1] = rest**0.5 * idf[-1]
-    norm = sum(v * v for v in raw.values()) ** 0.5
-    return tuple(sorted((k, round(v / norm, 9)) for k, v in raw.items())) if norm else ()
+    keys, times = np.array(terms, np.int64), np.array(counts, np.float64)
+    order = np.argsort(keys)
+    raw = np.sqrt(times[order]) * idf[keys[order]]
+    keys = keys[order]
+    rest = n_words - times.sum()
+    if rest > 0:
+        keys, raw = np.append(keys, len(idf) - 1), np.append(raw, rest**0.5 * idf[-1])
+    norm = np.sqrt(np.sum(raw * raw))
+    return tuple(zip(keys.tolist(), np.round(raw / norm, 9).tolist())) if norm else ()
 
 
 @dataclass
 class Index:
-    """Entries are distinct unit vectors with the weights of their toxic and other examples."""
+    """Entries are distinct unit vectors with the weights of their toxic and other examples.
 
-    entries: list[tuple[tuple[int, float], ...]]
+    Entry i is `cuts[i]` to `cuts[i + 1]` of `keys` and `weights`. The list of term k is `first[k]` to `first[k + 1]` of
+    `ids` and `impacts`; where `place[k]` is not -1 it is that row of `matrix`.
+    """
+
+    cuts: np.ndarray
+    keys: np.ndarray
+    weights: np.ndarray
     toxic: np.ndarray
     other: np.ndarray
     examples: list[list[int]]
-    n_terms: int
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    first: np.ndarray
+    ids: np.ndarray
+    impacts: np.ndarray
+    place: np.ndarray
+    matrix: np.ndarray
 
     @classmethod
     def build(cls, rows: Iterable[tuple[int, tuple, int, float]], n_terms: int) -> Index:
         """rows: doc_id, unit vector, label, weight."""
-        merged: dict[tuple, list] = {}
-        for doc_id, vector, label, weight in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        merged: dict[tuple[bytes, bytes], list] = {}
+        for doc_id, vector, label, weight in rows:
             if vector:
-                e = merged.setdefault(vector, [0.0, 0.0, []])
+                keys, weights = zip(*vector)
+                e = merged.setdefault((np.array(keys, np.int32).tobytes(), np.array(weights, np.float64).tobytes()), [0.0, 0.0, []])
                 e[0 if label else 1] += weight
                 e[2].append(doc_id)
-        # neighbours in a block should be alike: order by the strongest listed term, then by its weight
-        strongest = lambda v: max(((w, -k) for k, w in v if k < n_terms - 1), default=(0.0, 0))
-        entries = sorted(merged, key=lambda v: (-strongest(v)[1], strongest(v)[0], v))
-        out = cls(entries, np.array([merged[v][0] for v in entries]), np.array([merged[v][1] for v in entries]), [merged[v][2][:3] for v in entries], n_terms)
-        lists: dict[int, tuple[list, list]] = {}
-        for i, v in enumerate(entries):
-            for k, w in v:
-                ids, impacts = lists.setdefault(k, ([], []))
-                ids.append(i)
-                impacts.append(w)
-        blocks = -(-len(entries) // BLOCK)
-        out.highest = np.zeros((n_terms, blocks))
-        for k, (ids, impacts) in lists.items():
-            at, value = np.array(ids), np.array(impacts)
-            out.postings[k] = (at, value, np.searchsorted(at, np.arange(blocks + 1) * BLOCK))
-            np.maximum.at(out.highest[k], at // BLOCK, value)
-        return out
+        for e in merged.values():
+            e[2].sort()
+        found = sorted(merged.items(), key=lambda x: (x[1][2], x[0]))
+        n = len(found)
+        keys = np.frombuffer(b"".join([v[0] for v, _ in found]), np.int32)
+        weights = np.frombuffer(b"".join([v[1] for v, _ in found]), np.float64)
+        length = np.array([len(v[0]) // 4 for v, _ in found], np.int64)
+        order = np.argsort(keys, kind="stable")
+        ids, impacts = np.repeat(np.arange(n, dtype=np.int32), length)[order], weights[order]
+        first = np.searchsorted(keys[order], np.arange(n_terms + 1))
+        size = np.diff(first)
+        dense = np.argsort(-size, kind="stable")[:DENSE]
+        dense = dense[8 * size[dense] > n]
+        place, matrix = np.full(n_terms, -1), np.zeros((len(dense), n))
+        place[dense] = np.arange(len(dense))
+        for row, k in enumerate(dense):
+            matrix[row, ids[first[k] : first[k + 1]]] = impacts[first[k] : first[k + 1]]
+        amounts = np.array([e[:2] for _, e in found], np.float64).reshape(-1, 2)
+        return cls(np.r_[0, np.cumsum(length)], keys, weights, amounts[:, 0], amounts[:, 1], [e[2][:3] for _, e in found], first, ids, impacts, place, matrix)
+
+    @property
+    def entries(self) -> Iterator[tuple[tuple[int, float], ...]]:
+        for a, z in zip(self.cuts[:-1], self.cuts[1:]):
+            yield tuple(zip(self.keys[a:z].tolist(), self.weights[a:z].tolist()))
+
+    def cosines(self, queries: Sequence[tuple[tuple[int, float], ...]]) -> np.ndarray:
+        """Queries x entries."""
+        n = len(self.toxic)
+        owner = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        keys, weights = np.array([k for q in queries for k, _ in q], np.int64), np.array([w for q in queries for _, w in q], np.float64)
+        row = self.place[keys]
+        known = np.zeros((len(queries), len(self.matrix)))
+        known[owner[row >= 0], row[row >= 0]] = weights[row >= 0]
+        owner, keys, weights = owner[row < 0], keys[row < 0], weights[row < 0]
+        size = self.first[keys + 1] - self.first[keys]
+        at = np.arange(size.sum()) + np.repeat(self.first[keys] - np.cumsum(size) + size, size)
+        sparse = np.bincount(np.repeat(owner * n, size) + self.ids[at], weights=np.repeat(weights, size) * self.impacts[at], minlength=len(queries) * n)
+        return known @ self.matrix + sparse.reshape(len(queries), n)
+
+    def nearest_all(self, queries: Iterable[tuple[tuple[int, float], ...]], enough: float) -> Iterator[list[tuple[float, int]]]:
+        """For each query (cosine, entry), nearest first: the fewest entries that hold examples of weight `enough`."""
+        weight = self.toxic + self.other
+        for some in batched(queries, BLOCK):
+            if not len(weight):
+                yield from ([] for _ in some)
+                continue
+            for scores in self.cosines(some):
+                many = 32
+                while True:
+                    least = np.partition(scores, -many)[-many] if many < len(scores) else 0.0
+                    found = np.flatnonzero((scores >= least - 2e-9) & (scores > 0))
+                    value = np.round(scores[found], 9)
+                    order = np.lexsort((found, -value))
+                    held = np.cumsum(weight[found[order]])
+                    last = int(np.searchsorted(held, enough))
+                    # those of an equal cosine are all found, if one is
+                    if last < len(held) and last < many or many >= len(scores):
+                        break
+                    many *= 4
+                yield [(float(value[j]), int(found[j])) for j in order[: last + 1]]
 
     def nearest(self, query: tuple[tuple[int, float], ...], enough: float) -> list[tuple[float, int]]:
-        """(cosine, entry), nearest first: the fewest entries that hold examples of weight `enough`."""
-        if not query or not self.entries:
-            return []
-        bound = sum(w * self.highest[k] for k, w in query)
-        weight = self.toxic + self.other
-        best: list[tuple[float, int]] = []  # a heap: the farthest kept entry on top
-        held = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if held >= enough and bound[b] < best[0][0] - 1e-12:
-                break
-            got = np.zeros(BLOCK)
-            for k, w in query:
-                if k in self.postings:
-                    ids, impacts, cuts = self.postings[k]
-                    a, z = cuts[b], cuts[b + 1]
-                    got[ids[a:z] - b * BLOCK] += w * impacts[a:z]
-            for j in np.flatnonzero(got > 0):
-                item = (round(float(got[j]), 9), -int(b * BLOCK + j))
-                if held < enough or item > best[0]:
-                    heapq.heappush(best, item)
-                    held += weight[-item[1]]
-                    while held - weight[-best[0][1]] >= enough:
-                        held -= weight[-heapq.heappop(best)[1]]
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        return next(self.nearest_all([query], enough))
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, float, float] | None = None) -> float | None:
         """Share of toxic weight among the neighbours, each divided by its distance."""
@@ -239,14 +238,17 @@ class Model:
     empty: float
     enough: float
 
-    def score(self, n_words: int, terms: list[int], counts: list[int]) -> tuple[float, list[int], list[float]]:
-        vector = weigh(n_words, terms, counts, self.idf)
-        near = self.index.nearest(vector, self.enough)
-        vote = self.index.vote(near)
-        if vote is None:
-            return self.empty, [], []
-        p = float(np.interp(vote, *self.steps)) if len(self.steps[0]) else vote
-        return p, [self.index.examples[i][0] for _, i in near[:5]], [s for s, _ in near[:5]]
+    def score_all(self, rows: Iterable[tuple[int, list[int], list[int]]]) -> list[tuple[float, list[int], list[float]]]:
+        """rows: n_words, terms, counts."""
+        out = []
+        for near in self.index.nearest_all((weigh(*r, self.idf) for r in rows), self.enough):
+            vote = self.index.vote(near)
+            if vote is None:
+                out.append((self.empty, [], []))
+                continue
+            p = float(np.interp(vote, *self.steps)) if len(self.steps[0]) else vote
+            out.append((p, [self.index.examples[i][0] for _, i in near[:5]], [s for s, _ in near[:5]]))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: int = 4000, neighbours: int = 25) -> tuple[Model, DataFrame]:
@@ -254,26 +256,36 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_c
     sample = stage(labelled(labels.select("doc_id", "toxic"), "toxic", parts, held, per_class), "sample")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stage(rows.join(F.broadcast(sample), "doc_id"), "labelled_texts")  # 2 x per_class rows at most
-    terms = choose_terms(texts)
+    terms, toxic, other = count_words(texts)
+    n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     counted = stage(vectors(docs, terms), "vectors")
     n_docs = counted.count()
-    df = {r["term"]: r["n"] for r in counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # len(terms) rows
-    idf = np.array([np.log((1 + n_docs) / (1 + df.get(k, 0))) + 1 for k in range(len(terms))] + [1.0])
-    got = counted.join(F.broadcast(sample), "doc_id").select("doc_id", "n_words", "terms", "counts", "label", "weight").collect()
-    return assemble(terms, idf, [tuple(r) for r in got], neighbours), counted
+    found = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()  # len(terms) rows
+    df = np.zeros(len(terms))
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    idf = np.r_[(np.log((1 + n_docs) / (1 + df)) + 1) * relevance(toxic, other, n.get(1, 0), n.get(0, 0)), 1.0]
+    got = counted.join(F.broadcast(sample), "doc_id").select("doc_id", "n_words", "terms", "counts", "label", "weight").toArrow()
+    rows = (row for batch in got.to_batches(max_chunksize=256) for row in zip(*[c.to_pylist() for c in batch.columns]))
+    return assemble(terms, idf, rows, neighbours), counted
 
 
-def assemble(terms: list[str], idf: np.ndarray, rows: list[tuple], neighbours: int = 25) -> Model:
+def assemble(terms: list[str], idf: np.ndarray, rows: Iterable[tuple], neighbours: int = 25) -> Model:
     """rows: doc_id, n_words, terms, counts, label, weight of the labelled sample."""
-    weighed = [(r[0], weigh(r[1], r[2], r[3], idf), r[4], r[5]) for r in rows]
-    index = Index.build(weighed, len(idf))
-    total, toxic = sum(r[3] for r in weighed), sum(r[3] for r in weighed if r[2])
-    bare = [(r[2], r[3]) for r in weighed if not r[1]]
+    seen: list[tuple[bool, int, float]] = []
+
+    def weighed() -> Iterator[tuple[int, tuple, int, float]]:
+        for doc_id, n_words, keys, counts, label, weight in rows:
+            vector = weigh(n_words, keys, counts, idf)
+            seen.append((not vector, label, weight))
+            yield doc_id, vector, label, weight
+
+    index = Index.build(weighed(), len(idf))
+    total, toxic = sum(r[2] for r in seen), sum(r[2] for r in seen if r[1])
+    bare = [r[1:] for r in seen if r[0]]
     empty = sum(w for y, w in bare if y) / sum(w for _, w in bare) if bare else (toxic / total if total else 0.0)
     enough = float(neighbours)
     x, y, w = [], [], []
-    for i, v in enumerate(index.entries):
-        near = index.nearest(v, enough + 1)
+    for i, near in enumerate(index.nearest_all(index.entries, enough + 1)):
         for label, amount in ((1.0, index.toxic[i]), (0.0, index.other[i])):
             if amount > 0:
                 one = min(1.0, amount)
@@ -287,19 +299,16 @@ def assemble(terms: list[str], idf: np.ndarray, rows: list[tuple], neighbours: i
 
 def score(counted: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence (doc_ids of the nearest examples), cosines. Reads the staged vectors alone."""
-    shared = counted.sparkSession.sparkContext.broadcast(model)
+    index = replace(model.index, keys=np.zeros(0, np.int32), weights=np.zeros(0))  # the search needs neither these nor the words
+    slim = replace(model, terms=[], index=index)
+    shared = counted.sparkSession.sparkContext.broadcast(slim)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
         for batch in batches:
             out = []
-            for n, ks, cs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = (n, tuple(ks), tuple(cs)) if ks else (min(n, 1),)
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = shared.value.score(n, ks, cs)
-                out.append(known[key])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                out += shared.value.score_all(zip(*[part.column(k).to_pylist() for k in (1, 2, 3)]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "evidence", "cosines"],

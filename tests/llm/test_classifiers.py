@@ -120,6 +120,19 @@ def test_block_max_search_equals_a_full_scan():
         assert held_weight >= 25 and held_weight - index.toxic[near[-1][1]] - index.other[near[-1][1]] < 25
 
 
+def test_toxicity_by_rare_and_short_words(spark):
+    # one toxic example in 40 holds a word, of three letters or rare; the others share no word with the text
+    rows = [(k, f"zug{'abcde'[k % 5]} filler plain{k}", 0) for k in range(400)] + [(1000 + k, f"oaf{chr(97 + k // 2)} ape word{k}", 1) for k in range(40)]
+    rows += [(2000, "qux of nothing", 1), (2001, "an nth remark", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    asked = spark.createDataFrame([(5000, "my qux"), (5001, "an ape there"), (5002, "nth")], "doc_id bigint, text string")
+    model, counted = nearest_toxic.fit(docs.select("doc_id", "text").unionByName(asked), docs.select("doc_id", "toxic"), parts=10**9, held=-1)
+    assert {"qux", "ape", "oaft", "nth", "filler"} <= set(model.terms) and min(model.idf) > 0
+    got = {r["doc_id"]: r for r in nearest_toxic.score(counted, model).where("doc_id >= 5000").collect()}
+    assert got[5000]["evidence"][0] == 2000 and got[5002]["evidence"][0] == 2001
+    assert got[5001]["score"] > 0.9 and all(1000 <= k < 1040 for k in got[5001]["evidence"])
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "what a wretched scoundrel").otherwise("what a pleasant evening").alias("text"))
     labels = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("toxic"))
