@@ -364,7 +364,7 @@ def units_of(text: str | None) -> list[str]:
 
 
 def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
-    """doc_id, n_chars, segmentations with log_prob, perturbed, inclusion, and round_trip (they spell the text). No shuffle."""
+    """doc_id, n_chars, segmentations with log_prob, perturbed, inclusion, and round_trip (the ids of all of them spell the text). No shuffle."""
     vocab = vocabulary(model)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as large as the vocabulary
 
@@ -375,13 +375,16 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
             found = [units_of(t) for t in texts]
             sampler.learn(set().union(*found))
             number = sampler.number
-            tokens, lengths, counts, logs, tops, shares = [], [], [], [], [], []
+            tokens, lengths, counts, logs, tops, shares, same = [], [], [], [], [], [], []
             numbers = [np.array(list(map(number.__getitem__, units)), np.int64) for units in found]
-            for *samples, (_, _, after) in sampler.sample_all(numbers, np.array([seed(i, t) for i, t in zip(ids, texts)], np.uint64), k):
+            searched = sampler.sample_all(numbers, np.array([seed(i, t) for i, t in zip(ids, texts)], np.uint64), k)
+            for text, (*samples, (_, _, after)) in zip(texts, searched):
                 counts.append(len(samples))
+                same.append(True)
                 for choice, log_prob, top in samples:
                     tokens.append(sampler.spelled(choice))
                     lengths.append(len(tokens[-1]))
+                    same[-1] &= spell(tokens[-1].tolist(), shared.value) == (" " + text if text else "").encode()
                     logs.append(log_prob)
                     tops.append(top)
                     with np.errstate(over="ignore"):
@@ -391,15 +394,19 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
             listed = lambda x: pa.ListArray.from_arrays(outer, pa.array(x, pa.float64()))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.ListArray.from_arrays(outer, inner), listed(logs), listed(tops), listed(shares),
-                pa.array(["".join(u) == (" " + t if t else "") for u, t in zip(found, texts)], pa.bool_()),
+                pa.array(same, pa.bool_()),
             ], names=["doc_id", "n_chars", "segmentations", "log_prob", "perturbed", "inclusion", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(sampled, SCHEMA)
 
 
+def spell(ids: Iterable[int], vocab: Vocabulary) -> bytes:
+    return b"".join([vocab.spelled[i] for i in ids])
+
+
 def decoded(ids: Iterable[int], vocab: Vocabulary) -> str:
-    return b"".join([vocab.spelled[i] for i in ids]).decode(errors="replace")[1:]
+    return spell(ids, vocab).decode(errors="replace")[1:]
 
 
 def decode(encoded: DataFrame, column: str = "segmentations", model: str = MODEL) -> DataFrame:

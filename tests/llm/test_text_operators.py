@@ -1,5 +1,6 @@
 """Text operators against brute force, round trips and odd inputs."""
 
+import dataclasses
 import hashlib
 import itertools
 import re
@@ -226,6 +227,14 @@ def test_pieces_decode_to_the_text(spark):
     assert gumbel_pieces.encode(docs.limit(0)).collect() == []
 
 
+def test_round_trip_reads_the_ids(spark, monkeypatch):
+    right = gumbel_pieces.vocabulary()
+    wrong = dataclasses.replace(right, spelled=[b"?"] * len(right.spelled))
+    monkeypatch.setattr(gumbel_pieces, "vocabulary", lambda model=None: wrong)
+    got = gumbel_pieces.encode(docs_of(spark, [(1, "information"), (2, "")])).collect()
+    assert {r.doc_id: r.round_trip for r in got} == {1: False, 2: True}
+
+
 def test_mix_meets_its_targets(spark):
     texts = [(k, "w " * (1 + k * 37 % 90)) for k in range(400)] + [(400, None), (401, "")]
     rows = pareto_mix.mixed(docs_of(spark, texts)).collect()
