@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.correlation import correlation_matrix
 from ..operators.density import density_classes, hex_bins, kernel_density
+from ..operators.prep import finite_pairs
 from ..operators.score import linear_fit, metric_set, metrics_long
 from ..sources.nested import stack_tables
 
@@ -19,12 +20,17 @@ KINDS = ("points", "hex", "heat", "density")
 
 @dataclass(frozen=True)
 class Comparison:
-    """`metrics` is long, `results` the short row (relative, if asked for), `line` the fit, `layer` the points."""
+    """`metrics` is long, `results` the short row (relative, if asked for), `line` the fit, `layer` the points.
+
+    `outside` counts the complete pairs that are not in a `heat` or `density` layer (`n_outside`): outside the
+    limits, or not finite. `hex` has that count in its layer, `points` leaves none out.
+    """
 
     metrics: DataFrame
     results: DataFrame
     line: DataFrame
     layer: DataFrame
+    outside: DataFrame | None = None
 
 
 def model_against_obs(
@@ -39,6 +45,13 @@ def model_against_obs(
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {', '.join(KINDS)}")
     pairs = df.select(F.col(mod).alias("mod"), F.col(obs).alias("obs")).dropna()
+    if kind == "density":
+        xlim, ylim = xlim or (0.0, float("inf")), ylim or (0.0, float("inf"))
+    outside = None
+    if kind in ("heat", "density"):
+        number = F.count(F.lit(1)).alias("n")
+        inside = finite_pairs(pairs, "mod", "obs", xlim, ylim).agg(number)
+        outside = pairs.agg(number).select((F.col("n") - inside.scalar()).alias("n_outside"))
     if kind == "points":
         layer = pairs
     elif kind == "hex":
@@ -46,13 +59,14 @@ def model_against_obs(
     elif kind == "heat":
         layer = density_classes(pairs, "mod", "obs", xlim=xlim, ylim=ylim)
     else:
-        grid = kernel_density(pairs, "mod", "obs", xlim=xlim or (0.0, float("inf")), ylim=ylim or (0.0, float("inf")))
+        grid = kernel_density(pairs, "mod", "obs", xlim=xlim, ylim=ylim)
         layer = grid.withColumn("peak", grid.agg(F.max("z")).scalar()).selectExpr("ix", "iy", "gx", "gy", "z", "z / peak AS nlevel")
     return Comparison(
         metrics=metrics_long(metric_set(pairs)),
         results=metric_set(pairs, relative=relative).select("rsq", "rmse", "mae", "bias", "slope", "n"),
         line=linear_fit(pairs),
         layer=layer,
+        outside=outside,
     )
 
 

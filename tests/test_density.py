@@ -99,6 +99,14 @@ def test_model_against_obs(spark, points):
         model_against_obs(df, "x", "y", "bars")
 
 
+def test_density_layer_counts_pairs_outside(spark):
+    rows = [(float(k), float(k * k % 7)) for k in range(20)] + [(-1.0, 2.0), (3.0, -2.0), (float("inf"), 1.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    assert model_against_obs(df, "x", "y", "density").outside.first()["n_outside"] == 3
+    assert model_against_obs(df, "x", "y", "density", xlim=(0.0, 9.0)).outside.first()["n_outside"] == 13
+    assert model_against_obs(df, "x", "y", "heat", ylim=(-5.0, 10.0)).outside.first()["n_outside"] == 1
+
+
 def test_heat_pairs(spark, points):
     pdf = points.assign(w=points.x - points.y)
     matrix, layer = heat_pairs(spark.createDataFrame(pdf), ["x", "y", "w"], n=8)
