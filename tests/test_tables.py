@@ -10,7 +10,7 @@ from siteskill.operators import folds, prep
 from siteskill.operators.compare import compare_tables
 from siteskill.operators.joins import join_null_safe
 from siteskill.plans.candidates import best_run, score_runs, within_bounds
-from siteskill.session import shared_dir, stage
+from siteskill.session import SHARED_DIR, shared_dir, stage
 from siteskill.sources import nested as N
 from siteskill.sources import tables as T
 
@@ -158,4 +158,7 @@ def test_a_cluster_must_name_a_shared_folder():
     with pytest.raises(RuntimeError):
         shared_dir(session)
     context.master = "local[2]"
-    assert shared_dir(session) == shared_dir(session)
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
+    session.conf.get = lambda key, default: {SHARED_DIR: "/shared/"}.get(key, default)
+    assert shared_dir(session) == "/shared"
