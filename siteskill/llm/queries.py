@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_quality, chat_grammar, gumbel_pieces, invertible_sketch, jaccard_join, nearest_toxic, pareto_mix, payload_archive, rule_ledger, string_kernel
+from . import (
+    boosted_quality, chat_grammar, counted_infill, gumbel_pieces, invertible_sketch, jaccard_join, nearest_toxic, pareto_mix, payload_archive, rule_ledger,
+    string_kernel, subspace_join, witness_manifest,
+)
 from .texts import crc_rest
 
 THRESHOLD = 0.3
@@ -160,9 +164,124 @@ FROM ledger
     base=rule_ledger.mask("base"), mask=rule_ledger.mask("v2"),
 )
 
+FIELDS = ("doc_id", "source", "lang", "n_chars")
+
+
+def op11_witness_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered).otherwise(F.col("text"))
+    fields = [F.col(c) for c in FIELDS]
+    leaves = docs.select("doc_id", "lang", witness_manifest.leaf_of(*fields, F.col("text")).alias("leaf"), witness_manifest.leaf_of(*fields, tampered).alias("changed"))
+    told = witness_manifest.manifest(leaves).withColumn("folded_root", witness_manifest.folded(F.col("changed"), F.col("witness")))
+    return told.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(witness_manifest.proof(F.col("witness")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+#: CRC-32 of doc_id in decimals, which DuckDB has no function for: the usual shift register, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+    lambda v, zero: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _op11_sql(levels: int = 9) -> str:
+    """Trees of up to 8 ** (levels - 1) leaves a group and as many groups, level by level."""
+    encoded = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(encoded, [*FIELDS, text]))})"
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+    def tree(name: str) -> list[str]:
+        """`name`_0 holds (g, i, n, h); `name`_k the nodes of level k and `name`_runs_k their runs, where n > 1."""
+        out = []
+        for k in range(levels):
+            out.append(f"{name}_runs_{k} AS (SELECT g, i // 8 AS i, (n + 7) // 8 AS n, list(h ORDER BY i) AS hs FROM {name}_{k} WHERE n > 1 GROUP BY g, i // 8, n)")
+            out.append(f"{name}_{k + 1} AS (SELECT g, i, n, sha256(array_to_string(hs, '')) AS h FROM {name}_runs_{k})")
+        tops = " UNION ALL ".join(f"SELECT g, h FROM {name}_{k} WHERE n = 1" for k in range(levels + 1))
+        return [*out, f"{name}_top AS ({tops})"]
+
+    def climb(name: str, start: str, at: str) -> list[str]:
+        """From rows with g, `at` (their place), folded and proof: both continued to the top of the tree."""
+        out = [f"{name}_climb_0 AS ({start})"]
+        for k in range(levels):
+            p = f"x.{at} // {8**k} % 8"
+            left, right = f"array_to_string(hs[1:{p}], '')", f"array_to_string(hs[{p} + 2:], '')"
+            out.append(
+                f"{name}_climb_{k + 1} AS (SELECT x.* REPLACE (CASE WHEN hs IS NULL THEN folded ELSE sha256({left} || folded || {right}) END AS folded, "
+                f"CASE WHEN hs IS NULL THEN proof ELSE proof || {left} || {right} END AS proof) "
+                f"FROM {name}_climb_{k} x LEFT JOIN {name}_runs_{k} r ON r.g = x.g{'' if name == 'low' else 'g'} AND r.i = x.{at} // {8 ** (k + 1)})"
+            )
+        return out
+
+    parts = [
+        f"tampered AS (SELECT *, coalesce({CRC_SQL} % 3 = 0, false) AS hit FROM documents)",
+        f"leaves AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf(f'CASE WHEN hit THEN {lowered} ELSE text END')} AS changed FROM tampered)",
+        "numbered AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, "
+        "count(*) OVER (PARTITION BY lang) AS n FROM leaves)",
+        "low_0 AS (SELECT g, i, n, leaf AS h FROM numbered)", *tree("low"),
+        "high_0 AS (SELECT 0 AS g, g AS i, count(*) OVER () AS n, h FROM low_top)", *tree("high"),
+        *climb("low", "SELECT doc_id, leaf, g, 0 AS gg, i, changed AS folded, '' AS proof FROM numbered", "i"),
+        *climb("high", f"SELECT * FROM low_climb_{levels}", "g"),
+    ]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+FROM high_climb_{levels} c JOIN low_top t ON t.g = c.g CROSS JOIN high_top r"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_counted_infill(spark: SparkSession, sf: str) -> DataFrame:
+    told = counted_infill.transformed(table(spark, sf, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return told.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(counted_infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+         CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM texts),
+cut AS (
+  SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_subspace_join(spark: SparkSession, sf: str) -> DataFrame:
+    return subspace_join.near_duplicates(table(spark, sf, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE known AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM known x JOIN known y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM known UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node),
+named AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(vec_id = coalesce(component_id, vec_id), true) AS kept
+FROM embeddings LEFT JOIN named ON node = vec_id LEFT JOIN counted ON a = vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_gumbel_pieces, op2_string_kernel_language, op3_payload_archive, op4_boosted_quality, op5_chat_grammar, op6_jaccard_join, op7_nearest_toxic, op8_invertible_sketch, op9_pareto_mix, op10_rule_ledger,
+        op11_witness_manifest, op12_counted_infill, op13_subspace_join,
     )
 }
-ORACLES: dict[str, str] = {"op3_payload_archive": OP3_SQL, "op5_chat_grammar": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op10_rule_ledger": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_payload_archive": OP3_SQL, "op5_chat_grammar": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op10_rule_ledger": OP10_SQL, "op11_witness_manifest": OP11_SQL, "op12_counted_infill": OP12_SQL, "op13_subspace_join": OP13_SQL}

@@ -268,7 +268,7 @@ def test_ledger_counts_by_hand(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = queries.QUERIES[name](spark, SF)
     columns = sorted(rows.columns)
