@@ -6,20 +6,40 @@ from pyspark.sql import functions as F
 
 from ..operators import runs
 from ..operators.bins import offset_bin
+from ..operators.gaps import interpolate
+from ..operators.scan import number_chunk
 from ..plans.events import align_events, event_response
 from .case import Case
 from .levels import daily
+from .sqlparts import lerp
 from .views import flags
 
 MIN_LEN, BEFORE, AFTER, NBINS, NORMBIN = 4, 5, 10, 5, 2
 MERGE_ROUNDS = 14
 
 
-def _flagged(spark, sf, above=60.0):
-    df = daily(spark, sf)
+def _flagged(spark, sf, above=60.0, change=lambda df: df):
+    df = change(daily(spark, sf))
     return df.select(F.col("sitename").alias("site"), "date", "obs", (F.col("obs") > above).alias("hot"))
 
 
+def with_null_keys(df):
+    """The first site loses its name and every site its first date; the order of the rows stays."""
+    first = df.groupBy(F.col("sitename").alias("_site")).agg(F.min("date").alias("_first"))
+    joined = df.join(first, F.col("sitename") == F.col("_site"))
+    no_name = F.col("sitename") == df.agg(F.min("sitename")).scalar()
+    return joined.withColumns({"sitename": F.when(~no_name, F.col("sitename")), "date": F.nullif("date", "_first")}).drop("_site", "_first")
+
+
+NULL_KEYS_SQL = """(SELECT * REPLACE (nullif(sitename, (SELECT min(sitename) FROM site_daily)) AS sitename,
+                     nullif(date, min(date) OVER (PARTITION BY sitename)) AS date) FROM site_daily)"""
+
+
+def null_keys(sql: str) -> str:
+    """The same query over the series with null keys; a null date comes first."""
+    return sql.replace("FROM site_daily)", f"FROM {NULL_KEYS_SQL})").replace("ORDER BY date)", "ORDER BY date NULLS FIRST)")
+
+
 def indexed_sql(above: float) -> str:
     return f"""(SELECT sitename AS site, date, obs, mod, coalesce(obs > {above}, false) AS hot,
                  row_number() OVER (PARTITION BY sitename ORDER BY date) AS rn FROM site_daily)"""
@@ -108,6 +128,32 @@ CASES = {
     "f5_merged_runs": Case(
         "site:s run_id:i start_rn:i len:i", lambda s, d: runs.merge_runs(runs.find_runs(_flagged(s, d, 50.0), "hot", 2)), merge_sql(),
     ),
+    "f2_runs_with_null_keys": Case(
+        "site:s run_id:i start_rn:i len:i start:d",
+        lambda s, d: runs.find_runs(_flagged(s, d, 60.0, with_null_keys), "hot", MIN_LEN), null_keys(f"SELECT * FROM ({runs_sql(60.0, MIN_LEN)})"),
+    ),
+    "f3_running_length_with_null_keys": Case(
+        "site:s date:d run_len:i", lambda s, d: runs.running_length(_flagged(s, d, 60.0, with_null_keys), "hot"),
+        null_keys(f"""SELECT site, date, rn - coalesce(max(CASE WHEN NOT hot THEN rn END) OVER (PARTITION BY site ORDER BY rn), 0) AS run_len
+            FROM {indexed_sql(60.0)}"""),
+    ),
+    "f5_merged_runs_with_null_keys": Case(
+        "site:s run_id:i start_rn:i len:i",
+        lambda s, d: runs.merge_runs(runs.find_runs(_flagged(s, d, 50.0, with_null_keys), "hot", 2)), null_keys(merge_sql()),
+    ),
+    "f5_merged_runs_in_small_chunks": Case(
+        "site:s run_id:i start_rn:i len:i start:d deficit:f",
+        lambda s, d: runs.merge_runs(
+            runs.find_runs(_flagged(s, d, 50.0), "hot", 2, deficit="obs"), chunk=number_chunk("start_rn", 20)),
+        f"""SELECT m.site, m.run_id, m.start_rn, m.len, min(r.start) AS start, sum(r.deficit) AS deficit
+            FROM ({merge_sql()}) m JOIN ({runs_sql(50.0, 2)}) r ON r.site = m.site AND r.start_rn BETWEEN m.start_rn AND m.start_rn + m.len - 1
+            GROUP BY ALL""",
+    ),
+    "f7_linear_interpolation_with_null_keys": Case(
+        "sitename:s date:d obs:f obs_filled:f mod_filled:f",
+        lambda s, d: interpolate(with_null_keys(daily(s, d)), ["sitename"], "date", ["obs", "mod"], suffix="_filled"),
+        lerp(NULL_KEYS_SQL, "sitename", "date", ["obs", "mod"], "_filled").replace("ORDER BY date)", "ORDER BY date NULLS FIRST)"),
+    ),
     "f11_offset_bins": Case(
         "dday:i inbin:i n:i",
         lambda s, d: _align(s, d).rows.withColumn("inbin", offset_bin(F.col("dday"), BEFORE, AFTER, NBINS)).groupBy("dday", "inbin").agg(

@@ -38,7 +38,7 @@ def interpolate(
     `df` is computed once (see `running_totals`).
     """
     placed = (
-        running_totals(df, keys, order, {POSITION: F.lit(1)}, chunk, staged) if by == "row"
+        running_totals(df, keys, order, {POSITION: F.lit(1)}, chunk, staged, keep_chunk=True) if by == "row"
         else df.withColumn(POSITION, F.col(order).cast("double"))
     )
     known = {c: (F.when(F.col(c).isNotNull(), F.col(POSITION)), F.col(c)) for c in columns}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siteskill.operators.gaps import interpolate, interpolate_cycle
 from siteskill.operators.quantiles import median_and_terciles, quantiles
 from siteskill.operators.ranks import value_ranks
-from siteskill.operators.runs import find_runs, merge_runs, running_length
+from siteskill.operators.runs import find_runs, index_series, merge_runs, running_length
 from siteskill.operators.scan import number_chunk, running_totals
 
 from .helpers import close, day
@@ -101,6 +101,25 @@ def merge_loop(runs):
     return runs
 
 
+def test_a_scan_exchanges_its_series_once(spark, capsys):
+    """Window and join share an exchange and a sort, null keys or not; only the chunk table is shuffled for the join."""
+    df = spark.createDataFrame([("a", day(0), True, 1.0), (None, None, None, None)], "site string, date date, hot boolean, v double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index_series(df, "hot").explain()
+        once = capsys.readouterr().out
+        interpolate(df, ["site"], "date", ["v"]).explain()
+        both = capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    join = once[once.index("SortMergeJoin") :].splitlines()
+    assert once.count("Exchange") == 4 and once.count("SortMergeJoin") == 1  # the series, chunk totals twice, offsets
+    assert "isnull" not in join[0], join[0]
+    top = both[: both.index("_total__position")]  # rows numbered, then their neighbours: still one exchange on this side
+    assert top.count("Exchange hashpartitioning(_chunk") <= 2 and "isnull(_chunk" not in both
+
+
 @pytest.fixture(scope="module")
 def flagged():
     rng = random.Random(11)
@@ -145,8 +164,10 @@ def test_running_length(spark, flagged):
         assert list(got[got.site == s].run_len) == want
 
 
-def test_merged_runs_reach_the_fixed_point(spark, flagged):
-    merged = merge_runs(find_runs(flag_frame(spark, flagged), "hot", 2)).toPandas().sort_values(["site", "start_rn"])
+@pytest.mark.parametrize("size", [7, 40, 100_000])
+def test_merged_runs_reach_the_fixed_point(spark, flagged, size):
+    found = find_runs(flag_frame(spark, flagged), "hot", 2)
+    merged = merge_runs(found, chunk=number_chunk("start_rn", size)).toPandas().sort_values(["site", "start_rn"])
     for s, fs in flagged.items():
         mine = merged[merged.site == s]
         assert list(zip(mine.start_rn, mine.len)) == merge_loop(runs_loop(fs, 2)), s
