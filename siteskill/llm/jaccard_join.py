@@ -8,10 +8,13 @@ signatures (segment, subset), the first H + 1 of both sets therefore share one w
 `SINGLES` shingles use one segment per shingle, where c > H always holds; a scheme that meets a larger set
 with c <= H is run once more with one segment per shingle. Nothing depends on luck.
 
-Allocation by cost: a signature found in more than `HOT` classes of texts costs more candidates than neighbourhoods
-do. It is left out (-1), and the texts that hold one index all their other segments with their one-deletion
+Allocation by cost: the cost of a signature is the number of pairs that a join by it makes. Above `HOT` ** 2 / 2 it costs more than
+neighbourhoods do. It is left out (-1), and the texts that hold one index all their other segments with their one-deletion
 neighbourhoods (+1): subsets of two or more shingles then match up to one difference. Sets without enough such segments left
-compare within their common signatures instead, so no link is lost. Candidates are verified on the words of both texts.
+compare within their common signatures instead, piece by piece, so no link is lost.
+
+Verification: each class has a bitmap of shingle parities, in which two sets differ in at most as many bits as in shingles. Candidates
+are first compared by it, which needs no texts and is never wrong about a link; what passes is verified on the words of both texts.
 
 Copies never meet in pairs: equal sets form one class (128-bit digest) first. Within a signature the classes are first compared
 with one hub; pairs that components already join are not compared again. Components come from rounds of
@@ -181,9 +184,44 @@ def _sets_of(shingler: Shingler, batch: pa.RecordBatch):
     return row, value, *digests(row, value, len(texts))
 
 
+def parities(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A bitmap per set: bit h mod m is the parity of its shingles there, m the power of two from two to four times the size.
+
+    The bitmaps of two sets differ in at most as many bits as the sets differ in shingles. A longer bitmap folds to a
+    shorter one by xor of its halves, so any two can be compared.
+    """
+    width = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    first = np.cumsum(width // 8) - width // 8
+    spot = (mixed(value ^ np.uint64(99)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    where, times = np.unique(first[row] * 8 + spot, return_counts=True)
+    bits = np.zeros(int((width // 8).sum()), np.uint8)
+    odd = where[times % 2 == 1]
+    np.bitwise_or.at(bits, odd >> 3, (1 << (odd & 7)).astype(np.uint8))
+    data = bits.tobytes()
+    return [data[a : a + w] if n else b"" for a, w, n in zip(first.tolist(), (width // 8).tolist(), size.tolist())]
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """At most the number of shingles in which two sets differ."""
+    if len(x) > len(y):
+        x, y = y, x
+    other = np.frombuffer(y, np.uint64)
+    while len(other) * 8 > len(x):
+        other = other[: len(other) // 2] ^ other[len(other) // 2 :]
+    return int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ other).sum())
+
+
 def _described(shingler: Shingler, batch: pa.RecordBatch):
-    _, _, size, node, other = _sets_of(shingler, batch)
-    return batch.column(0), size, node, other
+    row, value, size, node, other = _sets_of(shingler, batch)
+    return batch.column(0), size, node, other, pa.array(parities(row, value, size), pa.binary())
+
+
+def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps do not rule a link out; sets that differ in d shingles of a + b have 9 d <= a + b where they link."""
+    for batch in batches:
+        both = zip(*[batch.column(k).to_pylist() for k in range(4, 8)])
+        keep = pa.array([9 * differ(x, y) <= n + m for n, m, x, y in both], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(4)], names=["a", "b", "a_doc", "b_doc"])
 
 
 def _signed(single: list[int] | None):
@@ -265,17 +303,51 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         sums, k = said, k + 1
 
 
+def _blocks(table: pa.Table) -> pa.Table:
+    """Pairs of one task that may link: within the left piece if there is no other, else between left and right."""
+    right = np.asarray(table.column("right").combine_chunks())
+    inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    node, root, n = (np.asarray(table.column(c)) for c in ("node", "root", "n"))
+    raw = table.column("bits").to_pylist()
+    width = np.array([len(x) for x in raw])
+    packed = {w: (np.flatnonzero(width == w), np.frombuffer(b"".join(x for x in raw if len(x) == w), np.uint64).reshape(-1, w // 8)) for w in np.unique(width).tolist()}
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for long, (rows, words) in packed.items():
+        for short, (others, less) in packed.items():
+            if short > long or short * 4 < long:  # sizes differ by more than 1.25, lengths of bitmaps by more than 2
+                continue
+            folded = words
+            while folded.shape[1] * 8 > short:
+                half = folded.shape[1] // 2
+                folded = folded[:, :half] ^ folded[:, half:]
+            for k, one in zip(rows.tolist(), folded):
+                near = others[9 * np.bitwise_count(less ^ one).sum(axis=1, dtype=np.int64) <= n[others] + n[k]]
+                near = near[(root[near] != root[k]) & (4 * np.maximum(n[near], n[k]) <= 5 * np.minimum(n[near], n[k]))]
+                near = near[(near > k) | (short < long)] if inner else near[right[near] != right[k]]
+                a.append(np.minimum(node[near], node[k]))
+                b.append(np.maximum(node[near], node[k]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def pairs_of(placed: DataFrame) -> DataFrame:
+    """sig and the number of pairs with different roots that a join by it makes."""
+    of_root = placed.groupBy("sig", "root").agg(F.count("*").cast("double").alias("n"))
+    return of_root.groupBy("sig").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+
+
 class _Join:
     """The state of one join: classes, verified edges, and the roots that follow from them."""
 
     def __init__(self, docs: DataFrame) -> None:
         self.texts = _texts(docs)
-        names = ["doc_id", "n_shingles", "node", "other"]
-        self.rows = stage(self.texts.mapInArrow(_per_batch(_described, names), "doc_id bigint, n_shingles bigint, node bigint, other bigint"), "join_rows")
+        names = ["doc_id", "n_shingles", "node", "other", "bits"]
+        schema = "doc_id bigint, n_shingles bigint, node bigint, other bigint, bits binary"
+        self.rows = stage(self.texts.mapInArrow(_per_batch(_described, names), schema), "join_rows")
         known = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        classes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), (F.min("other") == F.max("other")).alias("same"))
+        same = (F.min("other") == F.max("other")).alias("same")
+        classes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), same, F.first("bits").alias("bits"))
         sound = F.when(F.col("same"), F.col("doc_id")).otherwise(F.raise_error(F.lit("one digest for different sets")).cast("bigint"))
-        self.classes = stage(classes.select("node", sound.alias("doc_id"), "n"), "join_classes")
+        self.classes = stage(classes.select("node", sound.alias("doc_id"), "n", "bits"), "join_classes")
         self.live = self.texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
         self.edges = self.roots = self.done = None
         self.step = 0
@@ -287,8 +359,9 @@ class _Join:
             root = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
             pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
                 F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-        of = lambda c: self.classes.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_doc"), F.col("n").alias(f"{c}_n"))
-        sized = pairs.join(of("a"), "a").join(of("b"), "b").where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b", "a_doc", "b_doc")
+        of = lambda c: self.classes.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_doc"), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+        sized = pairs.join(of("a"), "a").join(of("b"), "b").where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
+        sized = sized.select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_possible, "a bigint, b bigint, a_doc bigint, b_doc bigint")
         if self.done is not None:
             sized = sized.join(self.done, ["a", "b"], "left_anti")
         sized = stage(sized, f"join_pairs_{self.step}")
@@ -314,16 +387,23 @@ class _Join:
         hub = members.groupBy("sig").agg(F.min("node").alias("hub"))
         self.check(members.join(stage(hub, f"{label}_hubs"), "sig").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
         placed = stage(self.rooted(members), f"{label}_placed")
-        several = placed.groupBy("sig").agg(F.countDistinct("root").alias("n")).where("n > 1")
-        several = stage(several, f"{label}_several")
-        fine = several if hot is None else several.where(F.col("n") <= hot)
-        self._spelled(placed.join(fine.select("sig"), "sig"))
-        return None if hot is None else stage(several.where(F.col("n") > hot).select("sig"), f"{label}_hot")
-
-    def _spelled(self, placed: DataFrame) -> None:
+        several = stage(pairs_of(placed).where("pairs > 0"), f"{label}_several")
+        if hot is None:
+            return self.compare(placed.join(several.select("sig"), "sig"))
+        placed = placed.join(several.where(F.col("pairs") <= hot * hot / 2).select("sig"), "sig")
         left = placed.select("sig", F.col("node").alias("a"), F.col("root").alias("a_root"))
         right = placed.select("sig", F.col("node").alias("b"), F.col("root").alias("b_root"))
         self.check(left.join(right, "sig").where("a < b AND a_root <> b_root").select("a", "b").distinct())
+        return stage(several.where(F.col("pairs") > hot * hot / 2).select("sig"), f"{label}_hot")
+
+    def compare(self, placed: DataFrame, rows: int = 2048) -> None:
+        """Compare all classes that share a signature, however many: pieces of them with pieces, by bitmaps; only what may link is a pair."""
+        known = placed.join(self.classes.select("node", "n", "bits"), "node").select("sig", "node", "root", "n", "bits")
+        cut = placed.groupBy("sig").agg(F.ceil(F.count("*") / rows).cast("int").alias("p"))
+        own = F.pmod(F.xxhash64("node"), "p").cast("int")
+        turns = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), (i < own).alias("right")))
+        tasks = known.join(cut, "sig").select("sig", "node", "root", "n", "bits", F.inline(turns))
+        self.check(tasks.groupBy("sig", "i", "j").applyInArrow(_blocks, "a bigint, b bigint").distinct())
 
 
 def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -354,22 +434,24 @@ def _neighbours(state: _Join, shared: DataFrame, left_out: DataFrame, hot: int)
     schema = "sig bigint, whole bigint, node bigint, band int, kind int, weight int, bound bigint"
     spelled = stage(texts.mapInArrow(_per_batch(_neighbourhoods, names), schema).distinct().join(nodes, "node"), "join_spelled")
     # a subset that stands for a costly signature, in either text, matches nothing and counts for nothing
-    crowd = spelled.groupBy("sig").agg(F.countDistinct("root").alias("n"), F.max(F.col("kind") == 0).alias("any")).where("n > 1 AND any")
-    crowd = stage(crowd, "join_crowd")
-    wide = crowd.where(F.col("n") > hot).select("sig")
+    of_root = spelled.groupBy("sig", "root").agg(F.count(F.when(F.col("kind") == 0, 1)).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
+    product = lambda x, y: F.sum(x) * F.sum(y) - F.sum(F.col(x) * F.col(y))
+    crowd = stage(of_root.groupBy("sig").agg(product("k", "n").alias("pairs")).where("pairs > 0"), "join_crowd")
+    most = hot * hot / 2
+    wide = crowd.where(F.col("pairs") > most).select("sig")
     lost = spelled.join(wide, "sig", "left_semi").select("whole", "node", "band").distinct()
     found = spelled.where("kind = 0").join(lost.withColumn("lost", F.lit(True)), ["whole", "node", "band"], "left")
     enough = found.groupBy("node", "band").agg(F.sum(F.when(F.col("lost"), 0).otherwise(F.col("weight"))).alias("w"), F.max("bound").alias("h"))
     weak = state.classes.join(nodes, "node", "left_semi").select("node").join(
         enough.groupBy("node").agg(F.min(F.col("w") > F.col("h")).alias("ok")).where("ok").select("node"), "node", "left_anti")
     weak = stage(weak, "join_weak")
-    near = stage(spelled.join(crowd.where(F.col("n") <= hot).select("sig"), "sig").select("sig", "node", "root", "kind"), "join_near")
+    near = stage(spelled.join(crowd.where(F.col("pairs") <= most).select("sig"), "sig").select("sig", "node", "root", "kind"), "join_near")
     whole = near.where("kind = 0").select("sig", F.col("node").alias("a"), F.col("root").alias("a_root"))
     cut = near.select("sig", F.col("node").alias("b"), F.col("root").alias("b_root"))
     state.check(whole.join(cut, "sig").where("a_root <> b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # both sides of a pair are weak, or one is strong and has found the other
-    rest = stage(state.rooted(shared.join(left_out, "sig").join(weak, "node", "left_semi")), "join_rest")
-    state._spelled(rest)
+    rest = stage(state.rooted(shared.join(left_out, "sig").join(weak, "node", "left_semi").select("sig", "node")), "join_rest")
+    state.compare(rest.select("sig", "node", "root"))
 
 
 def _named(state: _Join) -> DataFrame:

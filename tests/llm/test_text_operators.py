@@ -73,6 +73,42 @@ def test_join_finds_every_link(spark, hot):
     assert joined(docs_of(spark, texts), hot=hot) == brute_components(texts)
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (5, 6, 9, 40, 130, 700):
+        words = [f"w{k}" for k in rng.integers(0, 9999, n)]
+        texts += [" ".join(words), " ".join(words[: max(5, int(0.9 * n))]), " ".join([*words, "x", "y"]), frame(words, (n // 2, "z"))]
+    row, value = jaccard_join.Shingler().sets(texts)
+    bits = jaccard_join.parities(row, value, np.bincount(row, minlength=len(texts)))
+    for i, j in itertools.product(range(len(texts)), repeat=2):
+        apart = len(np.setxor1d(value[row == i], value[row == j]))
+        assert jaccard_join.differ(bits[i], bits[j]) <= apart
+        assert i // 4 == j // 4 or jaccard_join.differ(bits[i], bits[j]) > 0
+
+
+@pytest.mark.parametrize(("size", "hot"), [(20, 32), (60, 32), (60, 2)])
+def test_families_with_a_common_passage_are_hardly_verified(spark, monkeypatch, size, hot):
+    rng = np.random.default_rng(size)
+    word = lambda: "w" + str(rng.integers(0, 40_000))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for f in range(2):
+        own = [word() for _ in range(60)]
+        texts += [(1000 * f + k, " ".join(frame(own, (k % 60, word())).split() + passage)) for k in range(size)]
+    verified, staged = [], jaccard_join.stage
+
+    def counting(df, label):
+        out = staged(df, label)
+        if label.startswith("join_pairs"):
+            verified.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counting)
+    assert joined(docs_of(spark, texts), hot=hot) == brute_components(texts)
+    assert sum(verified) <= 8 * len(texts)
+
+
 def test_join_defines_odd_rows(spark):
     assert joined(docs_of(spark, [])) == []
     text = "one two three four five six"
