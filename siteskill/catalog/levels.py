@@ -12,6 +12,7 @@ from ..plans.levels import match_annual, match_levels, match_monthly, model_seri
 from ..plans.observations import build_catchment_observations, build_observations, build_observations_xdaily
 from ..operators.score import stats_of_moments
 from ..plans.pooling import pool, summarise
+from ..plans.rollup import roll_up
 from ..session import stage
 from ..sources.nested import pivot_sources, stack_tables
 from .case import Case
@@ -105,24 +106,30 @@ def _matched(spark, sf):
     })
 
 
-LEVEL_CTES = f"""
-o AS (SELECT sitename, date, obs FROM site_daily WHERE obs IS NOT NULL),
-m AS (SELECT sitename, date, mod FROM site_daily WHERE mod IS NOT NULL),
+def level_ctes(mod: str = "mod", obs: str = "obs", where: str = "true", series: str = "site_daily") -> str:
+    """Tables adf, mdf, xdf and ddf of one variable; observations are the rows where column obs is known."""
+    return f"""
+d AS (SELECT sitename, date, {mod} AS mod, {obs} AS obs, obs IS NOT NULL AS observed FROM {series} WHERE {where}),
+o AS (SELECT sitename, date, obs FROM d WHERE observed),
+m AS (SELECT sitename, date, mod FROM d WHERE mod IS NOT NULL),
 brk AS (SELECT DISTINCT {WEEK} AS brk FROM o EXCEPT SELECT min({WEEK}) FROM o),
 adf AS (SELECT a.*, b.mod, b.n FROM
-  (SELECT sitename, CAST(date_trunc('year', date) AS DATE) AS date, sum(obs) AS obs FROM o GROUP BY 1, 2) a LEFT JOIN
+  (SELECT sitename, CAST(date_trunc('year', date) AS DATE) AS date, {strict('sum', 'obs')} AS obs FROM o GROUP BY 1, 2) a LEFT JOIN
   (SELECT sitename, CAST(date_trunc('year', date) AS DATE) AS date, CASE WHEN count(*) >= {MIN_DAYS} THEN sum(mod) END AS mod,
           count(*) AS n FROM m GROUP BY 1, 2) b ON a.sitename = b.sitename AND a.date = b.date),
 mdf AS (SELECT a.*, b.mod, b.n FROM
-  (SELECT sitename, CAST(date_trunc('month', date) AS DATE) AS date, avg(obs) AS obs FROM o GROUP BY 1, 2) a LEFT JOIN
+  (SELECT sitename, CAST(date_trunc('month', date) AS DATE) AS date, {strict('avg', 'obs')} AS obs FROM o GROUP BY 1, 2) a LEFT JOIN
   (SELECT sitename, CAST(date_trunc('month', date) AS DATE) AS date, {strict('avg', 'mod')} AS mod, count(*) AS n
-   FROM site_daily GROUP BY 1, 2) b ON a.sitename = b.sitename AND a.date = b.date),
+   FROM d GROUP BY 1, 2) b ON a.sitename = b.sitename AND a.date = b.date),
 xm AS (SELECT sitename, brk, avg(mod) AS mod, count(*) AS n FROM m ASOF JOIN brk ON m.date >= brk.brk
        WHERE date < (SELECT max(brk) FROM brk) GROUP BY 1, 2),
-xdf AS (SELECT a.*, b.mod, b.n FROM (SELECT sitename, {WEEK} AS date, avg(obs) AS obs FROM o GROUP BY 1, 2) a
+xdf AS (SELECT a.*, b.mod, b.n FROM (SELECT sitename, {WEEK} AS date, {strict('avg', 'obs')} AS obs FROM o GROUP BY 1, 2) a
         LEFT JOIN xm b ON a.sitename = b.sitename AND a.date = b.brk),
 ddf AS (SELECT o.*, m.mod FROM o LEFT JOIN m ON o.sitename = m.sitename AND o.date = m.date)
 """
+
+
+LEVEL_CTES = level_ctes()
 MATCHED_SQL = f"""
 WITH {LEVEL_CTES}
 SELECT 'annual' AS level, sitename, date, mod, obs, n FROM adf UNION ALL SELECT 'monthly', sitename, date, mod, obs, n FROM mdf
@@ -137,7 +144,7 @@ def _minus(table: str, key: str, where: str = "true") -> str:
         ON t.sitename = g.s AND {key} = g.k)"""
 
 
-def _evaluation_sql() -> str:
+def _evaluation_sql(variable: str = "mod", ctes: str = LEVEL_CTES) -> str:
     doy = "(SELECT sitename, dayofyear(date) AS d, avg(obs) AS obs, avg(mod) AS mod FROM ddf WHERE dayofyear(date) <> 366 GROUP BY 1, 2)"
     xoy_raw = "(SELECT sitename, dayofyear(date) AS d, avg(obs) AS obs, avg(mod) AS mod FROM xdf GROUP BY 1, 2)"
     xoy = f"({lerp(xoy_raw, 'sitename', 'd', ['obs'])})"
@@ -149,9 +156,88 @@ def _evaluation_sql() -> str:
         "meanxoy": xoy, "anomalies_xdaily": _minus("xdf", "dayofyear(date)"),
     }
     parts = " UNION ALL ".join(
-        f"SELECT 'mod' AS variable, '{level}' AS level, rsq, rmse, slope, bias, nvals FROM ({stats(t)})" for level, t in guarded.items()
+        f"SELECT '{variable}' AS variable, '{level}' AS level, rsq, rmse, slope, bias, nvals FROM ({stats(t)})" for level, t in guarded.items()
     )
-    return f"WITH {LEVEL_CTES} {parts}"
+    return f"WITH {ctes} {parts}"
+
+
+#: A second variable: its observations have gaps of their own, in July of even years.
+SECOND = {
+    "mod": "mod * 0.5 + 10",
+    "obs": "CASE WHEN NOT (year(date) % 2 = 0 AND month(date) = 7 AND dayofmonth(date) = 7) THEN qc * 100 END",
+}
+COLD = "koeppen_code IN ('Cfb', 'Dfb')"
+
+
+def _two(spark, sf, cold=False):
+    """The roll-up of two variables: observations are the rows where the first one is known."""
+    df = daily(spark, sf)
+    mod = df.selectExpr("sitename", "date", "mod AS gpp", f"{SECOND['mod']} AS le")
+    obs = df.where("obs IS NOT NULL").selectExpr("sitename", "date", "obs AS gpp", f"{SECOND['obs']} AS heat")
+    sites = site_info(spark, sf).where(COLD).select("sitename") if cold else None
+    settings = Settings({"gpp": "fluxnet", "le": "fluxnet_daily"}, sites, MIN_DAYS, {"le": "heat"})
+    return roll_up(mod, obs, settings)
+
+
+def _two_sql(cold=False) -> str:
+    where = f"sitename IN (SELECT sitename FROM site_info WHERE {COLD})" if cold else "true"
+    one = _evaluation_sql("gpp", level_ctes(where=where))
+    return f"SELECT * FROM ({one}) UNION ALL SELECT * FROM ({_evaluation_sql('le', level_ctes(SECOND['mod'], SECOND['obs'], where))})"
+
+
+def _annual_source(spark, sf):
+    """One variable with all levels, one whose observations are annual."""
+    df = daily(spark, sf)
+    settings = Settings({"mod": "fluxnet", "aet": "camels"}, min_days=MIN_DAYS, obs_variable={"mod": "obs", "aet": "obs"})
+    mod = df.select("sitename", "date", "mod", F.when(F.year("date") % 2 == 0, F.col("mod")).alias("aet"))
+    return roll_up(mod, known_obs(df), settings).metrics()
+
+
+def _annual_source_sql() -> str:
+    spatial = "(SELECT sitename, avg(obs) AS obs, avg(mod) AS mod FROM aet GROUP BY 1)"
+    levels = {"annual_pooled": "aet", "spatial": spatial, "anomalies_annual": _minus("aet", "1")}
+    parts = " UNION ALL ".join(
+        f"SELECT 'aet' AS variable, '{level}' AS level, rsq, rmse, slope, bias, nvals FROM ({stats(t)})" for level, t in levels.items())
+    return f"""SELECT * FROM ({_evaluation_sql()}) UNION ALL SELECT * FROM (
+        WITH {LEVEL_CTES}, aet AS (SELECT a.sitename, a.date, a.obs, b.mod FROM adf a JOIN
+          (SELECT sitename, CAST(date_trunc('year', date) AS DATE) AS date, coalesce(sum(CASE WHEN year(date) % 2 = 0 THEN mod END), 0) AS mod
+           FROM d GROUP BY 1, 2) b ON a.sitename = b.sitename AND a.date = b.date) {parts})"""
+
+
+def _site_scores_sql() -> str:
+    def one(variable: str, ctes: str) -> str:
+        both = "n_obs > 2 AND n_mod > 2"
+        levels = {
+            "annual": stats("adf", "sitename", where="n > 2"), "anomalies_annual": stats(_minus("adf", "1"), "sitename", where=both),
+            "anomalies_daily": stats(_minus("ddf", "dayofyear(date)", "dayofyear(date) <> 366"), "sitename", where=both),
+            "anomalies_xdaily": stats(_minus("xdf", "dayofyear(date)"), "sitename", where=both),
+        }
+        return f"WITH {ctes} " + " UNION ALL ".join(f"SELECT '{variable}' AS variable, '{k}' AS level, * FROM ({q})" for k, q in levels.items())
+
+    return f"SELECT * FROM ({one('gpp', LEVEL_CTES)}) UNION ALL SELECT * FROM ({one('le', level_ctes(SECOND['mod'], SECOND['obs']))})"
+
+
+FULL_TABLES = ("adf_stats", "iavdf_stats", "idvdf_stats", "ixvdf_stats")
+
+
+SOME_COMPLETE = "mod IS NOT NULL OR sitename < 'S12'"
+
+
+def _full(spark, sf, where="true"):
+    """The tables of a full evaluation, by way of the matched levels."""
+    df = daily(spark, sf).where(where)
+    settings = Settings({"mod": "fluxnet"}, min_days=MIN_DAYS, obs_variable={"mod": "obs"})
+    return evaluate(df.select("sitename", "date", "mod"), settings, observations(spark, df, sf), light=False)["mod"].tables
+
+
+def _full_stats_sql() -> str:
+    both = "n_obs > 2 AND n_mod > 2"
+    levels = {
+        "adf_stats": stats("adf", "sitename", where="n > 2"), "iavdf_stats": stats(_minus("adf", "1"), "sitename", where=both),
+        "idvdf_stats": stats(_minus("ddf", "dayofyear(date)", "dayofyear(date) <> 366"), "sitename", where=both),
+        "ixvdf_stats": stats(_minus("xdf", "dayofyear(date)"), "sitename", where=both),
+    }
+    return f"WITH {LEVEL_CTES} " + " UNION ALL ".join(f"SELECT '{k}' AS level, * FROM ({q})" for k, q in levels.items())
 
 
 def evaluation(spark, sf):
@@ -327,5 +413,23 @@ CASES = {
            SELECT sitename, doy, 'obs_mean' AS source, obs_mean AS value FROM c UNION ALL SELECT sitename, doy, 'mod_mean', mod_mean FROM c""",
     ),
     "l11_evaluate": Case(f"variable:s level:s {STAT_COLUMNS}", evaluation, _evaluation_sql()),
+    "l11_evaluate_two_variables": Case(f"variable:s level:s {STAT_COLUMNS}", lambda s, d: _two(s, d).metrics(), _two_sql()),
+    "l11_evaluate_sites": Case(f"variable:s level:s {STAT_COLUMNS}", lambda s, d: _two(s, d, True).metrics(), _two_sql(True)),
+    "l11_evaluate_annual_source": Case(f"variable:s level:s {STAT_COLUMNS}", _annual_source, _annual_source_sql()),
+    "l11_site_scores": Case(f"variable:s level:s sitename:s {STAT_COLUMNS} intercept:f", lambda s, d: _two(s, d).site_scores(), _site_scores_sql()),
+    "a5_full_stats_by_site": Case(
+        f"level:s sitename:s {STAT_COLUMNS} intercept:f", lambda s, d: (lambda t: stack_tables({k: t[k] for k in FULL_TABLES}))(_full(s, d)), _full_stats_sql()),
+    "a5_full_metrics_by_site": Case(
+        "sitename:s rsq:f mae:f rmse:f", lambda s, d: _full(s, d, SOME_COMPLETE)["metrics_by_site"],
+        f"""WITH {level_ctes(where=SOME_COMPLETE)} SELECT sitename, CASE WHEN complete THEN power(regr_sxy(obs, mod), 2) / nullif(regr_sxx(obs, mod) * regr_syy(obs, mod), 0) END AS rsq,
+            CASE WHEN complete THEN avg(abs(mod - obs)) END AS mae, CASE WHEN complete THEN sqrt(avg((mod - obs) * (mod - obs))) END AS rmse
+            FROM (SELECT *, count(*) OVER (PARTITION BY sitename) = count(mod + obs) OVER (PARTITION BY sitename) AS complete FROM ddf) GROUP BY sitename, complete""",
+    ),
+    "a5_full_annual_lines": Case(
+        "sitename:s xmin:f xmax:f ymin:f ymax:f", lambda s, d: _full(s, d)["adf_lines"],
+        f"""WITH {LEVEL_CTES}, fit AS (SELECT sitename, slope, intercept FROM ({stats('adf', 'sitename', where='n > 2')}))
+            SELECT sitename, min(mod) AS xmin, max(mod) AS xmax, arg_min(intercept + slope * mod, mod) AS ymin, arg_max(intercept + slope * mod, mod) AS ymax
+            FROM adf JOIN fit USING (sitename) WHERE mod IS NOT NULL AND obs IS NOT NULL GROUP BY 1""",
+    ),
     "l11_evaluate_catchments": Case(f"variable:s level:s {STAT_COLUMNS}", _evaluation_annual, _evaluation_annual_sql()),
 }

@@ -20,12 +20,21 @@ from .levels import COMPLETE_YEAR, Matched, match_annual_skipping, match_levels,
 from .observations import Observations
 from .pooling import pool, summarise
 
-ANNUAL_ONLY = "camels"
+#: The names of observation sources, with all levels or with annual ones only.
+FULL, ANNUAL_ONLY = "fluxnet", "camels"
+
+
+def is_annual_only(source: str) -> bool:
+    """Whether a source has annual observations only. Other names than the known ones are refused."""
+    found = {FULL, ANNUAL_ONLY} & set(source_tokens(source))
+    if len(found) != 1:
+        raise ValueError(f"unknown observation source {source!r}: name one of {FULL!r} and {ANNUAL_ONLY!r}")
+    return found == {ANNUAL_ONLY}
 
 
 @dataclass(frozen=True)
 class Settings:
-    """What to evaluate: `benchmark` maps a variable to its observation source.
+    """What to evaluate: `benchmark` maps a variable to its observation source (`"fluxnet"`, `"fluxnet_daily"`, ...).
 
     The source `"camels"` has annual observations only. `sites` is a table of `sitename` to evaluate
     (all, if none is given).
@@ -147,7 +156,7 @@ def evaluate(mod: DataFrame, settings: Settings, obs: Observations, light: bool
     out = {}
     for variable, source in settings.benchmark.items():
         name = settings.obs_variable.get(variable, variable)
-        if ANNUAL_ONLY in source_tokens(source):
+        if is_annual_only(source):
             adf = match_annual_skipping(model_series(mod, variable), obs.adf, name)
             out[variable] = evaluate_annual(adf, light)
         else:
