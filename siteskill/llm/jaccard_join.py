@@ -8,9 +8,10 @@ signatures (segment, subset), the first H + 1 of both sets therefore share one w
 `SINGLES` shingles use one segment per shingle, where c > H always holds; a scheme that meets a larger set
 with c <= H is run once more with one segment per shingle. Nothing depends on luck.
 
-Allocation by cost: the cost of a signature is the number of pairs that a join by it makes. Above `HOT` ** 2 / 2 it costs more than
-neighbourhoods do. It is left out (-1), and the texts that hold one index all their other segments with their one-deletion
-neighbourhoods (+1): subsets of two or more shingles then match up to one difference. Sets without enough such segments left
+Allocation by cost: the pairs that a signature makes are joined as rows up to `HOT` ** 2 / 2, and compared piece by piece with piece, by
+bitmaps (below), beyond. A signature in so many texts that this costs more than the neighbourhoods of its texts would (`ENTRY`)
+is left out (-1), and the texts that hold one index all their other segments with their one-deletion neighbourhoods
+(+1): subsets of two or more shingles then match up to one difference. Sets without enough such segments left
 compare within their common signatures instead, piece by piece, so no link is lost.
 
 Verification: each class has a bitmap of shingle parities, in which two sets differ in at most as many bits as in shingles. Candidates
@@ -40,6 +41,8 @@ from .texts import SPACES, mixed, pieces
 WORDS = 5
 SINGLES = 16
 HOT = 32
+#: What the neighbourhoods of a text cost for each of its shingles (four rows), in comparisons of two bitmaps.
+ENTRY = 20.0
 #: Bytes of text in one piece of work; a piece takes some 60 times as much memory in arrays.
 CHARS = 1_000_000
 _SPACE = np.zeros(256, bool)
@@ -185,12 +188,12 @@ def _sets_of(shingler: Shingler, batch: pa.RecordBatch):
 
 
 def parities(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """A bitmap per set: bit h mod m is the parity of its shingles there, m the power of two from two to four times the size.
+    """A bitmap per set: bit h mod m is the parity of its shingles there, m the power of two from one to two times the size.
 
     The bitmaps of two sets differ in at most as many bits as the sets differ in shingles. A longer bitmap folds to a
     shorter one by xor of its halves, so any two can be compared.
     """
-    width = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     first = np.cumsum(width // 8) - width // 8
     spot = (mixed(value ^ np.uint64(99)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
     where, times = np.unique(first[row] * 8 + spot, return_counts=True)
@@ -382,32 +385,37 @@ class _Join:
     def rooted(self, members: DataFrame) -> DataFrame:
         return members.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def within(self, members: DataFrame, label: str, hot: int | None) -> DataFrame | None:
+    def within(self, members: DataFrame, label: str, hot: int | None, entry: float = 0) -> DataFrame | None:
         """Compare the classes that share a signature; return signatures left out as too costly."""
         hub = members.groupBy("sig").agg(F.min("node").alias("hub"))
         self.check(members.join(stage(hub, f"{label}_hubs"), "sig").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
         placed = stage(self.rooted(members), f"{label}_placed")
         several = stage(pairs_of(placed).where("pairs > 0"), f"{label}_several")
+        few = F.col("pairs") <= (0 if hot is None else hot * hot / 2)
+        known = self.classes.select("node", "n", "bits")
+        large = stage(placed.join(several.where(~few), "sig").join(known, "node").select("sig", "node", "root", "n", "bits", "pairs"), f"{label}_large")
         if hot is None:
-            return self.compare(placed.join(several.select("sig"), "sig"))
-        placed = placed.join(several.where(F.col("pairs") <= hot * hot / 2).select("sig"), "sig")
+            return self.compare(large)
+        placed = placed.join(several.where(few).select("sig"), "sig")
         left = placed.select("sig", F.col("node").alias("a"), F.col("root").alias("a_root"))
         right = placed.select("sig", F.col("node").alias("b"), F.col("root").alias("b_root"))
         self.check(left.join(right, "sig").where("a < b AND a_root <> b_root").select("a", "b").distinct())
-        return stage(several.where(F.col("pairs") > hot * hot / 2).select("sig"), f"{label}_hot")
+        costs = large.groupBy("sig").agg((F.max("pairs") > entry * F.sum("n")).alias("dear"))
+        costs = stage(costs, f"{label}_costs")
+        self.compare(large.join(costs.where("NOT dear").select("sig"), "sig"))
+        return costs.where("dear").select("sig")
 
     def compare(self, placed: DataFrame, rows: int = 2048) -> None:
         """Compare all classes that share a signature, however many: pieces of them with pieces, by bitmaps; only what may link is a pair."""
-        known = placed.join(self.classes.select("node", "n", "bits"), "node").select("sig", "node", "root", "n", "bits")
         cut = placed.groupBy("sig").agg(F.ceil(F.count("*") / rows).cast("int").alias("p"))
         own = F.pmod(F.xxhash64("node"), "p").cast("int")
         turns = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), (i < own).alias("right")))
-        tasks = known.join(cut, "sig").select("sig", "node", "root", "n", "bits", F.inline(turns))
+        tasks = placed.join(cut, "sig").select("sig", "node", "root", "n", "bits", F.inline(turns))
         self.check(tasks.groupBy("sig", "i", "j").applyInArrow(_blocks, "a bigint, b bigint").distinct())
 
 
-def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`."""
+def join(docs: DataFrame, hot: int = HOT, entry: float = ENTRY) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`. The result does not depend on `hot` and `entry`."""
     state = _Join(docs)
     schema, names = "sig bigint, node bigint, few int", ["sig", "node", "few"]
     low, high = (f(F.col("node")).over(Window.partitionBy("sig")) for f in (F.min, F.max))
@@ -415,7 +423,7 @@ def join(docs: DataFrame, hot: int = HOT) -> DataFrame:
     members = stage(signed.where("low < high OR few >= 0").distinct(), "join_members")
     few = sorted(r["few"] for r in members.where("few >= 0").select("few").distinct().collect())  # bands, fifty at most
     shared = members.where("low < high").select("sig", "node")
-    left_out = state.within(shared, "join_subsets", hot)
+    left_out = state.within(shared, "join_subsets", hot, entry)
     if not left_out.isEmpty():
         _neighbours(state, shared, left_out, hot)
     if few:
@@ -451,7 +459,7 @@ def _neighbours(state: _Join, shared: DataFrame, left_out: DataFrame, hot: int)
     state.check(whole.join(cut, "sig").where("a_root <> b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # both sides of a pair are weak, or one is strong and has found the other
     rest = stage(state.rooted(shared.join(left_out, "sig").join(weak, "node", "left_semi").select("sig", "node")), "join_rest")
-    state.compare(rest.select("sig", "node", "root"))
+    state.compare(rest.join(state.classes.select("node", "n", "bits"), "node"))
 
 
 def _named(state: _Join) -> DataFrame:
