@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import SPACES, labelled, pieces
+from .texts import beside, SPACES, labelled, pieces
 
 STATISTICS = (
     "log_words", "word_length", "symbols", "bangs", "capitals", "digits", "commas", "stops", "distinct", "doubled",
@@ -162,3 +162,10 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scored, "doc_id bigint, score double")
+
+
+def good(docs: DataFrame, forest: Forest, least: float) -> DataFrame:
+    """The rows of `docs` that score `least` or more. Each row is judged by its own text, whatever its doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    scored = beside(docs, lambda texts: [pa.array(shared.value.score(matrix(texts)), pa.float64())], "score double")
+    return scored.where(F.col("score") >= least).select("_row.*")

@@ -2,8 +2,9 @@
 
 A text's lattice has an edge for every piece of the vocabulary; a character without a piece is spelled in its bytes.
 A piece of merge rank r weighs 1 / (r + 2), a segmentation the product of its pieces, and its probability is its
-share of all segmentations of the text. In the vocabulary a space only follows spaces, so no piece crosses the end of a
-word, and the lattice factors exactly into units: a whole word with all spaces before it. Backward sums over the lattice of a
+share of all segmentations of the text. Where two neighbouring characters occur side by side in no piece, no piece can cross, so
+the lattice factors exactly into units between such places: mostly words with the spaces before them, without line
+breaks and marks. Backward sums over the lattice of a
 unit give every edge its probability given the position it leaves; a path is drawn edge by edge from them. Units of up to
 `LISTED` characters are one position whose edges are all their segmentations, which is the same thing in fewer steps.
 
@@ -24,9 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,12 @@ from .texts import pieces, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LISTED = 6
-#: Edges that a task remembers, and characters of new units whose lattices are built at once.
-KNOWN = 6_000_000
+#: Edges that a worker remembers, and characters of new units whose lattices are built at once.
+KNOWN = 4_000_000
 CHARS = 200_000
 #: -log(u) lies between 2 ** -54 and 38 for every u that noise can be, so no value at a location lower by this can win.
 REACH = 45.0
-_UNITS = re.compile(" *[^ ]+| +")
+_NEAR = 1024
 SCHEMA = (
     "doc_id bigint, n_chars bigint, segmentations array<array<int>>, log_prob array<double>, perturbed array<double>, "
     "inclusion array<double>, round_trip boolean"
@@ -54,6 +54,8 @@ class Vocabulary:
     """Pieces with spaces for U+2581, their log weights, the ids of the 256 bytes, and the pieces as a trie.
 
     A step of the trie is state << 21 | code point (`steps`, sorted) to a state (`states`); `ends` is a state's piece or -1.
+    `near` and `far` hold the pairs of characters that occur side by side in a piece. `learnt` keeps what a worker has built:
+    the broadcast stays in it from task to task.
     """
 
     ids: dict[str, int]
@@ -63,6 +65,24 @@ class Vocabulary:
     steps: np.ndarray
     states: np.ndarray
     ends: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    learnt: list = field(default_factory=list)
+
+    def sampler(self) -> Sampler:
+        if not self.learnt:
+            self.learnt.append(Sampler(self))
+        return self.learnt[0]
+
+
+def side_by_side(ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring characters of all pieces: a table for small code points, and sorted numbers for the others."""
+    pairs = {(ord(a), ord(b)) for piece in ids for a, b in zip(piece, piece[1:])}
+    near = np.zeros((_NEAR, _NEAR), bool)
+    for a, b in pairs:
+        if max(a, b) < _NEAR:
+            near[a, b] = True
+    return near, np.array(sorted(a << 21 | b for a, b in pairs if max(a, b) >= _NEAR), np.int64)
 
 
 def trie(ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +114,7 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
     rank = np.array([max(0.0, -p.get_score(i)) for i in range(n)])
     rank[byte_ids] = n
     ids = {names[i].replace("▁", " "): i for i in plain}
-    if any(" " in piece.lstrip(" ") for piece in ids):
-        raise ValueError("a piece crosses the end of a word")
-    return Vocabulary(ids, -np.log(rank + 2), spelled, byte_ids, *trie(ids))
+    return Vocabulary(ids, -np.log(rank + 2), spelled, byte_ids, *trie(ids), *side_by_side(ids))
 
 
 def unit_lattice(unit: str, vocab: Vocabulary) -> list[tuple[float, tuple[int, ...]]]:
@@ -180,20 +198,30 @@ class Sampler:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.n_nodes = self.n_edges = self.n_tokens = 0
         self.cum, self.logp = np.zeros(0), np.zeros(0)
-        self.first, self.start = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.next = np.zeros(0, np.int64)
-        self.tokens = np.zeros(0, np.int32)
+        self.first, self.start = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.next, self.tokens = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values into an array that grows by half at least."""
+        array, end = getattr(self, name), at + len(values)
+        if end > len(array):
+            larger = np.zeros(max(end, len(array) * 3 // 2), getattr(self, name).dtype)
+            larger[:at] = array[:at]
+            setattr(self, name, larger)
+            array = larger
+        array[at:end] = values
 
     def learn(self, units: set[str]) -> None:
         new = sorted(units - self.number.keys())
-        if new and len(self.logp) > KNOWN:
+        if new and self.n_edges > KNOWN:
             self.reset()
             new = sorted(units)
         short = [u for u in new if len(u) <= LISTED]
         if short:
             ways = [unit_lattice(u, self.vocab) for u in short]
-            self.number |= {u: len(self.first) - 1 + k for k, u in enumerate(short)}
+            self.number |= {u: self.n_nodes + k for k, u in enumerate(short)}
             counts = np.array([len(x) for x in ways])
             tokens = [i for x in ways for _, t in x for i in t]
             self._add(np.array([w for x in ways for w, _ in x]), counts, np.full(counts.sum(), -1), np.array([len(t) for x in ways for _, t in x]), np.array(tokens))
@@ -201,7 +229,7 @@ class Sampler:
         slot = np.cumsum([len(u) for u in long]) // CHARS
         cuts = np.flatnonzero(np.r_[True, np.diff(slot) != 0]).tolist() if long else []
         for a, z in zip(cuts, [*cuts[1:], len(long)]):
-            some, base = long[a:z], len(self.first) - 1
+            some, base = long[a:z], self.n_nodes
             sizes = np.array([len(u) for u in some])
             self.number |= dict(zip(some, (base + np.cumsum(sizes) - sizes).tolist()))
             leaves, to, piece, w, bytewise = word_lattice(some, self.vocab)
@@ -226,14 +254,17 @@ class Sampler:
             has = at[counts > k] + k
             run[has] += run[has - 1]
         run[at + counts - 1] = 1.0
-        self.cum, self.logp, self.next = np.r_[self.cum, np.minimum(run, 1.0)], np.r_[self.logp, w], np.r_[self.next, to]
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum(counts)]
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum(lengths)]
-        self.tokens = np.r_[self.tokens, tokens.astype(np.int32)]
+        ends, stops = self.n_edges + np.cumsum(counts), self.n_tokens + np.cumsum(lengths)
+        for name, values in (("cum", np.minimum(run, 1.0)), ("logp", w), ("next", to)):
+            self._put(name, self.n_edges, values)
+        self._put("first", self.n_nodes + 1, ends)
+        self._put("start", self.n_edges + 1, stops)
+        self._put("tokens", self.n_tokens, tokens)
+        self.n_nodes, self.n_edges, self.n_tokens = self.n_nodes + len(counts), int(ends[-1]), int(stops[-1])
 
     def _chosen(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of every node, by its probability."""
-        low, high = self.first[nodes], self.first[nodes + 1] - 1
+        low, high = self.first[nodes].astype(np.int64), self.first[nodes + 1].astype(np.int64) - 1
         open_ = np.flatnonzero(low < high)
         while len(open_):
             a, z = low[open_], high[open_]
@@ -277,8 +308,12 @@ class Sampler:
             live = [s for s in live if s.advance(turn)]
         return [[*s.out, (None, 0.0, -s.queue[0][0] if s.queue else -np.inf)] for s in searches]
 
+    def lengths(self, choice: np.ndarray) -> np.ndarray:
+        return self.start[choice + 1] - self.start[choice]
+
     def spelled(self, choice: np.ndarray) -> np.ndarray:
-        begin, count = self.start[choice], self.start[choice + 1] - self.start[choice]
+        begin = self.start[choice].astype(np.int64)
+        count = self.start[choice + 1] - begin
         ends = np.cumsum(count)
         return self.tokens[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)]
 
@@ -339,7 +374,7 @@ class _Search:
         s = self.sampler
         top, _, _, choice, at, without, log_head = heapq.heappop(self.queue)
         self.top = -top
-        node = int(np.searchsorted(s.first, choice[at], side="right")) - 1
+        node = int(np.searchsorted(s.first[: s.n_nodes + 1], choice[at], side="right")) - 1
         ways = np.array([i for i in range(int(s.first[node]), int(s.first[node + 1])) if i not in without])
         p = np.exp(s.logp[ways])
         u = self.noise(turn, 1, 2)
@@ -359,8 +394,18 @@ def seed(doc_id: int | None, text: str | None) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little"))
 
 
-def units_of(text: str | None) -> list[str]:
-    return _UNITS.findall(" " + text) if text else []
+def units_of(text: str | None, vocab: Vocabulary) -> list[str]:
+    """The text, with a space before it, cut where no piece can cross."""
+    if not text:
+        return []
+    text = " " + text
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    a, b = codes[:-1], codes[1:]
+    joined = vocab.near[np.minimum(a, _NEAR - 1), np.minimum(b, _NEAR - 1)]
+    high = np.flatnonzero((a >= _NEAR) | (b >= _NEAR))
+    joined[high] = np.isin(a[high].astype(np.int64) << 21 | b[high], vocab.far)
+    cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(text)]
+    return [text[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
 def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
@@ -369,28 +414,28 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as large as the vocabulary
 
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(shared.value)
+        sampler = shared.value.sampler()
         for batch in pieces(batches, "text", 1_000_000):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [units_of(t) for t in texts]
+            found = [units_of(t, shared.value) for t in texts]
             sampler.learn(set().union(*found))
             number = sampler.number
-            tokens, lengths, counts, logs, tops, shares, same = [], [], [], [], [], [], []
             numbers = [np.array(list(map(number.__getitem__, units)), np.int64) for units in found]
             searched = sampler.sample_all(numbers, np.array([seed(i, t) for i, t in zip(ids, texts)], np.uint64), k)
-            for text, (*samples, (_, _, after)) in zip(texts, searched):
-                counts.append(len(samples))
-                same.append(True)
-                for choice, log_prob, top in samples:
-                    tokens.append(sampler.spelled(choice))
-                    lengths.append(len(tokens[-1]))
-                    same[-1] &= spell(tokens[-1].tolist(), shared.value) == (" " + text if text else "").encode()
-                    logs.append(log_prob)
-                    tops.append(top)
-                    with np.errstate(over="ignore"):
-                        shares.append(float(-np.expm1(-np.exp(log_prob - after))))
+            samples = [(text, *sample, after) for text, (*some, (_, _, after)) in zip(texts, searched) for sample in some]
+            counts = [len(x) - 1 for x in searched]
+            edges = [choice for _, choice, *_ in samples]
+            tokens, many = sampler.spelled(np.concatenate(edges)), sampler.lengths(np.concatenate(edges))
+            owner = np.repeat(np.arange(len(samples)), [len(e) for e in edges])
+            lengths = np.bincount(owner, many, minlength=len(samples)).astype(np.int64)
+            right = spells(np.split(tokens, np.cumsum(lengths)[:-1]), [" " + t if t else "" for t, *_ in samples], shared.value)
+            bad = np.bincount(np.repeat(np.arange(len(texts)), counts), ~np.array(right), minlength=len(texts))
+            same = bad == 0
+            logs, tops = [x[2] for x in samples], [x[3] for x in samples]
+            with np.errstate(over="ignore"):
+                shares = -np.expm1(-np.exp(np.array(logs) - np.array([x[4] for x in samples])))
             outer = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-            inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.concatenate(tokens).astype(np.int32)))
+            inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(tokens))
             listed = lambda x: pa.ListArray.from_arrays(outer, pa.array(x, pa.float64()))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.ListArray.from_arrays(outer, inner), listed(logs), listed(tops), listed(shares),
@@ -405,6 +450,11 @@ def spell(ids: Iterable[int], vocab: Vocabulary) -> bytes:
     return b"".join([vocab.spelled[i] for i in ids])
 
 
+def spells(samples: list[np.ndarray], texts: list[str], vocab: Vocabulary) -> list[bool]:
+    """Whether the ids of each sample spell its text."""
+    return [spell(ids.tolist(), vocab) == text.encode() for ids, text in zip(samples, texts)]
+
+
 def decoded(ids: Iterable[int], vocab: Vocabulary) -> str:
     return spell(ids, vocab).decode(errors="replace")[1:]
 

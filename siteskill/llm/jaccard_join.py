@@ -473,7 +473,15 @@ def _named(state: _Join) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """All columns of `docs`, one row per component: that of its smallest doc_id. Rows without doc_id or shingles stay."""
-    found = join(docs).where("doc_id IS NOT NULL AND n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(stage(found, "join_dropped").withColumnRenamed("doc_id", "_dropped"), F.col("doc_id").cast("bigint") == F.col("_dropped"), "left_anti")
-    return kept
+    """All columns of `docs`, one row per component: the smallest doc_id (null last), the first such row. Rows without shingles stay.
+
+    Rows get keys when they are written, so null and shared doc_ids neither hide copies nor take other rows along.
+    """
+    keyed = stage(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*docs.columns).alias("_row")), "join_keyed")
+    found = join(keyed.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text"))).where("n_shingles > 0")
+    ranked = found.join(keyed.select(F.col("_key").alias("doc_id"), F.col("_row.doc_id").alias("id")), "doc_id").select(
+        "component_id", F.struct(F.col("id").isNull(), "id", F.col("doc_id").alias("key")).alias("rank"))
+    ranked = stage(ranked, "join_ranked")
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("first"))
+    dropped = ranked.join(first, "component_id").where("rank <> first").select(F.col("rank.key").alias("_key"))
+    return keyed.join(stage(dropped, "join_dropped"), "_key", "left_anti").select("_row.*")

@@ -122,6 +122,7 @@ def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
 
 
 def repeated(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The mix itself: every row of `docs` as often as it is taken."""
+    """The mix itself: every row of `docs` as often as it is taken. Columns of any name pass through."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
     copies = F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))
-    return mixed(docs, seed, **options).where("times > 0").withColumn("_copy", copies).select(*docs.columns)
+    return mixed(rows, seed, **options).where("times > 0").withColumn("_copy", copies).select("_row.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import SPACES, pieces
+from .texts import SPACES, beside, pieces
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -118,6 +118,17 @@ def ledger(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_measured, SCHEMA).withColumn("failed", failure_bits())
 
 
+def passing(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of `docs` that a policy keeps. Each row is judged by its own text, whatever its doc_id."""
+
+    def measures(texts: list[str | None]) -> list[pa.Array]:
+        rows = np.array([measure(t) for t in texts], np.int64).reshape(-1, len(MEASURES))
+        return [pa.array(rows[:, k]) for k in range(len(MEASURES))]
+
+    judged = beside(docs, measures, ", ".join(f"{m} bigint" for m in MEASURES)).withColumn("failed", failure_bits())
+    return apply_policy(judged, policy).where("kept").select("_row.*")
+
+
 def apply_policy(rows: DataFrame, policy: str, into: str = "kept") -> DataFrame:
     return rows.withColumn(into, F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("bigint")) == 0)
 

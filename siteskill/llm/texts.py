@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The ASCII white space that separates words. `bytes.split()` splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -28,6 +29,22 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, chars: int = 4_000_00
             yield batch.slice(int(a), int(b - a))
 
 
+def beside(docs: DataFrame, work: Callable[[list[str | None]], list[pa.Array]], fields: str) -> DataFrame:
+    """`_row`, a struct of all columns of a row, and the fields that `work` makes of its text. No name can clash, and no row is joined."""
+    made = StructType.fromDDL(fields)
+    names = ["_row", *made.names]
+
+    def call(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            texts = rows.field("text").cast(pa.string())
+            for piece in pieces([pa.RecordBatch.from_arrays([rows, texts], names=["_row", "text"])], "text"):
+                yield pa.RecordBatch.from_arrays([piece.column(0), *work(piece.column(1).to_pylist())], names=names)
+
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    return rows.mapInArrow(call, StructType([*rows.schema.fields, *made.fields]))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix (the finaliser of splitmix64); overflow is meant."""
     with np.errstate(over="ignore"):

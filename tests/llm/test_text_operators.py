@@ -188,7 +188,7 @@ def test_sketches_of_odd_rows(spark):
 
 def test_sampled_segmentations_have_their_probabilities():
     sampler = gumbel_pieces.Sampler(gumbel_pieces.vocabulary())
-    units = gumbel_pieces.units_of("the ca")
+    units = gumbel_pieces.units_of("the ca", sampler.vocab)
     sampler.learn(set(units))
     numbers = np.array([sampler.number[u] for u in units])
     chance = {c: float(np.exp(sum(sampler.logp[j] for j in c))) for c in itertools.product(*[range(sampler.first[n], sampler.first[n + 1]) for n in numbers])}
@@ -210,7 +210,7 @@ def test_sampled_segmentations_have_their_probabilities():
 @pytest.mark.parametrize("text", ["information", "a  straße😀été", "x     internationals", "-" * 9, "       "])
 def test_lattice_spans_whole_words(text):
     vocab = gumbel_pieces.vocabulary()
-    sampler, units = gumbel_pieces.Sampler(vocab), gumbel_pieces.units_of(text)
+    sampler, units = gumbel_pieces.Sampler(vocab), gumbel_pieces.units_of(text, vocab)
     ways = [gumbel_pieces.unit_lattice(u, vocab) for u in units]
     total = sum(np.logaddexp.reduce([w for w, _ in x]) for x in ways)
     chance = Counter()
@@ -234,10 +234,21 @@ def test_lattice_spans_whole_words(text):
         assert first[(vocab.ids[" information"],)] > n / 2
 
 
+def test_units_are_cut_where_no_piece_crosses():
+    vocab = gumbel_pieces.vocabulary()
+    for text in ("end.\nStart of it, 12,5 x😀y\u4e2d\u6587", "a", "\n\n", "z" * 50):
+        units = gumbel_pieces.units_of(text, vocab)
+        assert "".join(units) == " " + text
+        cuts = set(itertools.accumulate(map(len, units)))
+        whole = " " + text
+        for a, b in itertools.combinations(range(len(whole) + 1), 2):
+            assert whole[a:b] not in vocab.ids or not any(a < c < b for c in cuts)
+
+
 def test_search_of_a_text_is_its_own():
     sampler = gumbel_pieces.Sampler(gumbel_pieces.vocabulary())
     texts = ["international information", "", "a", "d" * 3000, "ab " * 400 + "extraordinarily"]
-    units = [gumbel_pieces.units_of(t) for t in texts]
+    units = [gumbel_pieces.units_of(t, sampler.vocab) for t in texts]
     sampler.learn(set().union(*units))
     numbers = [np.array([sampler.number[u] for u in x], np.int64) for x in units]
     keys = np.array([gumbel_pieces.seed(i, None) for i in range(len(texts))])
