@@ -1,14 +1,15 @@
 """The corpus pipeline: quality classifier, quality rules, near-duplicate join, mixing, sampled pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; `run` writes each to the shared folder, and the next one reads it from there.
-Rules and mixing decide per document, the join keeps the smallest doc_id of every component, the mix repeats
-documents as often as it takes them. Everything but the last stage returns the columns of `documents`.
+Every stage decides row by row, on the row's own text: rows without doc_id or with a shared one are judged like any other, and
+repeated rows are copies of each other. The join keeps the row with the smallest doc_id of every component (null last), the mix repeats
+documents as often as it takes them. Null and empty texts have no words and go with the rules. Other columns pass through every
+stage but the last, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siteskill.llm import boosted_quality, gumbel_pieces, jaccard_join, pareto_mix, rule_ledger
 from siteskill.session import stage
@@ -17,22 +18,15 @@ from siteskill.session import stage
 GOOD_FROM = 0.3
 
 
-def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in `gone`; rows without doc_id stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones; labels of any row may teach it here."""
     forest = boosted_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), parts=5, held=0)
-    scored = stage(boosted_quality.score(docs, forest).where(F.col("score") < GOOD_FROM), "pipeline_rejected")
-    return _kept(docs, scored)
+    return boosted_quality.good(docs, forest, GOOD_FROM)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    judged = rule_ledger.apply_policy(rule_ledger.ledger(docs), "v2")
-    return _kept(docs, stage(judged.where(~F.col("kept")), "pipeline_failed"))
+    return rule_ledger.passing(docs, "v2")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
