@@ -20,6 +20,8 @@ table gives an empty result. Only DataFrame and SQL expressions are used.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,8 +115,12 @@ def _following(keys: DataFrame, level: int = 2) -> DataFrame:
     return join_null_safe(grouped.withColumn("next", lead), ends, ["group"]).select("key", F.when(F.col("next").isNull(), F.col("head")).otherwise(F.col("next.key")).alias("next"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and next_text, the text of the next document in descending order."""
+def with_next(docs: DataFrame, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """doc_id, text (null: empty) and next_text, the text of the next document in descending order.
+
+    `more` names columns to be made of the text, one after the other. They come along from the next row as next_*, which are null
+    for the few rows whose next one is in another block.
+    """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     block = F.floor(F.col("doc_id") / F.lit(BLOCK)).alias("block")
     heads = stage(rows.groupBy(block).agg(F.max("doc_id").alias("head")), "sketch_heads")
@@ -124,22 +130,30 @@ def with_next(docs: DataFrame) -> DataFrame:
     if not heads.where("head IS NULL").isEmpty():
         known = known.unionByName(rows.where("doc_id IS NULL").groupBy("doc_id").agg(F.min("text").alias("head_text")))
     last = stage(join_null_safe(ends.withColumnRenamed("head", "doc_id"), known, ["doc_id"]).select("block", "head_text"), "sketch_last")
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    led = rows.withColumn("block", block).withColumn("lead", F.lead("text").over(order))
-    return join_null_safe(led, last, ["block"]).select("doc_id", "text", F.coalesce("lead", "head_text").alias("next_text"))
-
-
-def versions(docs: DataFrame) -> DataFrame:
+    # the block as a struct is never null, so window and join share one exchange of the texts
+    order = Window.partitionBy("place").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    placed = rows.withColumn("place", F.struct(block.alias("b")))
+    for name, column in (more or {}).items():
+        placed = placed.withColumn(name, column)
+    kept = ["text", *(more or {})]
+    led = placed.withColumn("lead", F.lead(F.struct(*kept)).over(order))
+    ends = last.select(F.struct(F.col("block").alias("b")).alias("place"), "head_text")
+    following = [F.coalesce("lead.text", "head_text").alias("next_text"), *[F.col(f"lead.{c}").alias(f"next_{c}") for c in more or {}]]
+    return led.join(ends, "place").select("doc_id", *kept, *following)
+
+
+def versions(docs: DataFrame, more: Mapping[str, Column] | None = None) -> DataFrame:
     """doc_id, text, edited and next_text: the last half of the text gives way to the beginning of the next one."""
     half = F.floor(F.length("text") / F.lit(2)).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
-    return with_next(docs).withColumn("edited", edited)
+    return with_next(docs, more).withColumn("edited", edited)
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited version, and how like they are to each other and to the next text."""
-    keyed = versions(docs).withColumns({"a": digests(F.col("text")), "e": digests(F.col("edited")), "x": digests(F.col("next_text"))})
-    sketched = keyed.withColumns({"sa": F.expr(sketch_sql("a")), "se": F.expr(sketch_sql("e")), "sx": F.expr(sketch_sql("x"))})
+    keyed = versions(docs, {"a": digests(F.col("text")), "sa": F.expr(sketch_sql("a"))})
+    keyed = keyed.withColumns({"e": digests(F.col("edited")), "x": F.coalesce("next_a", digests(F.col("next_text")))})
+    sketched = keyed.withColumns({"se": F.expr(sketch_sql("e")), "sx": F.coalesce(F.col("next_sa"), F.expr(sketch_sql("x")))})
     size = lambda c: F.size(c).cast("double")
     return sketched.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
