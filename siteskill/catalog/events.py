@@ -70,10 +70,13 @@ def merge_sql() -> str:
         SELECT site, row_number() OVER (PARTITION BY site ORDER BY start_rn) AS run_id, start_rn, len FROM r{MERGE_ROUNDS}"""
 
 
-def _align(spark, sf, do_norm=False):
+MANY = ("median", "q33", "q66", "mean", "n")
+
+
+def _align(spark, sf, do_norm=False, **options):
     df = daily(spark, sf)
     series = df.select(F.col("sitename").alias("site"), "date", "obs", "mod")
-    return align_events(series, flags(df), ["obs", "mod"], MIN_LEN, BEFORE, AFTER, do_norm, NBINS, NORMBIN)
+    return align_events(series, flags(df), ["obs", "mod"], MIN_LEN, BEFORE, AFTER, do_norm, NBINS, NORMBIN, **options)
 
 
 def _response(do_norm):
@@ -166,6 +169,11 @@ CASES = {
         "dday:i obs_median:f obs_q33:f obs_q66:f mod_median:f mod_q33:f mod_q66:f", lambda s, d: _align(s, d).by_day,
         f"SELECT dday, {TERCILES.format(v='obs', p='obs_')}, {TERCILES.format(v='mod', p='mod_')} FROM ({_windows_sql()}) GROUP BY 1",
     ),
+    "k2_summaries_by_day": Case(
+        "dday:i " + " ".join(f"{v}_{n}:{'i' if n == 'n' else 'f'}" for v in ("obs", "mod") for n in MANY), lambda s, d: _align(s, d, names=MANY).by_day,
+        f"""SELECT dday, {', '.join(f"{TERCILES.format(v=v, p=f'{v}_')}, avg({v}) AS {v}_mean, count({v}) AS {v}_n" for v in ('obs', 'mod'))}
+            FROM ({_windows_sql()}) GROUP BY 1""",
+    ),
     "l14_align_events_normalised": Case(
         "site:s inst:i dday:i inbin:i date:d obs:f mod:f", lambda s, d: _align(s, d, True).rows,
         f"{_normalised_sql()} SELECT site, inst, dday, inbin, date, w.obs - c.obs AS obs, w.mod - c.mod AS mod FROM w, c",

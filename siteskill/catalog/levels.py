@@ -18,7 +18,7 @@ from ..sources.nested import pivot_sources, stack_tables
 from .case import Case
 from .scoring import STAT_COLUMNS, _zones, zone_cycle_sql
 from .sqlparts import lerp, stats, strict
-from .views import forcing, site_daily, site_info
+from .views import forcing, site_daily, site_info, table
 
 MIN_DAYS = 200
 
@@ -334,6 +334,17 @@ def _bins_both_ways(spark, sf):
     return placed.select("sitename", "date", "inbin", regular.alias("regular"))
 
 
+def _breaks_within_days(spark, sf):
+    """Events by breaks every few hours and one in between, and by uneven breaks of a number whose last one counts."""
+    e = table(spark, sf, "events").select("event_id", "ts", "value")
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    regular = span.selectExpr("explode(sequence(a, z, INTERVAL '07:35' HOUR TO MINUTE)) AS brk")
+    breaks = regular.unionByName(span.selectExpr("a + INTERVAL 90 MINUTES AS brk"))
+    numbers = spark.createDataFrame([(x,) for x in (20.0, 5.0, -1e9, 5.5, 21.0, None)], "brk double")
+    placed = bins.assign_breaks(e, "ts", breaks, into="bin")
+    return bins.assign_breaks(placed, "value", numbers, include_last=True, into="number").withColumn("bin", F.date_format("bin", "yyyy-MM-dd HH:mm:ss"))
+
+
 CASES = {
     "l2_observation_levels": Case("level:s sitename:s date:d obs:f qc:f lat:f koeppen_code:s", _obs_levels, OBS_LEVELS_SQL),
     "l3_catchment_observations": Case(
@@ -397,6 +408,16 @@ CASES = {
                         CAST(a + CAST(floor(date_diff('day', a, z) / 8.0) AS INTEGER) * 8 AS DATE) AS last FROM site_daily, s)
            SELECT sitename, date, CASE WHEN bin < last THEN bin END AS inbin, CASE WHEN bin < last THEN bin END AS regular FROM b""",
     ),
+    "f8_breaks_within_days": Case(
+        "event_id:i bin:s number:f", _breaks_within_days,
+        """WITH t AS (SELECT min(ts) AS a, max(ts) AS z FROM events),
+           b AS (SELECT unnest(generate_series(a, z, INTERVAL '7 hours 35 minutes')) AS brk FROM t UNION SELECT a + INTERVAL 90 MINUTE FROM t),
+           v AS (SELECT unnest([-1e9, 5.0, 5.5, 20.0, 21.0]) AS edge),
+           n AS (SELECT event_id, max(edge) AS number FROM events LEFT JOIN v ON value >= edge AND value <= 21 GROUP BY 1)
+           SELECT e.event_id, CASE WHEN ts < (SELECT max(brk) FROM b) THEN strftime(brk, '%Y-%m-%d %H:%M:%S') END AS bin,
+                  CASE WHEN number = 21 THEN 20 ELSE number END AS number
+           FROM events e ASOF LEFT JOIN b ON e.ts >= b.brk JOIN n ON n.event_id = e.event_id""",
+    ),
     "f9_break_sequence": Case(
         "brk:d", lambda s, d: bins.breaks_table(site_daily(s, d), 8),
         "SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 8 DAY)) AS DATE) AS brk FROM site_daily",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -11,7 +13,9 @@ from ..operators.compare import compare_tables
 from ..operators.joins import attach_metadata, drop_sites, keep_sites
 from ..plans.candidates import best_run, score_runs, within_bounds
 from ..plans.drivers import prepare_drivers
+from ..session import shared_dir
 from ..sources import nested as N
+from ..sources import tables
 from .case import Case
 from .levels import daily
 from .views import forcing, shipments, site_daily, site_info, table
@@ -161,7 +165,54 @@ SELECT *, n_null_mismatch = 0 AND difference <= 1e-5 AS is_equal FROM s
 """
 
 
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/siteskill-{uuid.uuid4().hex}"
+
+
+def _csv_round_trip(spark, sf):
+    """Site table out to CSV and in again: `NA`, empty fields and NaN come back as null."""
+    path = _folder(spark)
+    site = F.substring("sitename", 2, 2).cast("int")
+    tables.write_csv(site_info(spark, sf).select(
+        "sitename", "lon", F.when(site % 3 != 0, F.col("lat")).alias("lat"), F.when(site % 4 == 0, F.lit(float("nan"))).otherwise(site * 10.0).alias("elv"),
+        F.lit(None).cast("double").alias("whc"), F.when(site % 5 != 0, F.col("koeppen_code")).alias("koeppen_code"), "igbp_land_use"), path)
+    return tables.read_csv(spark, path, tables.SITE_INFO_SCHEMA)
+
+
+def _saved_tables(spark, sf):
+    """A full and a light form, written and read; NaN comes back as null."""
+    path, df = _folder(spark), daily(spark, sf).withColumn("mod", F.coalesce("mod", F.lit(float("nan"))))
+    tables.write_table(df, f"{path}/full")
+    tables.write_table(df, f"{path}/light", ["sitename", "date", "mod"])
+    return N.stack_tables({k: tables.read_table(spark, f"{path}/{k}") for k in ("full", "light")})
+
+
+def _rewritten_fold(spark, sf):
+    """Five folds written, one of them twice, then two of them read."""
+    path = _folder(spark)
+    df = daily(spark, sf).select("sitename", "date", "mod", (F.substring("sitename", 2, 2).cast("int") % 5).alias("fold"))
+    tables.write_by_fold(df, path)
+    tables.write_by_fold(df.where("fold = 2").withColumn("mod", F.col("mod") + 1000), path)
+    return tables.read_fold(spark, path, 2).unionByName(tables.read_fold(spark, path, 3))
+
+
 CASES = {
+    "a1_csv_round_trip": Case(
+        "sitename:s lon:f lat:f elv:f whc:f koeppen_code:s igbp_land_use:s", _csv_round_trip,
+        """SELECT sitename, lon, CASE WHEN n % 3 <> 0 THEN lat END AS lat, CASE WHEN n % 4 <> 0 THEN n * 10 END AS elv, NULL AS whc,
+                  CASE WHEN n % 5 <> 0 THEN koeppen_code END AS koeppen_code, igbp_land_use
+           FROM (SELECT *, CAST(substr(sitename, 2, 2) AS INTEGER) AS n FROM site_info)""",
+    ),
+    "a2_saved_tables": Case(
+        "level:s sitename:s date:d obs:f mod:f n_lines:i", _saved_tables,
+        """SELECT 'full' AS level, sitename, date, obs, mod, n_lines FROM site_daily
+           UNION ALL SELECT 'light', sitename, date, NULL, mod, NULL FROM site_daily""",
+    ),
+    "a4_rewritten_fold": Case(
+        "sitename:s date:d mod:f fold:i", _rewritten_fold,
+        """SELECT sitename, date, CASE fold WHEN 2 THEN mod + 1000 ELSE mod END AS mod, fold
+           FROM (SELECT *, CAST(substr(sitename, 2, 2) AS INTEGER) % 5 AS fold FROM site_daily) WHERE fold IN (2, 3)""",
+    ),
     "b1_unnest_series": Case(
         "sitename:s date:d obs:f mod:f qc:f", lambda s, d: N.unnest_series(_nested(s, d)), "SELECT sitename, date, obs, mod, qc FROM site_daily"),
     "b2_nest_series": Case(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import skip_sum, strict_mean, strict_sum
 from ..operators import score
-from ..operators.correlation import correlation, correlation_matrix
+from ..operators.correlation import correlation, correlation_matrix, kendall
 from ..operators.density import axis_limit
 from ..operators.joins import attach_metadata
 from ..operators.quantiles import median_and_terciles, quantiles
@@ -81,6 +81,33 @@ PEARSON_SQL = " UNION ALL ".join(
 )
 
 
+def _gappy(spark, sf):
+    """The event values with nulls of their own in each of three columns."""
+    gap = lambda c, n: F.when(F.col("user_id") % n != 0, F.col(c)).alias(c)
+    return _event_values(spark, sf).select("event_type", gap("value", 3), gap("k", 5), gap("mix", 7))
+
+
+GAPPY_SQL = f"""(SELECT event_type, CASE WHEN user_id % 3 <> 0 THEN value END AS value, CASE WHEN user_id % 5 <> 0 THEN k END AS k,
+                        CASE WHEN user_id % 7 <> 0 THEN mix END AS mix FROM {EVENTS_SQL})"""
+
+
+def _positive_sites(spark, sf):
+    """Site means, few enough for SQL to compare all pairs, moved so that some are not positive."""
+    means = site_daily(spark, sf).groupBy("sitename", F.year("date").alias("year")).agg(
+        (F.round(F.avg("obs"), 1) - 37).alias("obs"), (F.round(F.avg("mod"), 1) - 36).alias("mod"), F.round(F.avg("qc"), 2).alias("qc"))
+    return correlation_matrix(means, ["obs", "mod", "qc"], "kendall", digits=None, positive_only=True)
+
+
+def _positive_kendall_sql() -> str:
+    def one(a: str, b: str) -> str:
+        return f"""SELECT '{a}' AS a, '{b}' AS b, sum(sign(y.{a} - x.{a}) * sign(y.{b} - x.{b}))
+            / sqrt(sum(abs(sign(y.{a} - x.{a}))) * sum(abs(sign(y.{b} - x.{b})))) AS cor, (SELECT count(*) FROM p) AS n FROM p x JOIN p y ON x.id < y.id"""
+
+    return f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY sitename, year) AS id FROM (
+        SELECT sitename, year(date) AS year, round(avg(obs), 1) - 37 AS obs, round(avg(mod), 1) - 36 AS mod, round(avg(qc), 2) AS qc FROM site_daily GROUP BY 1, 2)
+        WHERE obs > 0 AND mod > 0 AND qc > 0) {' UNION ALL '.join(one(a, b) for a, b in (('obs', 'mod'), ('obs', 'qc'), ('mod', 'qc')))}"""
+
+
 def spearman_sql(source: str, a: str, b: str, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     same = f"{by}, " if by else ""
@@ -253,6 +280,13 @@ CASES = {
     "e17_correlation_kendall": Case("event_type:s cor:f9 n:i", _by_event_type("kendall"), KENDALL_SQL),
     "e18_correlation_matrix": Case("a:s b:s cor:f9 n:i", _pair_rows, PEARSON_SQL),
     "l13_rank_correlation_matrix": Case("a:s b:s cor:f9 n:i", _rank_rows, SPEARMAN_MATRIX_SQL),
+    "l13_rank_correlation_matrix_with_nulls": Case(
+        "a:s b:s cor:f9 n:i", lambda s, d: correlation_matrix(_gappy(s, d), ["value", "k", "mix"], "spearman", digits=None),
+        " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, cor, n FROM ({spearman_sql(GAPPY_SQL, a, b)})" for a, b in PAIRS),
+    ),
+    "e17_correlation_kendall_in_small_blocks": Case(
+        "event_type:s cor:f9 n:i", lambda s, d: kendall(_event_values(s, d), ["event_type"], "value", "k", block_rows=40), KENDALL_SQL),
+    "e18_kendall_matrix_of_positive_rows": Case("a:s b:s cor:f9 n:i", _positive_sites, _positive_kendall_sql()),
     "e19_zone_labels": Case(
         "climatezone:s mae:f nnse_ref:f9 mae_label:s nnse_ref_label:s", _zone_labels,
         f"""SELECT climatezone, avg(mae) AS mae, avg(nnse_ref) AS nnse_ref, 'mae = ' || substr(printf('%.10f', avg(mae)), 1, 4) AS mae_label,

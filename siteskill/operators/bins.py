@@ -76,6 +76,28 @@ def assign_bins(df: DataFrame, breaks: DataFrame, include_last: bool = False) ->
     return df.join(bin_days(breaks, include_last), "date", "left")
 
 
+def assign_breaks(df: DataFrame, value: str, breaks: DataFrame, include_last: bool = False, brk: str = "brk", into: str = "inbin") -> DataFrame:
+    """Add the start of the left-closed bin a value falls in, for breaks of any spacing and ordered type; null outside them.
+
+    The breaks are one sorted array in one row, and each value is found in it by bisection: no join, no shuffle, and no
+    row per instant. `include_last` counts the last break itself to the last bin.
+    """
+    edges = breaks.where(F.col(brk).isNotNull()).agg(F.array_sort(F.collect_set(brk)).alias("edges")).scalar()
+    middle = "CAST((s.low + s.high) DIV 2 AS INT)"
+    up = f"named_struct('low', {middle} + 1, 'high', s.high)"
+    down = f"named_struct('low', s.low, 'high', {middle})"
+    step = f"(s, k) -> CASE WHEN s.low >= s.high THEN s WHEN _edges[{middle}] <= _value THEN {up} ELSE {down} END"
+    turns = "sequence(0, CAST(log2(size(_edges) + 1) AS INT))"
+    upto = F.expr(f"aggregate({turns}, named_struct('low', 0, 'high', size(_edges)), {step}, s -> s.low)")  # breaks up to the value
+    rows = df.withColumns({"_edges": F.coalesce(edges, F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")), "_value": F.col(value)})
+    at = rows.withColumn("_at", F.when(F.col("_value").isNotNull(), upto))
+    n, last = F.size("_edges"), F.col("_value") == F.get("_edges", F.size("_edges") - 1)
+    found = F.when((F.col("_at") > 0) & (F.col("_at") < n), F.get("_edges", F.col("_at") - 1))
+    if include_last:
+        found = F.when(last, F.get("_edges", n - 2)).otherwise(found)
+    return at.withColumn(into, found).drop("_edges", "_value", "_at")
+
+
 def offset_bin(value: Column, before: int, after: int, nbins: int) -> Column:
     """Number (from 1) of the right-closed bin of an offset in `-before .. after`.
 

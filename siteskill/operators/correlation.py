@@ -9,15 +9,17 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..session import stage
 from .joins import join_null_safe
 from .ranks import value_ranks
+from .scan import number_chunk, running_totals
 
 BLOCK_ROWS = 50_000
+BLOCKS_PER_CHUNK = 10_000
 
 
 def _signed_root(sxy: Column, sxx: Column, syy: Column) -> Column:
@@ -104,11 +106,11 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str, block_rows: int =
     Both axes are cut into blocks of about `block_rows` rows; a value held by more rows than that is
     a block of its own. A pair of points falls into one of three parts: same x block (counted inside
     that block), same y block only (counted inside that one, where the x block number stands for x),
-    or different blocks on both axes (counted from block totals, by running sums over the block
-    grid). A block of a single value adds nothing on its own axis and is skipped there.
+    or different blocks on both axes (counted from the totals of those pairs of blocks that hold rows, see
+    `_between_blocks`). A block of a single value adds nothing on its own axis and is skipped there.
     """
     counted = pairs = _counted_pairs(df, by, x, y)
-    # With at most sqrt(rows) blocks per axis, the block grid is never larger than the data.
+    # Larger blocks for very many rows, so that their number per axis stays below the square root of the rows.
     size = max(block_rows, math.isqrt(counted.agg(F.sum("_w")).first()[0] or 0))
     parts = []
     for c in ("_x", "_y"):
@@ -135,23 +137,62 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str, block_rows: int =
 
 
 def _between_blocks(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Concordant minus discordant pairs that differ in both block numbers."""
-    axes = ("_x_block", "_y_block")
-    cells = pairs.groupBy(*by, *axes).agg(F.sum("_w").cast("double").alias("_n"))
-    numbers = pairs.groupBy(*by).agg(*[F.max(a).alias(f"{a}_max") for a in axes])
-    columns = numbers.select(*by, F.explode(F.sequence(F.lit(0), F.col("_x_block_max"))).alias("_x_block"), "_y_block_max")
-    grid = columns.repartition(*by, "_x_block").select(
-        *by, "_x_block", F.explode(F.sequence(F.lit(0), F.col("_y_block_max"))).alias("_y_block")
-    )
-    dense = join_null_safe(grid, cells, [*by, *axes], "left").fillna(0.0, ["_n"])
-    left = Window.partitionBy(*by, "_y_block").orderBy("_x_block").rowsBetween(Window.unboundedPreceding, -1)
-    swept = dense.withColumn("_left", F.coalesce(F.sum("_n").over(left), F.lit(0.0)))
-    column = Window.partitionBy(*by, "_x_block")
-    upto = column.orderBy("_y_block").rowsBetween(Window.unboundedPreceding, 0)
-    below = F.sum("_left").over(upto) - F.col("_left")
-    above = F.sum("_left").over(column) - F.sum("_left").over(upto)
-    scored = swept.select(*by, "_n", below.alias("_conc"), above.alias("_disc"))
-    return scored.groupBy(*by).agg(F.sum(F.col("_n") * (F.col("_conc") - F.col("_disc"))).alias("s"))
+    """Concordant minus discordant pairs that differ in both block numbers.
+
+    Two different y blocks are told apart at the highest bit in which their numbers differ. So for each bit, cells that agree in
+    all higher bits form a group; in order of x, those with the bit set come after as many cells without it in order, and
+    the others after as many with it out of order. A cell that holds rows takes part once a bit, an empty one never; totals run along x
+    by chunks, so no group is ordered in one task.
+    """
+    cells = stage(pairs.groupBy(*by, "_x_block", "_y_block").agg(F.sum("_w").cast("double").alias("_n")), "block_cells")
+    bits = int(cells.agg(F.max("_y_block")).first()[0] or 0).bit_length()
+    if not bits:
+        return cells.groupBy(*by).agg(F.lit(0.0).alias("s"))
+    plane = "k -> struct(k AS _bit, shiftright(_y_block, k + 1) AS _higher, shiftright(_y_block, k) % 2 = 1 AS _set)"
+    planes = cells.select(*by, "_x_block", "_n", F.expr(f"inline(transform(sequence(0, {bits - 1}), {plane}))"))
+    group = [*by, "_bit", "_higher"]
+    columns = planes.groupBy(*group, "_x_block").agg(*[
+        F.coalesce(F.sum(F.when(F.col("_set") == on, F.col("_n"))), F.lit(0.0)).alias(f"_{name}") for name, on in (("ones", True), ("zeros", False))])
+    upto = running_totals(
+        columns, group, "_x_block", {"_all_ones": F.col("_ones"), "_all_zeros": F.col("_zeros")}, number_chunk("_x_block", BLOCKS_PER_CHUNK), staged="block_planes")
+    score = F.col("_ones") * (F.col("_all_zeros") - F.col("_zeros")) - F.col("_zeros") * (F.col("_all_ones") - F.col("_ones"))
+    return upto.groupBy(*by).agg(F.sum(score).alias("s"))
+
+
+def _rank_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spearman correlation of all pairs of columns, each column ranked once.
+
+    The rank of a value among the complete rows of a pair depends on how many smaller values stand beside a known one of the other column.
+    So every distinct value carries a count per other column, and running sums of all of them over the column give its ranks for
+    all pairs at once. The rows meet them by one join per column, and one aggregate makes all pairs.
+    """
+    k = len(columns)
+    named = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    tuples = stage(named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("_w")), "distinct_rows")
+    beside = [F.when(F.col(f"_c{j}").isNotNull(), F.col("_w")).otherwise(0).alias(f"_k{j}") for j in range(k)]
+    cells = F.array(*[F.struct(F.lit(i).alias("_column"), F.col(f"_c{i}").alias("_value")) for i in range(k)])
+    long = tuples.select(*beside, F.inline(cells)).where(F.col("_value").isNotNull())
+    counts = long.groupBy("_column", "_value").agg(*[F.sum(f"_k{j}").alias(f"_k{j}") for j in range(k)])
+    placed = stage(counts.repartitionByRange("_column", "_value").withColumn("_part", F.spark_partition_id()), "matrix_values")
+    upto = running_totals(placed, ["_column"], "_value", {f"_r{j}": F.col(f"_k{j}") for j in range(k)}, F.col("_part"))
+    ranks = stage(upto.select("_column", "_value", *[(F.col(f"_r{j}") - (F.col(f"_k{j}") - 1) / 2).alias(f"_r{j}") for j in range(k)]), "matrix_ranks")
+    rows = tuples
+    for i in range(k):
+        of = ranks.where(F.col("_column") == i).select(F.col("_value").alias(f"_v{i}"), F.array(*[f"_r{j}" for j in range(k)]).alias(f"_rank{i}"))
+        rows = rows.join(of, F.col(f"_c{i}") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+    pairs = list(combinations(range(k), 2))
+
+    def sums(i: int, j: int) -> Column:
+        w, x, y = F.when(F.col(f"_c{i}").isNotNull() & F.col(f"_c{j}").isNotNull(), F.col("_w")), F.col(f"_rank{i}")[j], F.col(f"_rank{j}")[i]
+        return F.struct(F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+
+    wide = rows.agg(*[sums(i, j).alias(f"_p{m}") for m, (i, j) in enumerate(pairs)])
+    found = F.array(*[
+        F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"_p{m}").alias("s")) for m, (i, j) in enumerate(pairs)])
+    n = F.col("s.n").cast("double")
+    centre = n * (n + 1) * (n + 1) / 4
+    cor = _signed_root(F.col("s.xy") - centre, F.col("s.xx") - centre, F.col("s.yy") - centre)
+    return wide.select(F.inline(found)).select("a", "b", cor.alias("cor"), F.col("s.n").alias("n"))
 
 
 METHODS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
@@ -184,6 +225,8 @@ def correlation_matrix(
         ])
         flat = wide.select(F.explode(cells).alias("c")).select("c.a", "c.b", "c.m.*")
         out = flat.selectExpr("a", "b", f"{S.CORRELATION} AS cor", "n")
+    elif method == "spearman":
+        out = _rank_matrix(df, columns)
     else:
         cells = F.array(*[
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))

@@ -13,9 +13,9 @@ bracket ever missed, the query stops with an error instead of returning a wrong
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -122,3 +122,34 @@ def median_and_terciles(variables: Sequence[str]) -> dict[str, tuple[str, float]
     if len(variables) == 1:
         return {name: (variables[0], p) for name, p in stats.items()}
     return {f"{v}_{name}": (v, p) for name, p in stats.items() for v in variables}
+
+
+#: Summaries by name: a probability is an exact quantile, a function makes an aggregate of a column.
+SUMMARIES: Mapping[str, float | Callable[[str], Column]] = {
+    "median": 0.5, "q33": 0.33, "q66": 0.66, "mean": F.avg, "min": F.min, "max": F.max, "sd": F.stddev_samp, "sum": F.sum, "n": F.count,
+}
+
+
+def summaries(
+    df: DataFrame, by: Sequence[str], variables: Sequence[str], names: Sequence[str] = ("median", "q33", "q66"),
+    registry: Mapping[str, float | Callable[[str], Column]] = SUMMARIES,
+) -> DataFrame:
+    """One row per group with every named summary of every variable, quantiles and plain aggregates mixed.
+
+    With one variable the columns are called like the summaries, with several `<variable>_<summary>`. Pass a `registry` of
+    your own to add names.
+    """
+    unknown = [n for n in names if n not in registry]
+    if unknown:
+        raise ValueError(f"unknown summaries {unknown}; known are {sorted(registry)}")
+    label = (lambda v, n: n) if len(variables) == 1 else (lambda v, n: f"{v}_{n}")
+    chosen = [(v, n) for n in names for v in variables]
+    exact = {label(v, n): (v, registry[n]) for v, n in chosen if not callable(registry[n])}
+    plain = [registry[n](v).alias(label(v, n)) for v, n in chosen if callable(registry[n])]
+    if not plain:
+        return quantiles(df, by, exact)
+    keyed = df.withColumn("_all", F.lit(0))
+    out = keyed.groupBy("_all", *by).agg(*plain)
+    if exact:
+        out = join_null_safe(out, quantiles(keyed, ["_all", *by], exact), ["_all", *by])
+    return out.select(*by, *[label(v, n) for v, n in chosen])

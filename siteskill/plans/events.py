@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bins import offset_bin
 from ..operators.joins import join_null_safe
-from ..operators.quantiles import median_and_terciles, quantiles
+from ..operators.quantiles import quantiles, summaries
 from ..operators.runs import index_series, number_runs, runs_of_indexed
 from ..session import stage
 
@@ -20,7 +20,7 @@ KEYS = ("site",)
 @dataclass(frozen=True)
 class Aligned:
     """`rows`: series rows with `inst` (event number in the site) and `dday` (days since onset).
-    `by_day`: median and terciles of the variables over all events, per `dday`."""
+    `by_day`: summaries of the variables over all events, per `dday`."""
 
     rows: DataFrame
     by_day: DataFrame
@@ -56,13 +56,13 @@ def normalise(rows: DataFrame, variables: Sequence[str], before: int, after: int
 
 def align_events(
     df: DataFrame, flags: DataFrame, variables: Sequence[str], min_len: int, before: int, after: int,
-    do_norm: bool = False, nbins: int = 6, normbin: int = 2, flag: str = "isevent",
+    do_norm: bool = False, nbins: int = 6, normbin: int = 2, flag: str = "isevent", names: Sequence[str] = ("median", "q33", "q66"),
 ) -> Aligned:
     """Cut the series around the onset of every run of at least `min_len` flagged rows.
 
     A window reaches from `before` rows ahead of the onset to `min(after, run length)` rows past it.
     Events are found per site, by row position. The windows are spelled out as (site, row number)
-    pairs, so the rows come from an equi-join on a unique key.
+    pairs, so the rows come from an equi-join on a unique key. `names` are the summaries by day (see `SUMMARIES`).
     """
     flagged = join_null_safe(df, flags.select("site", "date", flag), ["site", "date"], "left")
     indexed = index_series(flagged.select("site", "date", flag, *variables), flag, staged="indexed")
@@ -72,7 +72,7 @@ def align_events(
     rows = stage(join_null_safe(indexed.drop("tn"), windows, ["site", "rn"]).drop("rn"), "windows")
     if do_norm:
         rows = normalise(rows, variables, before, after, nbins, normbin)
-    return Aligned(rows, quantiles(rows, ["dday"], median_and_terciles(variables)))
+    return Aligned(rows, summaries(rows, ["dday"], variables, names))
 
 
 def event_response(

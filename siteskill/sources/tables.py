@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import nan_to_null
@@ -55,5 +56,18 @@ def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None)
 
 
 def write_by_fold(df: DataFrame, path: str, fold: str = "fold") -> None:
-    """One folder per fold. A reader that asks for one fold scans that folder only."""
-    df.write.mode("overwrite").partitionBy(fold).parquet(path)
+    """One folder per fold. Folds that `df` has replace those of the same name; others stay as they are.
+
+    So a rerun of one fold rewrites that fold alone.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(fold).parquet(path)
+
+
+def read_fold(spark: SparkSession, path: str, value: object, fold: str = "fold") -> DataFrame:
+    """The rows of one fold; folders of other folds are not scanned."""
+    return read_table(spark, path).where(F.col(fold) == F.lit(value))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header that `read_csv` reads back: null is `NA`."""
+    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
