@@ -306,8 +306,14 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         sums, k = said, k + 1
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """Pairs of one task that may link: within the left piece if there is no other, else between left and right."""
+def _blocks(table: pa.Table, forest: int | None) -> pa.Table:
+    """Pairs of one task that may link: within the left piece if there is no other, else between left and right.
+
+    With a `forest` number, only so many pairs as join everything that all of them would join; the number fixes which.
+    """
+    if forest is not None:
+        order = np.argsort(mixed(np.asarray(table.column("node")).view(np.uint64) + np.uint64(forest)), kind="stable")
+        table = table.take(pa.array(order))
     right = np.asarray(table.column("right").combine_chunks())
     inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     node, root, n = (np.asarray(table.column(c)) for c in ("node", "root", "n"))
@@ -315,6 +321,7 @@ def _blocks(table: pa.Table) -> pa.Table:
     width = np.array([len(x) for x in raw])
     packed = {w: (np.flatnonzero(width == w), np.frombuffer(b"".join(x for x in raw if len(x) == w), np.uint64).reshape(-1, w // 8)) for w in np.unique(width).tolist()}
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    joined = np.unique(root, return_inverse=True)[1]
     for long, (rows, words) in packed.items():
         for short, (others, less) in packed.items():
             if short > long or short * 4 < long:  # sizes differ by more than 1.25, lengths of bitmaps by more than 2
@@ -327,11 +334,19 @@ def _blocks(table: pa.Table) -> pa.Table:
                 near = others[9 * np.bitwise_count(less ^ one).sum(axis=1, dtype=np.int64) <= n[others] + n[k]]
                 near = near[(root[near] != root[k]) & (4 * np.maximum(n[near], n[k]) <= 5 * np.minimum(n[near], n[k]))]
                 near = near[(near > k) | (short < long)] if inner else near[right[near] != right[k]]
+                if forest is not None and len(near):
+                    groups, one_each = np.unique(joined[near], return_index=True)
+                    near = near[one_each[groups != joined[k]]]
+                    joined[np.isin(joined, groups)] = joined[k]
                 a.append(np.minimum(node[near], node[k]))
                 b.append(np.maximum(node[near], node[k]))
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def _blocks_by(forest: int | None):
+    return lambda table: _blocks(table, forest)
+
+
 def pairs_of(placed: DataFrame) -> DataFrame:
     """sig and the number of pairs with different roots that a join by it makes."""
     of_root = placed.groupBy("sig", "root").agg(F.count("*").cast("double").alias("n"))
@@ -358,6 +373,11 @@ class _Join:
     def check(self, pairs: DataFrame) -> None:
         """Verify candidate pairs (a, b) of classes, and join what is linked."""
         self.step += 1
+        found = self._candidates(pairs)
+        if self.roots is None or not found.isEmpty():
+            self._verify(found)
+
+    def _candidates(self, pairs: DataFrame) -> DataFrame:
         if self.roots is not None:
             root = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
             pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
@@ -367,9 +387,9 @@ class _Join:
         sized = sized.select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_possible, "a bigint, b bigint, a_doc bigint, b_doc bigint")
         if self.done is not None:
             sized = sized.join(self.done, ["a", "b"], "left_anti")
-        sized = stage(sized, f"join_pairs_{self.step}")
-        if self.roots is not None and sized.isEmpty():
-            return
+        return stage(sized, f"join_pairs_{self.step}")
+
+    def _verify(self, sized: DataFrame) -> None:
         self.done = sized.select("a", "b") if self.done is None else self.done.unionByName(sized.select("a", "b"))
         used = sized.select(F.col("a_doc").alias("doc_id")).unionByName(sized.select(F.col("b_doc").alias("doc_id"))).distinct()
         found = stage(self.live.join(stage(used, f"join_used_{self.step}"), "doc_id", "left_semi"), f"join_texts_{self.step}")
@@ -410,8 +430,11 @@ class _Join:
         cut = placed.groupBy("sig").agg(F.ceil(F.count("*") / rows).cast("int").alias("p"))
         own = F.pmod(F.xxhash64("node"), "p").cast("int")
         turns = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), (i < own).alias("right")))
-        tasks = placed.join(cut, "sig").select("sig", "node", "root", "n", "bits", F.inline(turns))
-        self.check(tasks.groupBy("sig", "i", "j").applyInArrow(_blocks, "a bigint, b bigint").distinct())
+        placed = stage(placed.join(cut, "sig").select("sig", "node", "n", "bits", F.inline(turns)), "join_pieces")
+        # first few pairs that would join a whole family, twice; then all that still lie between different roots
+        for forest in (1, 2, None):
+            tasks = self.rooted(placed).groupBy("sig", "i", "j").applyInArrow(_blocks_by(forest), "a bigint, b bigint")
+            self.check(tasks.distinct())
 
 
 def join(docs: DataFrame, hot: int = HOT, entry: float = ENTRY) -> DataFrame:
