@@ -53,7 +53,8 @@ c AS (SELECT floor(min(mod) / any_value(w)) * any_value(w) - 1e-6 AS x0, floor(m
 u AS (SELECT w, x0, y0, (mod - x0) / w AS u, (obs - y0) / (w * sqrt(3)) AS v FROM p, c),
 d AS (SELECT *, floor(u + 0.5) AS eu, floor(v + 0.5) AS ev, floor(u) + 0.5 AS ou, floor(v) + 0.5 AS ov FROM u),
 z AS (SELECT w, x0, y0, CASE WHEN pow(u - eu, 2) + 3 * pow(v - ev, 2) <= pow(u - ou, 2) + 3 * pow(v - ov, 2) THEN [eu, ev] ELSE [ou, ov] END AS cell FROM d)
-SELECT x0 + cell[1] * w AS x, y0 + cell[2] * w * sqrt(3) AS y, count(*) AS n FROM z GROUP BY x0, y0, w, cell
+SELECT x0 + cell[1] * w AS x, y0 + cell[2] * w * sqrt(3) AS y, count(*) AS n,
+       (SELECT count(*) FROM q, l WHERE NOT (mod BETWEEN 0 AND top AND obs BETWEEN 0 AND top)) AS n_outside FROM z GROUP BY x0, y0, w, cell
 """
 
 
@@ -86,7 +87,8 @@ def _event_points(spark, sf):
 
 def _nlevel(spark, sf):
     """Density view of model against observations; the grid is the default 100 x 100."""
-    return model_against_obs(daily(spark, sf), "mod", "obs", kind="density").layer
+    seen = model_against_obs(daily(spark, sf), "mod", "obs", kind="density")
+    return seen.layer.withColumn("n_outside", seen.outside.scalar())
 
 
 POSITIVE = "(SELECT mod, obs FROM site_daily WHERE mod >= 0 AND obs >= 0)"
@@ -105,7 +107,7 @@ CASES = {
         "series:s bin:i lower:f upper:f n:i density:f9 n_outside:i", lambda s, d: density.histogram(table(s, d, "events"), ["value"], 20),
         histogram_sql("events", ["value"], 20),
     ),
-    "e15_hexagon_counts": Case("x:f y:f n:i", lambda s, d: density.hex_bins(daily(s, d)), HEX_SQL),
+    "e15_hexagon_counts": Case("x:f y:f n:i n_outside:i", lambda s, d: density.hex_bins(daily(s, d)), HEX_SQL),
     "e16_kernel_density": Case(
         "ix:i iy:i gx:f gy:f z:f9", lambda s, d: density.kernel_density(daily(s, d), "mod", "obs", n=GRID),
         f"WITH {kde_ctes('site_daily', 'mod', 'obs', GRID)} SELECT * FROM grid",
@@ -117,8 +119,9 @@ CASES = {
             SELECT ix, i AS iy, x0 + (ix - 1) * (x1 - x0) / 9 AS gx, y0 + (i - 1) * (y1 - y0) / 9 AS gy, z / (n * hx * hy) AS z FROM flat, g, s""",
     ),
     "e16_density_levels": Case(
-        "ix:i iy:i gx:f gy:f z:f9 nlevel:f", _nlevel,
-        f"WITH {kde_ctes(POSITIVE, 'mod', 'obs', 100)} SELECT *, z / (SELECT max(z) FROM grid) AS nlevel FROM grid",
+        "ix:i iy:i gx:f gy:f z:f9 nlevel:f n_outside:i", _nlevel,
+        f"""WITH {kde_ctes(POSITIVE, 'mod', 'obs', 100)} SELECT *, z / (SELECT max(z) FROM grid) AS nlevel,
+            (SELECT count(*) FROM site_daily WHERE mod IS NOT NULL AND obs IS NOT NULL AND NOT (mod >= 0 AND obs >= 0)) AS n_outside FROM grid""",
     ),
     "l12_classes_of_pairs": Case(
         "pair:s density_class:i n:i", _pair_classes,

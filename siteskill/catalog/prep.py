@@ -196,7 +196,41 @@ def _rewritten_fold(spark, sf):
     return tables.read_fold(spark, path, 2).unionByName(tables.read_fold(spark, path, 3))
 
 
+def _compared_with_repeated_keys(spark, sf):
+    """Events by type alone: some values changed, some rows gone, some twice."""
+    e = table(spark, sf, "events").where("value IS NOT NULL")
+    changed = e.select("event_type", F.when(F.col("event_id") % 1000 == 7, F.col("value") + 1).otherwise(F.col("value")).alias("value"), "event_id")
+    current = changed.where("event_id % 1500 <> 3").unionByName(changed.where("event_id % 2500 = 11"))
+    return compare_tables(e.select("event_type", "value"), current, ["event_type"], ["value"])
+
+
+REPEATED_KEYS_SQL = """
+WITH e AS (SELECT event_type AS k, event_id, value, CASE WHEN event_id % 1000 = 7 THEN value + 1 ELSE value END AS v FROM events WHERE value IS NOT NULL),
+c0 AS (SELECT k, v FROM e WHERE event_id % 1500 <> 3 UNION ALL SELECT k, v FROM e WHERE event_id % 2500 = 11),
+t AS (SELECT k, value AS v, row_number() OVER (PARTITION BY k, value) AS r FROM e), c AS (SELECT k, v, row_number() OVER (PARTITION BY k, v) AS r FROM c0),
+lt AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS p FROM t ANTI JOIN c USING (k, v, r)),
+lc AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS p FROM c ANTI JOIN t USING (k, v, r)),
+f AS (SELECT t.v AS a, c.v AS b FROM t JOIN c USING (k, v, r) UNION ALL SELECT lt.v, lc.v FROM lt FULL JOIN lc ON lt.k = lc.k AND lt.p = lc.p),
+s AS (SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_matched, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS n_unmatched,
+             count(*) FILTER (WHERE a <> b) AS n_differ, avg(abs(a - b)) FILTER (WHERE a <> b) / avg(abs(a)) FILTER (WHERE a <> b) AS difference FROM f)
+SELECT 'value' AS col, n_matched, n_unmatched, 0 AS n_null_mismatch, n_differ, difference, false AS is_equal FROM s
+"""
+
+
+def _compared_with_itself(spark, sf):
+    df = daily(spark, sf)
+    return compare_tables(df, df.repartition(7, "date"), ["sitename", "date"], ["obs", "mod"])
+
+
 CASES = {
+    "l17_compare_repeated_keys": Case(
+        "col:s n_matched:i n_unmatched:i n_null_mismatch:i n_differ:i difference:f9 is_equal:b",
+        lambda s, d: _compared_with_repeated_keys(s, d).withColumnRenamed("column", "col"), REPEATED_KEYS_SQL),
+    "l17_compare_equal_tables": Case(
+        "col:s n_matched:i n_unmatched:i n_null_mismatch:i n_differ:i difference:f9 is_equal:b",
+        lambda s, d: _compared_with_itself(s, d).withColumnRenamed("column", "col"),
+        """SELECT unnest(['obs', 'mod']) AS col, count(*) AS n_matched, 0 AS n_unmatched, 0 AS n_null_mismatch, 0 AS n_differ, 0 AS difference, true AS is_equal
+           FROM site_daily"""),
     "a1_csv_round_trip": Case(
         "sitename:s lon:f lat:f elv:f whc:f koeppen_code:s igbp_land_use:s", _csv_round_trip,
         """SELECT sitename, lon, CASE WHEN n % 3 <> 0 THEN lat END AS lat, CASE WHEN n % 4 <> 0 THEN n * 10 END AS elv, NULL AS whc,

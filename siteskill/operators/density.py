@@ -28,6 +28,9 @@ HEX_SCHEMA = "x double, y double, n bigint, n_outside bigint"
 # A task holds this many cells of a grid at a time; larger grids are summed in stripes of rows.
 STRIPE_CELLS = 1_000_000
 POINTS = 10_000
+GATHERED = 200_000
+# A kernel this many bandwidths away is below 1e-17 of its peak.
+REACH = 9.0
 
 
 def pretty_breaks(low: float, high: float, n: int) -> tuple[float, float, int]:
@@ -38,6 +41,7 @@ def pretty_breaks(low: float, high: float, n: int) -> tuple[float, float, int]:
         cell = span / n
     base = 10.0 ** math.floor(math.log10(cell))
     width = base
+    # Steps of 1, 2, 5 and 10, and how far each is favoured over the next smaller one.
     for factor, bias in ((2, 1.5), (5, 2.75), (10, 1.5)):
         if factor * base - cell < bias * (cell - width):
             width = factor * base
@@ -136,6 +140,7 @@ def hex_bins(
 
 def _bandwidths(n: int, spread: dict[str, tuple[float, float]]) -> tuple[float, float]:
     """Normal-reference bandwidth per axis; an axis without spread takes the other one's."""
+    # 4 * 1.06, 1.34, the power -1/5, 4, and 0.01 for data without spread.
     raw = {a: 4 * 1.06 * min(sd, iqr / 1.34) * n ** (-0.2) for a, (sd, iqr) in spread.items()}
     if not any(raw.values()):
         return 0.01 / 4, 0.01 / 4
@@ -167,22 +172,49 @@ def _grid(points: DataFrame, s: dict, n: int, only: str) -> DataFrame:
     gx = np.linspace(s["min_x"], s["max_x"], n)
     gy = np.linspace(s["min_y"], s["max_y"], n)
 
+    def near(grid: np.ndarray, at: np.ndarray, h: float, used: bool, first: int, end: int):
+        """The part of an axis that the points reach, and the kernel there (1 everywhere on an axis that is left out)."""
+        if not used:
+            return (first, end), np.ones((end - first, len(at)))
+        low, high = np.searchsorted(grid, [at.min() - REACH * h, at.max() + REACH * h], side="left")
+        low, high = min(max(int(low), first), end), min(max(int(high) + 1, first), end)
+        u = (grid[low:high, None] - at[None, :]) / h
+        return (low, high), np.exp(-0.5 * u * u) / math.sqrt(2.0 * math.pi)
+
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some batches at once, so that tiles hold several points."""
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) >= GATHERED:
+                yield tuple(np.concatenate([h[c].to_numpy() for h in held]) for c in ("_x", "_y"))
+                held = []
+        if sum(map(len, held)):
+            yield tuple(np.concatenate([h[c].to_numpy() for h in held]) for c in ("_x", "_y"))
+
     def stripe(first: int, end: int) -> DataFrame:
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((end - first, n))
-            norm = 1.0 / math.sqrt(2.0 * math.pi)
             seen = False
-            for pdf in batches:
-                for a in range(0, len(pdf), POINTS):
-                    xs, ys = (pdf[c].to_numpy()[None, a : a + POINTS] for c in ("_x", "_y"))
-                    ax, ay = (gx[first:end, None] - xs) / hx, (gy[:, None] - ys) / hy
-                    kx = np.ones_like(ax) if only == "y" else norm * np.exp(-0.5 * ax * ax)
-                    ky = np.ones_like(ay) if only == "x" else norm * np.exp(-0.5 * ay * ay)
-                    total += kx @ ky.T
-                    seen = True
+            for xs, ys in gathered(batches):
+                add_tiles(total, xs, ys)
+                seen = True
             if seen:
                 yield pd.DataFrame({"ix": np.arange(first + 1, end + 1), "zs": list(total)})
 
+        def add_tiles(total: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> None:
+            """Points of a tile, nine bandwidths wide, meet only the rows and columns of the grid within nine bandwidths."""
+            tile = [np.floor((v - low) / (REACH * h)) for v, low, h in ((xs, gx[0], hx), (ys, gy[0], hy))]
+            tile = [np.zeros_like(t) if only == other else t for t, other in zip(tile, ("y", "x"))]
+            order = np.lexsort((tile[1], tile[0]))
+            cuts = np.flatnonzero(np.r_[True, (np.diff(tile[0][order]) != 0) | (np.diff(tile[1][order]) != 0), True])
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                for k in range(a, z, POINTS):
+                    some = order[k : min(k + POINTS, z)]
+                    rows, kx = near(gx, xs[some], hx, only != "y", first, end)
+                    columns, ky = near(gy, ys[some], hy, only != "x", 0, n)
+                    total[rows[0] - first : rows[1] - first, columns[0] : columns[1]] += kx @ ky.T
+
         return points.select("_x", "_y").mapInPandas(partial, "ix int, zs array<double>")
 
     rows = max(1, STRIPE_CELLS // n)
@@ -211,8 +243,8 @@ def kernel_density(
 ) -> DataFrame:
     """Gaussian density of the points on an n x n grid over their range: `ix, iy, gx, gy, z`.
 
-    Each task of the scan adds up a grid for its points (a matrix product per batch; in stripes of rows if the
-    grid is large), and the grids are summed by cell. No point is shuffled.
+    Each task of the scan adds up a grid for its points (a matrix product per tile of points, over the part of the grid within nine
+    bandwidths; in stripes of rows if the grid is large), and the grids are summed by cell. No point is shuffled.
     """
     _check_grid(n, only)
     points = _log_points(df, x, y, log, xlim, ylim)

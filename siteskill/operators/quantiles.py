@@ -118,13 +118,13 @@ def _ranked_large(long: DataFrame, large: DataFrame, group: Sequence[str], probs
 
 def median_and_terciles(variables: Sequence[str]) -> dict[str, tuple[str, float]]:
     """Median and the 33 % and 66 % quantiles. With one variable the names carry no prefix."""
-    stats = {"median": 0.5, "q33": 0.33, "q66": 0.66}
+    stats = {"median": 0.5, "q33": 0.33, "q66": 0.66}  # fixed values
     if len(variables) == 1:
         return {name: (variables[0], p) for name, p in stats.items()}
     return {f"{v}_{name}": (v, p) for name, p in stats.items() for v in variables}
 
 
-#: Summaries by name: a probability is an exact quantile, a function makes an aggregate of a column.
+#: Summaries by name (the probabilities are fixed values): a probability is an exact quantile, a function makes an aggregate of a column.
 SUMMARIES: Mapping[str, float | Callable[[str], Column]] = {
     "median": 0.5, "q33": 0.33, "q66": 0.66, "mean": F.avg, "min": F.min, "max": F.max, "sd": F.stddev_samp, "sum": F.sum, "n": F.count,
 }
