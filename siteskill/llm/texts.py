@@ -27,22 +27,25 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, chars: int = 4_000_00
         starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+        pa.default_memory_pool().release_unused()
 
 
 def beside(docs: DataFrame, work: Callable[[list[str | None]], list[pa.Array]], fields: str) -> DataFrame:
-    """`_row`, a struct of all columns of a row, and the fields that `work` makes of its text. No name can clash, and no row is joined."""
+    """`_row`, a struct of all columns of a row, and the fields that `work` makes of its text. No name can clash, and no row is joined.
+
+    Only texts go to the Python workers and only the fields come back; the rows wait in Spark.
+    """
     made = StructType.fromDDL(fields)
-    names = ["_row", *made.names]
 
-    def call(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0)
-            texts = rows.field("text").cast(pa.string())
-            for piece in pieces([pa.RecordBatch.from_arrays([rows, texts], names=["_row", "text"])], "text"):
-                yield pa.RecordBatch.from_arrays([piece.column(0), *work(piece.column(1).to_pylist())], names=names)
+    @F.arrow_udf(made)
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts.cast(pa.string())], names=["text"])
+            parts = [pa.StructArray.from_arrays(work(piece.column(0).to_pylist()), names=made.names) for piece in pieces([batch], "text")]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(f.name, pa.float64() if f.dataType.simpleString() == "double" else pa.int64()) for f in made]))
 
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    return rows.mapInArrow(call, StructType([*rows.schema.fields, *made.fields]))
+    return rows.select("_row", call(F.col("_row.text").cast("string")).alias("_made")).select("_row", "_made.*")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
