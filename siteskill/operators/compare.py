@@ -18,8 +18,8 @@ MOST = 0.5
 def _side(df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int) -> DataFrame:
     """Keys and values under names of their own, and the buckets of a row from the root down."""
     named = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    spot = F.xxhash64(*[f"_k{i}" for i in range(len(keys))])
-    return named.withColumns({f"_b{level}": F.pmod(F.floor(spot / F.lit(buckets**level)), F.lit(buckets)).cast("int") for level in range(LEVELS)})
+    spot = f"xxhash64({', '.join(f'_k{i}' for i in range(len(keys)))})"
+    return named.withColumns({f"_b{level}": F.expr(f"CAST(pmod({spot} DIV {buckets**level}L, {buckets}L) AS INT)") for level in range(LEVELS)})
 
 
 def _digested(df: DataFrame, by: Sequence[str], fields: Sequence[str], side: str) -> DataFrame:

@@ -86,3 +86,16 @@ def test_histogram_is_right_closed_and_counts_what_lies_outside(spark):
     assert [got["b", i]["n"] for i in range(1, 6)] == [2, 0, 0, 0, 1]
     assert got["a", 1]["n_outside"] == 0 and got["b", 1]["n_outside"] == 1
     assert got["b", 1]["density"] == pytest.approx(2 / (3 * 2.0))
+
+
+@pytest.mark.parametrize("include_last", [False, True])
+def test_breaks_of_any_spacing(spark, include_last):
+    edges = [-3.0, 0.0, 0.5, 7.25, 100.0]
+    values = [-3.1, -3.0, -1.0, 0.0, 0.49, 0.5, 7.25, 99.9, 100.0, 101.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for breaks in (edges, [], [1.0]):
+        table = spark.createDataFrame([(e,) for e in [*breaks, None, *breaks]], "brk double")
+        got = {r["v"]: r["inbin"] for r in bins.assign_breaks(df, "v", table, include_last).collect()}
+        for v in values:
+            inside = [] if v is None else [a for a, b in zip(breaks, breaks[1:]) if a <= v < b or (include_last and v == b == breaks[-1])]
+            assert got[v] == (inside[-1] if inside else None), (v, breaks)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteskill.operators.gaps import interpolate, interpolate_cycle
-from siteskill.operators.quantiles import median_and_terciles, quantiles
+from siteskill.operators.quantiles import median_and_terciles, quantiles, summaries
 from siteskill.operators.ranks import value_ranks
 from siteskill.operators.runs import find_runs, index_series, merge_runs, running_length
 from siteskill.operators.scan import number_chunk, running_totals
@@ -218,3 +218,17 @@ def test_value_ranks(spark):
     pdf["rank"] = pdf.groupby("g").v.rank()
     want = pdf.drop_duplicates(["g", "v"]).merge(got, on=["g", "v"])
     assert len(want) == len(got) and np.allclose(want["rank"], want.avg_rank)
+
+
+def test_summaries_by_name(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 400), "x": rng.normal(size=400), "y": rng.normal(size=400)})
+    df = spark.createDataFrame(pdf)
+    got = summaries(df, ["g"], ["x", "y"], ["median", "mean", "n", "q66"]).toPandas().set_index("g").sort_index()
+    assert list(got.columns) == [f"{v}_{n}" for n in ("median", "mean", "n", "q66") for v in ("x", "y")]
+    for g, d in pdf.groupby("g"):
+        assert close(got.loc[g, "x_median"], d.x.median()) and close(got.loc[g, "y_q66"], d.y.quantile(0.66)) and got.loc[g, "y_n"] == len(d)
+    own = summaries(df, [], ["x"], ["top", "half"], {"top": F.max, "half": 0.5}).first()
+    assert close(own["top"], pdf.x.max()) and close(own["half"], pdf.x.median())
+    with pytest.raises(ValueError, match="median"):
+        summaries(df, [], ["x"], ["mode"])

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from siteskill.operators.score import regression_stats, stats_by_group
 from siteskill.plans import components as C
+from siteskill.plans import rollup
 from siteskill.plans.drivers import prepare_drivers
 from siteskill.plans.evaluation import Settings, evaluate, evaluate_matched, metrics_table
 from siteskill.plans.levels import Matched, annual_totals, match_levels
 from siteskill.plans.observations import build_catchment_observations, build_observations, build_observations_xdaily
+from siteskill.plans.rollup import roll_up
 
 from .helpers import close, day
 
@@ -169,3 +171,43 @@ def test_prepare_drivers(spark):
         "sitename string, drop_gpp boolean, drop_le boolean, year_start_gpp int, year_end_gpp int, year_start_le int, year_end_le int")
     got = prepare_drivers(forcing, info, years, exclusions=[("a", 2003)])
     assert sorted((r["sitename"], r["date"].year) for r in got.collect()) == [("a", 2001), ("a", 2002), ("c", 2000), ("c", 2001)]
+
+
+def test_a_roll_up_equals_the_evaluation_of_each_variable(spark, daily, meta):
+    """Two variables with gaps of their own, one with annual observations only, and a table of sites."""
+    both = daily.selectExpr(
+        "sitename", "date", "mod AS gpp", "mod * 2 - 1 AS le", "obs", "CASE WHEN dayofyear(date) <> 100 THEN obs + 3 END AS heat", "obs / 2 AS aet")
+    mod, obs = both.select("sitename", "date", "gpp", "le", F.col("gpp").alias("aet")), both.where("obs IS NOT NULL").select("sitename", "date", "obs", "heat", "aet")
+    names = {"gpp": "obs", "le": "heat", "aet": "aet"}
+    for sites in (None, meta.where("sitename < 's3'").select("sitename")):
+        settings = Settings({"gpp": "fluxnet", "le": "fluxnet_x", "aet": "camels"}, sites, 300, names)
+        rolled = roll_up(mod, obs, settings)
+        got = {(r["variable"], r["level"]): r for r in rolled.metrics().collect()}
+        want = metrics_table(evaluate(mod, settings, build_observations(obs, meta, ["obs", "heat", "aet"]))).collect()
+        assert len(got) == len(want) == 23
+        assert all(same_stats(got[r["variable"], r["level"]], r) for r in want)
+        assert {r["level"] for r in rolled.site_scores().where("variable = 'aet'").collect()} == {"annual", "anomalies_annual"}
+
+
+def test_a_roll_up_reads_its_tables_once(spark, daily, monkeypatch):
+    """The written days are the only plan that holds the given tables."""
+    seen, staged = {}, rollup.stage
+
+    def watching(df, label):
+        seen[label] = df._jdf.queryExecution().analyzed().toString()
+        return staged(df, label)
+
+    monkeypatch.setattr(rollup, "stage", watching)
+    mod = daily.selectExpr("sitename", "date", "mod AS gpp", "'model' AS which_model")
+    obs = daily.selectExpr("sitename", "date", "obs AS gpp", "'observed' AS which_obs")
+    metrics = roll_up(mod, obs, Settings({"gpp": "fluxnet"}, min_days=300)).metrics()
+    plans = seen | {"metrics": metrics._jdf.queryExecution().analyzed().toString()}
+    for name in ("which_model", "which_obs"):
+        assert [label for label, plan in plans.items() if name in plan] == ["rollup_days"] and plans["rollup_days"].count(f"AS {name}#") == 1
+
+
+def test_unknown_sources_are_refused(spark, daily):
+    obs = build_observations(daily.select("sitename", "date", "obs"), None, ["obs"])
+    for source in ("fluxnt", "", "fluxnet_camels"):
+        with pytest.raises(ValueError, match="fluxnet"):
+            evaluate(daily.select("sitename", "date", F.col("mod").alias("obs")), Settings({"obs": source}), obs)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteskill.functions import text, units
-from siteskill.operators import folds, prep
+from siteskill.operators import compare, folds, prep
 from siteskill.operators.compare import compare_tables
 from siteskill.operators.joins import join_null_safe
 from siteskill.plans.candidates import best_run, score_runs, within_bounds
@@ -38,6 +38,24 @@ def test_a_fold_has_its_own_folder(spark, tmp_path):
     assert [r["sitename"] for r in one.collect()] == ["b"] and len(one.inputFiles()) >= 1
 
 
+def test_a_rewritten_fold_leaves_the_others_alone(spark, tmp_path, capsys):
+    path = str(tmp_path / "folds")
+    df = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 2.0), ("c", 2, float("nan"))], "sitename string, fold int, v double")
+    T.write_by_fold(df, path)
+    T.write_by_fold(df.where("sitename = 'b'").withColumn("v", F.lit(9.0)), path)
+    assert [(r["sitename"], r["v"]) for r in T.read_fold(spark, path, 2).collect()] == [("b", 9.0)]
+    assert [(r["sitename"], r["v"]) for r in T.read_fold(spark, path, 1).collect()] == [("a", 1.0)]
+    T.read_fold(spark, path, 1).explain()
+    assert "PartitionFilters: [isnotnull(fold" in capsys.readouterr().out
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5, None, float("nan"), None, "x,\"y\"", None)], T.SITE_INFO_SCHEMA)
+    T.write_csv(df, str(tmp_path / "csv"))
+    row = T.read_csv(spark, str(tmp_path / "csv"), T.SITE_INFO_SCHEMA).first()
+    assert (row["lon"], row["lat"], row["elv"], row["koeppen_code"], row["igbp_land_use"]) == (1.5, None, None, 'x,"y"', None)
+
+
 def test_nesting_round_trip(spark, rows):
     data = [("a", day(i), float(i)) for i in (400, 3, 1)] + [("b", day(0), None)]
     df = spark.createDataFrame(data, "sitename string, date date, v double")
@@ -162,3 +180,24 @@ def test_a_cluster_must_name_a_shared_folder():
         shared_dir(session)
     session.conf.get = lambda key, default: {SHARED_DIR: "/shared/"}.get(key, default)
     assert shared_dir(session) == "/shared"
+
+
+def test_comparison_of_equal_tables_joins_no_rows(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id DIV 2 AS k", "id * 1.5 AS x", "CASE WHEN id % 9 <> 0 THEN id END AS y")
+    sizes, staged = {}, compare.stage
+
+    def counting(frame, label):
+        out = staged(frame, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(compare, "stage", counting)
+    got = {r["column"]: r for r in compare_tables(df, df.orderBy(F.desc("x")), ["k"], ["x", "y"], buckets=16).collect()}
+    assert all(r["is_equal"] and r["n_matched"] == 5000 and r["n_unmatched"] == 0 for r in got.values()) and sizes["compared_rows"] == 0
+    changed = df.withColumn("x", F.when(F.col("x") == 30.0, 31.0).otherwise(F.col("x")))
+    got = {r["column"]: r for r in compare_tables(df, changed, ["k"], ["x", "y"], buckets=16).collect()}
+    assert (got["x"]["n_differ"], got["x"]["n_matched"], got["y"]["n_differ"]) == (1, 5000, 0) and 0 < sizes["compared_rows"] < 500
+    fewer = {r["column"]: r for r in compare_tables(df, df.where("x <> 30"), ["k"], ["x"], buckets=16).collect()}
+    assert (fewer["x"]["n_matched"], fewer["x"]["n_unmatched"]) == (4999, 1)
+    nothing = compare_tables(df.limit(0), df.limit(0), ["k"], ["x"]).first()
+    assert nothing["is_equal"] and nothing["n_matched"] == 0
