@@ -322,3 +322,18 @@ def test_query_equals_its_sql(spark, name):
     text = lambda x: sorted(tuple(map(str, r)) for r in x)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert text(rows.select(columns).collect()) == text(want)
+
+
+def test_ablation_counts_by_hand(spark):
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words), " ".join(words[:10]), "a a b", None, " ".join(words[:9] * 5), "# * $ " * 30, "x\n" * 40, " ".join(w.upper() + "!" for w in words)]
+    rows = rule_ledger.ledger(docs_of(spark, list(enumerate(texts)) * 2))
+    failed = [r.failed for r in rows.collect()]
+    whole = rule_ledger.mask("v2")
+    got = {r["rule"]: (r.n_rejected, r.n_only, r.n_kept_without) for r in rule_ledger.ablation(rows, "v2").collect()}
+    assert set(got) == {r.name for k, r in enumerate(rule_ledger.RULES) if whole >> k & 1}
+    for k, rule in enumerate(rule_ledger.RULES):
+        if whole >> k & 1:
+            rest = whole & ~(1 << k)
+            assert got[rule.name] == (
+                sum(f >> k & 1 for f in failed), sum(bool(f >> k & 1) and not f & rest for f in failed), sum(not f & rest for f in failed))
