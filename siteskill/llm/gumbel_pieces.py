@@ -374,7 +374,7 @@ class _Search:
         s = self.sampler
         top, _, _, choice, at, without, log_head = heapq.heappop(self.queue)
         self.top = -top
-        node = int(np.searchsorted(s.first[: s.n_nodes + 1], choice[at], side="right")) - 1
+        node = int(np.searchsorted(s.first[: s.n_nodes + 1], np.int32(choice[at]), side="right")) - 1
         ways = np.array([i for i in range(int(s.first[node]), int(s.first[node + 1])) if i not in without])
         p = np.exp(s.logp[ways])
         u = self.noise(turn, 1, 2)
@@ -403,7 +403,10 @@ def units_of(text: str | None, vocab: Vocabulary) -> list[str]:
     a, b = codes[:-1], codes[1:]
     joined = vocab.near[np.minimum(a, _NEAR - 1), np.minimum(b, _NEAR - 1)]
     high = np.flatnonzero((a >= _NEAR) | (b >= _NEAR))
-    joined[high] = np.isin(a[high].astype(np.int64) << 21 | b[high], vocab.far)
+    joined[high] = False
+    if len(high) and len(vocab.far):
+        pair = a[high].astype(np.int64) << 21 | b[high]
+        joined[high] = vocab.far[np.minimum(np.searchsorted(vocab.far, pair), len(vocab.far) - 1)] == pair
     cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(text)]
     return [text[x:y] for x, y in zip(cuts, cuts[1:])]
 
