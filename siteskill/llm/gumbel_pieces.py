@@ -38,7 +38,7 @@ from .texts import pieces, uniform
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LISTED = 6
 #: Edges that a worker remembers, and characters of new units whose lattices are built at once.
-KNOWN = 4_000_000
+KNOWN = 1_500_000
 CHARS = 200_000
 #: -log(u) lies between 2 ** -54 and 38 for every u that noise can be, so no value at a location lower by this can win.
 REACH = 45.0
@@ -418,7 +418,7 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
 
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = shared.value.sampler()
-        for batch in pieces(batches, "text", 1_000_000):
+        for batch in pieces(batches, "text", 500_000):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found = [units_of(t, shared.value) for t in texts]
             sampler.learn(set().union(*found))

@@ -44,7 +44,7 @@ HOT = 32
 #: What the neighbourhoods of a text cost for each of its shingles (four rows), in comparisons of two bitmaps.
 ENTRY = 20.0
 #: Bytes of text in one piece of work; a piece takes some 60 times as much memory in arrays.
-CHARS = 500_000
+CHARS = 250_000
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _LETTER = mixed(np.arange(1, 257, dtype=np.uint64))
