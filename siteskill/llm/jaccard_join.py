@@ -9,7 +9,7 @@ signatures (segment, subset), the first H + 1 of both sets therefore share one w
 with c <= H is run once more with one segment per shingle. Nothing depends on luck.
 
 Allocation by cost: the pairs that a signature makes are joined as rows up to `HOT` ** 2 / 2, and compared piece by piece with piece, by
-bitmaps (below), beyond. A signature in so many texts that this costs more than the neighbourhoods of its texts would (`ENTRY`)
+bitmaps (below), beyond; a pair that shares many is told by the smallest of them. A signature in so many texts that this costs more than the neighbourhoods of its texts would (`ENTRY`)
 is left out (-1), and the texts that hold one index all their other segments with their one-deletion neighbourhoods
 (+1): subsets of two or more shingles then match up to one difference. Sets without enough such segments left
 compare within their common signatures instead, piece by piece, so no link is lost.
@@ -43,6 +43,8 @@ SINGLES = 16
 HOT = 32
 #: What the neighbourhoods of a text cost for each of its shingles (four rows), in comparisons of two bitmaps.
 ENTRY = 20.0
+#: Common signatures that a class carries to all of them, so that a pair is told by few of those it shares.
+EARLY = 16
 #: Bytes of text in one piece of work; a piece takes some 60 times as much memory in arrays.
 CHARS = 250_000
 _SPACE = np.zeros(256, bool)
@@ -310,6 +312,8 @@ def _blocks(table: pa.Table, forest: int | None) -> pa.Table:
     """Pairs of one task that may link: within the left piece if there is no other, else between left and right.
 
     With a `forest` number, only so many pairs as join everything that all of them would join; the number fixes which.
+    Without one, a pair is left to the smallest signature that both share: `early` has some of the signatures of each class, so a
+    smaller one in both lists tells for certain that this is not the smallest. That one tells the pair whatever the lists hold.
     """
     if forest is not None:
         order = np.argsort(mixed(np.asarray(table.column("node")).view(np.uint64) + np.uint64(forest)), kind="stable")
@@ -317,6 +321,10 @@ def _blocks(table: pa.Table, forest: int | None) -> pa.Table:
     right = np.asarray(table.column("right").combine_chunks())
     inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     node, root, n = (np.asarray(table.column(c)) for c in ("node", "root", "n"))
+    sig, lists = table.column("sig")[0].as_py(), table.column("early").combine_chunks()
+    early = np.full((len(node), EARLY), sig)
+    times = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    early[np.arange(EARLY) < times[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
     raw = table.column("bits").to_pylist()
     width = np.array([len(x) for x in raw])
     packed = {w: (np.flatnonzero(width == w), np.frombuffer(b"".join(x for x in raw if len(x) == w), np.uint64).reshape(-1, w // 8)) for w in np.unique(width).tolist()}
@@ -334,6 +342,8 @@ def _blocks(table: pa.Table, forest: int | None) -> pa.Table:
                 near = others[9 * np.bitwise_count(less ^ one).sum(axis=1, dtype=np.int64) <= n[others] + n[k]]
                 near = near[(root[near] != root[k]) & (4 * np.maximum(n[near], n[k]) <= 5 * np.minimum(n[near], n[k]))]
                 near = near[(near > k) | (short < long)] if inner else near[right[near] != right[k]]
+                if forest is None and len(near):
+                    near = near[~np.isin(early[near], early[k][early[k] < sig]).any(axis=1)]
                 if forest is not None and len(near):
                     groups, one_each = np.unique(joined[near], return_index=True)
                     near = near[one_each[groups != joined[k]]]
@@ -430,7 +440,8 @@ class _Join:
         cut = placed.groupBy("sig").agg(F.ceil(F.count("*") / rows).cast("int").alias("p"))
         own = F.pmod(F.xxhash64("node"), "p").cast("int")
         turns = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), (i < own).alias("right")))
-        placed = stage(placed.join(cut, "sig").select("sig", "node", "n", "bits", F.inline(turns)), "join_pieces")
+        early = placed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, EARLY).alias("early"))  # no more than a text has shingles
+        placed = stage(placed.join(cut, "sig").join(early, "node").select("sig", "node", "n", "bits", "early", F.inline(turns)), "join_pieces")
         # first few pairs that would join a whole family, twice; then all that still lie between different roots
         for forest in (1, 2, None):
             tasks = self.rooted(placed).groupBy("sig", "i", "j").applyInArrow(_blocks_by(forest), "a bigint, b bigint")

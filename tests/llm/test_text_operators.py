@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siteskill.llm import chat_grammar, gumbel_pieces, invertible_sketch, jaccard_join, pareto_mix, payload_archive, queries, rule_ledger
@@ -109,6 +110,18 @@ def test_families_with_a_common_passage_are_hardly_verified(spark, monkeypatch,
     assert sum(verified) <= 8 * len(texts)
 
 
+def test_a_pair_is_told_by_the_smallest_common_signature():
+    # classes 0 to 4 share the signatures 10, 20 and 30; class 5 has 20 and 30; all may link
+    held = {node: [10, 20, 30] if node < 5 else [20, 30] for node in range(6)}
+    told = []
+    for sig in (10, 20, 30):
+        nodes = [k for k, sigs in held.items() if sig in sigs]
+        rows = [{"sig": sig, "node": k, "n": 20, "bits": bytes(8), "early": held[k], "i": 0, "j": 0, "right": False, "root": k} for k in nodes]
+        pairs = jaccard_join._blocks(pa.Table.from_pylist(rows), None)
+        told += zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())
+    assert sorted(told) == list(itertools.combinations(range(6), 2))
+
+
 def test_join_defines_odd_rows(spark):
     assert joined(docs_of(spark, [])) == []
     text = "one two three four five six"
