@@ -19,9 +19,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from ..session import stage
 from .texts import labelled, pieces
 
 #: Texts that are compared at once, and the most lists of the index that are kept dense.
-BLOCK = 32
+BLOCK = 64
 DENSE = 512
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -90,17 +89,25 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     return rows.mapInArrow(vector, "doc_id bigint, n_words bigint, terms array<int>, counts array<int>")
 
 
+def weigh_all(n_words: np.ndarray, cuts: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unit vectors of texts whose terms (ascending) lie between their cuts: cuts, terms and weights; term len(idf) - 1 stands for all other words."""
+    size = np.diff(cuts)
+    rest = n_words - np.bincount(np.repeat(np.arange(len(size)), size), counts, minlength=len(size))
+    more = rest > 0
+    raw = np.insert(np.sqrt(counts.astype(np.float64)) * idf[terms], cuts[1:][more], rest[more] ** 0.5 * idf[-1])
+    terms = np.insert(terms.astype(np.int64), cuts[1:][more], len(idf) - 1)
+    cuts = np.r_[0, np.cumsum(size + more)]
+    full = np.flatnonzero(np.diff(cuts))
+    norm = np.sqrt(np.add.reduceat(raw * raw, cuts[full])) if len(full) else np.zeros(0)
+    return cuts, terms, np.round(raw / np.repeat(norm, np.diff(cuts)[full]), 9)
+
+
 def weigh(n_words: int, terms: Iterable[int], counts: Iterable[int], idf: np.ndarray) -> tuple[tuple[int, float], ...]:
-    """The unit vector of a text as (term, weight); term len(idf) - 1 stands for all other words."""
+    """The unit vector of a text as (term, weight)."""
     keys, times = np.array(terms, np.int64), np.array(counts, np.float64)
     order = np.argsort(keys)
-    raw = np.sqrt(times[order]) * idf[keys[order]]
-    keys = keys[order]
-    rest = n_words - times.sum()
-    if rest > 0:
-        keys, raw = np.append(keys, len(idf) - 1), np.append(raw, rest**0.5 * idf[-1])
-    norm = np.sqrt(np.sum(raw * raw))
-    return tuple(zip(keys.tolist(), np.round(raw / norm, 9).tolist())) if norm else ()
+    _, keys, weights = weigh_all(np.array([n_words]), np.array([0, len(keys)]), keys[order], times[order], idf)
+    return tuple(zip(keys.tolist(), weights.tolist()))
 
 
 @dataclass
@@ -158,28 +165,28 @@ class Index:
         for a, z in zip(self.cuts[:-1], self.cuts[1:]):
             yield tuple(zip(self.keys[a:z].tolist(), self.weights[a:z].tolist()))
 
-    def cosines(self, queries: Sequence[tuple[tuple[int, float], ...]]) -> np.ndarray:
-        """Queries x entries."""
-        n = len(self.toxic)
-        owner = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
-        keys, weights = np.array([k for q in queries for k, _ in q], np.int64), np.array([w for q in queries for _, w in q], np.float64)
+    def cosines(self, cuts: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Queries x entries; query i is `cuts[i]` to `cuts[i + 1]` of `keys` and `weights`."""
+        n, many = len(self.toxic), len(cuts) - 1
+        owner = np.repeat(np.arange(many), np.diff(cuts))
         row = self.place[keys]
-        known = np.zeros((len(queries), len(self.matrix)))
+        known = np.zeros((many, len(self.matrix)))
         known[owner[row >= 0], row[row >= 0]] = weights[row >= 0]
         owner, keys, weights = owner[row < 0], keys[row < 0], weights[row < 0]
         size = self.first[keys + 1] - self.first[keys]
         at = np.arange(size.sum()) + np.repeat(self.first[keys] - np.cumsum(size) + size, size)
-        sparse = np.bincount(np.repeat(owner * n, size) + self.ids[at], weights=np.repeat(weights, size) * self.impacts[at], minlength=len(queries) * n)
-        return known @ self.matrix + sparse.reshape(len(queries), n)
+        sparse = np.bincount(np.repeat(owner * n, size) + self.ids[at], weights=np.repeat(weights, size) * self.impacts[at], minlength=many * n)
+        return known @ self.matrix + sparse.reshape(many, n)
 
-    def nearest_all(self, queries: Iterable[tuple[tuple[int, float], ...]], enough: float) -> Iterator[list[tuple[float, int]]]:
+    def nearest_all(self, cuts: np.ndarray, keys: np.ndarray, weights: np.ndarray, enough: float) -> Iterator[list[tuple[float, int]]]:
         """For each query (cosine, entry), nearest first: the fewest entries that hold examples of weight `enough`."""
         weight = self.toxic + self.other
-        for some in batched(queries, BLOCK):
+        for first in range(0, len(cuts) - 1, BLOCK):
+            some = cuts[first : first + BLOCK + 1]
             if not len(weight):
-                yield from ([] for _ in some)
+                yield from ([] for _ in some[1:])
                 continue
-            for scores in self.cosines(some):
+            for scores in self.cosines(some - some[0], keys[some[0] : some[-1]], weights[some[0] : some[-1]]):
                 many = 32
                 while True:
                     least = np.partition(scores, -many)[-many] if many < len(scores) else 0.0
@@ -195,7 +202,8 @@ class Index:
                 yield [(float(value[j]), int(found[j])) for j in order[: last + 1]]
 
     def nearest(self, query: tuple[tuple[int, float], ...], enough: float) -> list[tuple[float, int]]:
-        return next(self.nearest_all([query], enough))
+        keys, weights = np.array([k for k, _ in query], np.int64), np.array([w for _, w in query], np.float64)
+        return next(self.nearest_all(np.array([0, len(keys)]), keys, weights, enough))
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, float, float] | None = None) -> float | None:
         """Share of toxic weight among the neighbours, each divided by its distance."""
@@ -238,10 +246,10 @@ class Model:
     empty: float
     enough: float
 
-    def score_all(self, rows: Iterable[tuple[int, list[int], list[int]]]) -> list[tuple[float, list[int], list[float]]]:
-        """rows: n_words, terms, counts."""
+    def score_all(self, n_words: np.ndarray, cuts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> list[tuple[float, list[int], list[float]]]:
+        """Score and evidence of texts whose terms and counts lie between their cuts."""
         out = []
-        for near in self.index.nearest_all((weigh(*r, self.idf) for r in rows), self.enough):
+        for near in self.index.nearest_all(*weigh_all(n_words, cuts, terms, counts, self.idf), self.enough):
             vote = self.index.vote(near)
             if vote is None:
                 out.append((self.empty, [], []))
@@ -285,7 +293,7 @@ def assemble(terms: list[str], idf: np.ndarray, rows: Iterable[tuple], neighbour
     empty = sum(w for y, w in bare if y) / sum(w for _, w in bare) if bare else (toxic / total if total else 0.0)
     enough = float(neighbours)
     x, y, w = [], [], []
-    for i, near in enumerate(index.nearest_all(index.entries, enough + 1)):
+    for i, near in enumerate(index.nearest_all(index.cuts, index.keys, index.weights, enough + 1)):
         for label, amount in ((1.0, index.toxic[i]), (0.0, index.other[i])):
             if amount > 0:
                 one = min(1.0, amount)
@@ -307,8 +315,9 @@ def score(counted: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = []
             for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                out += shared.value.score_all(zip(*[part.column(k).to_pylist() for k in (1, 2, 3)]))
+                n_words, terms, counts = (batch.column(k).slice(a, 1024) for k in (1, 2, 3))
+                cuts = np.r_[0, np.cumsum(pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False))]
+                out += shared.value.score_all(n_words.to_numpy(), cuts, terms.flatten().to_numpy(), counts.flatten().to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "evidence", "cosines"],

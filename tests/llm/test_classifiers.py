@@ -120,6 +120,22 @@ def test_block_max_search_equals_a_full_scan():
         assert held_weight >= 25 and held_weight - index.toxic[near[-1][1]] - index.other[near[-1][1]] < 25
 
 
+def test_texts_weighed_together_are_weighed_alone():
+    rng = np.random.default_rng(6)
+    idf, rows = np.r_[rng.uniform(1, 5, 30), 1.0], [(0, [], []), (4, [], [])]
+    for _ in range(40):
+        terms = sorted(rng.choice(30, rng.integers(0, 9), replace=False).tolist())
+        rows.append((int(rng.integers(0, 60)), terms, rng.integers(1, 5, len(terms)).tolist()))
+    cuts = np.cumsum([0] + [len(t) for _, t, _ in rows])
+    flat = [np.array([x for r in rows for x in r[k]], np.int32) for k in (1, 2)]
+    cuts, keys, weights = nearest_toxic.weigh_all(np.array([r[0] for r in rows]), cuts, *flat, idf)
+    for (n, terms, counts), a, z in zip(rows, cuts[:-1], cuts[1:]):
+        raw = {t: c**0.5 * idf[t] for t, c in zip(terms, counts)} | ({30: (n - sum(counts)) ** 0.5} if n > sum(counts) else {})
+        norm = sum(x * x for x in raw.values()) ** 0.5
+        assert keys[a:z].tolist() == list(raw) and weights[a:z] == pytest.approx([x / norm for x in raw.values()], abs=1e-9)
+        assert tuple(zip(keys[a:z].tolist(), weights[a:z].tolist())) == nearest_toxic.weigh(n, terms, counts, idf)
+
+
 def test_toxicity_by_rare_and_short_words(spark):
     # one toxic example in 40 holds a word, of three letters or rare; the others share no word with the text
     rows = [(k, f"zug{'abcde'[k % 5]} filler plain{k}", 0) for k in range(400)] + [(1000 + k, f"oaf{chr(97 + k // 2)} ape word{k}", 1) for k in range(40)]
