@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from .texts import pieces, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LISTED = 6
-#: Edges that a worker remembers, and characters of new units whose lattices are built at once.
+LISTED = 4
+#: Edges from which a worker forgets rare units, and characters of new units whose lattices are built at once.
 KNOWN = 1_500_000
 CHARS = 200_000
 #: -log(u) lies between 2 ** -54 and 38 for every u that noise can be, so no value at a location lower by this can win.
@@ -164,15 +165,22 @@ def word_lattice(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     bytewise = [[vocab.byte_ids[b] for b in chr(c).encode()] for c in letters]
     heavy = np.array([vocab.weights[x].sum() for x in bytewise])
     found.insert(0, (bare, bare + 1, -1 - which))
-    start, to, piece = (np.concatenate(x) for x in zip(*found[::-1]))
-    order = np.argsort(start, kind="stable")
-    start, to, piece = start[order], to[order], piece[order]
+    # the edges of a position lie side by side, each round of the trie puts its own (one a position at most) behind longer ones
+    many = sum(np.bincount(x[0], minlength=len(codes)) for x in found)
+    free = np.cumsum(many) - many
+    start = np.repeat(np.arange(len(codes)), many)
+    to, piece = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    for x in found[::-1]:
+        place = free[x[0]]
+        to[place], piece[place] = x[1], x[2]
+        free[x[0]] += 1
     w = vocab.weights[np.maximum(piece, 0)]
     w[piece < 0] = heavy[-1 - piece[piece < 0]]
     to = np.where(to == stop[start], -1, to)
     # positions as far from the end of their unit are summed together; the last entry stands for the end
     after = np.zeros(len(codes) + 1)
     far = (stop - np.arange(len(codes)))[start]
+    far = far.astype(np.uint16) if sizes.max() < 1 << 16 else far  # sorted faster
     order = np.argsort(far, kind="stable")
     cuts = np.searchsorted(far[order], np.arange(1, sizes.max() + 2))
     for a, z in zip(cuts[:-1], cuts[1:]):
@@ -185,6 +193,13 @@ def word_lattice(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     return start, to, piece, w, bytewise
 
 
+def within(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each begin up to its end, one after the other, and the range each is of."""
+    size = (end - begin).astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + (begin - np.cumsum(size) + size)[owner], owner
+
+
 class Sampler:
     """The lattices of the units met so far as flat arrays, and the search over them.
 
@@ -198,6 +213,7 @@ class Sampler:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.uses: Counter[str] = Counter()
         self.n_nodes = self.n_edges = self.n_tokens = 0
         self.cum, self.logp = np.zeros(0), np.zeros(0)
         self.first, self.start = np.zeros(1, np.int32), np.zeros(1, np.int32)
@@ -213,11 +229,35 @@ class Sampler:
             array = larger
         array[at:end] = values
 
+    def forget(self) -> None:
+        """Keep the units that were asked for in several batches, in half of the room at most, and make room of the others."""
+        names = list(self.number)  # in the order of their nodes
+        begin = np.array(list(self.number.values()), np.int64)
+        end = np.r_[begin[1:], self.n_nodes]
+        often, edges = np.array([self.uses[u] for u in names]), self.first[end] - self.first[begin]
+        least = 2
+        while edges[often >= least].sum() > KNOWN // 2:
+            least *= 2
+        kept = np.flatnonzero(often >= least)
+        begin, end = begin[kept], end[kept]
+        node, unit = within(begin, end)
+        edge, owner = within(self.first[node], self.first[node + 1])
+        token, _ = within(self.start[edge], self.start[edge + 1])
+        counts, lengths, to = self.first[node + 1] - self.first[node], self.start[edge + 1] - self.start[edge], self.next[edge]
+        base = np.cumsum(end - begin) - (end - begin)
+        to = np.where(to < 0, -1, to + (base - begin)[unit[owner]])
+        cum, logp, tokens = self.cum[edge], self.logp[edge], self.tokens[token]
+        number = dict(zip([names[k] for k in kept.tolist()], base.tolist()))
+        uses = Counter({u: self.uses[u] // 2 for u in number})  # who is asked for no more goes next time
+        self.reset()
+        self.number, self.uses = number, uses
+        self._append(cum, logp, to, counts, lengths, tokens)
+
     def learn(self, units: set[str]) -> None:
+        if self.n_edges > KNOWN and not units <= self.number.keys():
+            self.forget()
+        self.uses.update(units)
         new = sorted(units - self.number.keys())
-        if new and self.n_edges > KNOWN:
-            self.reset()
-            new = sorted(units)
         short = [u for u in new if len(u) <= LISTED]
         if short:
             ways = [unit_lattice(u, self.vocab) for u in short]
@@ -254,13 +294,15 @@ class Sampler:
             has = at[counts > k] + k
             run[has] += run[has - 1]
         run[at + counts - 1] = 1.0
-        ends, stops = self.n_edges + np.cumsum(counts), self.n_tokens + np.cumsum(lengths)
-        for name, values in (("cum", np.minimum(run, 1.0)), ("logp", w), ("next", to)):
+        self._append(np.minimum(run, 1.0), w, to, counts, lengths, tokens)
+
+    def _append(self, cum: np.ndarray, logp: np.ndarray, to: np.ndarray, counts: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> None:
+        for name, values in (("cum", cum), ("logp", logp), ("next", to)):
             self._put(name, self.n_edges, values)
-        self._put("first", self.n_nodes + 1, ends)
-        self._put("start", self.n_edges + 1, stops)
+        self._put("first", self.n_nodes + 1, self.n_edges + np.cumsum(counts))
+        self._put("start", self.n_edges + 1, self.n_tokens + np.cumsum(lengths))
         self._put("tokens", self.n_tokens, tokens)
-        self.n_nodes, self.n_edges, self.n_tokens = self.n_nodes + len(counts), int(ends[-1]), int(stops[-1])
+        self.n_nodes, self.n_edges, self.n_tokens = self.n_nodes + len(counts), self.n_edges + len(cum), self.n_tokens + len(tokens)
 
     def _chosen(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of every node, by its probability."""

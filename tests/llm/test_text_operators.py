@@ -273,6 +273,24 @@ def test_search_of_a_text_is_its_own():
             assert log_prob == pytest.approx(sampler.logp[choice].sum())
 
 
+def test_frequent_units_stay_and_paths_do_not_change(monkeypatch):
+    def run(known):
+        monkeypatch.setattr(gumbel_pieces, "KNOWN", known)
+        rng, sampler, out, stayed = np.random.default_rng(1), gumbel_pieces.Sampler(gumbel_pieces.vocabulary()), [], 0
+        for turn in range(8):
+            rare = [" ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(30)) for _ in range(4)]
+            units = [gumbel_pieces.units_of(f"the common information \u4e2d😀é of it {t}", sampler.vocab) for t in rare]
+            stayed += " information" in sampler.number
+            sampler.learn(set().union(*units))
+            numbers = [np.array([sampler.number[u] for u in x], np.int64) for x in units]
+            found = sampler.sample_all(numbers, np.array([gumbel_pieces.seed(4 * turn + i, None) for i in range(4)]), 2)
+            out += [(sampler.spelled(d[0]).tolist(), d[1], d[2]) for x in found for d in x[:-1]]
+        return out, stayed, sampler.n_edges
+
+    whole, kept = run(10**9), run(3000)
+    assert kept[0] == whole[0] and kept[1] == 7 and kept[2] < whole[2] / 2
+
+
 def test_pieces_decode_to_the_text(spark):
     texts = [(1, "Hello  world\n a é😀"), (2, ""), (3, None), (4, "▁a ▁ b<0x0A>"), (5, "x"), (None, "   "), (6, "word " * 9000), (6, "word " * 9000)]
     docs = spark.createDataFrame([(k, t, "x") for k, t in texts], "doc_id bigint, text string, segmentations string")
