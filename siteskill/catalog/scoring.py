@@ -91,10 +91,15 @@ GAPPY_SQL = f"""(SELECT event_type, CASE WHEN user_id % 3 <> 0 THEN value END AS
                         CASE WHEN user_id % 7 <> 0 THEN mix END AS mix FROM {EVENTS_SQL})"""
 
 
+def rounded_mean(column: str, digits: int):
+    """The mean, half a digit up. Sums of floats follow the order of rows, so a mean that ends in a 5 first loses what they add."""
+    return F.round(F.round(F.avg(column), 9), digits)
+
+
 def _positive_sites(spark, sf):
     """Site means, few enough for SQL to compare all pairs, moved so that some are not positive."""
     means = site_daily(spark, sf).groupBy("sitename", F.year("date").alias("year")).agg(
-        (F.round(F.avg("obs"), 1) - 37).alias("obs"), (F.round(F.avg("mod"), 1) - 36).alias("mod"), F.round(F.avg("qc"), 2).alias("qc"))
+        (rounded_mean("obs", 1) - 37).alias("obs"), (rounded_mean("mod", 1) - 36).alias("mod"), rounded_mean("qc", 2).alias("qc"))
     return correlation_matrix(means, ["obs", "mod", "qc"], "kendall", digits=None, positive_only=True)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from siteskill.catalog.scoring import rounded_mean
 from siteskill.operators.correlation import correlation, correlation_matrix, kendall
 
 from .helpers import close
@@ -76,3 +77,11 @@ def test_matrix_on_log_axes(spark, ties):
     d = ties[(ties.x > 0) & (ties.z > 0)]
     got = correlation_matrix(spark_frame(spark, ties), ["x", "z"], "pearson", digits=None, positive_only=True).first()
     assert close(got["cor"], np.corrcoef(d.x, d.z)[0, 1], 1e-10) and got["n"] == len(d)
+
+
+def test_rounded_mean_does_not_follow_the_order_of_rows(spark):
+    """The mean of 0.9 and 0.91, forty times each, is 0.905: half a digit up, whatever the float sum says."""
+    values = [0.9] * 40 + [0.91] * 40
+    for order in (values, values[::-1], values[::2] + values[1::2]):
+        df = spark.createDataFrame([(v,) for v in order], "v double").coalesce(1)
+        assert df.agg(rounded_mean("v", 2).alias("m")).first()["m"] == 0.91
