@@ -27,7 +27,8 @@ def with_null_keys(df):
     """The first site loses its name and every site its first date; the order of the rows stays."""
     first = df.groupBy(F.col("sitename").alias("_site")).agg(F.min("date").alias("_first"))
     joined = df.join(first, F.col("sitename") == F.col("_site"))
-    no_name = F.col("sitename") == df.agg(F.min("sitename")).scalar()
+    least = df.select("sitename").where("sitename IS NOT NULL").distinct().orderBy("sitename").limit(1)  # a smallest string would be told by sorting
+    no_name = F.col("sitename") == least.scalar()
     return joined.withColumns({"sitename": F.when(~no_name, F.col("sitename")), "date": F.nullif("date", "_first")}).drop("_site", "_first")
 
 
