@@ -422,16 +422,17 @@ class _Join:
         placed = stage(self.rooted(members), f"{label}_placed")
         several = stage(pairs_of(placed).where("pairs > 0"), f"{label}_several")
         few = F.col("pairs") <= (0 if hot is None else hot * hot / 2)
-        known = self.classes.select("node", "n", "bits")
-        large = stage(placed.join(several.where(~few), "sig").join(known, "node").select("sig", "node", "root", "n", "bits", "pairs"), f"{label}_large")
+        large = stage(placed.join(several.where(~few), "sig").select("sig", "node", "pairs"), f"{label}_large")
         if hot is None:
             return self.compare(large)
         placed = placed.join(several.where(few).select("sig"), "sig")
         left = placed.select("sig", F.col("node").alias("a"), F.col("root").alias("a_root"))
         right = placed.select("sig", F.col("node").alias("b"), F.col("root").alias("b_root"))
         self.check(left.join(right, "sig").where("a < b AND a_root <> b_root").select("a", "b").distinct())
-        costs = large.groupBy("sig").agg((F.max("pairs") > entry * F.sum("n")).alias("dear"))
-        costs = stage(costs, f"{label}_costs")
+        # one class stands for all: sets of one scheme are of much the same size, and only the cost hangs on it
+        crowds = large.groupBy("sig").agg(F.max("pairs").alias("pairs"), F.count("*").alias("times"), F.min("node").alias("one"))
+        sizes = self.classes.select(F.col("node").alias("one"), "n")
+        costs = stage(crowds.join(sizes, "one").select("sig", (F.col("pairs") > entry * F.col("times") * F.col("n")).alias("dear")), f"{label}_costs")
         self.compare(large.join(costs.where("NOT dear").select("sig"), "sig"))
         return costs.where("dear").select("sig")
 
@@ -441,7 +442,8 @@ class _Join:
         own = F.pmod(F.xxhash64("node"), "p").cast("int")
         turns = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), (i < own).alias("right")))
         early = placed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, EARLY).alias("early"))  # no more than a text has shingles
-        placed = stage(placed.join(cut, "sig").join(early, "node").select("sig", "node", "n", "bits", "early", F.inline(turns)), "join_pieces")
+        facts = stage(early.join(self.classes.select("node", "n", "bits"), "node"), "join_facts")
+        placed = stage(placed.join(cut, "sig").join(facts, "node").select("sig", "node", "n", "bits", "early", F.inline(turns)), "join_pieces")
         # first few pairs that would join a whole family, twice; then all that still lie between different roots
         for forest in (1, 2, None):
             tasks = self.rooted(placed).groupBy("sig", "i", "j").applyInArrow(_blocks_by(forest), "a bigint, b bigint")
@@ -492,8 +494,7 @@ def _neighbours(state: _Join, shared: DataFrame, left_out: DataFrame, hot: int)
     cut = near.select("sig", F.col("node").alias("b"), F.col("root").alias("b_root"))
     state.check(whole.join(cut, "sig").where("a_root <> b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # both sides of a pair are weak, or one is strong and has found the other
-    rest = stage(state.rooted(shared.join(left_out, "sig").join(weak, "node", "left_semi").select("sig", "node")), "join_rest")
-    state.compare(rest.join(state.classes.select("node", "n", "bits"), "node"))
+    state.compare(stage(shared.join(left_out, "sig").join(weak, "node", "left_semi").select("sig", "node"), "join_rest"))
 
 
 def _named(state: _Join) -> DataFrame:

@@ -110,6 +110,22 @@ def test_families_with_a_common_passage_are_hardly_verified(spark, monkeypatch,
     assert sum(verified) <= 8 * len(texts)
 
 
+def test_members_of_a_common_signature_meet_their_bitmaps_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [(k, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 40_000, 10 + k % 7))) for k in range(80)]
+    wide, staged = [], jaccard_join.stage
+
+    def spying(df, label):
+        if {"sig", "bits"} <= set(df.columns):
+            wide.append(label)
+        return staged(df, label)
+
+    monkeypatch.setattr(jaccard_join, "stage", spying)
+    assert joined(docs_of(spark, texts), hot=4) == brute_components(texts)
+    assert wide == ["join_pieces"]
+
+
 def test_a_pair_is_told_by_the_smallest_common_signature():
     # classes 0 to 4 share the signatures 10, 20 and 30; class 5 has 20 and 30; all may link
     held = {node: [10, 20, 30] if node < 5 else [20, 30] for node in range(6)}
