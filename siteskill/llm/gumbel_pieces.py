@@ -25,16 +25,17 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import pieces, uniform
+from .texts import mixed, pieces, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LISTED = 4
@@ -43,6 +44,10 @@ KNOWN = 1_500_000
 CHARS = 200_000
 #: -log(u) lies between 2 ** -54 and 38 for every u that noise can be, so no value at a location lower by this can win.
 REACH = 45.0
+#: Counts of batches that asked for a unit, by hash.
+SLOTS = 1 << 20
+#: Nodes of a path that are valued at first.
+SPAN = 512
 _NEAR = 1024
 SCHEMA = (
     "doc_id bigint, n_chars bigint, segmentations array<array<int>>, log_prob array<double>, perturbed array<double>, "
@@ -70,6 +75,11 @@ class Vocabulary:
     far: np.ndarray
     learnt: list = field(default_factory=list)
 
+    @cached_property
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all pieces, one after the other, and where each begins."""
+        return np.frombuffer(b"".join(self.spelled), np.uint8), np.cumsum([0, *map(len, self.spelled)])
+
     def sampler(self) -> Sampler:
         if not self.learnt:
             self.learnt.append(Sampler(self))
@@ -193,6 +203,10 @@ def word_lattice(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     return start, to, piece, w, bytewise
 
 
+def slots(units: Iterable[str]) -> np.ndarray:
+    return np.array(list(map(hash, units)), np.int64) & (SLOTS - 1)
+
+
 def within(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers from each begin up to its end, one after the other, and the range each is of."""
     size = (end - begin).astype(np.int64)
@@ -209,11 +223,11 @@ class Sampler:
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
+        self.uses = np.zeros(SLOTS, np.uint8)
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.uses: Counter[str] = Counter()
         self.n_nodes = self.n_edges = self.n_tokens = 0
         self.cum, self.logp = np.zeros(0), np.zeros(0)
         self.first, self.start = np.zeros(1, np.int32), np.zeros(1, np.int32)
@@ -230,48 +244,53 @@ class Sampler:
         array[at:end] = values
 
     def forget(self) -> None:
-        """Keep the units that were asked for in several batches, in half of the room at most, and make room of the others."""
+        """Keep the units asked for in the most batches (two at least), in three quarters of the room, and make room of the others.
+
+        Batches are counted by hash, for forgotten units too; units that share a count only stay longer than they would.
+        """
         names = list(self.number)  # in the order of their nodes
         begin = np.array(list(self.number.values()), np.int64)
-        end = np.r_[begin[1:], self.n_nodes]
-        often, edges = np.array([self.uses[u] for u in names]), self.first[end] - self.first[begin]
-        least = 2
-        while edges[often >= least].sum() > KNOWN // 2:
-            least *= 2
-        kept = np.flatnonzero(often >= least)
-        begin, end = begin[kept], end[kept]
-        node, unit = within(begin, end)
-        edge, owner = within(self.first[node], self.first[node + 1])
-        token, _ = within(self.start[edge], self.start[edge + 1])
-        counts, lengths, to = self.first[node + 1] - self.first[node], self.start[edge + 1] - self.start[edge], self.next[edge]
-        base = np.cumsum(end - begin) - (end - begin)
-        to = np.where(to < 0, -1, to + (base - begin)[unit[owner]])
-        cum, logp, tokens = self.cum[edge], self.logp[edge], self.tokens[token]
+        bounds = np.r_[begin, self.n_nodes]
+        often, edges = self.uses[slots(names)], np.diff(self.first[bounds])
+        order = np.argsort(often, kind="stable")[::-1]
+        kept = np.sort(order[(np.cumsum(edges[order]) <= KNOWN * 3 // 4) & (often[order] > 1)])
+        stays = np.zeros(len(names), bool)
+        stays[kept] = True
+        nodes = np.diff(bounds)
+        edge, token = np.repeat(stays, edges), np.repeat(stays, np.diff(self.start[self.first[bounds]]))
+        base = np.cumsum(nodes[kept]) - nodes[kept]
+        to = self.next[: self.n_edges][edge]
+        to = np.where(to < 0, -1, to + np.repeat((base - begin[kept]).astype(np.int32), edges[kept]))
+        counts = np.diff(self.first[: self.n_nodes + 1])[np.repeat(stays, nodes)]
+        lengths = np.diff(self.start[: self.n_edges + 1])[edge]
+        cum, logp, tokens = self.cum[: self.n_edges][edge], self.logp[: self.n_edges][edge], self.tokens[: self.n_tokens][token]
         number = dict(zip([names[k] for k in kept.tolist()], base.tolist()))
-        uses = Counter({u: self.uses[u] // 2 for u in number})  # who is asked for no more goes next time
         self.reset()
-        self.number, self.uses = number, uses
+        self.number = number
         self._append(cum, logp, to, counts, lengths, tokens)
 
     def learn(self, units: set[str]) -> None:
         if self.n_edges > KNOWN and not units <= self.number.keys():
             self.forget()
-        self.uses.update(units)
+        asked = np.unique(slots(units))
+        if self.uses.max() == 255:
+            self.uses >>= 1
+        self.uses[asked] += 1
         new = sorted(units - self.number.keys())
-        short = [u for u in new if len(u) <= LISTED]
+        sizes = np.array(list(map(len, new)), np.int64)
+        short, long = (list(compress(new, is_one)) for is_one in (sizes <= LISTED, sizes > LISTED))
         if short:
             ways = [unit_lattice(u, self.vocab) for u in short]
             self.number |= {u: self.n_nodes + k for k, u in enumerate(short)}
             counts = np.array([len(x) for x in ways])
             tokens = [i for x in ways for _, t in x for i in t]
             self._add(np.array([w for x in ways for w, _ in x]), counts, np.full(counts.sum(), -1), np.array([len(t) for x in ways for _, t in x]), np.array(tokens))
-        long = [u for u in new if len(u) > LISTED]
-        slot = np.cumsum([len(u) for u in long]) // CHARS
+        sizes = sizes[sizes > LISTED]
+        slot = np.cumsum(sizes) // CHARS
         cuts = np.flatnonzero(np.r_[True, np.diff(slot) != 0]).tolist() if long else []
         for a, z in zip(cuts, [*cuts[1:], len(long)]):
-            some, base = long[a:z], self.n_nodes
-            sizes = np.array([len(u) for u in some])
-            self.number |= dict(zip(some, (base + np.cumsum(sizes) - sizes).tolist()))
+            some, base, own = long[a:z], self.n_nodes, sizes[a:z]
+            self.number |= dict(zip(some, (base + np.cumsum(own) - own).tolist()))
             leaves, to, piece, w, bytewise = word_lattice(some, self.vocab)
             lengths = np.ones(len(piece), np.int64)
             spelled = np.flatnonzero(piece < 0)
@@ -281,7 +300,7 @@ class Sampler:
                 lengths[spelled] = many[-1 - piece[spelled]]
                 tokens = np.repeat(piece, lengths)
                 tokens[np.repeat(piece < 0, lengths)] = [i for k in (-1 - piece[spelled]).tolist() for i in bytewise[k]]
-            self._add(w, np.bincount(leaves, minlength=sizes.sum()), np.where(to < 0, -1, base + to), lengths, tokens)
+            self._add(w, np.bincount(leaves, minlength=own.sum()), np.where(to < 0, -1, base + to), lengths, tokens)
 
     def _add(self, w: np.ndarray, counts: np.ndarray, to: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> None:
         """Nodes with `counts` edges each, whose log weights `w` include all that follows."""
@@ -344,12 +363,38 @@ class Sampler:
         live = searches
         while live:
             paths = self._paths([s.tail for s in live], np.array([s.key for s in live], np.uint64), turn)
-            for s, path in zip(live, paths):
-                s.complete(path, turn)
+            self._complete(live, paths, turn, k)
             turn += 1
             live = [s for s in live if s.advance(turn)]
         return [[*s.out, (None, 0.0, -s.queue[0][0] if s.queue else -np.inf)] for s in searches]
 
+    def _complete(self, live: list[_Search], paths: list[np.ndarray], turn: int, k: int) -> None:
+        """`complete` of every search. The first `SPAN` nodes of all of them are valued together; a search that has to look further goes on alone."""
+        sizes = np.array([len(x) for x in paths])
+        begin = np.cumsum(sizes) - sizes
+        logs = self.logp[np.concatenate(paths)]
+        upto = [s.log_head + np.cumsum(logs[a : a + n]) for s, a, n in zip(live, begin.tolist(), sizes.tolist())]
+        for s, path, x in zip(live, paths, upto):
+            s.take(path, x)
+        if not len(logs):
+            return
+        column = np.arange(SPAN)
+        there = column < sizes[:, None]
+        at = np.where(there, begin[:, None] + column, 0)
+        own = np.where(there, logs[at], 0.0)
+        before = np.where(there, np.concatenate(upto)[at] - own, 0.0)
+        with np.errstate(divide="ignore"):
+            loc = before + np.log(-np.expm1(own))
+        keys, tops = np.array([s.key for s in live], np.uint64), np.array([s.top for s in live])
+        g = below(tops[:, None], loc, uniform(stream(keys, turn, 2)[:, None], column[None].astype(np.uint64)))
+        lowest = np.partition(loc, -k - 1, axis=1)[:, -k - 1] if k < SPAN else np.full(len(live), -np.inf)
+        best = np.argpartition(-g, k, axis=1)[:, : k + 1] if k < SPAN else np.broadcast_to(column, g.shape)
+        for i, (s, path, x) in enumerate(zip(live, paths, upto)):
+            if len(path) > SPAN and not x[SPAN] - logs[begin[i] + SPAN] < lowest[i] - REACH:
+                s.beside(path, x - logs[begin[i] : begin[i] + len(path)], turn)
+            else:
+                s.put(path, best[i].tolist(), g[i], before[i])
+
     def lengths(self, choice: np.ndarray) -> np.ndarray:
         return self.start[choice + 1] - self.start[choice]
 
@@ -385,17 +430,14 @@ class _Search:
     def noise(self, turn: int, use: int, count: int) -> np.ndarray:
         return uniform(stream(np.array([self.key], np.uint64), turn, use), np.arange(count, dtype=np.uint64))
 
-    def complete(self, tail: np.ndarray, turn: int) -> None:
-        """Take the path head + tail, and put the best nodes beside it into the queue."""
-        k, a, top = self.k, len(self.head), self.top
-        logs = self.sampler.logp[tail]
-        upto = self.log_head + np.cumsum(logs)
-        choice = np.concatenate([self.head, tail]) if a else tail
-        self.out.append((choice, float(upto[-1]) if len(upto) else self.log_head, top))
-        if not len(tail):
-            return
-        before = upto - logs  # falls from left to right
-        span = 128
+    def take(self, tail: np.ndarray, upto: np.ndarray) -> None:
+        """Take the path head + tail."""
+        choice = np.concatenate([self.head, tail]) if len(self.head) else tail
+        self.out.append((choice, float(upto[-1]) if len(upto) else self.log_head, self.top))
+
+    def beside(self, tail: np.ndarray, before: np.ndarray, turn: int) -> None:
+        """Put the best nodes beside the path into the queue; `before` falls from left to right."""
+        k, logs, span = self.k, self.sampler.logp[tail], SPAN
         while True:
             with np.errstate(divide="ignore"):
                 loc = before[:span] + np.log(-np.expm1(logs[:span]))
@@ -403,11 +445,14 @@ class _Search:
             if span >= len(tail) or before[span] < lowest - REACH:
                 break
             span *= 4
-        g = below(top, loc, self.noise(turn, 2, len(loc)))
-        best = np.argpartition(-g, k)[: k + 1] if len(g) > k else np.arange(len(g))
+        g = below(self.top, loc, self.noise(turn, 2, len(loc)))
+        self.put(tail, np.argpartition(-g, k)[: k + 1].tolist() if len(g) > k else range(len(g)), g, before)
+
+    def put(self, tail: np.ndarray, best: Iterable[int], g: np.ndarray, before: np.ndarray) -> None:
+        choice = self.out[-1][0]
         for j in best:
             if g[j] > -np.inf:
-                heapq.heappush(self.queue, (-float(g[j]), len(self.out), int(j), choice, a + int(j), {int(tail[j])}, float(before[j])))
+                heapq.heappush(self.queue, (-float(g[j]), len(self.out), j, choice, len(self.head) + j, {int(tail[j])}, float(before[j])))
 
     def advance(self, turn: int) -> bool:
         """Leave the best node of the queue by an edge not taken before; false if the search is over."""
@@ -436,12 +481,11 @@ def seed(doc_id: int | None, text: str | None) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little"))
 
 
-def units_of(text: str | None, vocab: Vocabulary) -> list[str]:
-    """The text, with a space before it, cut where no piece can cross."""
-    if not text:
-        return []
-    text = " " + text
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def spans_of(texts: list[str | None], vocab: Vocabulary) -> tuple[str, np.ndarray, np.ndarray]:
+    """The texts, each with a space before it, as one; where its units begin and the last one ends, cut where no piece can cross; units of each text."""
+    whole = "".join([" " + t for t in texts if t])
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
     a, b = codes[:-1], codes[1:]
     joined = vocab.near[np.minimum(a, _NEAR - 1), np.minimum(b, _NEAR - 1)]
     high = np.flatnonzero((a >= _NEAR) | (b >= _NEAR))
@@ -449,8 +493,32 @@ def units_of(text: str | None, vocab: Vocabulary) -> list[str]:
     if len(high) and len(vocab.far):
         pair = a[high].astype(np.int64) << 21 | b[high]
         joined[high] = vocab.far[np.minimum(np.searchsorted(vocab.far, pair), len(vocab.far) - 1)] == pair
-    cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(text)]
-    return [text[x:y] for x, y in zip(cuts, cuts[1:])]
+    joined[ends[(ends > 0) & (ends < len(codes))] - 1] = False
+    cuts = np.r_[0, np.flatnonzero(~joined) + 1, len(codes)] if len(codes) else np.zeros(1, np.int64)
+    return whole, cuts, np.diff(np.searchsorted(cuts, ends), prepend=0)
+
+
+def distinct(whole: str, cuts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The different units between the cuts, and for every unit the number of its own. Told by hashes, then compared character by character."""
+    if len(cuts) < 2:
+        return [], np.zeros(0, np.int64)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin, sizes = cuts[:-1], np.diff(cuts)
+    place = np.arange(len(codes))
+    marked = mixed((place - np.repeat(begin, sizes)).astype(np.uint64) << np.uint64(21) | codes)
+    _, first, which = np.unique(np.add.reduceat(marked, begin), return_index=True, return_inverse=True)
+    one = first[which]
+    if not ((sizes == sizes[one]).all() and (codes == codes[place + np.repeat(begin[one] - begin, sizes)]).all()):
+        seen: dict[str, int] = {}
+        which = np.array([seen.setdefault(whole[x:y], len(seen)) for x, y in zip(begin.tolist(), cuts[1:].tolist())])
+        return list(seen), which
+    return [whole[x:y] for x, y in zip(begin[first].tolist(), cuts[first + 1].tolist())], which
+
+
+def units_of(text: str | None, vocab: Vocabulary) -> list[str]:
+    """The text, with a space before it, cut where no piece can cross."""
+    whole, cuts, _ = spans_of([text], vocab)
+    return [whole[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
@@ -462,10 +530,11 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
         sampler = shared.value.sampler()
         for batch in pieces(batches, "text", 500_000):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [units_of(t, shared.value) for t in texts]
-            sampler.learn(set().union(*found))
-            number = sampler.number
-            numbers = [np.array(list(map(number.__getitem__, units)), np.int64) for units in found]
+            whole, cuts, many = spans_of(texts, shared.value)
+            units, which = distinct(whole, cuts)
+            sampler.learn(set(units))
+            nodes = np.array(list(map(sampler.number.__getitem__, units)), np.int64)[which]
+            numbers = np.split(nodes, np.cumsum(many)[:-1])
             searched = sampler.sample_all(numbers, np.array([seed(i, t) for i, t in zip(ids, texts)], np.uint64), k)
             samples = [(text, *sample, after) for text, (*some, (_, _, after)) in zip(texts, searched) for sample in some]
             counts = [len(x) - 1 for x in searched]
@@ -492,12 +561,17 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
 
 
 def spell(ids: Iterable[int], vocab: Vocabulary) -> bytes:
-    return b"".join([vocab.spelled[i] for i in ids])
+    return b"".join(map(vocab.spelled.__getitem__, ids))
 
 
 def spells(samples: list[np.ndarray], texts: list[str], vocab: Vocabulary) -> list[bool]:
     """Whether the ids of each sample spell its text."""
-    return [spell(ids.tolist(), vocab) == text.encode() for ids, text in zip(samples, texts)]
+    letters, ends = vocab.letters
+    ids = np.concatenate(samples)
+    place, _ = within(ends[ids], ends[ids + 1])
+    made, upto = letters[place], np.cumsum(np.r_[0, ends[ids + 1] - ends[ids]])
+    cuts = upto[np.cumsum([0, *map(len, samples)])].tolist()
+    return [made[a:z].tobytes() == text.encode() for a, z, text in zip(cuts, cuts[1:], texts)]
 
 
 def decoded(ids: Iterable[int], vocab: Vocabulary) -> str:

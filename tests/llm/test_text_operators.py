@@ -307,6 +307,28 @@ def test_frequent_units_stay_and_paths_do_not_change(monkeypatch):
     assert kept[0] == whole[0] and kept[1] == 7 and kept[2] < whole[2] / 2
 
 
+def test_units_that_come_back_are_kept_though_forgotten_between(monkeypatch):
+    monkeypatch.setattr(gumbel_pieces, "KNOWN", 3000)
+    rng, sampler, stayed = np.random.default_rng(2), gumbel_pieces.Sampler(gumbel_pieces.vocabulary()), 0
+    for turn in range(60):
+        rare = " ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(100))
+        stayed += turn > 30 and " information" in sampler.number
+        sampler.learn(set(gumbel_pieces.units_of(rare + " information" * (turn % 5 == 0), sampler.vocab)))
+    assert stayed == 29
+
+
+def test_distinct_units_do_not_hang_on_hashes(monkeypatch):
+    vocab, texts = gumbel_pieces.vocabulary(), ["the cat \u4e2dthe", None, "", "a cat😀\n", "the", "\u4e2d"]
+    want = [u for t in texts for u in gumbel_pieces.units_of(t, vocab)]
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(gumbel_pieces, "mixed", lambda x: x * np.uint64(0))
+        whole, cuts, many = gumbel_pieces.spans_of(texts, vocab)
+        units, which = gumbel_pieces.distinct(whole, cuts)
+        assert [units[k] for k in which] == want and len(set(units)) == len(units)
+        assert many.tolist() == [len(gumbel_pieces.units_of(t, vocab)) for t in texts]
+
+
 def test_pieces_decode_to_the_text(spark):
     texts = [(1, "Hello  world\n a é😀"), (2, ""), (3, None), (4, "▁a ▁ b<0x0A>"), (5, "x"), (None, "   "), (6, "word " * 9000), (6, "word " * 9000)]
     docs = spark.createDataFrame([(k, t, "x") for k, t in texts], "doc_id bigint, text string, segmentations string")
