@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 _GOLDEN, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker waits for its next task for up to a minute, beside the JVM of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about `chars` bytes of text (or one longer text)."""
     for batch in batches:
@@ -28,6 +37,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, chars: int = 4_000_00
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def beside(docs: DataFrame, work: Callable[[list[str | None]], list[pa.Array]], fields: str) -> DataFrame:

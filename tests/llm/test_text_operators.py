@@ -406,3 +406,13 @@ def test_ablation_counts_by_hand(spark):
             rest = whole & ~(1 << k)
             assert got[rule.name] == (
                 sum(f >> k & 1 for f in failed), sum(bool(f >> k & 1) and not f & rest for f in failed), sum(not f & rest for f in failed))
+
+
+def test_workers_give_memory_back_when_their_batches_end(monkeypatch):
+    from siteskill.llm import texts
+
+    called = []
+    monkeypatch.setattr(texts, "give_back", lambda: called.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "c"] * 9)], names=["text"])
+    cut = texts.pieces([batch, batch.slice(0, 0), batch], "text", 8)
+    assert sum(b.num_rows for b in cut) == 54 and called == [1]
