@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import compress
+from itertools import accumulate, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,12 @@ LISTED = 4
 #: Edges from which a worker forgets rare units, and characters of new units whose lattices are built at once.
 KNOWN = 1_500_000
 CHARS = 200_000
-#: -log(u) lies between 2 ** -54 and 38 for every u that noise can be, so no value at a location lower by this can win.
-REACH = 45.0
+#: -log(u) is at least 2 ** -54 for every u that noise can be, so no value lies above its location by more than this.
+REACH = 37.5
 #: Counts of batches that asked for a unit, by hash.
-SLOTS = 1 << 20
-#: Nodes of a path that are valued at first.
-SPAN = 512
+SLOTS = 1 << 21
+#: Nodes of a path that are valued first; of the others only those whose noise can still win.
+SPAN = 32
 _NEAR = 1024
 SCHEMA = (
     "doc_id bigint, n_chars bigint, segmentations array<array<int>>, log_prob array<double>, perturbed array<double>, "
@@ -59,7 +60,7 @@ SCHEMA = (
 class Vocabulary:
     """Pieces with spaces for U+2581, their log weights, the ids of the 256 bytes, and the pieces as a trie.
 
-    A step of the trie is state << 21 | code point (`steps`, sorted) to a state (`states`); `ends` is a state's piece or -1.
+    A step of the trie is state << 21 | code point (`steps`, by hash, -1 where free) to a state (`states`); `ends` is a state's piece or -1.
     `near` and `far` hold the pairs of characters that occur side by side in a piece. `learnt` keeps what a worker has built:
     the broadcast stays in it from task to task.
     """
@@ -76,9 +77,23 @@ class Vocabulary:
     learnt: list = field(default_factory=list)
 
     @cached_property
-    def letters(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all pieces, one after the other, and where each begins."""
-        return np.frombuffer(b"".join(self.spelled), np.uint8), np.cumsum([0, *map(len, self.spelled)])
+    def letters(self) -> pa.Array:
+        return pa.array(self.spelled, pa.large_binary())
+
+    def follow(self, step: np.ndarray) -> np.ndarray:
+        """The states that steps lead to, -1 where the trie has no such step."""
+        last = len(self.steps) - 1
+        slot = (mixed(step.astype(np.uint64)) & np.uint64(last)).astype(np.int64)
+        there = self.steps[slot]
+        state = np.where(there == step, self.states[slot], -1)
+        on = np.flatnonzero((there != step) & (there >= 0))
+        while len(on):
+            slot[on] = slot[on] + 1 & last
+            there = self.steps[slot[on]]
+            hit = there == step[on]
+            state[on[hit]] = self.states[slot[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return state
 
     def sampler(self) -> Sampler:
         if not self.learnt:
@@ -106,8 +121,22 @@ def trie(ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if state == len(ends):
                 ends.append(-1)
         ends[state] = i
-    steps = np.array(sorted(found), np.int64)
-    return steps, np.array([found[s] for s in steps.tolist()], np.int64), np.array(ends, np.int64)
+    return *hashed(np.array(list(found), np.int64), np.array(list(found.values()), np.int64)), np.array(ends, np.int64)
+
+
+def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and their values at the first place that is free from their hash on, a quarter of the places at most."""
+    size = 4 << len(keys).bit_length()
+    placed, kept = np.full(size, -1), np.zeros(size, np.int64)
+    slot = (mixed(keys.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+    left = np.arange(len(keys))
+    while len(left):
+        free = left[placed[slot[left]] < 0]
+        placed[slot[free]] = keys[free]
+        left = left[placed[slot[left]] != keys[left]]
+        slot[left] = slot[left] + 1 & size - 1
+    kept[slot] = values
+    return placed, kept
 
 
 def vocabulary(model: str = MODEL) -> Vocabulary:
@@ -148,8 +177,8 @@ def unit_lattice(unit: str, vocab: Vocabulary) -> list[tuple[float, tuple[int, .
 def word_lattice(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     """Edges of the lattices of all units, by the position they leave and the longest first; positions are numbered through.
 
-    Returns the position each edge leaves, the one it leads to (-1 at the end of its unit), its piece (-1 - b for the b-th
-    spelling in bytes), its log weight with all that follows, and those spellings.
+    Returns the edges of each position, the position an edge leads to (-1 at the end of its unit), its piece (-1 - b for the b-th
+    spelling in bytes), its log weight with all that follows, the log sum of those of each position, and the spellings.
     """
     codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
     sizes = np.array([len(u) for u in units])
@@ -159,10 +188,9 @@ def word_lattice(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     found = []
     bare = np.ones(len(codes), bool)
     while len(at):
-        step = state << 21 | codes[at]
-        k = np.minimum(np.searchsorted(vocab.steps, step), len(vocab.steps) - 1)
-        hit = vocab.steps[k] == step
-        begin, at, state = begin[hit], at[hit] + 1, vocab.states[k[hit]]
+        state = vocab.follow(state << 21 | codes[at])
+        hit = np.flatnonzero(state >= 0)
+        begin, at, state = begin[hit], at[hit] + 1, state[hit]
         piece = vocab.ends[state]
         ok = piece >= 0
         if not found:
@@ -197,10 +225,16 @@ def word_lattice(units: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
         e = order[a:z]
         x = w[e] + after[to[e]]
         w[e] = x
-        new = np.flatnonzero(np.r_[True, np.diff(start[e]) != 0])
-        top = np.maximum.reduceat(x, new)
-        after[start[e[new]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.r_[new, len(e)]))), new))
-    return start, to, piece, w, bytewise
+        from_ = start[e]
+        new = np.flatnonzero(np.r_[True, from_[1:] != from_[:-1]])
+        after[from_[new]] = log_sums(x, new, np.diff(np.r_[new, len(e)]))
+    return many, to, piece, w, after[:-1], bytewise
+
+
+def log_sums(w: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log sums of runs that begin `at`."""
+    top = np.maximum.reduceat(w, at)
+    return top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, counts)), at))
 
 
 def slots(units: Iterable[str]) -> np.ndarray:
@@ -211,7 +245,7 @@ def within(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers from each begin up to its end, one after the other, and the range each is of."""
     size = (end - begin).astype(np.int64)
     owner = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(owner)) + (begin - np.cumsum(size) + size)[owner], owner
+    return np.arange(len(owner)) + np.repeat(begin - np.cumsum(size) + size, size), owner
 
 
 class Sampler:
@@ -224,10 +258,12 @@ class Sampler:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
         self.uses = np.zeros(SLOTS, np.uint8)
+        self.least = 0
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.passing: list[str] = []
         self.n_nodes = self.n_edges = self.n_tokens = 0
         self.cum, self.logp = np.zeros(0), np.zeros(0)
         self.first, self.start = np.zeros(1, np.int32), np.zeros(1, np.int32)
@@ -246,7 +282,8 @@ class Sampler:
     def forget(self) -> None:
         """Keep the units asked for in the most batches (two at least), in three quarters of the room, and make room of the others.
 
-        Batches are counted by hash, for forgotten units too; units that share a count only stay longer than they would.
+        Batches are counted by hash, for forgotten units too; units that share a count only stay longer than they would. From
+        now on new units are asked for as often as those that stayed, or they pass with their batch.
         """
         names = list(self.number)  # in the order of their nodes
         begin = np.array(list(self.number.values()), np.int64)
@@ -254,6 +291,7 @@ class Sampler:
         often, edges = self.uses[slots(names)], np.diff(self.first[bounds])
         order = np.argsort(often, kind="stable")[::-1]
         kept = np.sort(order[(np.cumsum(edges[order]) <= KNOWN * 3 // 4) & (often[order] > 1)])
+        self.least = int(often[kept].min()) if len(kept) else 2
         stays = np.zeros(len(names), bool)
         stays[kept] = True
         nodes = np.diff(bounds)
@@ -269,29 +307,43 @@ class Sampler:
         self.number = number
         self._append(cum, logp, to, counts, lengths, tokens)
 
-    def learn(self, units: set[str]) -> None:
-        if self.n_edges > KNOWN and not units <= self.number.keys():
+    def learn(self, units: Iterable[str]) -> np.ndarray:
+        """Build the lattices of those of the different units that are not known; the first nodes of all. Forgets the units that pass."""
+        units = list(units)
+        if self.passing:
+            end = self.number[self.passing[0]]
+            for u in self.passing:
+                del self.number[u]
+            self.n_nodes, self.n_edges = end, int(self.first[end])
+            self.n_tokens, self.passing = int(self.start[self.n_edges]), []
+        node = np.array(list(map(self.number.get, units, repeat(-1))), np.int64)
+        if self.n_edges > KNOWN and (node < 0).any():
             self.forget()
-        asked = np.unique(slots(units))
-        if self.uses.max() == 255:
+            node = np.array(list(map(self.number.get, units, repeat(-1))), np.int64)
+        asked = slots(units)
+        if len(asked) and self.uses[asked].max() == 255:
             self.uses >>= 1
-        self.uses[asked] += 1
-        new = sorted(units - self.number.keys())
-        sizes = np.array(list(map(len, new)), np.int64)
-        short, long = (list(compress(new, is_one)) for is_one in (sizes <= LISTED, sizes > LISTED))
-        if short:
+            self.least >>= 1
+        self.uses[asked] += 1  # once, however many units share a count
+        missing = np.flatnonzero(node < 0)
+        new = [units[k] for k in missing.tolist()]
+        sizes, stays = np.array(list(map(len, new)), np.int64), self.uses[asked[missing]] >= self.least
+        short = list(compress(new, sizes <= LISTED))
+        if short:  # these stay until they are forgotten
             ways = [unit_lattice(u, self.vocab) for u in short]
             self.number |= {u: self.n_nodes + k for k, u in enumerate(short)}
-            counts = np.array([len(x) for x in ways])
+            counts, w = np.array([len(x) for x in ways]), np.array([w for x in ways for w, _ in x])
             tokens = [i for x in ways for _, t in x for i in t]
-            self._add(np.array([w for x in ways for w, _ in x]), counts, np.full(counts.sum(), -1), np.array([len(t) for x in ways for _, t in x]), np.array(tokens))
-        sizes = sizes[sizes > LISTED]
+            sums = log_sums(w, np.cumsum(counts) - counts, counts)
+            self._add(w, sums, counts, np.full(len(w), -1), np.array([len(t) for x in ways for _, t in x]), np.array(tokens))
+        order = np.r_[np.flatnonzero((sizes > LISTED) & stays), np.flatnonzero((sizes > LISTED) & ~stays)]
+        long, sizes = [new[k] for k in order.tolist()], sizes[order]
         slot = np.cumsum(sizes) // CHARS
         cuts = np.flatnonzero(np.r_[True, np.diff(slot) != 0]).tolist() if long else []
         for a, z in zip(cuts, [*cuts[1:], len(long)]):
             some, base, own = long[a:z], self.n_nodes, sizes[a:z]
             self.number |= dict(zip(some, (base + np.cumsum(own) - own).tolist()))
-            leaves, to, piece, w, bytewise = word_lattice(some, self.vocab)
+            counts, to, piece, w, sums, bytewise = word_lattice(some, self.vocab)
             lengths = np.ones(len(piece), np.int64)
             spelled = np.flatnonzero(piece < 0)
             tokens = piece
@@ -300,18 +352,24 @@ class Sampler:
                 lengths[spelled] = many[-1 - piece[spelled]]
                 tokens = np.repeat(piece, lengths)
                 tokens[np.repeat(piece < 0, lengths)] = [i for k in (-1 - piece[spelled]).tolist() for i in bytewise[k]]
-            self._add(w, np.bincount(leaves, minlength=own.sum()), np.where(to < 0, -1, base + to), lengths, tokens)
+            self._add(w, sums, counts, np.where(to < 0, -1, base + to), lengths, tokens)
+        self.passing = long[np.count_nonzero((sizes > 0) & stays[order]) :]
+        node[missing] = list(map(self.number.__getitem__, new))
+        return node
 
-    def _add(self, w: np.ndarray, counts: np.ndarray, to: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> None:
-        """Nodes with `counts` edges each, whose log weights `w` include all that follows."""
+    def _add(self, w: np.ndarray, sums: np.ndarray, counts: np.ndarray, to: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> None:
+        """Nodes with `counts` edges each, whose log weights `w` include all that follows, and their log sums."""
         at = np.cumsum(counts) - counts
-        top = np.repeat(np.maximum.reduceat(w, at), counts)
-        total = np.add.reduceat(np.exp(w - top), at)
-        w = np.where(np.repeat(counts, counts) == 1, 0.0, np.minimum(w - top - np.log(np.repeat(total, counts)), 0.0))
+        w = np.minimum(w - np.repeat(sums, counts), 0.0)
+        w[at[counts == 1]] = 0.0
         run = np.exp(w)
-        for k in range(1, int(counts.max())):
-            has = at[counts > k] + k
-            run[has] += run[has - 1]
+        has, k = at[counts > 1], 1
+        left = counts[counts > 1]
+        while len(has):
+            run[has + k] += run[has + k - 1]
+            k += 1
+            on = left > k
+            has, left = has[on], left[on]
         run[at + counts - 1] = 1.0
         self._append(np.minimum(run, 1.0), w, to, counts, lengths, tokens)
 
@@ -324,32 +382,34 @@ class Sampler:
         self.n_nodes, self.n_edges, self.n_tokens = self.n_nodes + len(counts), self.n_edges + len(cum), self.n_tokens + len(tokens)
 
     def _chosen(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge of every node, by its probability."""
-        low, high = self.first[nodes].astype(np.int64), self.first[nodes + 1].astype(np.int64) - 1
-        open_ = np.flatnonzero(low < high)
-        while len(open_):
-            a, z = low[open_], high[open_]
-            middle = (a + z) >> 1
-            less = self.cum[middle] < u[open_]
-            low[open_], high[open_] = np.where(less, middle + 1, a), np.where(less, z, middle)
-            open_ = open_[low[open_] < high[open_]]
-        return low
+        """An edge of every node, by its probability; the first ones are the likeliest as a rule."""
+        took = self.first[nodes].astype(np.int64)
+        on = np.flatnonzero(self.cum[took] < u)
+        at, u = took[on] + 1, u[on]
+        while len(on):
+            less = self.cum[at] < u
+            took[on] = at
+            on, at, u = on[less], at[less] + 1, u[less]
+        return took
 
     def _paths(self, tails: list[np.ndarray], keys: np.ndarray, turn: int) -> list[np.ndarray]:
         """For each text the edges drawn from its nodes to the ends of their units, in order."""
         sizes = np.array([len(x) for x in tails])
         nodes, key = np.concatenate(tails), np.repeat(keys, sizes)
         place = (np.arange(len(nodes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
-        which, depth, edges, owners = np.arange(len(nodes)), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        which, steps, drawn = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), []
         while len(which):
-            took = self._chosen(nodes, uniform(stream(key[which], turn, 0, depth), place[which]))
-            edges.append(took)
-            owners.append(which)
-            on = np.flatnonzero(self.next[took] >= 0)
-            nodes, which, depth = self.next[took[on]], which[on], depth + 1
-        order = np.argsort(np.concatenate(owners), kind="stable")
-        text = np.repeat(np.arange(len(tails)), sizes)[np.concatenate(owners)]
-        return np.split(np.concatenate(edges)[order], np.cumsum(np.bincount(text, minlength=len(tails)))[:-1])
+            took = self._chosen(nodes, uniform(stream(key[which], turn, 0, len(drawn)), place[which]))
+            drawn.append((which, took))
+            to = self.next[took]
+            on = np.flatnonzero(to >= 0)
+            steps[which] = len(drawn)
+            nodes, which = to[on], which[on]
+        upto = np.r_[0, np.cumsum(steps)]
+        edges = np.zeros(upto[-1], np.int64)
+        for depth, (which, took) in enumerate(drawn):
+            edges[upto[which] + depth] = took
+        return np.split(edges, upto[np.cumsum(sizes)][:-1])
 
     def sample(self, units: np.ndarray, key: np.uint64, k: int) -> list[tuple[np.ndarray, float, float]]:
         """(edges, log probability, perturbed value) of the best k, and the value of the next as a last entry."""
@@ -358,18 +418,19 @@ class Sampler:
     def sample_all(self, texts: list[np.ndarray], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
         """`sample` of every text: all draw their next path together."""
         tops = -np.log(-np.log(uniform(stream(keys, 0, 1), np.zeros(len(keys), np.uint64))))
-        searches = [_Search(self, units, key, k, top) for units, key, top in zip(texts, keys, tops.tolist())]
+        searches = [_Search(self, units, key, top) for units, key, top in zip(texts, keys, tops.tolist())]
         turn = 0
         live = searches
         while live:
             paths = self._paths([s.tail for s in live], np.array([s.key for s in live], np.uint64), turn)
             self._complete(live, paths, turn, k)
             turn += 1
-            live = [s for s in live if s.advance(turn)]
+            live = [s for s in live if len(s.out) < k and s.queue]
+            self._advance(live, turn)
         return [[*s.out, (None, 0.0, -s.queue[0][0] if s.queue else -np.inf)] for s in searches]
 
     def _complete(self, live: list[_Search], paths: list[np.ndarray], turn: int, k: int) -> None:
-        """`complete` of every search. The first `SPAN` nodes of all of them are valued together; a search that has to look further goes on alone."""
+        """Take the paths of all searches, and put the k + 1 best nodes beside each into its queue."""
         sizes = np.array([len(x) for x in paths])
         begin = np.cumsum(sizes) - sizes
         logs = self.logp[np.concatenate(paths)]
@@ -378,31 +439,73 @@ class Sampler:
             s.take(path, x)
         if not len(logs):
             return
-        column = np.arange(SPAN)
-        there = column < sizes[:, None]
-        at = np.where(there, begin[:, None] + column, 0)
-        own = np.where(there, logs[at], 0.0)
-        before = np.where(there, np.concatenate(upto)[at] - own, 0.0)
+        before = np.concatenate(upto) - logs  # falls along a path
+        key, top = stream(np.array([s.key for s in live], np.uint64), turn, 2), np.array([s.top for s in live])
+
+        def valued(at: np.ndarray, owner: np.ndarray, u: np.ndarray) -> np.ndarray:
+            with np.errstate(divide="ignore"):
+                return below(top[owner], before[at] + np.log(-np.expm1(logs[at])), u)
+
+        def noise(at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            return uniform(key[owner], (at - begin[owner]).astype(np.uint64))
+
+        at, owner = within(begin, begin + np.minimum(sizes, SPAN))
+        g = valued(at, owner, noise(at, owner))
+        ranked = np.lexsort((-g, owner))
+        head = np.minimum(sizes, SPAN)
+        first = np.cumsum(head) - head
+        bar = np.where(head > k, g[ranked[np.minimum(first + k, len(g) - 1)]], -np.inf)
+        # a value is at most its location - log(-log(u)), and -log(u) at least 1 - u
+        far, whose = within(begin + head, begin + sizes)
+        on = np.flatnonzero(before[far] > bar[whose] - REACH)
+        far, whose = far[on], whose[on]
+        u = noise(far, whose)
+        with np.errstate(over="ignore"):
+            on = np.flatnonzero((1 - u) * (1 - 1e-9) <= np.exp(before[far] - bar[whose]))
+        far, whose, u = far[on], whose[on], u[on]
+        at, owner, g = np.concatenate([at, far]), np.concatenate([owner, whose]), np.concatenate([g, valued(far, whose, u)])
+        ranked = np.lexsort((-g, owner))
+        many = np.bincount(owner, minlength=len(live))
+        ends = np.cumsum(many)
+        best, _ = within(ends - many, np.minimum(ends - many + k + 1, ends))
+        best = ranked[best]
+        best = best[g[best] > -np.inf]
+        steps = np.concatenate(paths)[at[best]].tolist()
+        for i, j, value, edge, x in zip(owner[best].tolist(), (at - begin[owner])[best].tolist(), g[best].tolist(), steps, before[at[best]].tolist()):
+            live[i].put(j, value, edge, x)
+
+    def _advance(self, live: list[_Search], turn: int) -> None:
+        """Every search leaves the best node of its queue by an edge not taken before."""
+        if not live:
+            return
+        popped = [heapq.heappop(s.queue) for s in live]
+        node = np.searchsorted(self.first[: self.n_nodes + 1], np.array([p[3][p[4]] for p in popped], np.int32), side="right") - 1
+        begin, end = self.first[node].astype(np.int64), self.first[node + 1].astype(np.int64)
+        ways = [[e for e in range(a, z) if e not in p[5]] for a, z, p in zip(begin.tolist(), end.tolist(), popped)]
+        chance = np.exp(self.logp[[e for x in ways for e in x]]).tolist()
+        u = uniform(stream(np.array([s.key for s in live], np.uint64), turn, 1)[:, None], np.arange(2, dtype=np.uint64)[None])
+        took, rest, at = [], [], 0
+        for x, share in zip(ways, u[:, 0].tolist()):
+            p = chance[at : at + len(x)]
+            upto = list(accumulate(p))
+            j = min(bisect_left(upto, share * upto[-1]), len(x) - 1)
+            took.append(x[j])
+            rest.append(sum(p[:j]) + sum(p[j + 1 :]))
+            at += len(x)
         with np.errstate(divide="ignore"):
-            loc = before + np.log(-np.expm1(own))
-        keys, tops = np.array([s.key for s in live], np.uint64), np.array([s.top for s in live])
-        g = below(tops[:, None], loc, uniform(stream(keys, turn, 2)[:, None], column[None].astype(np.uint64)))
-        lowest = np.partition(loc, -k - 1, axis=1)[:, -k - 1] if k < SPAN else np.full(len(live), -np.inf)
-        best = np.argpartition(-g, k, axis=1)[:, : k + 1] if k < SPAN else np.broadcast_to(column, g.shape)
-        for i, (s, path, x) in enumerate(zip(live, paths, upto)):
-            if len(path) > SPAN and not x[SPAN] - logs[begin[i] + SPAN] < lowest[i] - REACH:
-                s.beside(path, x - logs[begin[i] : begin[i] + len(path)], turn)
-            else:
-                s.put(path, best[i].tolist(), g[i], before[i])
-
-    def lengths(self, choice: np.ndarray) -> np.ndarray:
-        return self.start[choice + 1] - self.start[choice]
+            loc = np.array([p[6] for p in popped]) + np.log(rest)
+        g = below(-np.array([p[0] for p in popped]), loc, u[:, 1])
+        for s, p, e, to, log, value in zip(live, popped, took, self.next[took].tolist(), self.logp[took].tolist(), g.tolist()):
+            s.leave(p, e, to, log, value)
 
     def spelled(self, choice: np.ndarray) -> np.ndarray:
-        begin = self.start[choice].astype(np.int64)
+        return self.tokens_of(choice)[0]
+
+    def tokens_of(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of edges, and how many each has."""
+        begin = self.start[choice]
         count = self.start[choice + 1] - begin
-        ends = np.cumsum(count)
-        return self.tokens[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)]
+        return self.tokens[within(begin, begin + count)[0]], count
 
 
 def stream(key: np.ndarray, turn: int, use: int, depth: int = 0) -> np.ndarray:
@@ -420,60 +523,32 @@ def below(top, loc, u):
 class _Search:
     """The perturbed A* search of one text; `tail` is where the path it waits for begins: the nodes still to be left."""
 
-    def __init__(self, sampler: Sampler, units: np.ndarray, key: np.uint64, k: int, top: float) -> None:
-        self.sampler, self.units, self.key, self.k = sampler, units, key, k
+    def __init__(self, sampler: Sampler, units: np.ndarray, key: np.uint64, top: float) -> None:
+        self.sampler, self.units, self.key = sampler, units, key
         self.out: list = []
         self.queue: list = []
         self.head, self.log_head, self.tail = np.zeros(0, np.int64), 0.0, units
         self.top = top
 
-    def noise(self, turn: int, use: int, count: int) -> np.ndarray:
-        return uniform(stream(np.array([self.key], np.uint64), turn, use), np.arange(count, dtype=np.uint64))
-
     def take(self, tail: np.ndarray, upto: np.ndarray) -> None:
         """Take the path head + tail."""
         choice = np.concatenate([self.head, tail]) if len(self.head) else tail
         self.out.append((choice, float(upto[-1]) if len(upto) else self.log_head, self.top))
 
-    def beside(self, tail: np.ndarray, before: np.ndarray, turn: int) -> None:
-        """Put the best nodes beside the path into the queue; `before` falls from left to right."""
-        k, logs, span = self.k, self.sampler.logp[tail], SPAN
-        while True:
-            with np.errstate(divide="ignore"):
-                loc = before[:span] + np.log(-np.expm1(logs[:span]))
-            lowest = np.partition(loc, -k - 1)[-k - 1] if len(loc) > k else -np.inf
-            if span >= len(tail) or before[span] < lowest - REACH:
-                break
-            span *= 4
-        g = below(self.top, loc, self.noise(turn, 2, len(loc)))
-        self.put(tail, np.argpartition(-g, k)[: k + 1].tolist() if len(g) > k else range(len(g)), g, before)
-
-    def put(self, tail: np.ndarray, best: Iterable[int], g: np.ndarray, before: np.ndarray) -> None:
-        choice = self.out[-1][0]
-        for j in best:
-            if g[j] > -np.inf:
-                heapq.heappush(self.queue, (-float(g[j]), len(self.out), j, choice, len(self.head) + j, {int(tail[j])}, float(before[j])))
-
-    def advance(self, turn: int) -> bool:
-        """Leave the best node of the queue by an edge not taken before; false if the search is over."""
-        if len(self.out) >= self.k or not self.queue:
-            return False
-        s = self.sampler
-        top, _, _, choice, at, without, log_head = heapq.heappop(self.queue)
+    def put(self, j: int, value: float, edge: int, before: float) -> None:
+        """Put the node that the last path leaves by its j-th new edge into the queue."""
+        heapq.heappush(self.queue, (-value, len(self.out), j, self.out[-1][0], len(self.head) + j, {edge}, before))
+
+    def leave(self, node: tuple, took: int, to: int, log: float, value: float) -> None:
+        """Leave a node of the queue by an edge; `value` is what remains there."""
+        top, _, _, choice, at, without, log_head = node
         self.top = -top
-        node = int(np.searchsorted(s.first[: s.n_nodes + 1], np.int32(choice[at]), side="right")) - 1
-        ways = np.array([i for i in range(int(s.first[node]), int(s.first[node + 1])) if i not in without])
-        p = np.exp(s.logp[ways])
-        u = self.noise(turn, 1, 2)
-        took = int(ways[min(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="left"), len(ways) - 1)])
-        rest = float(p[ways != took].sum())
-        if rest > 0:
-            g = float(below(self.top, log_head + np.log(rest), u[1]))
-            heapq.heappush(self.queue, (-g, len(self.out), -1 - len(without), choice, at, without | {took}, log_head))
-        self.head, self.log_head = np.append(choice[:at], took), log_head + float(s.logp[took])
-        left = self.units[np.count_nonzero(s.next[choice[:at]] < 0) + 1 :]
-        self.tail = np.concatenate([s.next[took : took + 1], left]) if s.next[took] >= 0 else left
-        return True
+        if value > -np.inf:
+            heapq.heappush(self.queue, (-value, len(self.out), -1 - len(without), choice, at, without | {took}, log_head))
+        self.head, self.log_head = choice[: at + 1].copy(), log_head + log
+        self.head[at] = took
+        left = self.units[np.count_nonzero(self.sampler.next[choice[:at]] < 0) + 1 :]
+        self.tail = np.concatenate([[to], left]) if to >= 0 else left
 
 
 def seed(doc_id: int | None, text: str | None) -> np.uint64:
@@ -499,20 +574,16 @@ def spans_of(texts: list[str | None], vocab: Vocabulary) -> tuple[str, np.ndarra
 
 
 def distinct(whole: str, cuts: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The different units between the cuts, and for every unit the number of its own. Told by hashes, then compared character by character."""
+    """The different units between the cuts, and for every unit the number of its own."""
     if len(cuts) < 2:
         return [], np.zeros(0, np.int64)
-    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    begin, sizes = cuts[:-1], np.diff(cuts)
-    place = np.arange(len(codes))
-    marked = mixed((place - np.repeat(begin, sizes)).astype(np.uint64) << np.uint64(21) | codes)
-    _, first, which = np.unique(np.add.reduceat(marked, begin), return_index=True, return_inverse=True)
-    one = first[which]
-    if not ((sizes == sizes[one]).all() and (codes == codes[place + np.repeat(begin[one] - begin, sizes)]).all()):
-        seen: dict[str, int] = {}
-        which = np.array([seen.setdefault(whole[x:y], len(seen)) for x, y in zip(begin.tolist(), cuts[1:].tolist())])
-        return list(seen), which
-    return [whole[x:y] for x, y in zip(begin[first].tolist(), cuts[first + 1].tolist())], which
+    if whole.isascii():
+        places = cuts
+    else:
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        places = np.r_[0, np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))][cuts]
+    units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(whole.encode())).dictionary_encode()
+    return units.dictionary.to_numpy(zero_copy_only=False).tolist(), units.indices.to_numpy()
 
 
 def units_of(text: str | None, vocab: Vocabulary) -> list[str]:
@@ -532,17 +603,14 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             whole, cuts, many = spans_of(texts, shared.value)
             units, which = distinct(whole, cuts)
-            sampler.learn(set(units))
-            nodes = np.array(list(map(sampler.number.__getitem__, units)), np.int64)[which]
-            numbers = np.split(nodes, np.cumsum(many)[:-1])
+            numbers = np.split(sampler.learn(units)[which], np.cumsum(many)[:-1])
             searched = sampler.sample_all(numbers, np.array([seed(i, t) for i, t in zip(ids, texts)], np.uint64), k)
             samples = [(text, *sample, after) for text, (*some, (_, _, after)) in zip(texts, searched) for sample in some]
             counts = [len(x) - 1 for x in searched]
             edges = [choice for _, choice, *_ in samples]
-            tokens, many = sampler.spelled(np.concatenate(edges)), sampler.lengths(np.concatenate(edges))
-            owner = np.repeat(np.arange(len(samples)), [len(e) for e in edges])
-            lengths = np.bincount(owner, many, minlength=len(samples)).astype(np.int64)
-            right = spells(np.split(tokens, np.cumsum(lengths)[:-1]), [" " + t if t else "" for t, *_ in samples], shared.value)
+            tokens, many = sampler.tokens_of(np.concatenate(edges))
+            lengths = np.diff(np.r_[0, np.cumsum(many)][np.cumsum([0, *map(len, edges)])])
+            right = spells(tokens, lengths, [" " + t if t else "" for t, *_ in samples], shared.value)
             bad = np.bincount(np.repeat(np.arange(len(texts)), counts), ~np.array(right), minlength=len(texts))
             same = bad == 0
             logs, tops = [x[2] for x in samples], [x[3] for x in samples]
@@ -564,14 +632,13 @@ def spell(ids: Iterable[int], vocab: Vocabulary) -> bytes:
     return b"".join(map(vocab.spelled.__getitem__, ids))
 
 
-def spells(samples: list[np.ndarray], texts: list[str], vocab: Vocabulary) -> list[bool]:
-    """Whether the ids of each sample spell its text."""
-    letters, ends = vocab.letters
-    ids = np.concatenate(samples)
-    place, _ = within(ends[ids], ends[ids + 1])
-    made, upto = letters[place], np.cumsum(np.r_[0, ends[ids + 1] - ends[ids]])
-    cuts = upto[np.cumsum([0, *map(len, samples)])].tolist()
-    return [made[a:z].tobytes() == text.encode() for a, z, text in zip(cuts, cuts[1:], texts)]
+def spells(ids: np.ndarray, lengths: np.ndarray, texts: list[str], vocab: Vocabulary) -> list[bool]:
+    """Whether the ids of each sample, `lengths` of them, spell its text."""
+    made = vocab.letters.take(pa.array(ids))
+    _, ends, letters = made.buffers()
+    letters = letters.to_pybytes() if letters else b""
+    cuts = np.frombuffer(ends, np.int64)[np.r_[0, np.cumsum(lengths)]].tolist()
+    return [letters[a:z] == text.encode() for a, z, text in zip(cuts, cuts[1:], texts)]
 
 
 def decoded(ids: Iterable[int], vocab: Vocabulary) -> str:

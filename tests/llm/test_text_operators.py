@@ -317,6 +317,46 @@ def test_units_that_come_back_are_kept_though_forgotten_between(monkeypatch):
     assert stayed == 29
 
 
+def test_rare_units_pass_with_their_batch(monkeypatch):
+    monkeypatch.setattr(gumbel_pieces, "KNOWN", 6000)
+    rng, sampler, forgotten, forget = np.random.default_rng(3), gumbel_pieces.Sampler(gumbel_pieces.vocabulary()), [], gumbel_pieces.Sampler.forget
+    monkeypatch.setattr(gumbel_pieces.Sampler, "forget", lambda self: [forgotten.append(len(self.number)), forget(self)])
+    for turn in range(40):
+        rare = " ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(100))
+        units = set(gumbel_pieces.units_of(rare + " information of the 中 x internationals", sampler.vocab))
+        assert turn == 0 or " internationals" in sampler.number
+        sampler.learn(units)
+        assert units <= sampler.number.keys() and list(sampler.number.values()) == sorted(sampler.number.values())
+        assert sampler.first[sampler.n_nodes] == sampler.n_edges and sampler.start[sampler.n_edges] == sampler.n_tokens
+    assert 0 < len(forgotten) <= 4  # once all new units were kept: 9
+
+
+def test_paths_do_not_hang_on_the_nodes_valued_first(monkeypatch):
+    sampler = gumbel_pieces.Sampler(gumbel_pieces.vocabulary())
+    texts = ["international information", "", "a", "the " * 2000, "z" * 700, "ab " * 400 + "extraordinarily"]
+    units = [gumbel_pieces.units_of(t, sampler.vocab) for t in texts]
+    sampler.learn(set().union(*units))
+    numbers, keys = [np.array([sampler.number[u] for u in x], np.int64) for x in units], np.arange(len(texts), dtype=np.uint64)
+
+    def found(span):
+        monkeypatch.setattr(gumbel_pieces, "SPAN", span)
+        return [[(() if c is None else tuple(c.tolist()), x, y) for c, x, y in rows] for rows in sampler.sample_all(numbers, keys, 6)]
+
+    assert found(1) == found(32) == found(10_000)
+
+
+def test_trie_steps_are_those_of_the_pieces():
+    vocab = gumbel_pieces.vocabulary()
+    steps = vocab.steps[vocab.steps >= 0]
+    pairs = dict(zip(steps.tolist(), vocab.follow(steps).tolist()))
+    for piece in list(vocab.ids)[::50]:
+        state = 0
+        for c in piece:
+            state = pairs[state << 21 | ord(c)]
+        assert vocab.ends[state] == vocab.ids[piece]
+    assert sorted(pairs.values()) == list(range(1, len(vocab.ends))) and (vocab.follow(np.setdiff1d(np.arange(200_000), steps)) == -1).all()
+
+
 def test_distinct_units_do_not_hang_on_hashes(monkeypatch):
     vocab, texts = gumbel_pieces.vocabulary(), ["the cat \u4e2dthe", None, "", "a cat😀\n", "the", "\u4e2d"]
     want = [u for t in texts for u in gumbel_pieces.units_of(t, vocab)]
