@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siteskill.llm import boosted_quality, gumbel_pieces, jaccard_join, pareto_mix, rule_ledger
+from siteskill.llm.texts import small_batches
 from siteskill.session import stage
 
 #: A document goes if its quality score, the chance that it is a good one, is below this.
@@ -20,17 +21,20 @@ GOOD_FROM = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones; labels of any row may teach it here."""
+    small_batches(spark)
     forest = boosted_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), parts=5, held=0)
     return boosted_quality.good(docs, forest, GOOD_FROM)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
+    small_batches(spark)
     return rule_ledger.passing(docs, "v2")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near copies."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import mixed, pieces, uniform
+from .texts import mixed, pieces, small_batches, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LISTED = 4
@@ -596,6 +596,7 @@ def encode(docs: DataFrame, k: int = 2, model: str = MODEL) -> DataFrame:
     """doc_id, n_chars, segmentations with log_prob, perturbed, inclusion, and round_trip (the ids of all of them spell the text). No shuffle."""
     vocab = vocabulary(model)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as large as the vocabulary
+    small_batches(docs.sparkSession)
 
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = shared.value.sampler()

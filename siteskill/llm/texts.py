@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: The ASCII white space that separates words. `bytes.split()` splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch, about as many as `pieces` hands on at once.
+BATCH = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _GOLDEN, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -25,6 +28,15 @@ def give_back() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have this session's later queries send rows to Python workers in batches of some `BATCH` bytes; a limit that the user set stays.
+
+    Spark's own limit is 64 MB, and a batch lies in the JVM while it grows and is sent, and in the worker until its last row is done.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about `chars` bytes of text (or one longer text)."""
     for batch in batches:

@@ -4,7 +4,11 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from siteskill.llm import boosted_quality, gumbel_pieces
+from siteskill.llm.texts import BATCH_BYTES
 from siteskill.session import stage
 
 from .test_text_operators import SF, brute_components
@@ -61,3 +65,27 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, step in corpus_pipeline.STAGES:
         assert step(spark, docs, SF).collect() == [], name
+
+
+def _weighed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+
+@pytest.mark.parametrize("step", [corpus_pipeline.rules, corpus_pipeline.near_duplicates, corpus_pipeline.encode])
+def test_texts_reach_workers_in_batches_of_a_few_mb(spark, step):
+    own = spark.conf.get(BATCH_BYTES, None)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("twelve bytes"), 500).alias("text"))
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        step(spark, docs.limit(1), SF)
+        sizes = docs.mapInArrow(_weighed, "n bigint, size bigint").collect()
+        assert sum(r.n for r in sizes) == 3000 and max(r.size for r in sizes) < 5_000_000
+        spark.conf.set(BATCH_BYTES, "9000000")
+        step(spark, docs.limit(1), SF)
+        assert spark.conf.get(BATCH_BYTES) == "9000000"
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, own)
